@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from semlake.fixtures import duckdb
+
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = ""
+FLAGSHIP = "e19_lexical_pipeline"
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
@@ -20,15 +22,21 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"{f.__name__} is registered twice")
         _queries[f.__name__] = f
         if sql:
-            _oracles[f.__name__] = sql
+            _oracles[f.__name__] = duckdb(sql)
         return f
 
     return add
 
 
+def _load() -> None:
+    from semlake.plans import corpus, graph, linking, operations, retrieval, understanding  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _queries
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return _oracles
