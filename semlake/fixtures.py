@@ -70,7 +70,7 @@ DERIVED: dict[str, str] = {
                'r' || CAST(o_orderkey % 3 AS STRING) AS rel, 'urn:part:' || CAST(o_orderkey % 997 AS STRING) AS tail, round(o_totalprice / 500000, 6) AS score, o_orderkey AS pred_id
         FROM @orders""",
     "review_log": """
-        SELECT event_id, CAST(event_id % 700 AS BIGINT) AS cand, CASE event_type WHEN 'view' THEN 'approve' WHEN 'click' THEN 'reject' ELSE 'defer' END AS action, ts AS at, value AS score
+        SELECT event_id, CAST(event_id % 700 AS BIGINT) AS cand, CASE event_type WHEN 'view' THEN 'approve' WHEN 'click' THEN 'reject' ELSE 'defer' END AS action, ts AS decided_at, value AS score
         FROM @events WHERE event_type <> 'error'""",
     "jobs": """
         SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'index_note' WHEN 'click' THEN 'parse_book' WHEN 'signup' THEN 'index_chapter' WHEN 'purchase' THEN 'save_web' ELSE 'openie' END AS type,

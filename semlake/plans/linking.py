@@ -1 +1,255 @@
-"""Queries."""
+"""Queries of knowledge extraction, entity linking and link prediction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from semlake.fixtures import frame
+from semlake.operators import extract as ex
+from semlake.operators import links as lk
+from semlake.operators import quads as qd
+from semlake.plans.registry import query
+
+ALLOWED = ["mentions", "defines", "cites", "authoredBy", "related", "contains"]
+
+
+def _cand(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, sf, "candidates").withColumnRenamed("is_new_object", "is_new").withColumns({"confidence": F.col("confidence").cast("double"), "object_similarity": F.col("object_similarity").cast("double")})
+
+
+def _known(spark: SparkSession, sf: str) -> DataFrame:
+    return qd.match(frame(spark, sf, "quads"), graphs=["tier0", "tier1"])
+
+
+_THRESHOLD = """least(greatest(CASE predicate WHEN 'mentions' THEN 0.8e0 WHEN 'authoredBy' THEN 0.9e0 ELSE 0.85e0 END, CASE claim_type WHEN 'factual_specific' THEN 0.85e0 WHEN 'framing' THEN 0.7e0 ELSE 0.95e0 END) + CASE WHEN is_new_object THEN 0.05e0 ELSE 0 END, 1.0e0)"""
+_GATED = f"""
+n AS (SELECT subject_uri, predicate, object, count(DISTINCT chunk_id) AS n_sources FROM @candidates GROUP BY 1, 2, 3),
+kn AS (SELECT DISTINCT s, p, o FROM @quads WHERE graph IN ('tier0', 'tier1')),
+ev AS (SELECT c.*, n_sources, EXISTS (SELECT 1 FROM kn WHERE s = c.subject_uri AND p = c.predicate AND o = c.object) AS duplicate,
+  EXISTS (SELECT 1 FROM kn WHERE s = c.subject_uri AND p = c.predicate AND o <> c.object) AS conflict FROM @candidates c JOIN n USING (subject_uri, predicate, object)),
+ga AS (SELECT *, confidence >= {_THRESHOLD} AS g1, predicate IN ('mentions', 'defines', 'cites', 'authoredBy', 'related', 'contains') AS g2, NOT (object_similarity >= 0.75 AND object_similarity < 0.92) AS g3,
+  CASE WHEN subject_uri = object THEN 'self_loop' WHEN object IN ('urn:concept:item') THEN 'stop_word' WHEN duplicate THEN 'exact_duplicate' END AS g5_reason,
+  least(CAST(confidence AS DOUBLE) + 0.1 * (n_sources - 1), 1.0) AS final_confidence FROM ev),
+ro AS (SELECT *, CASE WHEN NOT g2 OR g5_reason IS NOT NULL OR confidence < 0.6 THEN 'tier1-rejected' WHEN NOT g3 OR NOT g1 OR conflict THEN 'tier1-pending' ELSE 'tier1' END AS destination,
+  CASE WHEN NOT g2 THEN 'gate2' WHEN g5_reason IS NOT NULL THEN 'gate5' WHEN confidence < 0.6 THEN 'hard_floor' WHEN NOT g3 THEN 'gate3_grey_zone' WHEN NOT g1 THEN 'gate1_soft_fail' WHEN conflict THEN 'conflict' ELSE 'all_gates_passed' END AS reason FROM ga)"""
+
+
+def _gated(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.gates(ex.evidence(_known(spark, sf), _cand(spark, sf)), ALLOWED)
+
+
+@query(f"SELECT cand_id, confidence >= {_THRESHOLD} AS passed, confidence < 0.6 AS hard FROM @candidates")
+def k02_confidence_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return _cand(spark, sf).select("cand_id", (F.col("confidence") >= ex.threshold()).alias("passed"), (F.col("confidence") < ex.HARD_REJECT).alias("hard"))
+
+
+@query("SELECT predicate, predicate IN ('mentions', 'defines', 'cites', 'authoredBy', 'related', 'contains') AS allowed, count(*) AS n FROM @candidates GROUP BY 1, 2")
+def k03_whitelist_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return _cand(spark, sf).groupBy("predicate", F.col("predicate").isin(ALLOWED).alias("allowed")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM @embeddings WHERE vec_id % 25 = 0),
+s AS (SELECT query_id, vec_id AS uri, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS similarity FROM q, @embeddings WHERE vec_id % 25 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uri) AS r FROM s)
+SELECT query_id, CASE WHEN similarity >= 0.4 THEN uri END AS uri, similarity FROM r WHERE r = 1""")
+def k04_nearest_label(spark: SparkSession, sf: str) -> DataFrame:
+    e = frame(spark, sf, "embeddings")
+    q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return ex.nearest_label(q, e.filter("vec_id % 25 <> 0").select(F.col("vec_id").alias("uri"), F.col("embedding").alias("vec")), 0.4)
+
+
+@query(f"WITH {_GATED} SELECT cand_id, g3, round(final_confidence, 6) AS final_confidence, n_sources FROM ga")
+def k06_cross_source(spark: SparkSession, sf: str) -> DataFrame:
+    return _gated(spark, sf).select("cand_id", "g3", F.round("final_confidence", 6).alias("final_confidence"), "n_sources")
+
+
+@query(f"WITH {_GATED} SELECT cand_id, g5_reason, conflict FROM ga")
+def k07_sanity_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return _gated(spark, sf).select("cand_id", "g5_reason", "conflict")
+
+
+@query(f"WITH {_GATED} SELECT cand_id, destination, reason FROM ro")
+def k08_routing(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.route(_gated(spark, sf)).select("cand_id", "destination", "reason")
+
+
+@query(f"WITH {_GATED} SELECT chunk_id, CAST(count_if(destination = 'tier1') AS BIGINT) AS promoted, CAST(count_if(destination = 'tier1-pending') AS BIGINT) AS pending, CAST(count_if(destination = 'tier1-rejected') AS BIGINT) AS rejected FROM ro GROUP BY 1")
+def d25_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    r = ex.route(_gated(spark, sf)).groupBy("chunk_id")
+    return r.agg(*[F.count_if(F.col("destination") == d).alias(a) for d, a in (("tier1", "promoted"), ("tier1-pending", "pending"), ("tier1-rejected", "rejected"))])
+
+
+@query(f"WITH {_GATED} SELECT DISTINCT subject_uri AS s, predicate AS p, object AS o, destination AS graph FROM ro WHERE destination <> 'tier1-rejected'")
+def k10_routed_triples(spark: SparkSession, sf: str) -> DataFrame:
+    r = ex.route(_gated(spark, sf)).filter("destination <> 'tier1-rejected'")
+    return r.selectExpr("subject_uri as s", "predicate as p", "object as o", "destination as graph").distinct()
+
+
+@query("SELECT subject_uri, predicate, object, count(DISTINCT chunk_id) AS n_sources FROM @candidates GROUP BY 1, 2, 3")
+def d15_source_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _cand(spark, sf).groupBy("subject_uri", "predicate", "object").agg(F.countDistinct("chunk_id").alias("n_sources"))
+
+
+@query(f"WITH {_GATED} SELECT cand_id, duplicate, conflict FROM ev")
+def c07_c08_duplicates_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.evidence(_known(spark, sf), _cand(spark, sf)).select("cand_id", "duplicate", "conflict")
+
+
+@query("SELECT s, p, o FROM @quads t WHERE graph = 'tier0' AND EXISTS (SELECT 1 FROM @quads f WHERE f.graph IN ('predictions', 'tier1-pending') AND f.s = t.s AND f.p = t.p AND f.o = t.o)")
+def c09_isolation(spark: SparkSession, sf: str) -> DataFrame:
+    q = frame(spark, sf, "quads")
+    return q.filter("graph = 'tier0'").join(q.filter("graph in ('predictions', 'tier1-pending')").select("s", "p", "o"), ["s", "p", "o"], "left_semi").select("s", "p", "o")
+
+
+@query("""SELECT cand_id, confidence FROM (SELECT (l_orderkey * 10 + l_linenumber) AS cand_id, '{"triples":[{"subject":"o' || l_orderkey || '","predicate":"p","object":"' || CASE WHEN l_linenumber = 3 THEN ' ' ELSE 'x' END || '","confidence":' || CAST(l_quantity AS INTEGER) / 40.0 || '}]}' AS j,
+l_linenumber, greatest(0, least(1, CAST(CAST(l_quantity AS INTEGER) / 40.0 AS DOUBLE))) AS confidence FROM @lineitem) WHERE l_linenumber <> 3""")
+def k01_parse_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    li = frame(spark, sf, "lineitem")
+    raw = li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"),
+        F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("subject"), F.lit("p").alias("predicate"), F.when(F.col("l_linenumber") == 3, " ").otherwise("x").alias("object"), (F.col("l_quantity").cast("int") / 40.0).alias("confidence"))).alias("triples"))).alias("raw_json"),
+    )
+    return ex.parse(raw).select(F.col("chunk_id").alias("cand_id"), "confidence")
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Software' WHEN 1 THEN 'Book' ELSE 'Concept' END AS hint, p_name || CASE p_partkey % 3 WHEN 0 THEN ' Tool' WHEN 1 THEN ' novel' ELSE '' END AS d FROM @part)
+SELECT p_partkey, CASE hint WHEN 'Software' THEN CASE WHEN regexp_matches(lower(d), 'software|programming|application|tool|framework|library') THEN 1.0 ELSE 0.2 END
+  WHEN 'Book' THEN CASE WHEN regexp_matches(lower(d), 'book|novel|publication|written|work|literature') THEN 1.0 ELSE 0.2 END ELSE 0.5 END AS tm FROM t""")
+def k13_type_match(spark: SparkSession, sf: str) -> DataFrame:
+    hint = F.when(F.col("p_size") % 3 == 0, "Software").when(F.col("p_size") % 3 == 1, "Book").otherwise("Concept")
+    more = F.when(F.col("p_partkey") % 3 == 0, " Tool").when(F.col("p_partkey") % 3 == 1, " novel").otherwise("")
+    return frame(spark, sf, "part").select("p_partkey", ex.type_match(hint, F.concat("p_name", more)).alias("tm"))
+
+
+@query("""WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[\\p{L}\\p{N}_]+')) AS d, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]+')) AS c FROM @part)
+SELECT p_partkey, round(least(1.0, len(list_intersect(d, c)) / len(d)), 6) AS overlap FROM t""")
+def k14_context_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    p = frame(spark, sf, "part")
+    return p.select("p_partkey", F.round(ex.context_overlap(F.array("p_name"), F.concat_ws(" ", "p_name", "p_type")), 6).alias("overlap"))
+
+
+@query()
+def k15_disambiguation(spark: SparkSession, sf: str) -> DataFrame:
+    p = frame(spark, sf, "part")
+    hits = p.select(F.concat_ws(" ", F.split("p_name", " ")[0], "p_brand").alias("surface"), F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("qid"), F.col("p_name").alias("label"), F.lit("Software").alias("type_hint"), F.concat_ws(" ", "p_type", F.lit("tool")).alias("description"), F.array("p_name").alias("chunks"))
+    return ex.disambiguate(hits)
+
+
+@query("""SELECT s AS qid, p, array_to_string(list_sort(list(DISTINCT o)), ',') AS os FROM @quads WHERE p IN ('inNation', 'label', 'tagged') GROUP BY 1, 2""")
+def k17_property_maps(spark: SparkSession, sf: str) -> DataFrame:
+    b = frame(spark, sf, "quads").select(F.col("s").alias("qid"), "p", "o")
+    profile = spark.createDataFrame([("inNation",), ("label",), ("tagged",)], "p string")
+    return ex.property_maps(b, profile).select("qid", F.explode("properties").alias("p", "os")).select("qid", "p", F.array_join("os", ",").alias("os"))
+
+
+@query("""SELECT DISTINCT 'urn:wd:' || s AS s, p, o, o LIKE 'urn:%' AS o_is_iri FROM (SELECT s, p, CASE WHEN p = 'label' THEN o ELSE o END AS o FROM @quads WHERE p IN ('inNation', 'label'))""")
+def k18_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    b = frame(spark, sf, "quads").filter("p in ('inNation', 'label')").select(F.col("s").alias("qid"), "p", F.when(F.col("p") == "label", F.concat("o", F.lit("@en"))).otherwise(F.col("o")).alias("o"))
+    profile = spark.createDataFrame([("inNation",), ("label",)], "p string")
+    return ex.enrichment_quads(ex.property_maps(b, profile)).select("s", "p", "o", "o_is_iri")
+
+
+@query("SELECT chunk_id AS key, max(cand_id) AS cand_id, CASE claim_type WHEN 'factual_specific' THEN 30 WHEN 'framing' THEN 30 ELSE 7 END AS ttl_days FROM @candidates GROUP BY chunk_id, claim_type")
+def k19_cache_ttl(spark: SparkSession, sf: str) -> DataFrame:
+    ttl = F.when(F.col("claim_type") == "opinion", 7).otherwise(30)
+    return _cand(spark, sf).groupBy(F.col("chunk_id").alias("key"), "claim_type").agg(F.max("cand_id").alias("cand_id")).select("key", "cand_id", ttl.alias("ttl_days"))
+
+
+@query("""WITH u AS (SELECT lower(p_brand) AS label, 1 AS src, p_brand AS surface FROM @part UNION ALL SELECT lower(p_type), 2, p_type FROM @part UNION ALL SELECT lower(p_name), 3, p_name FROM @part)
+SELECT label, CAST(min(src) AS INTEGER) AS src FROM u GROUP BY 1""")
+def u02_entity_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    p = frame(spark, sf, "part")
+    legs = [p.select(F.lower(c).alias("label"), F.lit(i).alias("src")) for i, c in enumerate(("p_brand", "p_type", "p_name"), 1)]
+    return legs[0].unionByName(legs[1]).unionByName(legs[2]).groupBy("label").agg(F.min("src").alias("src"))
+
+
+@query("""SELECT surface, qid, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY surface ORDER BY lang, qid) AS INTEGER) AS rank FROM (SELECT p_brand AS surface, p_partkey AS qid, min(CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END) AS lang FROM @part GROUP BY 1, 2)) WHERE rank <= 5""")
+def u07_candidates_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    one = frame(spark, sf, "part").groupBy(F.col("p_brand").alias("surface"), F.col("p_partkey").alias("qid")).agg(F.min(F.when(F.col("p_size") % 2 == 0, 0).otherwise(1)).alias("lang"))
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy("surface").orderBy("lang", "qid"))).filter("rank <= 5").select("surface", "qid", "rank")
+
+
+def _triples(spark: SparkSession, sf: str) -> DataFrame:
+    q = qd.match(frame(spark, sf, "quads"), graphs=["tier0", "tier2"])
+    return q.filter(F.col("o_is_iri") & (F.col("p") != "inRegion")).select("s", "p", "o").distinct()
+
+
+_TRAIN = "tr AS (SELECT DISTINCT s, p, o FROM @quads WHERE graph IN ('tier0', 'tier2') AND o_is_iri AND p <> 'inRegion')"
+
+
+@query(f"WITH {_TRAIN} SELECT p, count(*) AS n, count(*) < 2000 AS sparse FROM tr GROUP BY 1")
+def l01_training_triples(spark: SparkSession, sf: str) -> DataFrame:
+    return _triples(spark, sf).groupBy("p").agg(F.count("*").alias("n")).withColumn("sparse", F.col("n") < 2000)
+
+
+_SPLIT = f"""{_TRAIN}, sp AS (SELECT *, CAST('0x' || substring(md5(s || '|' || p || '|' || o || '|42'), 1, 8) AS BIGINT) % 10 AS b FROM tr),
+tn AS (SELECT s AS n FROM sp WHERE b < 8 UNION SELECT o FROM sp WHERE b < 8), rr AS (SELECT DISTINCT p FROM sp WHERE b < 8),
+pt AS (SELECT s, p, o, CASE WHEN b < 8 OR s NOT IN (SELECT n FROM tn) OR o NOT IN (SELECT n FROM tn) OR p NOT IN (SELECT p FROM rr) THEN 'train' WHEN b = 8 THEN 'valid' ELSE 'test' END AS part FROM sp)"""
+
+
+@query(f"WITH {_SPLIT} SELECT s, p, o, part FROM pt")
+def l03_split(spark: SparkSession, sf: str) -> DataFrame:
+    return lk.split(_triples(spark, sf))
+
+
+@query(f"WITH {_TRAIN}, e AS (SELECT s AS value FROM tr UNION SELECT o FROM tr) SELECT value, row_number() OVER (ORDER BY value) - 1 AS id FROM e")
+def l04_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    t = _triples(spark, sf)
+    return lk.dictionary(t.select(F.col("s").alias("v")).unionByName(t.select(F.col("o").alias("v"))), "v")
+
+
+def _ids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    t = frame(spark, sf, "quads").filter("o_is_iri and p in ('inNation', 'inRegion')").select("s", "p", "o").distinct()
+    ents = lk.dictionary(t.select(F.col("s").alias("v")).unionByName(t.select(F.col("o").alias("v"))), "v")
+    rels = lk.dictionary(t, "p")
+    ids = t.join(ents.select(F.col("value").alias("s"), F.col("id").alias("h")), "s").join(ents.select(F.col("value").alias("o"), F.col("id").alias("t")), "o").join(rels.select(F.col("value").alias("p"), F.col("id").alias("r")), "p")
+    return ids.select("h", "r", "t"), ents, rels
+
+
+@query()
+def l05_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    ids, ents, _ = _ids(spark, sf)
+    return lk.negatives(ids, ents, 4)
+
+
+@query()
+def l07_rotate_top_tails(spark: SparkSession, sf: str) -> DataFrame:
+    """L06 and L07: train on the geography of customers and suppliers, then the ten best new tails of each pair."""
+    ids, ents, rels = _ids(spark, sf)
+    ent, phase = lk.train_rotate(ids, ents.count(), rels.count(), dim=8, epochs=2)
+    return lk.score_tails(ids.select("h", "r"), ent, phase, 10, known=ids).select("h", "r", "t", "rank")
+
+
+@query("""WITH sc AS (SELECT head || rel AS q, tail AS t, max(score) AS score FROM @predictions GROUP BY 1, 2), tru AS (SELECT q, max_by(t, (score, t)) AS t FROM sc GROUP BY 1 UNION SELECT q, min(t) FROM sc GROUP BY 1),
+own AS (SELECT q, t, score FROM sc JOIN tru USING (q, t)), oth AS (SELECT * FROM sc ANTI JOIN tru USING (q, t)),
+rk AS (SELECT own.q, own.t, 1 + count(CASE WHEN oth.score > own.score THEN 1 END) + count(CASE WHEN oth.score = own.score THEN 1 END) / 2.0 AS r FROM own LEFT JOIN oth ON own.q = oth.q GROUP BY 1, 2)
+SELECT round(avg(CAST(1 AS DOUBLE) / r), 6) AS mrr, round(avg(CAST(r <= 1 AS INTEGER)), 6) AS hits_1, round(avg(CAST(r <= 3 AS INTEGER)), 6) AS hits_3, round(avg(CAST(r <= 10 AS INTEGER)), 6) AS hits_10 FROM rk""")
+def l08_ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    sc = frame(spark, sf, "predictions").groupBy(F.concat("head", "rel").alias("q"), F.col("tail").alias("t")).agg(F.max("score").alias("score"))
+    truth = sc.groupBy("q").agg(F.max_by("t", F.struct("score", "t")).alias("t")).unionByName(sc.groupBy("q").agg(F.min("t").alias("t"))).distinct()
+    return lk.ranking_metrics(sc, truth)
+
+
+@query("SELECT event_id, CASE WHEN dayofweek(ts) = 0 THEN 'full' WHEN value < 50 AND event_id % 300 > 100 THEN 'warm-start' WHEN value < 50 THEN 'skip' WHEN value < 500 THEN 'warm-start' ELSE 'full' END AS tier FROM @events")
+def l13_tier_override(spark: SparkSession, sf: str) -> DataFrame:
+    t = lk.tier_of(F.col("value"))
+    return frame(spark, sf, "events").select("event_id", lk.override(t, F.col("ts"), F.col("event_id") % 300).alias("tier"))
+
+
+@query("SELECT event_id, CASE WHEN value < 50 THEN 0 WHEN value < 500 THEN 20 ELSE 100 END AS epochs FROM @events")
+def l14_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, sf, "events").select("event_id", lk.epochs(lk.tier_of(F.col("value"))).alias("epochs"))
+
+
+@query("SELECT event_id AS run_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) IS NULL OR value >= 0.95 * lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS passed FROM @events")
+def l15_quality_gate(spark: SparkSession, sf: str) -> DataFrame:
+    runs = frame(spark, sf, "events").selectExpr("event_id as run_id", "user_id as model", "value as mrr")
+    return lk.quality_gate(runs).select("run_id", "passed")
+
+
+@query("SELECT avg(value) / 100 > 0.30 AND max(value) / 100 > 0.50 AS accepted FROM @events")
+def l17_acceptance(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, sf, "events").agg(((F.avg("value") / 100 > 0.30) & (F.max("value") / 100 > 0.50)).alias("accepted"))
