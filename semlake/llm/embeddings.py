@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,42 +82,73 @@ def _code(batches: Iterator[pd.DataFrame], passes: int) -> Iterator[pd.DataFrame
                 yield pd.DataFrame({"pass": p, "label": part["label"], "dim": int(d), "code": (unit @ planes[p, d] > 0) @ weights, "node": part["node"], "vec": part["vec"]})
 
 
+def _compare(rows: pd.DataFrame, threshold: float, window: int) -> Iterator[pd.DataFrame]:
+    """Sorted rows -> star links of the verified pairs of each vector with the next ``window`` ones at least."""
+    group = rows.groupby(["pass", "label", "dim"], sort=False).ngroup().to_numpy()
+    nodes = rows["node"].to_numpy(np.int64)
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        unit, ids = _unit(rows["vec"].iloc[at]), nodes[at]
+        for s in range(0, max(len(at) - window, 1), window):
+            part = slice(s, s + 2 * window)
+            near = unit[part] @ unit[part].T >= threshold
+            order = np.argsort(ids[part])  # so that centres are smallest ids
+            a, b = _stars(ids[part][order], near[np.ix_(order, order)])
+            if len(a):
+                yield pd.DataFrame({"a": a, "b": b})
+
+
 def _windows(batches: Iterator[pd.DataFrame], threshold: float, window: int) -> Iterator[pd.DataFrame]:
-    """Sorted rows -> star links of the verified pairs of each vector with the next ``window`` ones."""
+    """A partition of sorted rows -> its links, and its first and last rows (border is that of the partition before or
+    after), for the windows that reach over a border."""
+    here = TaskContext.get().partitionId()
     held: pd.DataFrame | None = None
+    head: pd.DataFrame | None = None
+    tail: pd.DataFrame | None = None
+
+    def border(rows: pd.DataFrame, no: int) -> pd.DataFrame:
+        return rows.assign(a=None, b=None, border=no)[_SORTED + ["a", "b", "border"]]
 
-    def compare(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        group = rows.groupby(["pass", "label", "dim"], sort=False).ngroup().to_numpy()
-        nodes = rows["node"].to_numpy(np.int64)
-        for g in np.unique(group):
-            at = np.flatnonzero(group == g)
-            unit, ids = _unit(rows["vec"].iloc[at]), nodes[at]
-            for s in range(0, max(len(at) - window, 1), window):
-                part = slice(s, s + 2 * window)
-                near = unit[part] @ unit[part].T >= threshold
-                order = np.argsort(ids[part])  # so that centres are smallest ids
-                a, b = _stars(ids[part][order], near[np.ix_(order, order)])
-                if len(a):
-                    yield pd.DataFrame({"a": a, "b": b})
+    def link(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for found in _compare(rows, threshold, window):
+            yield found.assign(**dict.fromkeys(_SORTED, None), border=None)[_SORTED + ["a", "b", "border"]]
 
     for pdf in batches:
+        head = pdf.iloc[:window] if head is None else head if len(head) == window else pd.concat([head, pdf.iloc[: window - len(head)]], ignore_index=True)
+        tail = pdf.iloc[-window:] if tail is None or len(pdf) >= window else pd.concat([tail, pdf], ignore_index=True).iloc[-window:]
         rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         if len(rows) < 4 * window:
             held = rows
             continue
-        yield from compare(rows)
+        yield from link(rows)
         held = rows.iloc[-2 * window :]
     if held is not None and len(held):
-        yield from compare(held)
+        yield from link(held)
+        yield border(head, here - 1)
+        yield border(tail, here)
+
+
+_SORTED = ["pass", "label", "dim", "code", "node", "vec"]
 
 
 def window_links(classes: DataFrame, passes: int, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
-    """``classes(label, node, vec)`` -> links ``(a, b)`` found by all passes."""
-    schema = "pass int, label string, dim int, code long, node long, vec binary"
-    coded = classes.select("label", "node", "vec").mapInPandas(lambda it: _code(it, passes), schema)
+    """``classes(label, node, vec)`` -> links ``(a, b)`` found by all passes.
+
+    Partitions hold eight windows or more; where one ends, its last window of rows meets the first of the next one.
+    """
+    kinds = "`pass` int, label string, dim int, code long, node long, vec binary"
+    coded = classes.select("label", "node", "vec").mapInPandas(lambda it: _code(it, passes), kinds)
     order = ["pass", "label", "dim", "code", "node"]
-    lined = coded.repartitionByRange(shuffle_width(classes.sparkSession), *order).sortWithinPartitions(*order)
-    return lined.mapInPandas(lambda it: _windows(it, threshold, window), "a long, b long").distinct()
+    parts = max(1, min(shuffle_width(classes.sparkSession), classes.count() * passes // (8 * window)))
+    lined = coded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    out = materialise(lined.mapInPandas(lambda it: _windows(it, threshold, window), kinds + ", a long, b long, border int"), "windows")
+
+    def over(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = list(_compare(pdf.sort_values(order), threshold, 2 * window))
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+
+    edges = out.filter("border is not null").select("border", *_SORTED).groupBy("border").applyInPandas(over, "a long, b long")
+    return out.filter("border is null").select("a", "b").unionByName(edges).distinct()
 
 
 def _against_pivot(batches: Iterator[pd.DataFrame], half: float) -> Iterator[pd.DataFrame]:
