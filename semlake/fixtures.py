@@ -67,7 +67,7 @@ DERIVED: dict[str, str] = {
         FROM @lineitem""",
     "predictions": """
         SELECT CASE o_orderkey % 4 WHEN 0 THEN 'urn:note:' WHEN 1 THEN 'urn:tag:' WHEN 2 THEN 'urn:wd:' ELSE 'urn:concept:' END || CAST(o_custkey AS STRING) AS head,
-               'r' || CAST(o_orderkey % 3 AS STRING) AS rel, 'urn:part:' || CAST(o_orderkey % 997 AS STRING) AS tail, round(o_totalprice / 500000, 6) AS score, o_orderkey AS pred_id
+               'r' || CAST(o_orderkey % 3 AS STRING) AS rel, 'urn:part:' || CAST(o_orderkey % 997 AS STRING) AS tail, o_totalprice / 500000 AS score, o_orderkey AS pred_id
         FROM @orders""",
     "review_log": """
         SELECT event_id, CAST(event_id % 700 AS BIGINT) AS cand, CASE event_type WHEN 'view' THEN 'approve' WHEN 'click' THEN 'reject' ELSE 'defer' END AS action, ts AS decided_at, value AS score
