@@ -89,17 +89,24 @@ def zscores(preds: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     return preds.withColumn("zscore", (F.col(score) - F.avg(score).over(w)) / F.when(std > 0, std).otherwise(1.0))
 
 
-def surface(preds: DataFrame, reviewed: DataFrame, cap: int, regrow: float = 0.30) -> DataFrame:
-    """Link predictions to show: z-scores, a quota by entity, reviewed ones skipped unless their score grew, then turns
-    between entity types up to ``cap``.  ``reviewed(head, rel, tail, old_score)``."""
-    z = zscores(preds, ["head", "rel"])
+def quota_take(preds: DataFrame, reviewed: DataFrame, regrow: float = 0.30) -> DataFrame:
+    """The first predictions of each entity by z-score, as many as its quota allows; reviewed ones are skipped unless
+    their score grew.  ``reviewed(head, rel, tail, old_score)``."""
+    z = zscores(preds, ["head", "rel"]).withColumn("zscore", F.round("zscore", 9))  # ladder steps aren't missed by a last bit
     top = F.max("zscore").over(Window.partitionBy("head"))
     quota_ = F.when(top >= 3, 7).when(top >= 2, 5).when(top >= 1, 3).otherwise(1)
     known = z.withColumn("quota", quota_).join(reviewed, ["head", "rel", "tail"], "left")
     fresh = known.filter(F.col("old_score").isNull() | (F.col("score") - F.col("old_score") >= regrow))
-    taken = fresh.withColumn("n", F.row_number().over(Window.partitionBy("head").orderBy(F.col("zscore").desc(), "pred_id"))).filter(F.col("n") <= F.col("quota"))
-    h = F.col("head")
-    typed = taken.withColumn("entity_type", F.when(h.contains("urn:note:"), "note").when(h.contains("urn:tag:"), "tag").when(h.contains("urn:wd:") | h.contains("wikidata.org"), "wikidata").otherwise("concept"))
+    return fresh.withColumn("n", F.row_number().over(Window.partitionBy("head").orderBy(F.col("zscore").desc(), "pred_id"))).filter(F.col("n") <= F.col("quota"))
+
+
+def entity_type(uri: Column) -> Column:
+    return F.when(uri.contains("urn:note:"), "note").when(uri.contains("urn:tag:"), "tag").when(uri.contains("urn:wd:") | uri.contains("wikidata.org"), "wikidata").otherwise("concept")
+
+
+def surface(preds: DataFrame, reviewed: DataFrame, cap: int) -> DataFrame:
+    """Link predictions to show: :func:`quota_take`, then turns between entity types up to ``cap``."""
+    typed = quota_take(preds, reviewed).withColumn("entity_type", entity_type(F.col("head")))
     # within a type only the first ``cap`` can be shown, so the last ordering sees a few rows of each type
     turn = typed.withColumn("turn", F.row_number().over(Window.partitionBy("entity_type").orderBy(F.round(F.col("zscore"), 6).desc(), "pred_id"))).filter(F.col("turn") <= cap)
     return turn.orderBy("turn", "entity_type").limit(cap)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from semlake.fixtures import frame
 from semlake.functions import text as tx
+from semlake.operators import logs as lg
 from semlake.operators import quads as qd
 from semlake.plans.registry import query
 
@@ -46,8 +47,7 @@ def b05_training_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT head, CASE WHEN contains(head, 'urn:note:') THEN 'note' WHEN contains(head, 'urn:tag:') THEN 'tag' WHEN contains(head, 'urn:wd:') THEN 'wikidata' ELSE 'concept' END AS kind, count(*) AS n FROM @predictions GROUP BY 1, 2")
 def b10_entity_types(spark: SparkSession, sf: str) -> DataFrame:
-    h = F.col("head")
-    kind = F.when(h.contains("urn:note:"), "note").when(h.contains("urn:tag:"), "tag").when(h.contains("urn:wd:") | h.contains("wikidata.org"), "wikidata").otherwise("concept")
+    kind = lg.entity_type(F.col("head"))
     return frame(spark, sf, "predictions").groupBy("head", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 

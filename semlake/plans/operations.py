@@ -194,7 +194,7 @@ def w16_nightly_deferral(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SURFACE = f"""
-z AS ({_Z}), zq AS (SELECT *, max(zscore) OVER (PARTITION BY head) AS top FROM z),
+z AS (SELECT * REPLACE (round(zscore, 9) AS zscore) FROM ({_Z})), zq AS (SELECT *, max(zscore) OVER (PARTITION BY head) AS top FROM z),
 old AS (SELECT head, rel, tail, max(score) - 0.2 * (min(pred_id) % 3) AS old_score FROM @predictions WHERE pred_id % 7 = 0 GROUP BY 1, 2, 3),
 f AS (SELECT zq.*, CASE WHEN top >= 3 THEN 7 WHEN top >= 2 THEN 5 WHEN top >= 1 THEN 3 ELSE 1 END AS quota FROM zq LEFT JOIN old USING (head, rel, tail) WHERE old_score IS NULL OR score - old_score >= 0.3),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY zscore DESC, pred_id) AS n FROM f) WHERE n <= quota),
