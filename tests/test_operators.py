@@ -8,6 +8,7 @@ from semlake.operators import extract as ex
 from semlake.operators import links as lk
 from semlake.operators import quads as qd
 from semlake.operators import retrieval as rt
+from semlake.operators import similar
 from semlake.operators import understanding as un
 from semlake.sources import files as fl
 
@@ -203,3 +204,14 @@ def test_sinks(spark, tmp_path):
     books = spark.createDataFrame([("a", "old", "1"), ("a", "new", "2")], "source_id string, title string, parsed_at string")
     fl.write_books(books, str(tmp_path / "b"))
     assert [r["title"] for r in spark.read.parquet(str(tmp_path / "b")).collect()] == ["new"]
+
+
+def test_similar_pairs_exact_and_hashed(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 16))
+    rows = [(i, f"v{i % 2}", [float(x) for x in base[i]]) for i in range(60)] + [(100 + i, f"v{i % 2}", [float(x) for x in base[i] + 0.05 * rng.normal(size=16)]) for i in range(60)] + [(999, "v0", [0.0] * 16)]
+    d = spark.createDataFrame(rows, "id long, vault string, vec array<double>")
+    exact = {(r["a"], r["b"]) for r in similar.similar_pairs(d).collect()}
+    hashed = {(r["a"], r["b"]) for r in similar.similar_pairs_lsh(d).collect()}
+    assert {(i, 100 + i) for i in range(60)} <= exact
+    assert hashed <= exact and len(hashed) >= 0.9 * len(exact)
