@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from semlake.fixtures import frame
+from semlake.functions import text as tx
 from semlake.operators import extract as ex
 from semlake.operators import links as lk
 from semlake.operators import quads as qd
@@ -16,7 +17,9 @@ from semlake.operators import understanding as un
 from semlake.plans.linking import _GATED, _gated
 from semlake.plans.operations import _SURFACE
 from semlake.plans.registry import query
-from semlake.plans.retrieval import _BM25, _chunks, _dense_sql, _live, _qvec, _sparse
+from semlake.plans.graph import _WALK, _walk
+from semlake.plans.retrieval import _BM25, _PLACED, _RERANK, _chunks, _dense_sql, _live, _placed, _qvec, _reranked, _sparse
+from semlake.plans.understanding import _RECALL
 
 
 @query("SELECT predicate, n, CASE predicate WHEN 'mentions' THEN 0.8e0 WHEN 'authoredBy' THEN 0.9e0 ELSE 0.85e0 END AS floor FROM (SELECT predicate, count(*) AS n FROM @candidates GROUP BY 1)")
@@ -239,3 +242,62 @@ def m04_leak_rate(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH " + _BM25 + " SELECT chunk_id, count(*) AS n FROM kid GROUP BY 1")
 def f05_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _chunks(spark, sf).groupBy("chunk_id").agg(F.count("*").alias("n"))
+
+
+@query(_PLACED + " SELECT query_id, parent, n_children FROM par WHERE kind = 'note'")
+def e09_note_promotion(spark: SparkSession, sf: str) -> DataFrame:
+    return rt.promote_children(_placed(spark, sf)).filter("kind = 'note'").select("query_id", "parent", "n_children")
+
+
+@query(_PLACED + " SELECT query_id, parent, n_children FROM par WHERE kind = 'chapter'")
+def e10_chapter_promotion(spark: SparkSession, sf: str) -> DataFrame:
+    return rt.promote_children(_placed(spark, sf)).filter("kind = 'chapter'").select("query_id", "parent", "n_children")
+
+
+@query(_RERANK + " SELECT query_id, count(*) AS n, max(score) AS best FROM r GROUP BY 1")
+def o02_rerank_top(spark: SparkSession, sf: str) -> DataFrame:
+    return _reranked(spark, sf).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+
+
+@query("WITH " + _WALK + " SELECT query_id, node, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS r FROM walked) WHERE r <= 20")
+def o06_top_paths(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node")
+    return _walk(spark, sf).withColumn("r", F.row_number().over(w)).filter("r <= 20").select("query_id", "node", "score")
+
+
+@query(f"WITH {_RECALL} SELECT count(*) AS questions, CAST(count_if(recall = 1) AS BIGINT) AS full, CAST(count_if(recall = 0) AS BIGINT) AS none FROM rc".replace(" AS full", ' AS "full"'))
+def c13_gold_pairing(spark: SparkSession, sf: str) -> DataFrame:
+    r = un.gold_recall(frame(spark, sf, "gold"), frame(spark, sf, "citations"))
+    return r.agg(F.count("*").alias("questions"), F.count_if(F.col("recall") == 1).alias("full"), F.count_if(F.col("recall") == 0).alias("none"))
+
+
+@query("SELECT doc_id, 'a,b' AS tags, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS project, 'x' AS first_alias FROM @documents")
+def f07_front_matter(spark: SparkSession, sf: str) -> DataFrame:
+    d = frame(spark, sf, "documents")
+    c = F.concat(F.lit("---\ntags: [a, 'b']\naliases: x, y\n"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("project: "), "source", F.lit("\n"))).otherwise(""), F.lit("---\n"), "text")
+    d = d.select("doc_id", c.alias("c"))
+    return d.select("doc_id", F.array_join(tx.front_matter_list(F.col("c"), "tags"), ",").alias("tags"), tx.flat_front_matter(F.col("c"), "project").alias("project"), tx.front_matter_list(F.col("c"), "aliases")[0].alias("first_alias"))
+
+
+@query("SELECT source_id, regexp_extract(source_id, '([^/:]+)\\.md$', 1) AS stem, lower('n' || CAST(doc_id + 1 AS VARCHAR)) AS linked FROM @notes_md")
+def f10_link_stems(spark: SparkSession, sf: str) -> DataFrame:
+    n = frame(spark, sf, "notes_md")
+    return n.select("source_id", F.regexp_extract("source_id", r"([^/:]+)\.md$", 1).alias("stem"), F.lower(F.element_at(tx.wikilinks(F.col("content")), -1)).alias("linked"))
+
+
+@query("SELECT cand_id, object NOT IN (SELECT s FROM @quads) AS is_new FROM @candidates")
+def k09_new_entities(spark: SparkSession, sf: str) -> DataFrame:
+    known = frame(spark, sf, "quads").select(F.col("s").alias("object")).distinct().withColumn("known", F.lit(True))
+    return frame(spark, sf, "candidates").join(known, "object", "left").select("cand_id", F.col("known").isNull().alias("is_new"))
+
+
+@query("SELECT p_partkey, CAST(1 AS DOUBLE) AS exact FROM @part")
+def k12_string_match(spark: SparkSession, sf: str) -> DataFrame:
+    p = frame(spark, sf, "part").select("p_partkey", F.concat(F.lit(" "), F.upper("p_name")).alias("surface"), F.col("p_name").alias("label"))
+    return ex.string_match(p).select("p_partkey", F.col("sm").alias("exact"))
+
+
+@query("SELECT count(*) AS n, count(*) < 2000 AS sparse FROM (SELECT DISTINCT s, p, o FROM @quads WHERE graph IN ('tier0', 'tier2') AND o_is_iri)")
+def l02_sparse_warning(spark: SparkSession, sf: str) -> DataFrame:
+    t = qd.match(frame(spark, sf, "quads"), graphs=["tier0", "tier2"]).filter("o_is_iri").select("s", "p", "o").distinct()
+    return t.agg(F.count("*").alias("n"), (F.count("*") < 2000).alias("sparse"))
