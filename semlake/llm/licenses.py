@@ -87,7 +87,7 @@ def window_size(n_shingles: int) -> int:
 
 
 def _windows(hits: str, size: int) -> Column:
-    """Windows of ``size`` shingles, half of it apart, that hold a hit: their start, template shingles and signature."""
+    """Windows of ``size`` shingles, half of it apart, that hold a hit: their size, start, template shingles, signature."""
     stride = size // 2
     ids = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.array((x["p"] / stride).cast("int"), (x["p"] / stride).cast("int") - 1))))
 
@@ -96,7 +96,7 @@ def _windows(hits: str, size: int) -> Column:
         return F.struct((w * stride).alias("start"), F.array_distinct(F.transform(inside, lambda x: x["s"])).alias("s"))
 
     windows = F.transform(F.filter(ids, lambda w: w >= 0), cut)
-    return F.transform(windows, lambda w: F.struct(w["start"].alias("start"), w["s"].alias("s"), _signature(w["s"]).alias("sig")))
+    return F.transform(windows, lambda w: F.struct(F.lit(size).alias("size"), w["start"].alias("start"), w["s"].alias("s"), _signature(w["s"]).alias("sig")))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -113,17 +113,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     # places of template shingles
     hits = F.filter(F.transform("h", lambda x, i: F.struct(x.alias("s"), i.alias("p"))), lambda x: F.array_contains(_longs(vocabulary), x["s"]))
     rows = rows.select("doc_id", _once(hits).alias("hits"))
-    found = None
-    for size in sorted({window_size(len(s)) for _, s, _ in known}):
-        here = rows.select("doc_id", F.xxhash64("hits").alias("row"), F.explode(_windows("hits", size)).alias("win"))
-        match = []
-        for name, shingles, sig in known:
-            if window_size(len(shingles)) == size:
-                share = F.size(F.array_intersect("win.s", _longs(shingles))) / F.lit(len(shingles))
-                retrieved = F.arrays_overlap("win.sig", _longs(sig))
-                match.append(F.when(retrieved & (share >= CONTAINMENT), F.struct(F.lit(name).alias("license"), share.alias("containment"), F.col("win.start").alias("start"))))
-        here = here.select("doc_id", "row", F.explode(F.array_compact(F.array(*match))).alias("m"))
-        found = here if found is None else found.unionByName(here)
+    sizes = sorted({window_size(len(s)) for _, s, _ in known})
+    rows = rows.select("doc_id", F.xxhash64("hits").alias("row"), F.explode(F.concat(*[_windows("hits", size) for size in sizes])).alias("win"))
+    match = []
+    for name, shingles, sig in known:
+        share = F.size(F.array_intersect("win.s", _longs(shingles))) / F.lit(len(shingles))
+        fits = (F.col("win.size") == window_size(len(shingles))) & F.arrays_overlap("win.sig", _longs(sig))
+        match.append(F.when(fits & (share >= CONTAINMENT), F.struct(F.lit(name).alias("license"), share.alias("containment"), F.col("win.start").alias("start"))))
+    found = rows.select("doc_id", "row", F.explode(F.array_compact(F.array(*match))).alias("m"))
     # one row per row of docs and license: rows that repeat a document have equal hits and are told apart no further
     return found.groupBy("doc_id", "row", F.col("m.license").alias("license")).agg(F.max("m.containment").alias("containment"), F.countDistinct("m.start").alias("n_windows"), F.min("m.start").cast("int").alias("first_word")).drop("row")
 
