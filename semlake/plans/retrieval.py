@@ -156,7 +156,7 @@ def e17_empty_marker(spark: SparkSession, sf: str) -> DataFrame:
 SELECT query_id, parent, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent) AS INTEGER) AS rank FROM t QUALIFY rank <= 8""")
 def e19_lexical_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: chunks -> BM25 -> parents -> trust -> the top parents of every question."""
-    placed = _placed(spark, sf)
+    placed = _placed(spark, sf).persist()  # k rows a question, read three times
     kinds = placed.select("source_id", "source_type").distinct()
     parents = rt.promote_children(placed)
     by_chunk = parents.filter("kind = 'section'").join(placed.select(F.col("chunk_id").alias("parent"), "source_type").distinct(), "parent")
