@@ -1,10 +1,11 @@
 """Benchmark decontamination by template windows.
 
-Texts become tokens with typed placeholders: numbers, units after a number, and names (capitalised words within a
-sentence).  Windows of five tokens of the benchmark items are hashed, both as templates and as plain lower-case words,
+Texts become tokens with typed placeholders: numbers, units after a number, and names (capitalised words; one that
+opens a sentence has two template forms, word and name).  Windows of five tokens of the benchmark items are hashed, both as templates and as plain lower-case words,
 and form the build side of a map-side hash join; a document's windows probe it.  The hits of an item are aligned by
-position; an item is found where its windows cover at least 0.8 of its tokens and the slots agree: every value of the
-item stands for one value of the document and the other way round.  So a question asked anew with other numbers and
+position; an item is found where its windows cover at least 0.8 of its tokens.  A value of the item stands for one value
+of the document, the most frequent one; windows that say otherwise don't count, and on a tie none with that value does.
+Windows of slots alone count beside others on the same diagonal.  So a question asked anew with other numbers and
 names is caught, and a text that merely has the same shape is not.
 
 The benchmark is broadcast in blocks of bounded size, one scan of the documents for each block.
@@ -13,7 +14,7 @@ The benchmark is broadcast in blocks of bounded size, one scan of the documents
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from semlake.llm.common import small_batches
 
 WINDOW = 5
 COVERAGE = 0.8
-#: Literal tokens that a template window must have.
+#: Literal tokens that the template windows of one occurrence must have together.
 MIN_LITERAL = 2
 #: Insertions and deletions between neighbouring hits of one occurrence.
 DRIFT = 3
@@ -77,26 +78,38 @@ class Canonical:
         slot = np.where(kind == _NUMBER, 2, np.where((kind == _CAPITAL) & ~opens, 1, np.where((kind == _UNIT) & after_number, 4, 0)))
         self.tokens, self.at = tokens, np.flatnonzero(word)
         self.slot = slot[self.at]
+        self.opener = ((kind == _CAPITAL) & opens)[self.at]
+        self.named = np.where(self.opener, 1, self.slot)  # with the names that open sentences
         self.literal = raw[self.at] & ~7
         self.template = np.where(self.slot == 0, self.literal, np.choose(np.minimum(self.slot, 3), [0, _SLOT[1], _SLOT[2], _SLOT[4]]))
+        self.opened = np.where(self.opener, _SLOT[1], self.template)
 
     def word(self, i: int) -> str:
         return self.tokens[self.at[i]].lower()
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of literal and of template windows, and which template windows have enough literal tokens."""
+    def windows(self, size: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(form, places, hashes) of the literal windows (0), of the template windows (1) and of those with opening names
+        (2); template windows have a literal token at least."""
         n = len(self.at) - size + 1
         if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        hashes = []
-        for codes in (self.literal, self.template):
-            h = np.full(n, size, np.uint64)
+            return []
+        within = lambda flags: (c := np.cumsum(np.r_[0, flags]))[size:] - c[:-size]
+        out = []
+        for form, codes, at in (
+            (0, self.literal, np.arange(n)),
+            (1, self.template, np.flatnonzero(within(self.slot == 0))),
+            (2, self.opened, np.flatnonzero((within(self.opener) > 0) & (within(self.named == 0) > 0))),
+        ):
+            h = np.full(len(at), size, np.uint64)
             for j in range(size):
-                h = h * _MIX + codes[j : j + n].astype(np.uint64)
+                h = h * _MIX + codes[at + j].astype(np.uint64)
                 h ^= h >> np.uint64(29)
-            hashes.append(h)
-        plain = np.cumsum(np.r_[0, self.slot == 0])
-        return hashes[0], hashes[1], plain[size:] - plain[:-size] >= min(MIN_LITERAL, size)
+            out.append((form, at, h))
+        return out
+
+    def bare(self, size: int) -> list[int]:
+        """Places of the windows in which each token can be a slot, which no hash stands for."""
+        return [k for k in range(len(self.at) - size + 1) if (self.named[k : k + size] > 0).all()]
 
 
 class Index:
@@ -105,16 +118,13 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]]):
         codes = _Codes()
         self.items = {i: c for i, t in items if len((c := Canonical(t, codes)).at)}
-        self.places: dict[int, dict[int, list[tuple[int, int, bool]]]] = defaultdict(lambda: defaultdict(list))
+        self.bare = {i: c.bare(min(WINDOW, len(c.at))) for i, c in self.items.items()}
+        self.places: dict[int, dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
         for i, c in self.items.items():
             size = min(WINDOW, len(c.at))
-            literal, template, good = c.windows(size)
-            for k in range(len(literal)):
-                self.places[size][int(literal[k])].append((i, k, True))
-                if good[k] and template[k] != literal[k]:
-                    self.places[size][int(template[k])].append((i, k, False))
-                elif good[k]:  # no slots: a document's template window may meet it too
-                    self.places[size][int(template[k])].append((i, k, False))
+            for form, at, hashes in c.windows(size):
+                for k, h in zip(at.tolist(), hashes.tolist()):
+                    self.places[size][h].append((i, k, form))
         self.places = {s: dict(p) for s, p in self.places.items()}
         self.filters = {}
         for size, places in self.places.items():
@@ -125,16 +135,14 @@ class Index:
     def search(self, text: str | None, codes: _Codes) -> list[tuple[int, float, bool, int]]:
         """(item, coverage, whether slots differ, number of slots) of the items found in a text."""
         doc = Canonical(text, codes)
-        hits: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)  # item -> (diagonal, place in item, literal)
+        hits: dict[int, set[tuple[int, int, int]]] = defaultdict(set)  # item -> (diagonal, place in item, form)
         for size, places in self.places.items():
-            literal, template, good = doc.windows(size)
             bits = self.filters[size]
-            for is_literal, hashes, ok in ((True, literal, None), (False, template, good)):
-                near = bits[hashes >> np.uint64(42)]
-                for p in np.flatnonzero(near if ok is None else near & ok).tolist():
-                    for item, k, kind in places.get(int(hashes[p]), ()):
-                        if kind == is_literal:
-                            hits[item].append((p - k, k, is_literal))
+            for form, at, hashes in doc.windows(size):
+                for q in np.flatnonzero(bits[hashes >> np.uint64(42)]).tolist():
+                    for item, k, kind in places.get(int(hashes[q]), ()):
+                        if (kind == 0) == (form == 0):
+                            hits[item].add((int(at[q]) - k, k, kind))
         found = []
         for item, places in hits.items():
             best = self._best(doc, item, sorted(places))
@@ -142,22 +150,45 @@ class Index:
                 found.append((item, *best))
         return found
 
-    def _best(self, doc: Canonical, item: int, places: list[tuple[int, int, bool]]) -> tuple[float, bool, int] | None:
+    def _best(self, doc: Canonical, item: int, places: list[tuple[int, int, int]]) -> tuple[float, bool, int] | None:
         own, best = self.items[item], None
         size, start = min(WINDOW, len(own.at)), 0
         for end in range(1, len(places) + 1):
             if end < len(places) and places[end][0] - places[end - 1][0] <= DRIFT:
                 continue
             part, start = places[start:end], end
-            literal = {k + j for _, k, lit in part if lit for j in range(size)}
-            slots = {(k + j, d + k + j) for d, k, lit in part if not lit for j in range(size) if own.slot[k + j]}
-            pairs = {(own.slot[k], own.word(k), doc.word(p)) for k, p in slots}
-            agree = len(pairs) == len({x[:2] for x in pairs}) == len({(x[0], x[2]) for x in pairs})
-            covered = literal | ({k + j for _, k, lit in part if not lit for j in range(size)} if agree else set())
-            got = (len(covered) / len(own.at), any(a != b for _, a, b in pairs), len(pairs))
-            best = max(best, got) if best else got
+            # doubtful windows may contradict firm ones: each wider set counts only where it covers more
+            firm = [x for x in part if x[2] == 0 or x[2] == 1 and (own.slot[x[1] : x[1] + size] == 0).sum() >= min(MIN_LITERAL, size)]
+            within = [x for x in part if x[2] < 2]
+            bare = self.bare[item]
+            tries = [(firm, [])] + [(within, bare)] * (bool(bare) or within != firm) + [(part, bare)] * (part != within)
+            for got in [self._covered(doc, own, size, *t) for t in tries]:
+                best = got if best is None or got[0] > best[0] else best
         return best
 
+    @staticmethod
+    def _covered(doc: Canonical, own: Canonical, size: int, part: list[tuple[int, int, int]], bare: list[int]) -> tuple[float, bool, int]:
+        literal = {k + j for _, k, form in part if not form for j in range(size)}
+        windows = [(d, k, own.named if form == 2 else own.slot) for d, k, form in part if form]
+        for d in {d for d, _, _ in part} if bare else ():
+            windows += [(d, k, own.named) for k in bare if d + k >= 0 and (own.named[k : k + size] == doc.named[d + k : d + k + size].tolist() + [0] * max(0, d + k + size - len(doc.at))).all()]
+        slots = {(k + j, d + k + j): (int(kinds[k + j]), own.word(k + j)) for d, k, kinds in windows for j in range(size) if kinds[k + j]}
+        counts: dict[tuple[int, str], Counter] = defaultdict(Counter)
+        for (_, p), value in slots.items():
+            counts[value][doc.word(p)] += 1
+        stands = {}  # value of the item -> the word of the document it stands for
+        for value, words in counts.items():
+            (word, n), *rest = words.most_common(2)
+            stands[value] = word if not rest or rest[0][1] < n else None
+        good = [(d, k, kinds) for d, k, kinds in windows if all(not kinds[k + j] or stands[int(kinds[k + j]), own.word(k + j)] == doc.word(d + k + j) for j in range(size))]
+        firm = literal | {k + j for _, k, kinds in good for j in range(size) if not kinds[k + j]}
+        if len(firm) < min(MIN_LITERAL, len(own.at)):
+            good = []
+        covered = literal | {k + j for _, k, _ in good for j in range(size)}
+        pairs = {(int(kinds[k + j]), own.word(k + j), doc.word(d + k + j), bool(own.slot[k + j])) for d, k, kinds in good for j in range(size) if kinds[k + j]}
+        pairs = {x[:3] for x in pairs if x[3] or x[1] != x[2]}
+        return len(covered) / len(own.at), any(a != b for _, a, b in pairs), len(pairs)
+
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of bounded size; a block holds at least one item."""

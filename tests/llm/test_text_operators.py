@@ -74,6 +74,24 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, [(1, ITEMS[0][1] + ". " + ITEMS[3][1])]), bench).collect()} == {(1, 1), (1, 4)}
 
 
+def test_decontamination_of_items_asked_anew():
+    """Names that open sentences, lists of numbers, and new values that coincide."""
+    items = [
+        (1, "Tom has 3 apples. Ann has 5 pears. How many do they have?"),
+        (2, "Please sort the list 4 8 15 16 23 42 7 9 and print it"),
+        (3, "a farmer sells 3 red apples and buys 5 green pears on the way home"),
+    ]
+    index, codes = decontam.Index(items), decontam._Codes()
+    found = lambda text: [(i, again) for i, _, again, _ in index.search(text, codes)]
+    for i, text in items:
+        assert found("Intro words. " + text) == [(i, False)]
+    assert found("Bob has 7 apples. Sue has 9 pears. How many do they have?") == [(1, True)]
+    assert found("Please sort the list 5 1 22 17 31 60 6 2 and print it") == [(2, True)]
+    assert found("a farmer sells 4 red apples and buys 4 green pears on the way home") == [(3, True)]
+    assert found("Bob likes 7 dogs. Sue wants 9 cats. Why would that be so?") == []
+    assert found("1 2 3 4 5 6 7 8 9 10 11 12 13 14") == []
+
+
 # -- licenses
 
 
