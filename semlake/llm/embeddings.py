@@ -1,9 +1,13 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass draws random hyperplanes, orders the vectors of a label lexicographically by their concatenated sign bits,
-and compares every vector with the next ``WINDOW`` ones by exact cosine.  Verified pairs of all passes are united into
-components.  The number of passes follows from the size of the largest label, so that a pair exactly at the threshold
-is met with probability ``RECALL`` whatever the size.
+Each pass draws random hyperplanes, orders the vectors of a label lexicographically by the concatenated sign bits of
+their differences from the label's mean, and compares every vector with the next ``WINDOW`` ones by exact cosine.
+Verified pairs of all passes are united into components.
+
+The size of the largest label gives the first number of passes; whether they suffice is measured.  Probes, made from
+sampled vectors by turning each by the threshold angle in a random direction, are sorted and compared with the others
+but never link them.  A probe is met when it is linked to its vector's component.  Passes are added until a share of
+``RECALL`` is met, over all probes and over those of every label with ``JUDGED`` or more.
 
 Link counts are then exact within components: vectors within half the threshold angle of the component's pivot are
 all linked to each other (triangle inequality), so such a core is counted without comparing; only the vectors outside
@@ -29,6 +33,10 @@ from semlake.llm.simhash import _stars
 THRESHOLD = 0.93
 WINDOW = 128
 RECALL = 0.98
+#: Probes of one label, and of all labels while these are fewer; labels with fewer are judged with the others only.
+LABEL_PROBES = 256
+PROBES = 4096
+JUDGED = 50
 BITS = 62
 BLOCK = 256
 
@@ -61,41 +69,87 @@ def prepared(vectors: DataFrame) -> DataFrame:
 
 
 def passes_for(largest: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes that meet a pair at the threshold with the asked probability in a label of that many classes."""
+    """Passes that meet a pair at the threshold with the asked probability in a label of that many classes whose sign
+    bits split evenly."""
     same_bit = 1 - math.acos(threshold) / math.pi
     bits = max(0.0, math.log2(max(largest, 1) / window))
     p = same_bit**bits
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p < 1 else 2
 
 
-def _code(batches: Iterator[pd.DataFrame], passes: int) -> Iterator[pd.DataFrame]:
+def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for (label, dim), part in pdf.groupby(["label", "dim"], sort=False):
+            yield pd.DataFrame({"label": [label], "dim": [dim], "n": [len(part)], "mean": [_unit(part["vec"]).sum(axis=0).tobytes()]})
+
+
+def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(v, np.float64) for v in pdf["mean"]], axis=0)
+    return pdf.iloc[:1].assign(n=pdf["n"].sum(), mean=[(total / pdf["n"].sum()).tobytes()])
+
+
+def means(classes: DataFrame) -> DataFrame:
+    """``label, dim, n, mean``: the mean unit vector of each label and dimension."""
+    kinds = "label string, dim int, n long, mean binary"
+    sized = classes.select("label", (F.length("vec") / 8).cast("int").alias("dim"), "vec")
+    return sized.mapInPandas(_totals, kinds).groupBy("label", "dim").applyInPandas(_mean, kinds)
+
+
+def _turned(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    cos = min(threshold + 1e-9, 1.0)
+    for pdf in batches:
+        out = []
+        for node, v in zip(pdf["node"], pdf["vec"]):
+            x = _row_unit(v)
+            r = np.random.default_rng(int(node) & (2**64 - 1)).standard_normal(len(x))
+            r -= (r @ x) * x
+            size = math.sqrt(float(r @ r))
+            out.append((cos * x + math.sqrt(1 - cos * cos) / size * r if size > 1e-9 else x).tobytes())
+        yield pdf.assign(vec=out)
+
+
+def probes_of(classes: DataFrame, window: int, threshold: float) -> DataFrame:
+    """``label, node, vec``: sampled vectors of the labels too large for one window, turned by the threshold angle."""
+    sizes = materialise(classes.groupBy("label").agg(F.count("*").alias("size")).filter(F.col("size") > 2 * window), "sizes")
+    each = max(1, min(LABEL_PROBES, PROBES // max(sizes.count(), 1)))
+    drawn = F.pmod(F.xxhash64(F.lit("probe"), "node"), F.col("size")) < F.least(F.lit(each), F.ceil(F.col("size") / 32))
+    chosen = classes.join(respread(sizes), "label").filter(drawn).select("label", "node", "vec")
+    return chosen.mapInPandas(lambda it: _turned(it, threshold), "label string, node long, vec binary")
+
+
+def _code(batches: Iterator[pd.DataFrame], passes: range) -> Iterator[pd.DataFrame]:
     planes: dict[tuple[int, int], np.ndarray] = {}
     weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
     for pdf in batches:
-        dims = pdf["vec"].map(len).to_numpy() // 8
-        for d in np.unique(dims):
-            part = pdf[dims == d]
-            unit = _unit(part["vec"])
-            for p in range(passes):
+        for d in pdf["dim"].unique():
+            part = pdf[pdf["dim"] == d]
+            off = _unit(part["vec"]) - np.stack([np.frombuffer(m, np.float64) for m in part["mean"]])
+            for p in passes:
                 if (p, d) not in planes:
                     planes[p, d] = np.random.default_rng([p, int(d)]).standard_normal((int(d), BITS))
-                yield pd.DataFrame({"pass": p, "label": part["label"], "dim": int(d), "code": (unit @ planes[p, d] > 0) @ weights, "node": part["node"], "vec": part["vec"]})
+                yield pd.DataFrame({"pass": p, "label": part["label"], "dim": int(d), "code": (off @ planes[p, d] > 0) @ weights, "node": part["node"], "probe": part["probe"], "vec": part["vec"]})
 
 
 def _compare(rows: pd.DataFrame, threshold: float, window: int) -> Iterator[pd.DataFrame]:
-    """Sorted rows -> star links of the verified pairs of each vector with the next ``window`` ones at least."""
+    """Sorted rows -> star links of the verified pairs of each vector with the next ``window`` ones at least, and the
+    links of each probe (hit), which unite nothing."""
     group = rows.groupby(["pass", "label", "dim"], sort=False).ngroup().to_numpy()
-    nodes = rows["node"].to_numpy(np.int64)
+    nodes, probes = rows["node"].to_numpy(np.int64), rows["probe"].to_numpy(bool)
     for g in np.unique(group):
         at = np.flatnonzero(group == g)
-        unit, ids = _unit(rows["vec"].iloc[at]), nodes[at]
+        unit, ids, probe = _unit(rows["vec"].iloc[at]), nodes[at], probes[at]
         for s in range(0, max(len(at) - window, 1), window):
             part = slice(s, s + 2 * window)
             near = unit[part] @ unit[part].T >= threshold
             order = np.argsort(ids[part])  # so that centres are smallest ids
+            order = order[~probe[part][order]]
             a, b = _stars(ids[part][order], near[np.ix_(order, order)])
             if len(a):
-                yield pd.DataFrame({"a": a, "b": b})
+                yield pd.DataFrame({"a": a, "b": b, "hit": False})
+            turned = np.flatnonzero(probe[part])
+            if len(turned):
+                x, z = np.nonzero(near[np.ix_(turned, order)])
+                yield pd.DataFrame({"a": ids[part][turned][x], "b": ids[part][order][z], "hit": True})
 
 
 def _windows(batches: Iterator[pd.DataFrame], threshold: float, window: int) -> Iterator[pd.DataFrame]:
@@ -107,11 +161,11 @@ def _windows(batches: Iterator[pd.DataFrame], threshold: float, window: int) ->
     tail: pd.DataFrame | None = None
 
     def border(rows: pd.DataFrame, no: int) -> pd.DataFrame:
-        return rows.assign(a=None, b=None, border=no)[_SORTED + ["a", "b", "border"]]
+        return rows.assign(a=None, b=None, hit=None, border=no)[_SORTED + ["a", "b", "hit", "border"]]
 
     def link(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for found in _compare(rows, threshold, window):
-            yield found.assign(**dict.fromkeys(_SORTED, None), border=None)[_SORTED + ["a", "b", "border"]]
+            yield found.assign(**dict.fromkeys(_SORTED, None), border=None)[_SORTED + ["a", "b", "hit", "border"]]
 
     for pdf in batches:
         head = pdf.iloc[:window] if head is None else head if len(head) == window else pd.concat([head, pdf.iloc[: window - len(head)]], ignore_index=True)
@@ -128,27 +182,58 @@ def _windows(batches: Iterator[pd.DataFrame], threshold: float, window: int) ->
         yield border(tail, here)
 
 
-_SORTED = ["pass", "label", "dim", "code", "node", "vec"]
+_SORTED = ["pass", "label", "dim", "code", "node", "probe", "vec"]
 
 
-def window_links(classes: DataFrame, passes: int, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
-    """``classes(label, node, vec)`` -> links ``(a, b)`` found by all passes.
+def window_links(rows: DataFrame, passes: range, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+    """``rows(label, dim, mean, node, probe, vec)`` -> links ``(a, b, hit)`` found by these passes; hit: a is a probe.
 
     Partitions hold eight windows or more; where one ends, its last window of rows meets the first of the next one.
     """
-    kinds = "`pass` int, label string, dim int, code long, node long, vec binary"
-    coded = classes.select("label", "node", "vec").mapInPandas(lambda it: _code(it, passes), kinds)
+    kinds = "`pass` int, label string, dim int, code long, node long, probe boolean, vec binary"
+    coded = rows.mapInPandas(lambda it: _code(it, passes), kinds)
     order = ["pass", "label", "dim", "code", "node"]
-    parts = max(1, min(shuffle_width(classes.sparkSession), classes.count() * passes // (8 * window)))
+    parts = max(1, min(shuffle_width(rows.sparkSession), rows.count() * len(passes) // (8 * window)))
     lined = coded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    out = materialise(lined.mapInPandas(lambda it: _windows(it, threshold, window), kinds + ", a long, b long, border int"), "windows")
+    out = materialise(lined.mapInPandas(lambda it: _windows(it, threshold, window), kinds + ", a long, b long, hit boolean, border int"), "windows")
 
     def over(pdf: pd.DataFrame) -> pd.DataFrame:
         found = list(_compare(pdf.sort_values(order), threshold, 2 * window))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-
-    edges = out.filter("border is not null").select("border", *_SORTED).groupBy("border").applyInPandas(over, "a long, b long")
-    return out.filter("border is null").select("a", "b").unionByName(edges).distinct()
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "hit": []}).astype({"a": np.int64, "b": np.int64, "hit": bool})
+
+    edges = out.filter("border is not null").select("border", *_SORTED).groupBy("border").applyInPandas(over, "a long, b long, hit boolean")
+    return out.filter("border is null").select("a", "b", "hit").unionByName(edges).distinct()
+
+
+def _met(probes: DataFrame, hits: DataFrame, comps: DataFrame) -> float:
+    """The share of probes linked to their vector's component: the least of all probes' and each judged label's."""
+    of_a, of_b = comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    met = hits.join(of_a, "a", "left").join(of_b, "b", "left").filter("a = b or ca = cb").select(F.col("a").alias("node"), F.lit(1).alias("met")).distinct()
+    by_label = probes.select("label", "node").join(met, "node", "left").groupBy("label").agg(F.count("*").alias("n"), F.count("met").alias("met"))
+    share = F.least(F.sum("met") / F.sum("n"), F.min(F.when(F.col("n") >= JUDGED, F.col("met") / F.col("n"))))
+    return by_label.agg(share.alias("share")).first()["share"]
+
+
+def components(classes: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+    """``classes(label, node, vec)`` -> ``(node, component)`` of the linked ones, by as many passes as the probes need."""
+    about = materialise(means(classes), "means")
+    probes = materialise(probes_of(classes, window, threshold), "probes")
+    every = classes.select("label", "node", "vec", F.lit(False).alias("probe")).unionByName(probes.withColumn("probe", F.lit(True)))
+    every = every.withColumn("dim", (F.length("vec") / 8).cast("int")).join(respread(about.drop("n")), ["label", "dim"])
+    done, passes = 0, passes_for(about.groupBy("label").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0, threshold, window)
+    edges = hits = None
+    while True:
+        links = materialise(window_links(every, range(done, passes), threshold, window), "links")
+        new = links.filter("not hit").select("a", "b")
+        comps = materialise(connected_components(new if edges is None else edges.unionByName(new)), "components")
+        edges = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        new = links.filter("hit").select("a", "b")
+        hits = new if hits is None else hits.unionByName(new)
+        share = _met(probes, hits, comps)
+        if share is None or share >= RECALL:
+            return comps
+        wanted = math.log(1 - RECALL) / math.log(1 - share) if share > 0 else 4
+        done, passes = passes, math.ceil(passes * min(max(wanted, 1.25), 4))
 
 
 def _against_pivot(batches: Iterator[pd.DataFrame], half: float) -> Iterator[pd.DataFrame]:
@@ -206,8 +291,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     classes = rows.filter("key is not null and vec_id is not null").groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     # a vec_id on two different vectors stands for one node; its copies are counted for each
     classes = materialise(classes, "classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    comps = materialise(connected_components(window_links(classes, passes_for(largest, threshold, window), threshold, window)), "components")
+    comps = components(classes, threshold, window)
     extra = link_counts(classes, comps, threshold)
     named = classes.select("label", "key", "node", "n").join(comps, "node", "left").join(extra, "node", "left")
     named = named.select("label", "key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))

@@ -100,3 +100,19 @@ def test_embeddings_match_brute_force(spark):
 def test_passes_grow_with_the_label():
     assert embeddings.passes_for(10) == 2
     assert embeddings.passes_for(10**6) > embeddings.passes_for(10**4) > 2
+
+
+def test_embeddings_sharing_a_direction(spark):
+    """A label of vectors that point one way: neighbours lie far apart in order unless the common direction is taken out."""
+    rng = np.random.default_rng(5)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    m = unit(np.sqrt(0.8) * unit(rng.normal(size=64)) + np.sqrt(0.2) * unit(rng.normal(size=(8000, 64))))
+    off = rng.normal(size=(300, 64))
+    off = unit(off - (off * m[:300]).sum(axis=1, keepdims=True) * m[:300])
+    cos = rng.uniform(0.93, 0.96, 300)[:, None]
+    m = np.concatenate([m, cos * m[:300] + np.sqrt(1 - cos**2) * off])
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(df).collect()}
+    pairs = [(a, b) for a, b in np.argwhere(m @ m.T >= 0.93) if a < b]
+    assert len(pairs) >= 300
+    assert np.mean([got[a] == got[b] for a, b in pairs]) >= 0.98
