@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Where intermediate tables go when the session names no shared folder (local master only), by application.
 _own_roots: dict[str, str] = {}
@@ -57,9 +60,37 @@ def respread(df: DataFrame) -> DataFrame:
     return df.repartition(shuffle_width(df.sparkSession))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound Arrow batches by rows: documents can be long, and a batch is held whole by a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch, about: documents can be long, and a Python worker holds a batch whole.
+BATCH_BYTES = 8 << 20
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes; every operator asks for the same bound, so plans built earlier keep theirs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def with_text_columns(df: DataFrame, make: Callable[[], Callable[[list], Sequence]], new: dict[str, str], text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``df`` with new columns, ``name -> type``, made of its texts in Arrow batches.
+
+    ``make`` gives a function of a batch's texts for each task, which returns a sequence of values for each column.  All
+    other columns pass as they are; one named like a new column is replaced.
+    """
+    bounded_batches(df.sparkSession)
+    kept = [c for c in df.columns if c not in new and (keep_text or c != text)]
+    chosen = df.select(*kept, F.col(text).cast("string").alias("__text"))
+    schema = StructType([f for f in chosen.schema if f.name != "__text"])
+    for name, kind in new.items():
+        schema = schema.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in batches:
+            made = of(b.column(len(kept)).to_pylist())
+            columns = [b.column(i) for i in range(len(kept))] + [pa.array(v, _ARROW[k]) for v, k in zip(made, new.values())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
+
+    return chosen.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

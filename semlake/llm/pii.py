@@ -2,7 +2,8 @@
 
 Entities are found by one pattern.  Each is reduced to a canonical form (an email in lower case, a phone number's
 digits, the parts of a name), so that one entity written in several ways stays one.  A canonical form gets a keyed
-surrogate of its type: digits for digits, names of the same gender and script, addresses that parse.  Surrogates that
+surrogate of its type: digits for digits, cards and bank accounts with right check digits, names of the same gender and
+script, addresses that parse.  Surrogates that
 meet another surrogate or a real entity of the type are drawn again until none do, over the whole corpus.  The
 surrogate is then put into the format of each mention, and the texts that hold any are rewritten; other texts pass
 through without a shuffle.
@@ -10,13 +11,15 @@ through without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semlake.llm.common import discard, materialise, respread
 
-KEY = "change-me"
-#: Draws before giving up; each one widens names, and a clash is rare in the other types.
+#: Session setting that holds the secret key; without it the key is the public one below, for tests and demonstrations.
+KEY_SETTING = "spark.semlake.pii.key"
+PUBLIC_KEY = "public-demonstration-key"
+#: Draws before giving up with an error; each one widens names, and a clash is rare in the other types.
 DRAWS = 40
 #: Given names by gender, Latin and Cyrillic.
 FEMALE = "Mary Anna Maria Elizabeth Sarah Emma Laura Julia Sophie Marie Claire Camille Isabel Carmen Lucia Elena Katharina Ursula Monika Анна Мария Елена Ольга Наталья Татьяна".split()
@@ -26,9 +29,10 @@ MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr")
 SYLLABLES = "ba be bi bo da de di do fa fe ka ke la le li lo ma me mi mo na ne no ra re ri ro sa se ta".split()
 CYRILLIC = "ба бе би бо да де ди до ва ве ка ке ла ле ли ло ма ме ми мо на не но ра ре ри ро са се та".split()
 
-#: Each alternative begins with a look at the next character, so that most places cost one test.
+#: Each alternative begins with a look at the next character, so that most places cost one test.  A group under a
+#: repetition is possessive or counted: the JVM's matcher recurses over any other, and long texts would end its stack.
 _NAME = r"\p{Lu}[\p{L}'’-]+"
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?=[\p{N}.-]*+\p{L})[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 _SECRET = r"(?=[0-9a-fA-Fgs])(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})(?![\p{L}\p{N}])"
 _IBAN = r"(?=[A-Z]{2}\d)(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])"
 _IP6 = r"(?=[0-9A-Fa-f])(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
@@ -113,6 +117,23 @@ def _hex_substitute() -> Column:
     return F.array_join(F.transform(F.split("canon", ""), lambda c, i: F.when(c == ":", c).otherwise(at(i))), "")
 
 
+def _filled(digits: Column) -> Column:
+    """Card digits with the last one replaced by the Luhn check digit of the others."""
+    body = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    twice = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+    each = F.transform(F.filter(F.split(F.reverse(body), ""), lambda c: c != ""), lambda c, i: F.when(i % 2 == 0, twice(c.cast("int"))).otherwise(c.cast("int")))
+    total = F.aggregate(each, F.lit(0), lambda acc, d: acc + d)
+    return F.concat(body, F.pmod(-total, F.lit(10)).cast("string"))
+
+
+def _checked_iban(canon: Column) -> Column:
+    """An IBAN of the same country with right check digits (the remainder by 97 of the rearranged number is 1)."""
+    country, rest = F.substr(canon, F.lit(1), F.lit(2)), F.substr(canon, F.lit(5), F.lit(40))
+    chars = F.filter(F.split(F.concat(rest, country, F.lit("00")), ""), lambda c: c != "")
+    left = F.aggregate(chars, F.lit(0), lambda acc, c: F.when(c.rlike("^[0-9]$"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97))
+    return F.concat(country, F.lpad((98 - left).cast("string"), 2, "0"), rest)
+
+
 def _byte(i: int) -> Column:
     return F.conv(F.substring("hex", 2 * i + 1, 2), 16, 10).cast("int")
 
@@ -125,7 +146,11 @@ def _made_name() -> Column:
     return F.when(F.col("type").endswith("cyrillic"), cyrillic).otherwise(latin)
 
 
-def draw_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, PUBLIC_KEY)
+
+
+def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``entities(type, canon)``, distinct -> ``(type, canon, surrogate)``: distinct within a type and no real entity of it."""
     hexed = entities.withColumn("draw", F.lit(0))
 
@@ -142,8 +167,8 @@ def draw_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
             .when(F.col("type") == "ip6", _hex_substitute())
             .when((F.col("type") == "secret") & canon.rlike("^[0-9a-f]+$"), _hex_substitute())
             .when(F.col("type") == "secret", _substitute(4))
-            .when(F.col("type") == "iban", _substitute(2))
-            .when(F.col("type") == "card", _substitute(1))
+            .when(F.col("type") == "iban", _checked_iban(_substitute(2)))
+            .when(F.col("type") == "card", _filled(_substitute(1)))
             .when(F.col("type") == "phone", phone)
             .when(F.col("type") == "ssn", _substitute(0))
             .otherwise(_made_name())
@@ -187,7 +212,7 @@ def _formatted() -> Column:
     )
 
 
-def replacements(raws: DataFrame, key: str = KEY) -> DataFrame:
+def replacements(raws: DataFrame, key: str) -> DataFrame:
     """Distinct mentions ``raws(raw)`` -> ``(raw, type, replacement)``."""
     cut = materialise(parts(raws), "parts")
     entities = cut.filter("canon is not null").select("type", "canon").distinct()
@@ -196,12 +221,14 @@ def replacements(raws: DataFrame, key: str = KEY) -> DataFrame:
     return named.groupBy("raw").agg(F.min("type").alias("type"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]), " ").alias("replacement"))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the text rewritten, and ``n_entities``.
 
     Null and empty texts pass unchanged with no entity; repeated rows are rewritten alike; null ids pass; an empty
-    table gives an empty table; an input column named ``n_entities`` is replaced.
+    table gives an empty table; an input column named ``n_entities`` is replaced.  Without a key, that of the session
+    setting ``spark.semlake.pii.key`` is taken.
     """
+    key = key or key_of(docs.sparkSession)
     base = docs.drop("n_entities")
     cols = base.columns
     full = F.coalesce(F.col(text), F.lit(""))
