@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semlake.llm.common import discard, materialise, respread, shuffle_width, small_batches
+from semlake.llm.common import discard, materialise, respread, shuffle_width, with_text_columns
 from semlake.llm.components import connected_components
 
 SEED = 42
@@ -52,20 +52,13 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns but the text, and ``fp long``."""
-    small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in (text, "fp")]
+def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
+    """All columns but the text, and its fingerprint as a long of that name."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[keep].copy()
-            out["fp"] = np.fromiter(map(fingerprint, pdf[text]), np.int64, len(pdf))
-            yield out
+    def make():
+        return lambda texts: [np.fromiter(map(fingerprint, texts), np.int64, len(texts))]
 
-    chosen = docs.select(*keep, text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != text] + ["fp long"])
-    return chosen.mapInPandas(run, schema)
+    return with_text_columns(docs, make, {name: "long"}, text, keep_text=False)
 
 
 def _stars(members: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +171,6 @@ def links(fps: DataFrame) -> DataFrame:
         )
         .select((F.col("side") * F.lit(1 << 32) + F.col("at")).alias("bucket"), "fp", (F.col("at") != F.col("k")).cast("long").alias("probe"))
     )
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     n = shuffle_width(spark)
     found = materialise(filed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_link_buckets, "kind long, a long, b long"), "buckets")
     direct = found.filter("kind = 0").select("a", "b")
@@ -193,6 +185,15 @@ def links(fps: DataFrame) -> DataFrame:
     return direct.unionByName(balls.mapInPandas(_link_balls, "a long, b long").distinct())
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, fp)`` of every row, and ``(fp, first_id, root)`` of every fingerprint: its smallest id and its group."""
+    fps = materialise(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))), "fingerprints")
+    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    comps = materialise(connected_components(links(reps.select("fp"))), "components")
+    named = reps.join(comps, reps.fp == comps.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    return fps, materialise(named, "named")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``(id, fingerprint, component_id)``.
 
@@ -200,12 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     the smallest id of a component is taken; repeated rows are kept; an empty table gives an empty table; columns
     other than id and text are not read.
     """
-    fps = materialise(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    reps = materialise(reps, "distinct")
-    comps = materialise(connected_components(links(reps.select("fp"))), "components")
-    named = reps.join(comps, reps.fp == comps.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    named = materialise(named, "named")
+    fps, named = grouped(docs, id_col, text)
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = materialise(named.join(respread(first), "root").select("fp", "component_id"), "byfp")
     discard(named)
@@ -214,12 +210,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their group, with all columns; of rows that share an id, one stays.
+    """One row of each group, with all columns: that with the smallest id.
 
-    Rows without an id are kept where no row of their group has one (of all such rows one stays).
+    Rows are told apart by id and fingerprint, so different texts under one id are judged each in its own group.  Rows
+    without an id come last; of rows equal in both, that with the smallest text stays (of equal texts any).  An empty
+    table gives an empty table.
     """
-    groups = near_duplicates(docs, id_col, text)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_kept")).count()
-    kept = materialise(kept, "kept")
-    out = docs.join(respread(kept.select("_kept")), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    return out if kept.filter("count > 1").isEmpty() else out.dropDuplicates([id_col])
+    fps, named = grouped(docs, id_col, text)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("fp").alias("fp"))).alias("m"))
+    shared = fps.groupBy(F.col("doc_id").alias("_shared")).agg(F.count("*").alias("n")).filter("n > 1 or _shared is null").select("_shared")
+    kept = first.select(F.col("m.id").alias("_kept"), F.col("m.fp").alias("_fp"))
+    kept = materialise(kept.join(respread(shared), F.col("_kept").eqNullSafe(F.col("_shared")), "left").select("_kept", "_fp", (F.col("_shared").isNotNull() | F.col("_kept").isNull()).alias("several")), "kept")
+    single = docs.join(respread(kept.filter("not several").select("_kept")), docs[id_col] == F.col("_kept"), "left_semi")
+    several = kept.filter("several").select("_kept", "_fp")
+    if several.isEmpty():
+        return single
+    # an id on several rows, or none: the row is the one with the fingerprint that represents the group
+    own = fingerprints(docs.join(respread(several.select("_kept").distinct()), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi").withColumn("_text", F.col(text)), "_text", "_own")
+    same = own[id_col].eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_fp"))
+    order = Window.partitionBy(id_col, "_own").orderBy(F.col(text))
+    rest = own.join(respread(several), same, "left_semi").withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    return single.unionByName(rest.select(*docs.columns))

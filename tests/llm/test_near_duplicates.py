@@ -51,6 +51,22 @@ def test_near_duplicates_edge_rows(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 4, 9]
 
 
+def test_keep_first_tells_rows_apart_by_text(spark):
+    """Different texts under one id, or under none, each stay; of one group one row stays."""
+    a, b, c = "alpha beta gamma delta", "one two three four", "red green blue white"
+    rows = [(1, a, "x", 0), (2, b, "x", 0), (2, c, "y", 0), (5, a, "x", 0), (2, b, "z", 0), (None, "lone words stand here", None, 0), (None, "other lone words stand", None, 0), (None, a, None, 0), (None, "lone words stand here", None, 1)]
+    d = spark.createDataFrame(rows, DOCS)
+    for part in (d, d.orderBy(F.desc("text"))):
+        got = sorted((r["doc_id"] or -1, r["text"]) for r in simhash.keep_first(part).collect())
+        assert got == sorted([(1, a), (2, b), (2, c), (-1, "lone words stand here"), (-1, "other lone words stand")])
+
+
+def test_ids_beyond_double_precision_pass_beside_nulls(spark):
+    big = 2**60 + 1
+    got = simhash.near_duplicates(spark.createDataFrame([(big, "a b c", None, None), (None, "x y z", None, None)], DOCS)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(big, big), (None, None)}
+
+
 @pytest.mark.parametrize("bucket", [1024, 8])
 def test_links_match_brute_force(spark, monkeypatch, bucket):
     """Large buckets (here: of more than 8) take the way through Hamming balls and give the same components."""
