@@ -1,12 +1,17 @@
 """Benchmark decontamination by template windows.
 
-Texts become tokens with typed placeholders: numbers, units after a number, and names (capitalised words; one that
-opens a sentence has two template forms, word and name).  Windows of five tokens of the benchmark items are hashed, both as templates and as plain lower-case words,
-and form the build side of a map-side hash join; a document's windows probe it.  The hits of an item are aligned by
-position; an item is found where its windows cover at least 0.8 of its tokens.  A value of the item stands for one value
-of the document, the most frequent one; windows that say otherwise don't count, and on a tie none with that value does.
-Windows of slots alone count beside others on the same diagonal.  So a question asked anew with other numbers and
-names is caught, and a text that merely has the same shape is not.
+Texts become units with typed placeholders: numbers with their scale words, units of measure after a number, and names.
+A run of capitalised words is one name, whatever its length; a capitalised word that opens a sentence or line may be a word or
+the first of a name, so there are two readings of a text beside the plain one of its lower-case words.  Windows of five
+units of the benchmark items are hashed in each reading and form the build side of a map-side hash join, a sorted array
+that a document's windows probe.  The hits of an item are aligned by position; an item is found where its windows cover
+at least 0.8 of its words.  A value of the item stands for one value of the document, the most frequent one; windows
+that say otherwise don't count, and on a tie none with that value does.  Windows of slots alone count beside others on
+the same diagonal.  So a question asked anew with other numbers and names is caught, and a text that merely has the
+same shape is not.
+
+An item of fewer than five words is found where it is a whole sentence or line; one with fewer than two words that are
+no slots only where it is the whole text, word for word.
 
 The benchmark is broadcast in blocks of bounded size, one scan of the documents for each block.
 """
@@ -14,180 +19,305 @@ The benchmark is broadcast in blocks of bounded size, one scan of the documents
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semlake.llm.common import small_batches
+from semlake.llm.common import bounded_batches
 
 WINDOW = 5
 COVERAGE = 0.8
-#: Literal tokens that the template windows of one occurrence must have together.
+#: Words that are no slots which the template windows of one occurrence must have together.
 MIN_LITERAL = 2
-#: Insertions and deletions between neighbouring hits of one occurrence.
+#: Insertions and deletions between neighbouring hits of one occurrence, in words.
 DRIFT = 3
 #: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 8_000_000
 CACHE = 400_000
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?]")
+TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 UNITS = frozenset(
-    "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ounce ounces ton tons ml l liter liters litre litres gallon gallons "
+    "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ounce ounces ton tons ml l liter liters litre litres gallon gallons square cubic "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents "
     "degree degrees mph kmh volt volts watt watts stunde stunden tag tage woche wochen jahr jahre meter mètre mètres heure heures jour jours an ans metro metros hora horas día días año años".split()
 )
-NUMBER_WORDS = frozenset("two three four five seven eight nine ten eleven twelve".split())
-_WORD, _CAPITAL, _NUMBER, _STOP, _UNIT = range(5)
-_SLOT = {1: 0x4E414D45 << 8, 2: 0x4E554D42 << 8, 4: 0x554E4954 << 8}
+SPELT = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+)
+TITLES = frozenset("mr mrs ms dr prof st herr frau".split())
+_WORD, _CAPITAL, _NUMBER, _STOP, _UNIT, _SPELT, _LINE, _TITLE, _PER = range(9)
+#: Kinds of slots: none, name, number, unit.
+_NAME, _NUM, _MEASURE = 1, 2, 3
+_SLOT = np.array([0, 0x4E414D45 << 8, 0x4E554D42 << 8, 0x554E4954 << 8], np.int64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The readings: lower-case words, openers as words, openers as names.
+PLAIN, WORDS, NAMES = range(3)
+
+_indexes: dict[str, Index] = {}
 
 
 class _Codes(dict):
-    """Token -> hash of its lower-case form with its kind in the low three bits."""
+    """Token -> hash of its lower-case form with its kind in the low four bits."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > CACHE:
             self.clear()
         low = token.lower()
-        if token[0].isdigit() or low in NUMBER_WORDS:
+        if token[0].isdigit():
             kind = _NUMBER
+        elif low in SPELT:
+            kind = _SPELT
         elif token in ".!?":
             kind = _STOP
+        elif token == "\n":
+            kind = _LINE
         elif low in UNITS:
             kind = _UNIT
+        elif low == "per":
+            kind = _PER
+        elif token[0].isupper():
+            kind = _TITLE if low in TITLES else _CAPITAL
         else:
-            kind = _CAPITAL if token[0].isupper() else _WORD
-        code = self[token] = (xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) >> 4) << 3 | kind
+            kind = _WORD
+        code = self[token] = (xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) >> 5) << 4 | kind
         return code
 
 
+def _before(flags: np.ndarray) -> np.ndarray:
+    """The flags of the element before each one; none before the first."""
+    out = np.zeros(len(flags), bool)
+    out[1:] = flags[:-1]
+    return out
+
+
+def _counts(flags: np.ndarray, size: int) -> np.ndarray:
+    """The number of set flags in each window."""
+    sums = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=sums[1:])
+    return sums[size:] - sums[:-size]
+
+
+class Reading:
+    """Units of a text: the words [start, end) of each, its kind of slot (0: none) and its code."""
+
+    def __init__(self, literal: np.ndarray, slot: np.ndarray, merged: np.ndarray | None = None):
+        self.start = np.arange(len(literal)) if merged is None else np.flatnonzero(~merged)
+        self.end = np.empty_like(self.start)
+        self.end[:-1], self.end[-1:] = self.start[1:], len(literal)
+        self.slot, self.code = slot, literal
+        if merged is not None:
+            self.slot = slot[self.start]
+            self.code = np.where(self.slot == 0, literal[self.start], _SLOT[self.slot])
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+
 class Canonical:
-    """A text's tokens: words, literal codes, template codes and slot kinds (0: none)."""
+    """A text's words in their three readings, with the places where sentences and lines begin and end."""
 
     def __init__(self, text: str | None, codes: _Codes):
         tokens = TOKEN.findall(text or "")
         raw = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
-        kind = raw & 7
-        word = kind != _STOP
-        opens = np.r_[True, ~word[:-1]][: len(raw)]  # begins the text or a sentence
-        after_number = np.r_[False, kind[:-1] == _NUMBER][: len(raw)]
-        slot = np.where(kind == _NUMBER, 2, np.where((kind == _CAPITAL) & ~opens, 1, np.where((kind == _UNIT) & after_number, 4, 0)))
-        self.tokens, self.at = tokens, np.flatnonzero(word)
-        self.slot = slot[self.at]
-        self.opener = ((kind == _CAPITAL) & opens)[self.at]
-        self.named = np.where(self.opener, 1, self.slot)  # with the names that open sentences
-        self.literal = raw[self.at] & ~7
-        self.template = np.where(self.slot == 0, self.literal, np.choose(np.minimum(self.slot, 3), [0, _SLOT[1], _SLOT[2], _SLOT[4]]))
-        self.opened = np.where(self.opener, _SLOT[1], self.template)
-
-    def word(self, i: int) -> str:
-        return self.tokens[self.at[i]].lower()
-
-    def windows(self, size: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(form, places, hashes) of the literal windows (0), of the template windows (1) and of those with opening names
-        (2); template windows have a literal token at least."""
-        n = len(self.at) - size + 1
+        kind = raw & 15
+        stop = (kind == _STOP) & ~_before(kind == _TITLE)
+        line = kind == _LINE
+        at = np.flatnonzero(~(stop | line | (kind == _STOP)))
+        self.tokens, self.at = tokens, at
+        breaks = np.cumsum(stop | line)[at]
+        kind, literal = kind[at], raw[at] & ~15
+        opens, ends = np.ones(len(at), bool), np.ones(len(at), bool)
+        opens[1:] = ends[:-1] = breaks[1:] != breaks[:-1]
+        self.begins, self.ends = opens, ends
+        capital = (kind == _CAPITAL) | (kind == _TITLE)
+        number = (kind == _NUMBER) | (kind == _SPELT)
+        unit = kind == _UNIT
+        measure = unit & _before(number) & ~opens
+        if measure.any():
+            after = unit.copy()
+            after[:-1] |= (kind == _PER)[:-1] & unit[1:]
+            for _ in range(3):
+                measure |= after & _before(measure) & ~opens
+        name = capital & ~opens
+        self.opener = capital & opens
+        slot = name * _NAME + number * _NUM + measure * _MEASURE
+        within = ~opens & ((measure & _before(measure)) | ((kind == _SPELT) & _before(number)))
+        self.readings = (
+            Reading(literal, np.zeros(len(at), np.int64)),
+            Reading(literal, slot, within | (name & _before(name))),
+            Reading(literal, slot + self.opener * _NAME, within | (name & _before(capital))),
+        )
+
+    def value(self, reading: int, i: int) -> str:
+        r = self.readings[reading]
+        return " ".join([self.tokens[k].lower() for k in self.at[r.start[i] : r.end[i]]])
+
+    def windows(self, reading: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows of a reading; template windows hold a slot and a literal, those of the last
+        reading an opener (the others are windows of the readings before)."""
+        r = self.readings[reading]
+        n = len(r) - size + 1
         if n <= 0:
-            return []
-        within = lambda flags: (c := np.cumsum(np.r_[0, flags]))[size:] - c[:-size]
-        out = []
-        for form, codes, at in (
-            (0, self.literal, np.arange(n)),
-            (1, self.template, np.flatnonzero(within(self.slot == 0))),
-            (2, self.opened, np.flatnonzero((within(self.opener) > 0) & (within(self.named == 0) > 0))),
-        ):
-            h = np.full(len(at), size, np.uint64)
-            for j in range(size):
-                h = h * _MIX + codes[at + j].astype(np.uint64)
-                h ^= h >> np.uint64(29)
-            out.append((form, at, h))
-        return out
-
-    def bare(self, size: int) -> list[int]:
-        """Places of the windows in which each token can be a slot, which no hash stands for."""
-        return [k for k in range(len(self.at) - size + 1) if (self.named[k : k + size] > 0).all()]
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        code, start = r.code.view(np.uint64), size * 2 + (reading > PLAIN)
+        if reading == PLAIN:
+            at, parts = np.arange(n), [code[j : j + n] for j in range(size)]
+        else:
+            slots = _counts(r.slot > 0, size)
+            good = slots < size
+            good &= (slots if reading == WORDS else _counts(self.opener[r.start], size)) > 0
+            at = np.flatnonzero(good)
+            parts = [code[at + j] for j in range(size)]
+        h = np.full(len(at), start, np.uint64)
+        for part in parts:
+            h *= _MIX
+            h += part
+            h ^= h >> np.uint64(29)
+        return at, h
+
+    def slots_alone(self, size: int) -> list[int]:
+        """Places of the windows of the last reading in which every unit is a slot, which no hash stands for."""
+        slot = self.readings[NAMES].slot
+        return [k for k in range(len(slot) - size + 1) if (slot[k : k + size] > 0).all()]
 
 
 class Index:
-    """The windows of a block of benchmark items; items shorter than a window are one window of their own length."""
+    """The windows of a block of benchmark items, sorted by hash."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         codes = _Codes()
-        self.items = {i: c for i, t in items if len((c := Canonical(t, codes)).at)}
-        self.bare = {i: c.bare(min(WINDOW, len(c.at))) for i, c in self.items.items()}
-        self.places: dict[int, dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, c in self.items.items():
-            size = min(WINDOW, len(c.at))
-            for form, at, hashes in c.windows(size):
-                for k, h in zip(at.tolist(), hashes.tolist()):
-                    self.places[size][h].append((i, k, form))
-        self.places = {s: dict(p) for s, p in self.places.items()}
-        self.filters = {}
-        for size, places in self.places.items():
-            bits = np.zeros(1 << 22, bool)
-            bits[np.fromiter(places, np.uint64, len(places)) >> np.uint64(42)] = True
-            self.filters[size] = bits
+        known = [(i, c) for i, t in items if len((c := Canonical(t, codes)).at)]
+        self.ids, self.items = [i for i, _ in known], [c for _, c in known]
+        self.words = np.array([len(c.at) for c in self.items], np.int64)
+        self.sizes = [[min(WINDOW, len(r)) for r in c.readings] for c in self.items]
+        self.bare = [c.slots_alone(s[NAMES]) if len(c.at) >= WINDOW else [] for c, s in zip(self.items, self.sizes)]
+        self.bare_words = np.array([sum(int(c.readings[NAMES].end[k + s[NAMES] - 1] - c.readings[NAMES].start[k]) for k in b) for c, s, b in zip(self.items, self.sizes, self.bare)], np.int64)
+        rows = []
+        for n, (c, sizes) in enumerate(zip(self.items, self.sizes)):
+            for reading in (PLAIN, WORDS, NAMES):
+                at, h = c.windows(reading, sizes[reading])
+                r = c.readings[reading]
+                place = np.stack([np.full(len(at), n), np.full(len(at), reading), at, r.start[at], r.end[at + sizes[reading] - 1]])
+                rows.append((h, place.astype(np.int32)))
+        hashes = np.concatenate([h for h, _ in rows]) if rows else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.places = (np.concatenate([p for _, p in rows], axis=1) if rows else np.zeros((5, 0), np.int32))[:, order]
+        self.probes = sorted({(r, s[r]) for s in self.sizes for r in (PLAIN, WORDS, NAMES)})
+        bits = max(16, min(26, len(hashes).bit_length() + 6))
+        self.shift = np.uint64(64 - bits)
+        self.filter = np.zeros(1 << bits, bool)
+        self.filter[self.hashes >> self.shift] = True
+
+    def _hits(self, doc: Canonical) -> np.ndarray:
+        """Columns (item, item's reading, unit, first word, end word, document's reading, unit, word)."""
+        out = []
+        for reading, size in self.probes:
+            at, h = doc.windows(reading, size)
+            some = np.flatnonzero(self.filter[h >> self.shift])
+            if not len(some):
+                continue
+            low, high = np.searchsorted(self.hashes, h[some]), np.searchsorted(self.hashes, h[some], "right")
+            n = high - low
+            if not n.any():
+                continue
+            own = np.repeat(at[some], n)
+            place = self.places[:, np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+            out.append(np.concatenate([place, np.stack([np.full(len(own), reading), own, doc.readings[reading].start[own]])]))
+        return np.concatenate(out, axis=1) if out else np.zeros((8, 0), np.int64)
 
     def search(self, text: str | None, codes: _Codes) -> list[tuple[int, float, bool, int]]:
-        """(item, coverage, whether slots differ, number of slots) of the items found in a text."""
+        """(item, coverage, whether slots differ, number of slots that were met as such) of the items found in a text."""
         doc = Canonical(text, codes)
-        hits: dict[int, set[tuple[int, int, int]]] = defaultdict(set)  # item -> (diagonal, place in item, form)
-        for size, places in self.places.items():
-            bits = self.filters[size]
-            for form, at, hashes in doc.windows(size):
-                for q in np.flatnonzero(bits[hashes >> np.uint64(42)]).tolist():
-                    for item, k, kind in places.get(int(hashes[q]), ()):
-                        if (kind == 0) == (form == 0):
-                            hits[item].add((int(at[q]) - k, k, kind))
+        hits = self._hits(doc)
+        if not hits.shape[1]:
+            return []
+        # what the windows of an item can cover at best, before anything is looked at in detail
+        windows = np.unique(hits[:5], axis=1)
+        most = np.bincount(windows[0], windows[4] - windows[3], len(self.items)) + self.bare_words
         found = []
-        for item, places in hits.items():
-            best = self._best(doc, item, sorted(places))
+        for n in np.unique(windows[0]):
+            if most[n] < COVERAGE * self.words[n]:
+                continue
+            mine = hits[1:, hits[0] == n]
+            best = self._whole(doc, n, mine) if self.words[n] < WINDOW else self._best(doc, n, mine)
             if best and best[0] >= COVERAGE:
-                found.append((item, *best))
+                found.append((self.ids[n], *best))
         return found
 
-    def _best(self, doc: Canonical, item: int, places: list[tuple[int, int, int]]) -> tuple[float, bool, int] | None:
-        own, best = self.items[item], None
-        size, start = min(WINDOW, len(own.at)), 0
-        for end in range(1, len(places) + 1):
-            if end < len(places) and places[end][0] - places[end - 1][0] <= DRIFT:
+    def _whole(self, doc: Canonical, n: int, hits: np.ndarray) -> tuple[float, bool, int] | None:
+        """A short item that is a whole sentence or line of the document, or all of it."""
+        own, best = self.items[n], None
+        for reading, _, _, _, dreading, unit, word in hits.T.tolist():
+            r = doc.readings[dreading]
+            end = int(r.end[unit + self.sizes[n][reading] - 1])
+            literal = int((own.readings[WORDS].slot == 0).sum())
+            all_of_it = word == 0 and end == len(doc.at)
+            if literal < MIN_LITERAL and not (all_of_it and reading == PLAIN) or not (doc.begins[word] and doc.ends[end - 1]):
                 continue
-            part, start = places[start:end], end
+            got = self._covered(doc, n, [(word, reading, 0, dreading, unit)], [])
+            best = got if best is None or got > best else best
+        return best
+
+    def _best(self, doc: Canonical, n: int, hits: np.ndarray) -> tuple[float, bool, int] | None:
+        own, best = self.items[n], None
+        # the diagonal of a window: its word in the document less its word in the item
+        diagonal = hits[6] - hits[2]
+        order = np.lexsort((hits[1], diagonal))
+        hits, diagonal = hits[:, order], diagonal[order]
+        cuts = np.flatnonzero(np.diff(diagonal) > DRIFT) + 1
+        for part, diag in zip(np.split(hits, cuts, axis=1), np.split(diagonal, cuts)):
+            span = np.unique(part[:4], axis=1)
+            if (span[3] - span[2]).sum() + self.bare_words[n] < COVERAGE * self.words[n]:
+                continue
+            rows = list(zip(diag.tolist(), part[0].tolist(), part[1].tolist(), part[4].tolist(), part[5].tolist()))
             # doubtful windows may contradict firm ones: each wider set counts only where it covers more
-            firm = [x for x in part if x[2] == 0 or x[2] == 1 and (own.slot[x[1] : x[1] + size] == 0).sum() >= min(MIN_LITERAL, size)]
-            within = [x for x in part if x[2] < 2]
-            bare = self.bare[item]
-            tries = [(firm, [])] + [(within, bare)] * (bool(bare) or within != firm) + [(part, bare)] * (part != within)
-            for got in [self._covered(doc, own, size, *t) for t in tries]:
+            size = self.sizes[n][WORDS]
+            firm = [x for x in rows if x[1] == PLAIN or x[1] == WORDS and x[3] == WORDS and (own.readings[WORDS].slot[x[2] : x[2] + size] == 0).sum() >= MIN_LITERAL]
+            words = [x for x in rows if x[1] == PLAIN or x[1] == WORDS and x[3] == WORDS]
+            bare = self.bare[n]
+            tries = [(firm, [])] + [(words, bare)] * (bool(bare) or words != firm) + [(rows, bare)] * (rows != words)
+            for got in [self._covered(doc, n, *t) for t in tries]:
                 best = got if best is None or got[0] > best[0] else best
         return best
 
-    @staticmethod
-    def _covered(doc: Canonical, own: Canonical, size: int, part: list[tuple[int, int, int]], bare: list[int]) -> tuple[float, bool, int]:
-        literal = {k + j for _, k, form in part if not form for j in range(size)}
-        windows = [(d, k, own.named if form == 2 else own.slot) for d, k, form in part if form]
-        for d in {d for d, _, _ in part} if bare else ():
-            windows += [(d, k, own.named) for k in bare if d + k >= 0 and (own.named[k : k + size] == doc.named[d + k : d + k + size].tolist() + [0] * max(0, d + k + size - len(doc.at))).all()]
-        slots = {(k + j, d + k + j): (int(kinds[k + j]), own.word(k + j)) for d, k, kinds in windows for j in range(size) if kinds[k + j]}
+    def _covered(self, doc: Canonical, n: int, rows: list[tuple[int, int, int, int, int]], bare: list[int]) -> tuple[float, bool, int]:
+        """Coverage by rows (diagonal, item's reading, unit, document's reading, unit), with the pairs of slot values."""
+        own, sizes = self.items[n], self.sizes[n]
+        span = lambda reading, k: range(own.readings[reading].start[k], own.readings[reading].end[k + sizes[reading] - 1])
+        literal = {w for _, reading, k, _, _ in rows if reading == PLAIN for w in span(PLAIN, k)}
+        windows = [(reading, k, dreading, u) for _, reading, k, dreading, u in rows if reading > PLAIN]
+        if bare:
+            mine, other, size = own.readings[NAMES], doc.readings[NAMES], sizes[NAMES]
+            for d in {x[0] for x in rows}:
+                for k in bare:
+                    u = int(np.searchsorted(other.start, d + mine.start[k]))
+                    if u < len(other) and other.start[u] == d + mine.start[k] and np.array_equal(mine.slot[k : k + size], other.slot[u : u + size]):
+                        windows.append((NAMES, k, NAMES, u))
+        pairs = {}  # window -> its slots: (kind, item's value), document's value, document's word
+        for reading, k, dreading, u in windows:
+            mine, other = own.readings[reading], doc.readings[dreading]
+            pairs[reading, k, dreading, u] = [((int(mine.slot[k + j]), own.value(reading, k + j)), doc.value(dreading, u + j), (int(mine.start[k + j]), int(mine.end[k + j]), int(other.start[u + j]))) for j in range(sizes[reading]) if mine.slot[k + j]]
         counts: dict[tuple[int, str], Counter] = defaultdict(Counter)
-        for (_, p), value in slots.items():
-            counts[value][doc.word(p)] += 1
-        stands = {}  # value of the item -> the word of the document it stands for
+        for value, word, _ in {x for p in pairs.values() for x in p}:
+            counts[value][word] += 1
+        stands = {}  # value of the item -> the one of the document it stands for
         for value, words in counts.items():
-            (word, n), *rest = words.most_common(2)
-            stands[value] = word if not rest or rest[0][1] < n else None
-        good = [(d, k, kinds) for d, k, kinds in windows if all(not kinds[k + j] or stands[int(kinds[k + j]), own.word(k + j)] == doc.word(d + k + j) for j in range(size))]
-        firm = literal | {k + j for _, k, kinds in good for j in range(size) if not kinds[k + j]}
+            (word, times), *rest = words.most_common(2)
+            stands[value] = word if not rest or rest[0][1] < times else None
+        good = [w for w, p in pairs.items() if all(stands[value] == word for value, word, _ in p)]
+        firm = literal | {int(own.readings[r].start[k + j]) for r, k, _, _ in good for j in range(sizes[r]) if not own.readings[r].slot[k + j]}
         if len(firm) < min(MIN_LITERAL, len(own.at)):
             good = []
-        covered = literal | {k + j for _, k, _ in good for j in range(size)}
-        pairs = {(int(kinds[k + j]), own.word(k + j), doc.word(d + k + j), bool(own.slot[k + j])) for d, k, kinds in good for j in range(size) if kinds[k + j]}
-        pairs = {x[:3] for x in pairs if x[3] or x[1] != x[2]}
-        return len(covered) / len(own.at), any(a != b for _, a, b in pairs), len(pairs)
+        covered = literal | {w for r, k, _, _ in good for w in span(r, k)}
+        named = {(value, word, bool(own.opener[p[0]])) for w in good for value, word, p in pairs[w] if not literal.issuperset(range(p[0], p[1]))}
+        slots = {(value, word) for value, word, opener in named if not opener or value[1] != word}
+        return len(covered) / len(own.at), any(value[1] != word for value, word in slots), len(slots)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -204,44 +334,59 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def _index(name: str, block: list[tuple[int, str]]) -> Index:
+    """The index of a block, built once by each Python worker."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Index(block)
+    return _indexes[name]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, coverage, reparameterised, n_slots)``, one row for each document row and item found in it.
 
     Null and empty texts hold nothing; items with a null text or id, or without a word, are skipped; repeated document
-    rows give repeated result rows; a null doc_id is kept; without documents or items the result is empty.
+    rows give repeated result rows, and so do repeated items; a null doc_id is kept; without documents or items the
+    result is empty; other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select("doc_id", "text")
+    bounded_batches(spark)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, coverage double, reparameterised boolean, n_slots int"
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index, codes = Index(shared.value), _Codes()
-            for pdf in batches:
-                found = [(d, *f) for d, t in zip(pdf["doc_id"], pdf["text"]) for f in index.search(t, codes)]
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, codes = _index(*shared.value), _Codes()
+            for b in batches:
+                found = [(k, *f) for k, t in enumerate(b.column(1).to_pylist()) for f in index.search(t, codes)]
                 if found:
-                    yield pd.DataFrame(found, columns=["doc_id", "item_id", "coverage", "reparameterised", "n_slots"])
+                    at, *made = zip(*found)
+                    kinds = (pa.int64(), pa.float64(), pa.bool_(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *map(pa.array, made, kinds)], names=["doc_id", "item_id", "coverage", "reparameterised", "n_slots"])
 
-        out = out.unionByName(rows.mapInPandas(run, schema))
+        out = out.unionByName(rows.mapInArrow(run, schema))
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, with all columns."""
+    """The rows of ``docs`` in which no benchmark item is found, with all columns.
+
+    Null and empty texts stay, and so do repeated rows, rows without an id and, where there is no item, all rows; an
+    empty table gives an empty table.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
-    schema = docs.schema
+    bounded_batches(spark)
+    schema, text = docs.schema, docs.columns.index("text")
     for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index, codes = Index(shared.value), _Codes()
-            for pdf in batches:
-                yield pdf[[not index.search(t, codes) for t in pdf["text"]]]
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, codes = _index(*shared.value), _Codes()
+            for b in batches:
+                yield b.filter(pa.array([not index.search(t, codes) for t in b.column(text).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInPandas(run, schema)
+        docs = docs.mapInArrow(run, schema)
     return docs
