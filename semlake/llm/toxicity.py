@@ -2,14 +2,16 @@
 
 Fitting: labelled texts (a bounded sample, copies once) -> features with their counts by label, counted by Spark ->
 the most telling features -> logistic regression in numpy on the driver.  For every sentence with an identity term
-there is a twin with the term swapped for another of its group; the loss adds the squared difference of the two
-logits, so that a term that merely keeps bad company gets no weight.  Scoring is map-only over whole texts.
+there are twins with the term swapped for the others of its group; the loss adds the squared difference of the two
+logits for each, so that a term that merely keeps bad company gets no weight.  A sentence and its twin differ in few
+features, so Spark counts the distinct differences and the driver gets these.  Scoring is map-only over whole texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semlake.llm.common import crc_mod, materialise, small_batches
+from semlake.llm.common import bounded_batches, crc_mod, materialise, with_text_columns
 
 #: Bounds: labelled rows used for fitting (about), features kept.
 TRAIN_ROWS = 20_000
@@ -31,6 +33,7 @@ RIDGE = 2e-3
 EPOCHS = 300
 CACHE = 300_000
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?\n]+")
 #: Identity terms by group; a term is swapped for the others of its group.
 IDENTITY_TERMS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "catholic", "atheist"),
@@ -105,35 +108,48 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"f": list(n), "toxic": [x[1] for x in n.values()], "clean": [x[0] for x in n.values()]})
 
 
-def _rows(batches: Iterator[pd.DataFrame], place: dict[str, int], other: dict[str, tuple[str, ...]]) -> Iterator[pd.DataFrame]:
-    """Texts -> the places of their kept features, and of those of their counterfactual twins."""
+def _rows(batches: Iterator[pd.DataFrame], place: dict[str, int]) -> Iterator[pd.DataFrame]:
+    """Texts -> the places of their kept features."""
     for pdf in batches:
-        own, twins = [], []
-        for text in pdf["text"]:
-            words = words_of(text)
-            at = lambda ws: sorted({place[f] for w in ws for f in stems(w) if f in place})
-            own.append(at(words))
-            twins.append([at((words - {w}) | {o}) for w in sorted(words & other.keys()) for o in other[w]])
-        yield pd.DataFrame({"toxic": pdf["toxic"], "own": own, "twins": twins})
+        yield pd.DataFrame({"toxic": pdf["toxic"], "own": [sorted({place[f] for f in features_of(t) if f in place}) for t in pdf["text"]]})
+
 
+def _twins(batches: Iterator[pd.DataFrame], place: dict[str, int], other: dict[str, tuple[str, ...]]) -> Iterator[pd.DataFrame]:
+    """Texts -> for every sentence with an identity term and every swap of it, the features that go and that come.
 
-def _fit(rows: list[tuple[int, list[int], list[list[int]]]], n_features: int) -> tuple[np.ndarray, float]:
-    """Full-batch gradient descent with Adam on log loss + ridge + penalty * (z - z_twin)^2."""
+    Equal differences are summed, so their number is bounded by the terms and the words that share their beginnings.
+    """
+    n: Counter = Counter()
+    for pdf in batches:
+        for text in pdf["text"]:
+            for sentence in SENTENCE.split((text or "").lower()):
+                words = words_of(sentence)
+                for w in words & other.keys():
+                    rest = {f for v in words - {w} for f in stems(v)}
+                    for o in other[w]:
+                        gone, come = ({place[f] for f in stems(x) if f in place and f not in rest} for x in (w, o))
+                        if gone != come:
+                            n[tuple(sorted(gone - come)), tuple(sorted(come - gone))] += 1
+    if n:
+        yield pd.DataFrame({"gone": [list(k[0]) for k in n], "come": [list(k[1]) for k in n], "n": list(n.values())})
+
+
+def _fit(rows: list[tuple[int, list[int]]], twins: list[tuple[list[int], list[int], int]], n_features: int, penalty: float) -> tuple[np.ndarray, float]:
+    """Full-batch gradient descent with Adam on log loss + ridge + penalty * (z - z_twin)^2, a term for every twin."""
     y = np.array([r[0] for r in rows], np.float64)
     lens = np.array([len(r[1]) for r in rows])
     doc, col = np.repeat(np.arange(len(rows)), lens), np.array([c for r in rows for c in r[1]], np.int64)
-    pairs = [(set(r[1]) - set(t), set(t) - set(r[1])) for r in rows for t in r[2]]
-    pairs = [p for p in pairs if p[0] or p[1]]
-    pd_, pc, ps = (np.array(x) for x in ([i for i, p in enumerate(pairs) for s in p for _ in s], [c for p in pairs for s in p for c in sorted(s)], [g for p in pairs for g, s in ((1.0, p[0]), (-1.0, p[1])) for _ in s]))
+    of, pc, ps = (np.array(x) for x in zip(*[(i, c, sign) for i, (gone, come, _) in enumerate(twins) for sign, side in ((1.0, gone), (-1.0, come)) for c in side])) if twins else (None, None, None)
+    times = np.array([n for _, _, n in twins], np.float64)
     w, b = np.zeros(n_features), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, EPOCHS + 1):
         z = b + np.bincount(doc, w[col], len(rows))
         r = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
         g = np.bincount(col, r[doc], n_features) + RIDGE / math.sqrt(len(y)) * w
-        if len(pairs):
-            d = np.bincount(pd_, ps * w[pc], len(pairs))
-            g += PENALTY * 2 / len(y) * np.bincount(pc, ps * d[pd_], n_features)
+        if twins:
+            d = times * np.bincount(of, ps * w[pc], len(twins))
+            g += penalty * 2 / len(y) * np.bincount(pc, ps * d[of], n_features)
         g = np.append(g, r.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -141,20 +157,22 @@ def _fit(rows: list[tuple[int, list[int], list[list[int]]]], n_features: int) ->
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, identity_terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, identity_terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, train_rows: int = TRAIN_ROWS, penalty: float = PENALTY) -> ToxicityModel:
     """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, toxic)`` outside the held-out fold (crc32 mod 5 = 0).
 
-    Null labels and ids are not used; of several labels of a document the highest counts.  With no labels, or none of a
-    class, the model gives every text the smoothed share of toxic ones.
+    Null labels and ids are not used; of several labels of a document, and of copies of a text, the highest counts.
+    With no labels, or none of a class, the model gives every text the smoothed share of toxic ones.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     known = labels.filter("toxic is not null and doc_id is not null").filter(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     share = min(1.0, train_rows / max(n, 1))
     # about train_rows rows of 12 bytes, whatever the size of the labels: small enough to broadcast
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    texts = materialise(texts, "labelled").dropDuplicates(["text"])
+    # copies once: a digest groups them, so that no text is a shuffle key
+    texts = materialise(texts, "labelled").groupBy(F.sha2("text", 256).alias("digest")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("text", "toxic")
+    texts = materialise(texts, "training")
     n_toxic = F.sum("toxic").alias("toxic")
     totals = texts.agg(n_toxic, F.count("*").alias("n")).first()
     toxic, clean = int(totals["toxic"] or 0), totals["n"] - int(totals["toxic"] or 0)
@@ -168,26 +186,25 @@ def fit(docs: DataFrame, labels: DataFrame, identity_terms: tuple[tuple[str, ...
     if not place:
         return ToxicityModel({}, bias)
     other = swaps(identity_terms)
-    rows = texts.mapInPandas(lambda it: _rows(it, place, other), "toxic int, own array<int>, twins array<array<int>>").collect()
-    w, b = _fit([(r["toxic"], r["own"], r["twins"]) for r in rows], len(place))
+    rows = texts.mapInPandas(lambda it: _rows(it, place), "toxic int, own array<int>").collect()
+    twins = texts.mapInPandas(lambda it: _twins(it, place, other), "gone array<int>, come array<int>, n long").groupBy("gone", "come").agg(F.sum("n").alias("n")).orderBy("gone", "come").collect()
+    w, b = _fit([(r["toxic"], r["own"]) for r in rows], [(r["gone"], r["come"], r["n"]) for r in twins], len(place), penalty)
     return ToxicityModel({f: float(w[i]) for f, i in place.items()}, float(b))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All columns of ``docs`` with ``score double``; null and empty texts get the model's base rate."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    """All columns of ``docs`` with ``score double``, in the place of a column of that name.
+
+    Null and empty texts get the model's base rate; repeated rows and rows without an id are scored like any other; an
+    empty table gives an empty table.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         one = shared.value.scorer()
-        for pdf in batches:
-            pdf["score"] = np.fromiter(map(one, pdf["text"]), np.float64, len(pdf))
-            yield pdf
+        return lambda texts: [np.fromiter(map(one, texts), np.float64, len(texts))]
 
-    base = docs.drop("score")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["score double"])
-    return base.mapInPandas(run, schema)
+    return with_text_columns(docs, make, {"score": "double"})
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
