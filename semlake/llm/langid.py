@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax, with calibrated rejection.
 
 A text is the mean of the embeddings of its words' character n-grams (hashed), as in fastText.  The model is trained
-by stochastic gradient descent in numpy on a bounded sample of texts and their lines; one part of the sample sets the
+by stochastic gradient descent in numpy on a bounded sample of texts and pieces of them; one part of the sample sets the
 temperature and the score under which a prediction is marked as rejected.  Since the model is linear after the lookup,
 a word's summed logits are cached per worker, and scoring is a map over whole texts.
 """
@@ -10,31 +10,43 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semlake.llm.common import crc_mod, materialise, small_batches
+from semlake.llm.common import bounded_batches, crc_mod, shuffle_width, with_text_columns
 
 #: Bound: texts in the training sample (about).
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 15
 DIM = 16
 NGRAMS = (1, 2, 3)
-EPOCHS = 12
+EPOCHS = 8
 BATCH = 64
 RATE = 0.5
 CACHE = 300_000
 #: Share of right predictions of the calibration part that the rejection score leaves in.
 KEEP = 0.995
 WORD = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
+#: Pieces of a training text that are learned as texts of their own, so that short texts are met; words in a piece.
+PIECES, PIECE_WORDS = 3, 40
 UNKNOWN = "und"
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, in lower case.  The quick pattern takes fractions, Roman numerals and the like for letters."""
+    low = (text or "").lower()
+    words = WORD.findall(low)
+    return words if all(map(str.isalpha, words)) else LETTERS.findall(low)
+
+
 def subwords(word: str) -> list[int]:
     w = f"<{word}>"
     return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in NGRAMS for i in range(len(w) - n + 1)]
@@ -68,7 +80,7 @@ class LanguageModel:
 
     def logits(self, text: str | None) -> np.ndarray | None:
         """Logits of a text, None if it has no letter."""
-        words = WORD.findall((text or "").lower())
+        words = words_of(text)
         if not words:
             return None
         if len(self.cache) > CACHE:
@@ -89,13 +101,44 @@ class LanguageModel:
         return self.langs[k], float(p[k]), bool(p[k] < self.reject_below)
 
 
-def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for t in texts:
-        ids = np.array([i for w in WORD.findall(t.lower()) for i in subwords(w)], np.int64)
-        u, n = np.unique(ids, return_counts=True)
-        out.append((u, n / max(n.sum(), 1)))
-    return out
+def _bag(words: list[str], known: dict[str, np.ndarray]) -> tuple[bytes, bytes]:
+    """The subwords of some words and their numbers, as bytes: at most as many as there are buckets."""
+    if len(known) > CACHE:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = np.array(subwords(w), np.int32)
+    ids, times = np.unique(np.concatenate([known[w] for w in words]), return_counts=True)
+    return ids.tobytes(), times.astype(np.int32).tobytes()
+
+
+def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts -> the bag of each whole text, and those of pieces of it, at places drawn from its digest."""
+    known: dict[str, np.ndarray] = {}
+    for pdf in batches:
+        rows = []
+        for digest, text, lang in zip(pdf["digest"], pdf["text"], pdf["lang"]):
+            words = words_of(text)
+            if not words:
+                continue
+            rows.append((digest, lang, True, *_bag(words, known)))
+            for k in range(PIECES if len(words) > PIECE_WORDS else 0):
+                at = zlib.crc32(f"{digest}{k}".encode()) % len(words)
+                rows.append((digest, lang, False, *_bag(words[at : at + 1 + at % PIECE_WORDS], known)))
+        if rows:
+            yield pd.DataFrame(rows, columns=["digest", "lang", "whole", "ids", "times"])
+
+
+class _Batch:
+    """Bags in a row: their subwords and shares end to end, with the place of each bag."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]]):
+        self.ids, self.shares = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])[:, None]
+        sizes = np.array([len(b[0]) for b in bags])
+        self.starts, self.owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(bags)), sizes)
+
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(table[self.ids] * self.shares, self.starts, axis=0)
 
 
 def _sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +150,8 @@ def _sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_langs: int)
         order = rng.permutation(len(bags))
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
-            hidden = np.stack([bags[k][1] @ emb[bags[k][0]] for k in part])
+            batch = _Batch([bags[k] for k in part])
+            hidden = batch.mean(emb)
             z = hidden @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -115,34 +159,45 @@ def _sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_langs: int)
             back = p @ out.T
             out -= rate * hidden.T @ p / len(part) * 8
             bias -= rate * p.mean(axis=0)
-            for k, g in zip(part, back):
-                emb[bags[k][0]] -= rate * 4 * bags[k][1][:, None] * g[None, :]
+            step = rate * 4 * batch.shares * back[batch.owner]
+            for d in range(DIM):
+                emb[:, d] -= np.bincount(batch.ids, step[:, d], BUCKETS)
     return emb @ out, bias
 
 
 def fit(docs: DataFrame, fold: int = 2, train_rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Fit on ``docs(doc_id, text, lang)`` outside the held-out fold (crc32 mod 4 = ``fold``), copies once.
+    """Fit on ``docs(doc_id, text, lang)`` outside the held-out fold (crc32 mod 4 = ``fold``).
 
-    Rows with a null text, language or id are not used.  Without any the model knows no language.
+    Rows with a null text, language or id, and texts without a letter, are not used.  Copies count once, with the
+    language that most of them have (on a tie the first in order).  Without any row the model knows no language.  The
+    driver gets the bags of subwords of the sampled texts, not the texts.
     """
-    small_batches(docs.sparkSession)
-    usable = docs.filter("lang is not null and doc_id is not null").filter(crc_mod("doc_id", 4) != fold)
+    bounded_batches(docs.sparkSession)
+    usable = docs.filter("lang is not null and doc_id is not null and text is not null").filter(crc_mod("doc_id", 4) != fold)
     n = usable.select("doc_id").count()
     share = min(1.0, train_rows / max(n, 1))
-    picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).filter("text is not null").select("text", "lang").limit(2 * train_rows)
-    rows = [(r["text"], r["lang"]) for r in picked.dropDuplicates(["text"]).orderBy(F.xxhash64("text"), "lang").toLocalIterator() if WORD.search(r["text"])]
-    langs = sorted({r[1] for r in rows})
+    picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    # copies are grouped by digest, so that no text is a shuffle key
+    by_lang = picked.groupBy(F.sha2("text", 256).alias("digest"), "lang").agg(F.count("*").alias("n"), F.first("text").alias("text"))
+    once = by_lang.groupBy("digest").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("lang").cast("string").alias("lang"))).alias("m"), F.first("text").alias("text"))
+    spread = once.select("digest", "text", F.col("m.lang").alias("lang")).repartition(shuffle_width(docs.sparkSession))
+    made = spread.mapInPandas(_bags, "digest string, lang string, whole boolean, ids binary, times binary")
+    rows = made.orderBy("digest", F.desc("whole"), F.hash("ids")).collect()
+    langs = sorted({r["lang"] for r in rows})
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     known = {lang: i for i, lang in enumerate(langs)}
-    cut = len(rows) // 5 if len(rows) >= 50 else 0
-    train, calibration = rows[cut:], rows[:cut] or rows
-    # a few lines of each text as texts of their own, so that short texts are met in training
-    pieces = [(t, lang) for t, lang in train] + [(line, lang) for t, lang in train for line in t.split("\n")[:6:2] if WORD.search(line)]
-    table, bias = _sgd(_bags([p[0] for p in pieces]), np.array([known[p[1]] for p in pieces]), len(langs))
+    bags = [(np.frombuffer(r["ids"], np.int32).astype(np.int64), (t := np.frombuffer(r["times"], np.int32)) / t.sum()) for r in rows]
+    target = np.array([known[r["lang"]] for r in rows])
+    # a fifth of the texts, by digest, calibrates; the others train, with their pieces
+    aside = np.array([int(r["digest"][:8], 16) % 5 == 0 for r in rows]) if len(rows) >= 50 else np.zeros(len(rows), bool)
+    train = np.flatnonzero(~aside)
+    table, bias = _sgd([bags[i] for i in train], target[train], len(langs))
     model = LanguageModel(langs, table, bias)
-    z = np.stack([model.logits(t) for t, _ in calibration])
-    y = np.array([known[lang] for _, lang in calibration])
+    whole = np.array([r["whole"] for r in rows])
+    calibration = np.flatnonzero(whole & aside) if (whole & aside).any() else np.flatnonzero(whole)
+    z = _Batch([bags[i] for i in calibration]).mean(table) + bias
+    y = target[calibration]
 
     def loss(t: float) -> float:
         s = (z - z.max(axis=1, keepdims=True)) / t
@@ -159,18 +214,14 @@ def identify(docs: DataFrame, model: LanguageModel, fold: int = 2) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, rejected)``, one row per input row.
 
     ``und`` with score 0 for null texts and texts without a letter.  ``rejected`` marks predictions under the calibrated
-    score; they keep their best language.  Language, source and id are no inputs of a prediction.
+    score; they keep their best language.  Language, source and id are no inputs of a prediction.  Null ids are held in
+    no fold (held_out null); repeated rows stay; an empty table gives an empty table; other columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         m = shared.value
-        for pdf in batches:
-            found = [m.predict(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "rejected": [f[2] for f in found]})
+        return lambda texts: zip(*map(m.predict, texts))
 
-    rows = docs.select("doc_id", "text", (crc_mod("doc_id", 4) == fold).alias("held_out"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    rows = docs.select("doc_id", (crc_mod("doc_id", 4) == fold).alias("held_out"), "text")
+    return with_text_columns(rows, make, {"lang_pred": "string", "score": "double", "rejected": "boolean"}, keep_text=False)
