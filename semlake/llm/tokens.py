@@ -1,7 +1,7 @@
 """Exact token counts of a byte-level BPE vocabulary by a map-side two-tier lookup.
 
 Texts are cut into pre-tokens, whose token counts add up.  Tier one is a compact table of the pre-tokens that a bounded
-sample of the corpus shows to be frequent, with the vocabulary's own whole-word entries; it is built once and broadcast.
+sample of the corpus shows to be frequent and of the vocabulary's whole words; it is built once and broadcast.
 Tier two is a cache in each Python worker, filled by the tokenizer for the misses and emptied at a fixed size.  No
 pre-token is ever shuffled, and the tables only save time: every count equals the library's.
 """
@@ -9,19 +9,20 @@ pre-token is ever shuffled, and the tables only save time: every count equals th
 from __future__ import annotations
 
 import json
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semlake.llm.common import small_batches
+from semlake.llm.common import bounded_batches, with_text_columns
 
 #: How byte-level BPE vocabularies of this family cut text before merging (a fixed value of the format).
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bounds: documents sampled for the frequency table, entries of the table, entries of a worker's cache.
+#: Bounds: documents sampled for the frequency table (about), entries it takes from them, entries of a worker's cache.
 SAMPLE_DOCS = 2000
 TABLE = 50_000
 CACHE = 400_000
@@ -80,36 +81,44 @@ class PieceCounter:
         return totals
 
 
-def _counter(spec: str, frequent: dict[str, int]) -> PieceCounter:
-    key = str(hash(spec)) + str(len(frequent))
+def _counter(key: str, spec: str, frequent: dict[str, int]) -> PieceCounter:
     if key not in _workers:
         _workers.clear()
         _workers[key] = PieceCounter(spec, frequent)
     return _workers[key]
 
 
-def frequent_lengths(texts: DataFrame, spec: str, sample_docs: int = SAMPLE_DOCS, table: int = TABLE) -> dict[str, int]:
-    """Token counts of frequent pre-tokens: those of a bounded sample of texts, in whole.
+def vocabulary_words(spec: str) -> list[str]:
+    """The vocabulary's entries that are pre-tokens of their own (bounded by the vocabulary)."""
+    from tokenizers import Tokenizer
 
-    The sample is spread over the corpus by the id's hash; it sends the ``table`` most frequent ones at most.
-    """
-    spark = texts.sparkSession
+    t = Tokenizer.from_str(spec)
+    split = regex.compile(PRE_TOKEN).fullmatch
+    words = (t.decode([i]) for i in t.get_vocab(with_added_tokens=False).values())
+    return [w for w in words if w and "\ufffd" not in w and split(w)]
+
+
+def frequent_lengths(texts: DataFrame, spec: str, sample_docs: int = SAMPLE_DOCS, table: int = TABLE) -> dict[str, int]:
+    """Token counts of frequent pre-tokens: the vocabulary's whole words, and the ``table`` most frequent ones of a
+    sample of about ``sample_docs`` texts, which is spread over the corpus by the id's hash and counted by Spark."""
     total = texts.count()
     every = max(1, total // sample_docs)
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").limit(2 * sample_docs)
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, n = PieceCounter(spec, {}), Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                for piece in c.pieces(text or "")[1]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for piece in c.pieces(text)[1]:
                     n.update(c.split(piece))
             if len(n) > 8 * table:
                 n = Counter(dict(n.most_common(4 * table)))
-        words = [w for w, k in n.most_common(table) if k > 1]
-        yield pd.DataFrame({"w": words, "k": [len(e) for e in c.encode(words, add_special_tokens=False)]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["w", "n"])
 
-    return {r["w"]: r["k"] for r in sample.mapInPandas(run, "w string, k int").collect()}
+    counts = sample.mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
+    words = {r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(table).collect()}.union(vocabulary_words(spec))
+    words = sorted(words)
+    return dict(zip(words, map(len, PieceCounter(spec, {}).encode(words, add_special_tokens=False))))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int = 512) -> DataFrame:
@@ -120,18 +129,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     not read.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     with open(tokenizer_path or default_path(), encoding="utf-8") as f:
         spec = f.read()
     rows = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast((spec, frequent_lengths(rows, spec)))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, spec, frequent_lengths(rows, spec)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         counter = _counter(*shared.value)
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": counter.count(texts)})
+        return lambda texts: [counter.count([t or "" for t in texts])]
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
     sized = rows.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    return sized.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    out = with_text_columns(sized, make, {"n_tokens": "long"}, keep_text=False)
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
