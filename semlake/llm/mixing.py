@@ -2,12 +2,13 @@
 
 Documents are summed to cells of (source, language, topic); the cells' token weights are raked until every marginal
 meets its target, and documents are kept by calibrated probabilities under a keyed hash of their id.  The cells are
-counted by Spark; while they are few (checked) the raking runs on the driver, beyond that as joins on marginals.
+counted by Spark, and each raking step is a join of the cells with the factors of the dimensions.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,8 @@ from semlake.llm.common import materialise, respread
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 60
 TOLERANCE = 1e-6
-#: Cells that are raked on the driver.
-DRIVER_CELLS = 100_000
+#: Cells up to which their probabilities are broadcast to the documents; more are joined, with the same result.
+BROADCAST_CELLS = 100_000
 #: Share of all tokens to keep.
 BUDGET = 0.5
 SEED = "mix-1"
@@ -42,56 +43,40 @@ def tempered(cells: DataFrame, dim: str, power: float = 0.5) -> DataFrame:
     return sums.crossJoin(F.broadcast(sums.agg(F.sum("t").alias("all")))).select(dim, (F.col("t") / F.col("all")).alias("share"))  # one row
 
 
-def _rake_driver(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    pdf = cells.toPandas()
-    pdf["weight"] = pdf["tokens"].astype(float) / max(pdf["tokens"].sum(), 1)
-    shares = {}
-    for d, t in targets.items():
-        s = {r[d]: r["share"] for r in t.collect()}
-        s = {k: v for k, v in s.items() if k in set(pdf[d])}
-        shares[d] = pdf[d].map(s).fillna(0.0).astype(float) / (sum(s.values()) or 1.0)
-    for _ in range(ROUNDS):
-        off = 0.0
-        for d in targets:
-            sums = pdf.groupby(d)["weight"].transform("sum")
-            factor = (shares[d] / sums.where(sums > 0)).fillna(0.0)
-            off = max(off, float((sums - shares[d]).abs().max()))
-            pdf["weight"] *= factor
-        if off < TOLERANCE:
-            break
-    schema = ", ".join([f"{d} string" for d in targets] + ["tokens long, docs long, weight double"])
-    return cells.sparkSession.createDataFrame(pdf[[*targets, "tokens", "docs", "weight"]], schema)
-
+def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """``cells(dims..., tokens, docs)`` -> the same with ``weight``, whose sums over each dimension are its target shares.
 
-def _rake_spark(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
-    now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
-    present = {}
+    A cell's weight is its share of the tokens times a factor for its value in each dimension; a step sets the factors
+    of one dimension so that its marginal holds, by a join of the cells with the other factors and a sum.  Targets are
+    scaled over the values that occur; values without a target get weight 0.  Where the targets contradict each other or
+    the empty cells, the last dimension's marginals hold and the others are as near as raking brings them.
+    """
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    factors, shares = {}, {}
     for d, t in targets.items():
-        here = t.join(cells.select(d).distinct(), d, "left_semi")
-        present[d] = materialise(here.withColumn("share", F.col("share") / F.lit(here.agg(F.sum("share")).first()[0] or 1.0)), f"target-{d}")
+        here = cells.select(d).distinct().join(t, d, "left").select(d, F.coalesce("share", F.lit(0.0)).alias("share"))
+        scale = here.agg(F.sum("share")).first()[0] or 1.0
+        shares[d] = materialise(here.withColumn("share", F.col("share") / F.lit(scale)), f"target-{d}")
+        factors[d] = shares[d].select(d, F.lit(1.0).alias(f"f_{d}"))
+
+    def weighted(*dims: str) -> DataFrame:
+        out = cells
+        for d in dims:
+            out = out.join(factors[d].select(d, f"f_{d}"), d)
+        return out.withColumn("weight", math.prod([F.col(f"f_{d}") for d in dims], start=F.col("tokens") / F.lit(total)))
+
+    last = math.inf
     for _ in range(ROUNDS):
-        off = 0.0
-        for d, t in present.items():
-            sums = now.groupBy(d).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(t, d, "left").select(d, F.coalesce("share", F.lit(0.0)).alias("share"), "sum")
-            factor = materialise(factor, "factors")
-            off = max(off, factor.agg(F.max(F.abs(F.col("share") - F.col("sum")))).first()[0] or 0.0)
-            ratio = respread(factor.select(d, F.when(F.col("sum") > 0, F.col("share") / F.col("sum")).otherwise(0.0).alias("ratio")))
-            now = materialise(now.join(ratio, d).withColumn("weight", F.col("weight") * F.col("ratio")).drop("ratio"), "raked")
-        if off < TOLERANCE:
+        for d in targets:
+            sums = weighted(*[e for e in targets if e != d]).groupBy(d).agg(F.sum("weight").alias("sum"))
+            step = sums.join(shares[d], d).join(factors[d].select(d, F.col(f"f_{d}").alias("old")), d)
+            ratio = F.when(F.col("sum") > 0, F.col("share") / F.col("sum")).otherwise(0.0)
+            factors[d] = materialise(step.select(d, ratio.alias(f"f_{d}"), F.abs(F.col("sum") * F.col("old") - F.col("share")).alias("gap")), "factors")
+        off = reduce(DataFrame.unionByName, [f.select("gap") for f in factors.values()]).agg(F.max("gap")).first()[0] or 0.0
+        if off < TOLERANCE or last - off < TOLERANCE:  # met, or as near as it gets
             break
-    return now.select(*targets, "tokens", "docs", "weight")
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """``cells(dims..., tokens, docs)`` -> the same with ``weight``, whose sums over each dimension are its target shares.
-
-    Targets are scaled over the values that occur; values without a target get weight 0.  Where the targets contradict
-    each other or the empty cells, the last dimension's marginals hold and the others are as near as raking brings them.
-    """
-    many = cells.limit(driver_cells + 1).count() > driver_cells
-    return (_rake_spark if many else _rake_driver)(cells, targets)
+        last = off
+    return weighted(*targets).select(*targets, "tokens", "docs", "weight")
 
 
 def _scale(raked: DataFrame, budget: float) -> float:
@@ -107,7 +92,7 @@ def _scale(raked: DataFrame, budget: float) -> float:
     return factor
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: str = SEED, topic: Column | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: str = SEED, topic: Column | None = None, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """All columns of ``docs`` with ``topic, n_tokens, weight, probability, sampled``.
 
     ``weight`` is the raked share of the document's cell, ``probability`` what the budget leaves of each document in
@@ -125,10 +110,10 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
     for d in DIMENSIONS:
         given = (targets or {}).get(d)
         wanted[d] = spark.createDataFrame(pd.DataFrame({d: list(given), "share": [float(v) for v in given.values()]}), f"{d} string, share double") if given else tempered(cells, d)
-    raked = materialise(rake(cells, wanted, driver_cells), "raked")
+    raked = materialise(rake(cells, wanted), "raked")
     factor = _scale(raked, budget)
     rates = raked.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), "weight", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(factor) * F.col("weight") / F.col("tokens"))).otherwise(0.0).alias("probability"))
-    few = raked.limit(driver_cells + 1).count() <= driver_cells
+    few = raked.limit(broadcast_cells + 1).count() <= broadcast_cells
     rates = F.broadcast(rates) if few else respread(rates)
     out = base.join(rates, (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t")), "left")
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
