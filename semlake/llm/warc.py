@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semlake.llm.common import materialise, new_path, respread, small_batches
+from semlake.llm.common import bounded_batches, materialise, new_path, respread
 
 MIN_REVISIT_BYTES = 100
-CAPTURED = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 5000
@@ -48,11 +48,13 @@ def _urn(page_id: F.Column, digest: F.Column) -> F.Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def write_archives(records: DataFrame, path: str) -> None:
+def write_archives(records: DataFrame, path: str, date: str | None = None) -> None:
     """``records(page_id, url, payload, payload_bytes, payload_digest, refers_to)`` -> gzip WARC files under ``path``.
 
-    A record with ``refers_to`` is a revisit: its HTTP head without the payload.  Line breaks in urls are escaped.
+    A record with ``refers_to`` is a revisit: its HTTP head without the payload.  Line breaks in urls are escaped.  The
+    records have no date of their own, so all get ``date``, the time of writing by default.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
@@ -63,7 +65,7 @@ def write_archives(records: DataFrame, path: str) -> None:
         F.lit("WARC/1.1"),
         field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         field("WARC-Record-ID", _urn(F.col("page_id"), F.col("payload_digest"))),
-        field("WARC-Date", F.lit(CAPTURED)),
+        field("WARC-Date", F.lit(date)),
         field("WARC-Target-URI", url),
         field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
         F.when(revisit, field("WARC-Refers-To", _urn(F.col("refers_to"), F.col("payload_digest")))),
@@ -116,7 +118,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     Digest and length of a response come from its payload, those of a revisit from its headers.
     """
-    small_batches(spark)
+    bounded_batches(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream = _Stream()

@@ -74,22 +74,76 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, [(1, ITEMS[0][1] + ". " + ITEMS[3][1])]), bench).collect()} == {(1, 1), (1, 4)}
 
 
+def found(items, text):
+    index, codes = decontam.Index(items), decontam._Codes()
+    return [(i, again) for i, _, again, _ in index.search(text, codes)]
+
+
 def test_decontamination_of_items_asked_anew():
-    """Names that open sentences, lists of numbers, and new values that coincide."""
+    """Names that open sentences, names of any length, lists of numbers, measures, and new values that coincide."""
     items = [
         (1, "Tom has 3 apples. Ann has 5 pears. How many do they have?"),
         (2, "Please sort the list 4 8 15 16 23 42 7 9 and print it"),
         (3, "a farmer sells 3 red apples and buys 5 green pears on the way home"),
+        (4, "What is the total price when Tom buys 3 apples and Tom sells 12 pears to the market"),
+        (5, "A train goes 60 miles per hour for 5 hours. How far does it go?"),
     ]
-    index, codes = decontam.Index(items), decontam._Codes()
-    found = lambda text: [(i, again) for i, _, again, _ in index.search(text, codes)]
     for i, text in items:
-        assert found("Intro words. " + text) == [(i, False)]
-    assert found("Bob has 7 apples. Sue has 9 pears. How many do they have?") == [(1, True)]
-    assert found("Please sort the list 5 1 22 17 31 60 6 2 and print it") == [(2, True)]
-    assert found("a farmer sells 4 red apples and buys 4 green pears on the way home") == [(3, True)]
-    assert found("Bob likes 7 dogs. Sue wants 9 cats. Why would that be so?") == []
-    assert found("1 2 3 4 5 6 7 8 9 10 11 12 13 14") == []
+        assert found(items, "Intro words. " + text) == [(i, False)]
+    anew = {
+        1: ["Bob has 7 apples. Sue has 9 pears. How many do they have?", "Ann Lee has 7 apples. Mary Jane Smith has 9 pears. How many do they have?", "Dr. Tom Lee has 7 apples. Mrs. Sue has 9 pears. How many do they have?"],
+        2: ["Please sort the list 5 1 22 17 31 60 6 2 and print it"],
+        3: ["a farmer sells 4 red apples and buys 4 green pears on the way home"],
+        4: [f"What is the total price when {n} buys 8 apples and {n} sells 77 pears to the market" for n in ("Ann", "Ann Lee", "Mary Jane Smith")],
+        5: ["A train goes 70 km per hour for 7 days. How far does it go?", "A train goes twenty five miles per hour for 2 million years. How far does it go?"],
+    }
+    for i, texts in anew.items():
+        for text in texts:
+            assert found(items, "So. " + text + " That is all.") == [(i, True)], text
+    for clean in ("Bob likes 7 dogs. Sue wants 9 cats. Why would that be so?", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "What is the total price when Ann buys 8 apples and Bob sells 77 pears to the market", "A" * 100_000, "A B " * 20_000, "7 " * 50_000):
+        assert found(items, clean) == []
+
+
+def test_decontamination_of_short_items():
+    items = [(5, "photosynthesis"), (6, "What is 3+4?")]
+    assert found(items, "We studied photosynthesis in class.") == found(items, "What is 3+4 to me? Nothing") == []
+    assert found(items, " Photosynthesis ") == [(5, False)]
+    assert found(items, "A quiz\nWhat is 7+9?\nGood luck") == [(6, True)]
+
+
+def test_decontamination_matches_brute_force_on_literal_texts(spark):
+    """Lower-case words alone have no slots: an item is found where aligned windows of five words cover 0.8 of it."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("alo", "emi", "iro", "ous")]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(6, 40)))) for i in range(60)]
+    texts = []
+    for n in range(300):
+        words = items[n % 60][1].split()
+        for _ in range(n % 5):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(rng.choices(vocabulary, k=20) + words + rng.choices(vocabulary, k=20)))
+
+    def brute(text):
+        doc = text.split()
+        places = {}
+        for q in range(len(doc) - 4):
+            places.setdefault(tuple(doc[q : q + 5]), []).append(q)
+        out = set()
+        for i, item in items:
+            own = item.split()
+            hits = sorted((q - k, k) for k in range(len(own) - 4) for q in places.get(tuple(own[k : k + 5]), ()))
+            group = []
+            for j, (d, k) in enumerate(hits):
+                group = group + [(d, k)] if group and d - group[-1][0] <= decontam.DRIFT else [(d, k)]
+                if len({k + m for _, k in group for m in range(5)}) >= decontam.COVERAGE * len(own):
+                    out.add(i)
+        return out
+
+    want = {(n, i) for n, t in enumerate(texts) for i in brute(t)}
+    got = decontam.contaminated(docs(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and 60 < len(want) < 300
 
 
 # -- licenses
@@ -113,15 +167,23 @@ def licenses_brute(text):
 
 def test_license_scan_matches_brute_force(spark):
     t = licenses.TEMPLATES
-    texts = [t["mit"], "x " * 37 + t["apache-2.0"] + " y" * 500 + " " + t["mit-text"], t["bsd"].replace("modification", "changes"), t["bsd"][:60], "", None, "a b c", "word " * 30000 + t["gpl-3.0"], (t["mit"] + ". ") * 50, t["cc-by-nc-4.0"] + " " + t["mit"] + " " + t["apache-2.0"]]
+    full = [body.replace("the", "THE") for body in t.values()]
+    texts = [t["mit"], "x " * 37 + t["apache-2.0"] + " y" * 500 + " " + t["mit-text"], t["bsd-2-clause"].replace("modification", "changes"), t["bsd-2-clause"][:60], "", None, "a b c", "word " * 30000 + t["gpl-3.0"], (t["mit"] + ". ") * 50, t["cc-by-nc-4.0"] + " " + t["mit"] + " " + t["apache-2.0"], " ".join(full), *full]
     got = {}
-    for r in licenses.scan(docs(spark, list(enumerate(texts)))).collect():
+    for r in licenses.scan(docs(spark, list(enumerate(texts))).withColumn("license", F.lit("clash"))).collect():
         got.setdefault(r["doc_id"], {})[r["license"]] = r["containment"]
     for i, x in enumerate(texts):
         assert got.get(i, {}) == pytest.approx(licenses_brute(x))
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_license_scan_answers_row_by_row(spark):
+    mit, apache = licenses.TEMPLATES["mit"], licenses.TEMPLATES["apache-2.0"]
+    rows = [(1, mit), (1, mit), (1, "so: " + mit), (None, mit), (None, mit), (None, mit + "!"), (2, mit + " " + apache)]
+    got = sorted((r["doc_id"] or -1, r["license"]) for r in licenses.scan(docs(spark, rows)).collect())
+    assert got == [(-1, "mit")] * 3 + [(1, "mit")] * 3 + [(2, "apache-2.0"), (2, "mit")]
+
+
 # -- toxicity
 
 
@@ -141,13 +203,39 @@ def test_toxicity_learns_words_and_spares_identity_terms(spark):
     assert {r["predicted"] for r in toxicity.scored(d, lab.filter("toxic = 0")).collect()} == {0}
 
 
-def test_counterfactual_penalty_shrinks_identity_weights(spark, monkeypatch):
-    rows = [(i, f"common word{i} " + ("muslim zorg" if i % 2 else "plain")) for i in range(200)]
-    d, lab = docs(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
-    fair = toxicity.fit(d, lab)
-    monkeypatch.setattr(toxicity, "PENALTY", 0.0)
-    plain = toxicity.fit(d, lab)
-    assert abs(fair.weights["<muslim>"]) < 0.3 * abs(plain.weights["<muslim>"])
+def test_counterfactual_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    """Terms that keep bad company in training: without the penalty neutral mentions are flagged, with it they are not."""
+    terms = [t for group in toxicity.IDENTITY_TERMS[:2] for t in group]
+    rows = [(i, f"common word{i}. " + (f"the {terms[i % 7]} zorg{i % 5} and {terms[7 + i % 7]}!" if i % 2 else "a plain day")) for i in range(400)]
+    neutral = docs(spark, [(1000 + i, f"My neighbour is {a}. We met two {b} at the market.") for i, (a, b) in enumerate((a, b) for a in terms[:7] for b in terms[7:])])
+    d, lab = docs(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    flagged, caught = {}, {}
+    for penalty in (0.0, toxicity.PENALTY):
+        model = toxicity.fit(d, lab, penalty=penalty)
+        flagged[penalty] = toxicity.score(neutral, model).filter("score >= 0.5").count()
+        caught[penalty] = toxicity.score(d, model).filter("score >= 0.5 and doc_id % 2 = 1").count()
+    assert flagged[0.0] > 40 and flagged[toxicity.PENALTY] == 0
+    assert caught[toxicity.PENALTY] == 200
+
+
+def test_toxicity_scores_equal_a_plain_sum(spark):
+    import math
+
+    model = toxicity.ToxicityModel({"<bad>": 2.0, "<bad": 0.5, "<awf": 1.25}, -1.0)
+    texts = {1: "a bad thing", 2: "badly AWFUL", 3: None, 4: "", 5: "bad " * 30000, 6: "none"}
+    want = {1: 1.0, 2: 0.75, 3: -1.0, 4: -1.0, 5: 1.0, 6: -1.0}
+    d = docs(spark, list(texts.items())).withColumn("score", F.lit("clash"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
+    assert got == pytest.approx({k: 1 / (1 + math.exp(-z)) for k, z in want.items()})
+
+
+def test_toxicity_of_copies_with_different_labels(spark):
+    """The highest label of equal texts counts, whatever the order of the rows."""
+    rows = [(i, f"text {i % 40} " + ("zorgish" if i % 40 < 20 else "calm")) for i in range(80)]
+    lab = spark.createDataFrame([(i, int(i < 40 and i % 40 < 20)) for i in range(80)], "doc_id long, toxic int")
+    models = [toxicity.fit(docs(spark, r), lab) for r in (rows, rows[::-1])]
+    assert models[0].weights == pytest.approx(models[1].weights)
+    assert {r["doc_id"] for r in toxicity.score(docs(spark, rows), models[0]).filter("score >= 0.5").collect()} == {i for i in range(80) if i % 40 < 20}
 
 
 # -- language
@@ -165,26 +253,71 @@ def test_language_identification(spark):
     assert langid.identify(d.limit(0), langid.fit(d)).count() == 0
 
 
+def test_language_scores_equal_plain_embedding_means(spark):
+    """The cached sums give the mean of the subwords' rows, computed here subword by subword; odd letters are none."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    model = langid.LanguageModel(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)), rng.normal(size=3), temperature=0.7)
+    texts = ["eins zwei", "Ünïcode word word", "½ ² Ⅷ", "", None, "x½y", "long " * 30000, "a" * 100_000, "12 34"]
+    got = {r["doc_id"]: r for r in langid.identify(docs(spark, list(enumerate(texts))).withColumn("score", F.lit("clash")), model).collect()}
+    for i, t in enumerate(texts):
+        words = ["".join(c) for c in __import__("re").split(r"\s", "".join(c if c.isalpha() else " " for c in (t or "").lower())) if c]
+        ids = [k for w in words for k in langid.subwords(w)]
+        if not ids:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        z = (model.table[ids].mean(axis=0) + model.bias) / 0.7
+        p = np.exp(z - z.max())
+        assert got[i]["lang_pred"] == "abc"[int(z.argmax())] and got[i]["score"] == pytest.approx(float(p.max() / p.sum()))
+
+
+def test_language_of_copies_is_the_most_frequent(spark):
+    rows = [(i, f"satz nummer {i % 30} hier", "de" if i % 3 else "fr", "s", 1) for i in range(180)] + [(500 + i, f"phrase numero {i} ici", "fr", "s", 1) for i in range(60)]
+    a, b = (langid.fit(spark.createDataFrame(r, DOCS)) for r in (rows, rows[::-1]))
+    assert a.langs == b.langs and (abs(a.table - b.table) < 1e-9).all()
+
+
 # -- mixing
 
 
-def test_mixing_meets_marginals_on_both_ways(spark):
-    rows = [(i, "w " * (i % 17 + 1), ["en", "de", "fr"][i % 3], f"s{i % 4}", 1) for i in range(400)] + [(900, None, None, None, None), (901, "", "en", "s1", 0), (901, "", "en", "s1", 0)]
+def mixing_brute(rows, targets, budget):
+    """Rows (id, text, lang, source) -> probability of each, by plain loops."""
+    topic = lambda t: "none" if not (t or "").strip() else "long" if len(t) > 2000 else "short"
+    key = lambda r: {"source": r[3] or "?", "lang": r[2] or "?", "topic": topic(r[1])}
+    tokens = {}
+    for r in rows:
+        k = tuple(key(r).values())
+        tokens[k] = tokens.get(k, 0) + len((r[1] or "").split())
+    total, dims = sum(tokens.values()), ("source", "lang", "topic")
+    weight = {k: n / total for k, n in tokens.items()}
+    for _ in range(500):
+        for i, d in enumerate(dims):
+            sums, plain = {}, {}
+            for k, w in weight.items():
+                sums[k[i]] = sums.get(k[i], 0) + w
+                plain[k[i]] = plain.get(k[i], 0) + tokens[k]
+            want = targets.get(d) or {v: n**0.5 for v, n in plain.items() if n}
+            scale = sum(want.get(v, 0) for v in sums)
+            weight = {k: w * (want.get(k[i], 0) / scale / sums[k[i]] if sums[k[i]] else 0) for k, w in weight.items()}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        c = (low + high) / 2
+        spent = sum(min(n, c * weight[k]) for k, n in tokens.items())
+        low, high = (c, high) if spent < budget * total else (low, c)
+    return {r[0]: min(1.0, c * weight[k] / tokens[k]) if tokens[k := tuple(key(r).values())] else 0.0 for r in rows}
+
+
+def test_mixing_matches_plain_raking(spark):
+    rows = [(i, "w " * (i % 17 + 1), ["en", "de", "fr"][i % 3], f"s{(i * 7) % 11 % 4}", 1) for i in range(400)] + [(900, None, None, None, None), (901, "", "en", "s1", 0), (901, "", "en", "s1", 0)]
     d = spark.createDataFrame(rows, DOCS).withColumn("weight", F.lit("clash"))
     targets = {"lang": {"en": 0.2, "de": 0.5, "fr": 0.3}, "source": {"s0": 0.4, "s1": 0.2, "s2": 0.2, "s3": 0.2}}
-    small = mixing.mixed(d, targets)
-    large = mixing.mixed(d, targets, driver_cells=1)
-    a = {r["doc_id"]: r for r in small.collect()}
-    b = {r["doc_id"]: r for r in large.collect()}
-    assert len(a) == len(b) == 402
-    for k in a:
-        assert a[k]["probability"] == pytest.approx(b[k]["probability"], abs=1e-4) and 0 <= a[k]["probability"] <= 1
-    cells = small.select("source", "lang", "topic", "weight").distinct()
-    by_lang = {r["lang"]: r["w"] for r in cells.groupBy("lang").agg(F.sum("weight").alias("w")).collect()}
-    for k, v in targets["lang"].items():
-        assert by_lang[k] == pytest.approx(v, abs=1e-3)
-    total = small.agg(F.sum("n_tokens")).first()[0]
-    assert mixing.expected_tokens(small) == pytest.approx(0.5 * total, rel=0.02)
+    want = mixing_brute([r[:4] for r in rows], targets, 0.5)
+    for cells in (mixing.BROADCAST_CELLS, 1):
+        out = mixing.mixed(d, targets, broadcast_cells=cells).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            assert r["probability"] == pytest.approx(want[r["doc_id"]], abs=2e-4)
     assert mixing.mixed(d.limit(0)).count() == 0
 
 
@@ -218,8 +351,63 @@ def test_surrogates(spark):
     assert pii.pseudonymise(d.limit(0)).count() == 0
 
 
+ADVERSARIAL = {
+    "dotted": "a@" + "b." * 500_000 + "com",
+    "dots": "a." * 500_000,
+    "at": "@" * 1_000_000,
+    "digits": "1" * 1_000_000,
+    "digit groups": "123-" * 250_000,
+    "spaced digits": "1 2 3 " * 150_000,
+    "capitals": "A" * 1_000_000,
+    "capital words": "Anna Lee " * 100_000,
+    "hyphens": "-" * 1_000_000,
+    "hex": "deadbeef" * 125_000,
+    "colons": "a:" * 500_000,
+    "plus": "+1 (" * 250_000,
+    "iban": "DE89 3704 " * 100_000,
+    "letters": "ы" * 500_000,
+    "lines": "x\n" * 500_000,
+}
+
+
+@pytest.mark.parametrize("operator", ["1", "2", "3", "5", "6", "9", "10"])
+def test_one_megabyte_texts_of_awkward_shapes(spark, operator):
+    d = docs(spark, list(enumerate(ADVERSARIAL.values()))).repartition(8)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    run = {
+        "1": lambda: decontam.clean(d, bench),
+        "2": lambda: licenses.scan(d),
+        "3": lambda: toxicity.score(d, toxicity.ToxicityModel({"<bad>": 2.0}, -1.0)),
+        "5": lambda: tokens.token_counts(d),
+        "6": lambda: mixing.mixed(d),
+        "9": lambda: langid.identify(d, langid.fit(d)),
+        "10": lambda: pii.pseudonymise(d),
+    }
+    assert run[operator]().count() == (0 if operator == "2" else len(ADVERSARIAL))
+
+
+def luhn(digits):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_surrogates_keep_check_digits_and_depend_on_the_key(spark):
+    import re
+
+    d = docs(spark, [(1, "card 4111-1111-1111-1111, iban DE89 3704 0044 0532 0130 00, mail a.b@c-d.example.org."), (2, "4012888888881881 and a.b@c-d.example.org, mail x@y")])
+    one, two = ({r["doc_id"]: r["text"] for r in pii.pseudonymise(d, key).collect()} for key in ("k1", "k2"))
+    assert one != two
+    for out in (one, two):
+        for card in (re.search(r"card (\S+),", out[1])[1], out[2].split()[0]):
+            assert card[0] == "4" and luhn(re.sub(r"\D", "", card)) and re.sub(r"\D", "", card) not in ("4111111111111111", "4012888888881881")
+        iban = re.search(r"iban (\S+ \S+ \S+ \S+ \S+ \S+),", out[1])[1].replace(" ", "")
+        assert iban[:2] == "DE" and iban != "DE89370400440532013000"
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+        mail = re.search(r"mail (\S+@\S+)\.$", out[1])[1]
+        assert f"and {mail}," in out[2] and out[2].endswith("mail x@y")
+
+
 def test_surrogates_are_drawn_again_until_distinct(spark):
     e = spark.createDataFrame([("name/surname/latin", f"n{i}") for i in range(3000)] + [("ssn", f"{i:03d}") for i in range(300)], "type string, canon string")
-    got = pii.draw_surrogates(e).collect()
+    got = pii.draw_surrogates(e, "k").collect()
     assert len({(r["type"], r["surrogate"]) for r in got}) == len(got) == 3300
     assert not {r["surrogate"] for r in got if r["type"] == "ssn"} & {f"{i:03d}" for i in range(300)}
