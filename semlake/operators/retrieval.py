@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 from pyspark.sql.window import Window
 
 from semlake.functions import text as tx
@@ -30,22 +35,109 @@ def term_stats(post: DataFrame, key: str = "chunk_id") -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+class _Best:
+    """The best ``k`` (score, key) of each query that a task has met, ties included until they are cut by key."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k, self.floor = ids, k, np.full(len(ids), -np.inf)
+        self.held, self.size = [], 0
+
+    def add(self, scores: np.ndarray, keys: np.ndarray, found: np.ndarray | None = None) -> None:
+        """Scores of keys (rows) for queries (columns); ``found`` marks those that count."""
+        if found is not None:
+            scores = np.where(found, scores, -np.inf)
+        low = self.floor
+        if len(keys) > self.k:
+            low = np.maximum(low, np.partition(scores, len(keys) - self.k, axis=0)[len(keys) - self.k])
+        row, query = np.nonzero((scores >= low) & np.isfinite(scores))
+        self.held.append(pd.DataFrame({"q": query, "score": scores[row, query], "key": keys[row]}))
+        self.size += len(row)
+        if self.size > 8 * self.k * len(self.ids):
+            self._cut()
+
+    def _cut(self) -> pd.DataFrame:
+        best = pd.concat(self.held, ignore_index=True) if self.held else pd.DataFrame({"q": [], "score": [], "key": []})
+        best = best.sort_values(["q", "score", "key"], ascending=[True, False, True])
+        best = best[best.groupby("q").cumcount() < self.k]
+        full = best.groupby("q")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.floor[full.index.to_numpy(np.int64)] = full["min"]
+        self.held, self.size = [best], len(best)
+        return best
+
+    def rows(self, key: str) -> Iterator[pd.DataFrame]:
+        best = self._cut()
+        if len(best):
+            yield pd.DataFrame({"query_id": self.ids[best["q"].to_numpy(np.int64)], key: best["key"], "score": best["score"]})
+
+
+def _blocks(queries: DataFrame) -> Iterator[list]:
+    rows = queries.toLocalIterator()
+    while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
+        yield block
+
+
+def _merged(parts: list[DataFrame], like: str, spark: SparkSession) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], like)
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """``queries(query_id, text)`` -> top ``k`` chunks of each, ``(query_id, key, score, rank)``.
 
-    Postings of terms that no query has are dropped before anything is shuffled; document frequencies come from the
-    postings that are left, lengths from the chunks themselves.
+    One pass counts chunks, lengths and the document frequencies of the queries' terms.  The weighted terms of the
+    queries are then broadcast in blocks, and each task scores its chunks against all queries of the block and keeps its
+    own best; no posting is shuffled.  ``key`` is unique.
     """
+    spark = chunks.sparkSession
     wanted = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).distinct()
-    terms = wanted.select("term").distinct()
-    sized = chunks.select(key, tx.tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    n, avg = (lambda r: (r["n"], r["a"] or 1.0))(sized.agg(F.count("*").alias("n"), F.avg("len").alias("a")).first())
-    hits = sized.select(key, "len", F.explode("_t").alias("term")).join(terms, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
-    scored = hits.join(df, "term").select(key, "term", weight.alias("w")).join(wanted, "term").groupBy("query_id", key).agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k, key)
+    sized = chunks.select(key, tx.tokens(F.col(text)).alias("_t"))
+    # every chunk counts once under the term "", which no token is, with its length
+    marked = sized.select(F.size("_t").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_t"))).alias("term"))
+    counts = marked.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("len"))
+    asked = wanted.join(counts.select("term", "df"), "term", "left").groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("terms"))
+    total = counts.filter("term = ''").first()
+    n, avg = (total["df"], total["len"] / total["df"] or 1.0) if total else (0, 1.0)
+    kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)[key]
+    schema, parts = f"query_id {kinds[0]}, {key} {kinds[1]}, score double", []
+    for block in _blocks(asked):
+        place: dict[str, int] = {}
+        pairs, idf = [], []
+        for q, r in enumerate(block):
+            for t in r["terms"]:
+                if t["df"]:
+                    if t["term"] not in place:
+                        place[t["term"]] = len(place)
+                        idf.append(math.log(1 + (n - t["df"] + 0.5) / (t["df"] + 0.5)))
+                    pairs.append((place[t["term"]], q))
+        pairs.sort()
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block]), place, np.array(idf), np.array(pairs, np.int64).reshape(-1, 2)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, place, idf, pairs = shared.value
+            best, start = _Best(ids, k), np.searchsorted(pairs[:, 0], np.arange(len(place) + 1))
+            step = max(1, (1 << 21) // len(ids))
+            for b in batches:
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
+                    words = part.column(1)
+                    lens = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    coded = words.flatten().dictionary_encode()
+                    term = np.array([place.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+                    chunk = np.repeat(np.arange(len(lens)), lens)[term >= 0]
+                    pair, tf = np.unique(chunk * len(place) + term[term >= 0], return_counts=True)
+                    if not len(pair):
+                        continue
+                    chunk, term = np.divmod(pair, len(place))
+                    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[chunk] / avg))
+                    times = start[term + 1] - start[term]
+                    query = pairs[np.repeat(start[term] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum()), 1]
+                    scores = np.bincount(np.repeat(chunk * len(ids), times) + query, np.repeat(weight, times), len(lens) * len(ids)).reshape(len(lens), len(ids)).round(6)
+                    best.add(scores, np.array(part.column(0).to_pylist()), scores > 0)
+            for pdf in best.rows(key):
+                yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
+
+        parts.append(sized.mapInArrow(run, schema))
+    return top_k(_merged(parts, schema, spark), k, key)
 
 
 def top_k(scored: DataFrame, k: int, key: str, by: str = "score") -> DataFrame:
@@ -53,36 +145,32 @@ def top_k(scored: DataFrame, k: int, key: str, by: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """Exact cosine top ``k``: query vectors are broadcast in blocks, each task keeps its own best, one window merges.
 
     ``vectors(key, vec)``, ``queries(query_id, vec)`` -> ``(query_id, key, score, rank)``.
     """
-    spark, best = vectors.sparkSession, None
-    rows = queries.select("query_id", "vec").toLocalIterator()
-    while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
-        ids = np.array([r["query_id"] for r in block])
-        mat = np.array([r["vec"] for r in block], np.float64)
-        norms = np.linalg.norm(mat, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((ids, np.divide(mat, norms, out=np.zeros_like(mat), where=norms > 0)))
+    spark = vectors.sparkSession
+    schema, parts = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(vectors.dtypes)[key]}, score double", []
+    for block in _blocks(queries.select("query_id", "vec")):
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block]), _unit_rows(np.array([r["vec"] for r in block], np.float64))))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
+            best, step = _Best(ids, k), max(1, (1 << 21) // len(ids))
             for pdf in batches:
-                m = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-                length = np.linalg.norm(m, axis=1, keepdims=True)
-                sims = q @ np.divide(m, length, out=np.zeros_like(m), where=length > 0).T
-                keys = pdf[key].to_numpy()
-                for i in range(len(ids)):
-                    at = np.lexsort((keys, -sims[i].round(6)))[:k]
-                    yield pd.DataFrame({"query_id": ids[i], key: keys[at], "score": sims[i][at].round(6)})
-
-        kind = dict(vectors.dtypes)[key]
-        part = vectors.select(key, "vec").mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, {key} {kind}, score double")
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        best = spark.createDataFrame([], f"query_id long, {key} {dict(vectors.dtypes)[key]}, score double")
-    return top_k(best, k, key)
+                m, keys = _unit_rows(np.stack(pdf["vec"].to_numpy()).astype(np.float64)), pdf[key].to_numpy()
+                for at in range(0, len(keys), step):
+                    best.add((m[at : at + step] @ q.T).round(6), keys[at : at + step])
+            yield from best.rows(key)
+
+        parts.append(vectors.select(key, "vec").mapInPandas(run, schema))
+    return top_k(_merged(parts, schema, spark), k, key)
 
 
 def rrf(lists: list[DataFrame], k: int, key: str = "chunk_id", constant: int = RRF_K) -> DataFrame:
@@ -109,9 +197,10 @@ def channel(source_type: Column) -> Column:
     return F.coalesce(F.element_at(m, source_type), source_type)
 
 
-def promote_children(children: DataFrame) -> DataFrame:
+def promote_children(children: DataFrame, *more: Column) -> DataFrame:
     """``(query_id, chunk_id, parent_id, source_id, chapter_id, score)`` -> children grouped under note, chapter or
-    section parents: three matched children of a source make a note parent, else two of a chapter a chapter parent."""
+    section parents: three matched children of a source make a note parent, else two of a chapter a chapter parent.
+    ``more`` are further aggregates of the children."""
     by_source = Window.partitionBy("query_id", "source_id")
     by_chapter = Window.partitionBy("query_id", "source_id", "chapter_id")
     n_source, n_chapter = F.count("*").over(by_source), F.count("*").over(by_chapter)
@@ -119,12 +208,13 @@ def promote_children(children: DataFrame) -> DataFrame:
     placed = children.withColumn("kind", kind)
     parent = F.when(F.col("kind") == "note", F.col("source_id")).when(F.col("kind") == "chapter", F.concat_ws("#", "source_id", "chapter_id")).otherwise(F.col("parent_id"))
     grouped = placed.withColumn("parent", parent).groupBy("query_id", "kind", "parent")
-    return grouped.agg(F.round(child_score(), 6).alias("score"), F.count("*").alias("n_children"), F.sort_array(F.collect_list("chunk_id")).alias("children"))
+    return grouped.agg(F.round(child_score(), 6).alias("score"), F.count("*").alias("n_children"), F.sort_array(F.collect_list("chunk_id")).alias("children"), *more)
 
 
-def mmr(parents: DataFrame, k: int = 8, lam: float = 0.6) -> DataFrame:
+def mmr(parents: DataFrame, k: int = 8, lam: float = 0.6, keep: tuple[str, ...] = ()) -> DataFrame:
     """Greedy maximal marginal relevance over the parents of each query: ``(query_id, parent_id, score, vec)`` ->
-    ``(query_id, parent_id, pick)``.  Callers cut to a few dozen parents a query first."""
+    ``(query_id, parent_id, keep..., pick)``.  Callers cut to a few dozen parents a query first.  Similarities are rounded to six
+    and gains to nine decimals, so that ties fall alike on every machine: to the better score, then the smaller id."""
     kind = dict(parents.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -132,15 +222,17 @@ def mmr(parents: DataFrame, k: int = 8, lam: float = 0.6) -> DataFrame:
         vecs = np.stack([np.asarray(v, np.float64) for v in pdf["vec"]])
         norms = np.linalg.norm(vecs, axis=1, keepdims=True)
         unit = np.divide(vecs, norms, out=np.zeros_like(vecs), where=norms > 0)
-        sims, score = unit @ unit.T, pdf["score"].to_numpy()
+        sims, score = (unit @ unit.T).round(6), pdf["score"].to_numpy()
         chosen: list[int] = []
         left = list(range(len(pdf)))
         while left and len(chosen) < k:
-            gain = [lam * score[i] - (1 - lam) * (max(sims[i, j] for j in chosen) if chosen else 0.0) for i in left]
+            gain = [round(lam * score[i] - (1 - lam) * (max(sims[i, j] for j in chosen) if chosen else 0.0), 9) for i in left]
             chosen.append(left.pop(int(np.argmax(gain))))
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "parent_id": pdf["parent_id"].iloc[chosen].to_numpy(), "pick": range(1, len(chosen) + 1)})
+        return pdf.iloc[chosen][["query_id", "parent_id", *keep]].assign(pick=range(1, len(chosen) + 1))
 
-    return parents.select("query_id", "parent_id", "score", "vec").groupBy("query_id").applyInPandas(one, f"query_id {kind['query_id']}, parent_id {kind['parent_id']}, pick int")
+    kept = "".join(f", {c} {kind[c]}" for c in keep)
+    rows = parents.select("query_id", "parent_id", "score", "vec", *[c for c in keep if c != "score"])
+    return rows.groupBy("query_id").applyInPandas(one, f"query_id {kind['query_id']}, parent_id {kind['parent_id']}{kept}, pick int")
 
 
 def pack_context(parents: DataFrame, budget: int = 24_000) -> DataFrame:
@@ -153,34 +245,63 @@ def pack_context(parents: DataFrame, budget: int = 24_000) -> DataFrame:
 def hash_embedding(docs: DataFrame, text: str = "text", dims: int = 64) -> DataFrame:
     """The default embedder: signed feature hashing of words to a unit vector ``vec array<double>``.
 
-    Any model can take its place as a function over Arrow batches; this one needs no weights and is deterministic.
+    Any model can take its place as a function over Arrow batches; this one needs no weights and is deterministic: the
+    first two digits of a word's MD5 name its dimension, the third its sign.
     """
+    kept = [c for c in docs.columns if c != "vec"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for b in batches:
+            coded = b.column(len(kept)).flatten().dictionary_encode()
+            lens = b.column(len(kept)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for w in coded.dictionary.to_pylist():
+                if w not in known:
+                    if len(known) > 300_000:
+                        known.clear()
+                    h = hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()
+                    known[w] = int(h[:2], 16) % dims, 1.0 if int(h[2], 16) >= 8 else -1.0
+            made = np.array([known.get(w) or (0, 0.0) for w in coded.dictionary.to_pylist()]).reshape(-1, 2)
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            cell = np.repeat(np.arange(len(lens)), lens) * dims + made[at, 0].astype(np.int64)
+            unit = _unit_rows(np.bincount(cell, made[at, 1], len(lens) * dims).reshape(len(lens), dims))
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(lens) + 1) * dims, pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], vec], names=[*kept, "vec"])
+
+    chosen = docs.select(*kept, F.coalesce(tx.tokens(F.col(text)), F.array().cast("array<string>")).alias("_tokens"))
+    schema = StructType([f for f in chosen.schema if f.name != "_tokens"]).add("vec", ArrayType(DoubleType()))
+    return chosen.mapInArrow(run, schema)
+
+
+def rerank_overlap(pairs: DataFrame, k: int = 30, key: str = "chunk_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The default reranker: share of distinct query words in the chunk replaces the score; top ``k``.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-        import zlib
+    ``pairs(query_id, key, query, content)``; columns in ``keep`` are passed on.
+    """
+    q, c = F.array_distinct(tx.tokens(F.col("query"))), tx.tokens(F.col("content"))
+    score = F.when(F.size(q) > 0, F.size(F.array_intersect(q, c)) / F.size(q)).otherwise(0.0)
+    return top_k(pairs.select("query_id", key, F.round(score, 6).alias("score"), *keep), k, key)
 
-        for pdf in batches:
-            out = []
-            for t in pdf[text]:
-                v = np.zeros(dims)
-                for w in re.findall(r"\w+", (t or "").lower()):
-                    h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-                    v[h % dims] += 1.0 if h & 0x80000000 else -1.0
-                n = np.linalg.norm(v)
-                out.append((v / n if n else v).tolist())
-            pdf["vec"] = out
-            yield pdf
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, schema + ", vec array<double>")
+def mean_vector(vec: str = "vec") -> Column:
+    """Aggregate: the mean of the group's vectors, which are few (the children a query matched)."""
+    total = F.reduce(F.collect_list(vec), F.array_repeat(F.lit(0.0), F.max(F.size(vec))), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+    return F.transform(total, lambda x: x / F.count("*"))
 
 
-def rerank_overlap(pairs: DataFrame, k: int = 30, key: str = "chunk_id") -> DataFrame:
-    """The default reranker: share of distinct query words in the chunk replaces the score; top ``k``.
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 30, top: int = 8) -> DataFrame:
+    """The whole retrieval pipeline for many questions in one job: ``(query_id, kind, parent, score, pick)``.
 
-    ``pairs(query_id, key, query, content)``.
+    ``chunks(chunk_id, source_id, chapter_id, source_type, content)``, ``queries(query_id, text)``.  Dense and sparse
+    lists of ``k`` are fused by reciprocal ranks, reranked, rolled up to parents, weighted by trust, and ``top`` parents
+    are picked for relevance and variety.  Each list is computed once: the plan is one chain.
     """
-    q, c = F.array_distinct(tx.tokens(F.col("query"))), tx.tokens(F.col("content"))
-    score = F.when(F.size(q) > 0, F.size(F.array_intersect(q, c)) / F.size(q)).otherwise(0.0)
-    return top_k(pairs.select("query_id", key, F.round(score, 6).alias("score")), k, key)
+    embedded = hash_embedding(chunks, "content")
+    fused = rrf([dense_top_k(embedded, hash_embedding(queries), k), bm25(chunks, queries, k)], k)
+    pairs = embedded.join(F.broadcast(fused.select("query_id", "chunk_id")), "chunk_id")  # k rows a question
+    pairs = pairs.join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    ranked = rerank_overlap(pairs, k, keep=("source_id", "chapter_id", "source_type", "vec")).withColumn("parent_id", F.col("chunk_id"))
+    parents = promote_children(ranked, F.min("source_type").alias("source_type"), mean_vector().alias("vec"))
+    weighed = parents.withColumn("score", F.round(F.col("score") * trust(F.col("source_type")), 6)).withColumnRenamed("parent", "parent_id")
+    few = top_k(weighed, k, "parent_id").select("query_id", "kind", "parent_id", "score", "vec")
+    return mmr(few, top, keep=("kind", "score")).withColumnRenamed("parent_id", "parent")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from semlake.fixtures import duckdb
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "e19_lexical_pipeline"
+FLAGSHIP = "e19_hybrid_pipeline"
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 

@@ -90,10 +90,39 @@ def _reranked(spark: SparkSession, sf: str) -> DataFrame:
     return rt.rerank_overlap(pairs, 10)
 
 
-@query(_RERANK + """, f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM hits UNION ALL SELECT query_id, chunk_id, rank FROM r) GROUP BY 1, 2)
-SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""")
+_EMBEDDED = """,
+hw AS (SELECT {id}, (((instr('0123456789abcdef', substring(md5({term}), 1, 1)) - 1) * 16 + instr('0123456789abcdef', substring(md5({term}), 2, 1)) - 1) % 64) AS d,
+       CASE WHEN instr('0123456789abcdef', substring(md5({term}), 3, 1)) > 8 THEN 1.0 ELSE -1.0 END AS sign FROM {tokens}),
+hs AS (SELECT {id}, d, CAST(sum(sign) AS DOUBLE) AS v FROM hw GROUP BY 1, 2),
+hn AS (SELECT {id}, sqrt(sum(v * v)) AS n FROM hs GROUP BY 1),
+{out} AS (SELECT {id}, d, v / n AS v FROM hs JOIN hn USING ({id}) WHERE n > 0 AND v <> 0)"""
+
+
+def _embedded(id_: str, term: str, tokens: str, out: str) -> str:
+    return _EMBEDDED.format(id=id_, term=term, tokens=tokens, out=out).replace("hw ", f"hw_{out} ").replace("hs ", f"hs_{out} ").replace("hn ", f"hn_{out} ")
+
+
+#: Dense hits of the default embedder, fused with the sparse ones.
+_FUSED = (
+    "WITH "
+    + _BM25
+    + _embedded("chunk_id", "term", "tl", "ce")
+    + ", qa AS (SELECT query_id, lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'))) AS term FROM @queries)"
+    + _embedded("query_id", "term", "qa", "qe")
+    + """,
+cs AS (SELECT query_id, chunk_id, sum(qe.v * ce.v) AS dot FROM qe JOIN ce USING (d) GROUP BY 1, 2),
+da AS (SELECT query_id, chunk_id, round(coalesce(dot, 0), 6) AS score FROM (SELECT DISTINCT query_id FROM @queries) CROSS JOIN kid LEFT JOIN cs USING (query_id, chunk_id)),
+dh AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM da QUALIFY rank <= 30),
+fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM dh UNION ALL SELECT query_id, chunk_id, rank FROM hits) GROUP BY 1, 2),
+fused AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu QUALIFY rank <= 30)"""
+)
+
+
+@query(_FUSED + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM fused WHERE rank <= 10")
 def e05_rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.rrf([_sparse(spark, sf), _reranked(spark, sf)], 10)
+    chunks, queries = _chunks(spark, sf), frame(spark, sf, "queries")
+    dense = rt.dense_top_k(rt.hash_embedding(chunks.select("chunk_id", "content"), "content"), rt.hash_embedding(queries), 30)
+    return rt.rrf([dense, rt.bm25(chunks, queries, 30)], 10)
 
 
 @query(f"""WITH {_dense_sql(10)} SELECT query_id, chunk_id, score * CASE source_type WHEN 'note' THEN 0.7 WHEN 'book_chapter' THEN 0.5 ELSE 0.3 END AS score FROM dense""")
@@ -132,7 +161,24 @@ def e11_trust(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "notes").select("source_id", rt.trust(F.col("source_type")).alias("trust"))
 
 
-@query()
+def _mmr_sql(cand: str, sims: str, k: int = 8) -> str:
+    """Greedy picks from ``cand(query_id, id, score)`` with ``sims(query_id, a, b, sim)``: CTEs ``g1`` to ``gk``."""
+    first = f"g1 AS (SELECT query_id, id, score, 1 AS pick FROM {cand} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.6 * score, 9) DESC, score DESC, id) = 1)"
+    steps = [first]
+    for i in range(2, k + 1):
+        before = " UNION ALL ".join(f"SELECT query_id, id FROM g{j}" for j in range(1, i))
+        steps.append(f"""g{i} AS (SELECT query_id, id, score, {i} AS pick FROM (
+  SELECT c.query_id, c.id, c.score, round(0.6 * c.score - (1 - 0.6) * max(coalesce(s.sim, 0)), 9) AS gain
+  FROM {cand} c JOIN ({before}) p ON p.query_id = c.query_id LEFT JOIN {sims} s ON s.query_id = c.query_id AND s.a = c.id AND s.b = p.id
+  WHERE (c.query_id, c.id) NOT IN ({before}) GROUP BY 1, 2, 3)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, score DESC, id) = 1)""")
+    return ", ".join(steps) + ", picks AS (" + " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(1, k + 1)) + ")"
+
+
+@query(f"""WITH {_dense_sql(30)}, cand AS (SELECT query_id, chunk_id AS id, score FROM dense),
+cv AS (SELECT query_id, chunk_id AS id, vec FROM dense JOIN @chunkvec USING (chunk_id)),
+sims AS (SELECT x.query_id, x.id AS a, y.id AS b, round({_COS.format(a='x.vec', b='y.vec')}, 6) AS sim FROM cv x JOIN cv y ON x.query_id = y.query_id AND x.id <> y.id),
+{_mmr_sql('cand', 'sims')} SELECT query_id, id AS parent_id, CAST(pick AS INTEGER) AS pick FROM picks""")
 def e12_mmr(spark: SparkSession, sf: str) -> DataFrame:
     hits = rt.dense_top_k(_live(spark, sf), _qvec(spark, sf), 30).join(frame(spark, sf, "chunkvec").select("chunk_id", "vec"), "chunk_id")
     return rt.mmr(hits.withColumnRenamed("chunk_id", "parent_id"))
@@ -152,16 +198,35 @@ def e17_empty_marker(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "queries").join(_sparse(spark, sf).filter("score > 40"), "query_id", "left_anti").select("query_id")
 
 
-@query(_PLACED + """, t AS (SELECT query_id, parent, round(score * CASE source_type WHEN 'note' THEN 1.0 WHEN 'book_chapter' THEN 0.95 WHEN 'web_saved' THEN 0.85 ELSE 0.7 END, 6) AS score FROM par)
-SELECT query_id, parent, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent) AS INTEGER) AS rank FROM t QUALIFY rank <= 8""")
+@query(_FUSED + """, q AS (SELECT query_id, list_distinct(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: lower(x))) AS qw FROM @queries),
+c AS (SELECT f.query_id, f.chunk_id, k.source_id, n.chapter_id, n.source_type,
+             round(CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, list_transform(regexp_extract_all(k.content, '[\\p{L}\\p{N}_]+'), lambda x: lower(x)))) / len(qw) ELSE 0 END, 6) AS score
+      FROM fused f JOIN q USING (query_id) JOIN kid k USING (chunk_id) JOIN @notes n ON k.source_id = n.source_id),
+w AS (SELECT *, count(*) OVER (PARTITION BY query_id, source_id) AS ns, count(*) OVER (PARTITION BY query_id, source_id, chapter_id) AS nc FROM c),
+k2 AS (SELECT *, CASE WHEN ns >= 3 THEN 'note' WHEN chapter_id IS NOT NULL AND nc >= 2 THEN 'chapter' ELSE 'section' END AS kind FROM w),
+k3 AS (SELECT *, CASE kind WHEN 'note' THEN source_id WHEN 'chapter' THEN source_id || '#' || chapter_id ELSE chunk_id END AS parent FROM k2),
+par AS (SELECT query_id, kind, parent, round(avg(score) + 0.1 * ln(count(*) + 1), 6) AS score, count(*) AS n, min(source_type) AS source_type FROM k3 GROUP BY 1, 2, 3),
+cand AS (SELECT query_id, parent AS id, kind, round(score * CASE source_type WHEN 'note' THEN 1.0 WHEN 'book_chapter' THEN 0.95 WHEN 'web_saved' THEN 0.85 ELSE 0.7 END, 6) AS score FROM par),
+pv AS (SELECT k3.query_id, k3.parent AS id, ce.d, sum(ce.v) AS v FROM k3 JOIN ce USING (chunk_id) GROUP BY 1, 2, 3),
+pn AS (SELECT query_id, id, sqrt(sum(v * v)) AS n FROM pv GROUP BY 1, 2),
+sims AS (SELECT x.query_id, x.id AS a, y.id AS b, round(sum(x.v * y.v) / (nx.n * ny.n), 6) AS sim FROM pv x JOIN pv y ON x.query_id = y.query_id AND x.d = y.d AND x.id <> y.id
+         JOIN pn nx ON nx.query_id = x.query_id AND nx.id = x.id JOIN pn ny ON ny.query_id = y.query_id AND ny.id = y.id GROUP BY 1, 2, 3, nx.n, ny.n), """ + _mmr_sql("cand", "sims") + """
+SELECT p.query_id, c.kind, p.id AS parent, p.score, CAST(p.pick AS INTEGER) AS pick FROM picks p JOIN cand c ON c.query_id = p.query_id AND c.id = p.id""")
+def e19_hybrid_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: chunks -> dense and sparse lists -> fusion -> rerank -> parents -> trust -> varied top parents."""
+    chunks = _chunks(spark, sf).select("source_id", "chunk_id", "content").join(frame(spark, sf, "notes").select("source_id", "chapter_id", "source_type"), "source_id")
+    return rt.hybrid(chunks, frame(spark, sf, "queries"))
+
+
+_LEXICAL = _PLACED + """, t AS (SELECT query_id, parent, round(score * CASE source_type WHEN 'note' THEN 1.0 WHEN 'book_chapter' THEN 0.95 WHEN 'web_saved' THEN 0.85 ELSE 0.7 END, 6) AS score FROM par)
+SELECT query_id, parent, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent) AS INTEGER) AS rank FROM t QUALIFY rank <= 8"""
+
+
+@query(_LEXICAL)
 def e19_lexical_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: chunks -> BM25 -> parents -> trust -> the top parents of every question."""
-    placed = _placed(spark, sf).persist()  # k rows a question, read three times
-    kinds = placed.select("source_id", "source_type").distinct()
-    parents = rt.promote_children(placed)
-    by_chunk = parents.filter("kind = 'section'").join(placed.select(F.col("chunk_id").alias("parent"), "source_type").distinct(), "parent")
-    by_source = parents.filter("kind <> 'section'").withColumn("source_id", F.regexp_extract("parent", r"^([^#]*)", 1)).join(kinds, "source_id").drop("source_id")
-    typed = by_chunk.unionByName(by_source).withColumn("score", F.round(F.col("score") * rt.trust(F.col("source_type")), 6))
+    """The sparse leg alone: chunks -> BM25 -> parents -> trust -> the top parents of every question."""
+    parents = rt.promote_children(_placed(spark, sf), F.min("source_type").alias("source_type"))
+    typed = parents.withColumn("score", F.round(F.col("score") * rt.trust(F.col("source_type")), 6))
     return rt.top_k(typed.select("query_id", "parent", "score"), 8, "parent")
 
 
@@ -207,6 +272,7 @@ def e14_web_trigger(spark: SparkSession, sf: str) -> DataFrame:
     return top.groupBy("query_id").agg(F.count("*").alias("n"), ((F.sum(F.length("content")) < 500 * 6) | (F.max("score") < 10)).alias("web"))
 
 
-@query()
+@query("WITH tk AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'))) AS term FROM @documents)" + _embedded("doc_id", "term", "tk", "de") + " SELECT doc_id, CAST(d AS INTEGER) AS dim, round(v, 6) AS v FROM de")
 def e01_hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.hash_embedding(frame(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.round(F.element_at("vec", 1), 6).alias("v0"))
+    made = rt.hash_embedding(frame(spark, sf, "documents").select("doc_id", "text"))
+    return made.select("doc_id", F.posexplode("vec").alias("dim", "v")).filter("v <> 0").select("doc_id", "dim", F.round("v", 6).alias("v"))
