@@ -31,7 +31,7 @@ DERIVED: dict[str, str] = {
         FROM @notes""",
     "decorated": """
         SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN '/scope:src1,src2 ' WHEN 1 THEN '/no-web /deep ' WHEN 2 THEN 'I wrote ' WHEN 3 THEN 'compare my '
-               WHEN 4 THEN '[[secret note]] in 2025 ' WHEN 5 THEN '#tagged what is ' ELSE '/unknown:x latest ' END || substring(text, 1, 200) AS text
+               WHEN 4 THEN '[[secret note]] in 2025 ' WHEN 5 THEN '#tagged what is ' ELSE '/unknown:x latest ' END || text AS text
         FROM @documents""",
     "queries": "SELECT item_id AS query_id, text FROM @benchmark",
     "chunkvec": """

@@ -76,7 +76,7 @@ def qa_score(text: Column) -> Column:
 def chapter_slug(index: Column, title: Column) -> Column:
     safe = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_\s-]", "")
     safe = F.substring(F.regexp_replace(F.regexp_replace(safe, r"[\s_]+", "-"), r"^-+|-+$", ""), 1, 60)
-    return F.concat(F.lpad(index.cast("string"), 2, "0"), F.lit("-"), F.coalesce(F.nullif(safe, F.lit("")), F.lit("chapter")))
+    return F.concat(F.lpad(index.cast("string"), F.greatest(F.lit(2), F.length(index.cast("string"))), F.lit("0")), F.lit("-"), F.coalesce(F.nullif(safe, F.lit("")), F.lit("chapter")))
 
 
 def hashtags(content: Column) -> Column:

@@ -108,6 +108,12 @@ def nearest_label(queries: DataFrame, labelled: DataFrame, threshold_: float = G
     return best.select("query_id", F.when(F.col("score") >= threshold_, F.col("uri")).alias("uri"), F.col("score").alias("similarity"))
 
 
+def new_entities(candidates: DataFrame, threshold_: float = GREY_LOW) -> DataFrame:
+    """New-entity flags from canonicalisation: no label is near enough to the subject, to the object, to either."""
+    flagged = candidates.withColumns({"new_subject": F.col("subject_similarity") < threshold_, "new_object": F.col("object_similarity") < threshold_})
+    return flagged.withColumn("is_new", F.col("new_subject") | F.col("new_object"))
+
+
 def string_match(pairs: DataFrame) -> DataFrame:
     """``pairs(surface, label, ...)`` with ``sm``: 1 on equality, else the Ratcliff-Obershelp ratio."""
 

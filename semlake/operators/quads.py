@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from semlake.functions import text as tx
+from semlake.sources.scratch import stored
 
 PKM = "https://my-pkm.local/ontology#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -60,19 +63,21 @@ def walk(quads: DataFrame, seeds: DataFrame, weights: DataFrame, hops: int, grap
     if blocked is not None:
         edges = edges.join(blocked.select(F.col("node").alias("dst")), "dst", "left_anti")
     edges = edges.join(F.broadcast(weights), "p", "left").withColumn("weight", F.coalesce("weight", F.lit(DEFAULT_WEIGHT)))
+    # stored: each hop reads the edges and the fronts once, and a join with a table as such lets AQE split hub nodes
+    edges = stored(edges.select("src", "p", "dst", "weight"), "edges")
     front = seeds.select("query_id", "node", F.lit(1.0).alias("score"), F.array("node").alias("path"), F.array().cast("array<string>").alias("preds"))
-    seen = None
+    fronts: list[DataFrame] = []
     for hop in range(1, hops + 1):
         reached = front.join(edges, front["node"] == edges["src"]).select(
             "query_id", F.col("dst").alias("node"), F.round(F.col("score") * F.col("weight"), 9).alias("score"), F.concat("path", F.array("dst")).alias("path"), F.concat("preds", F.array("p")).alias("preds")
         )
-        if seen is not None:
-            reached = reached.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti")
+        if fronts:
+            reached = reached.join(reduce(DataFrame.unionByName, fronts).select("query_id", "node"), ["query_id", "node"], "left_anti")
         best = reached.groupBy("query_id", "node").agg(F.min(F.struct((-F.col("score")).alias("n"), "path", "preds")).alias("b"))
-        front = best.select("query_id", "node", (-F.col("b.n")).alias("score"), F.col("b.path").alias("path"), F.col("b.preds").alias("preds"))
-        here = front.withColumn("hop", F.lit(hop))
-        seen = here if seen is None else seen.unionByName(here)
-    return seen
+        here = best.select("query_id", "node", (-F.col("b.n")).alias("score"), F.col("b.path").alias("path"), F.col("b.preds").alias("preds"), F.lit(hop).alias("hop"))
+        front = stored(here, "front")
+        fronts.append(front)
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def path_rank(walked: DataFrame, sims: DataFrame, alpha: float = 0.6, k: int = 20) -> DataFrame:

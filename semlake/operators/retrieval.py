@@ -35,7 +35,7 @@ def term_stats(post: DataFrame, key: str = "chunk_id") -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-class _Best:
+class Best:
     """The best ``k`` (score, key) of each query that a task has met, ties included until they are cut by key."""
 
     def __init__(self, ids: np.ndarray, k: int):
@@ -114,7 +114,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", t
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, place, idf, pairs = shared.value
-            best, start = _Best(ids, k), np.searchsorted(pairs[:, 0], np.arange(len(place) + 1))
+            best, start = Best(ids, k), np.searchsorted(pairs[:, 0], np.arange(len(place) + 1))
             step = max(1, (1 << 21) // len(ids))
             for b in batches:
                 for at in range(0, b.num_rows, step):
@@ -162,7 +162,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chun
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
-            best, step = _Best(ids, k), max(1, (1 << 21) // len(ids))
+            best, step = Best(ids, k), max(1, (1 << 21) // len(ids))
             for pdf in batches:
                 m, keys = _unit_rows(np.stack(pdf["vec"].to_numpy()).astype(np.float64)), pdf[key].to_numpy()
                 for at in range(0, len(keys), step):
@@ -283,6 +283,16 @@ def rerank_overlap(pairs: DataFrame, k: int = 30, key: str = "chunk_id", keep: t
     return top_k(pairs.select("query_id", key, F.round(score, 6).alias("score"), *keep), k, key)
 
 
+def web_parents(results: DataFrame, pages: DataFrame, queries: DataFrame, dims: int = 64) -> DataFrame:
+    """Live-web parents: ``results(query_id, page_id)``, ``pages(page_id, content, fetched_at)``, ``queries(query_id,
+    text)`` -> ``(query_id, page_id, score, content)``: dot product of page and question, content tagged with its time."""
+    asked = hash_embedding(queries.select("query_id", "text"), dims=dims).select("query_id", F.col("vec").alias("qvec"))
+    held = hash_embedding(pages.select("page_id", "content", "fetched_at"), "content", dims)
+    dot = F.aggregate(F.zip_with("qvec", "vec", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    tagged = F.concat(F.lit("[fetched "), "fetched_at", F.lit("] "), "content")
+    return results.join(asked, "query_id").join(held, "page_id").select("query_id", "page_id", F.round(dot, 6).alias("score"), tagged.alias("content"))
+
+
 def mean_vector(vec: str = "vec") -> Column:
     """Aggregate: the mean of the group's vectors, which are few (the children a query matched)."""
     total = F.reduce(F.collect_list(vec), F.array_repeat(F.lit(0.0), F.max(F.size(vec))), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))

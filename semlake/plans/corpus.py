@@ -133,9 +133,9 @@ def f12_uris(spark: SparkSession, sf: str) -> DataFrame:
 _SLUG = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower({x})), '^#+', ''), '[^\\p{{L}}\\p{{N}}_-]', '-', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'empty')"
 
 
-@query(f"SELECT doc_id, {_SLUG.format(x='substring(content, 1, 60)')} AS slug FROM @notes")
+@query(f"SELECT doc_id, {_SLUG.format(x='content')} AS slug FROM @notes")
 def f13_slug(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, sf, "notes").select("doc_id", tx.slug(F.substring("content", 1, 60)).alias("slug"))
+    return frame(spark, sf, "notes").select("doc_id", tx.slug(F.col("content")).alias("slug"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN vault_id ELSE '' END AS segment FROM @notes")
@@ -156,9 +156,9 @@ def f19_qa_score(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "notes").select("doc_id", s.alias("score"), (s < 0.3).alias("review"))
 
 
-@query(f"WITH {_SECTIONS} SELECT source_id, sec_no, lpad(CAST(sec_no AS VARCHAR), 2, '0') || '-' || coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_replace(lower(heading), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'chapter') AS slug FROM secs WHERE sec_no < 100")
+@query(f"WITH {_SECTIONS} SELECT source_id, sec_no, lpad(CAST(sec_no AS VARCHAR), CAST(greatest(2, length(CAST(sec_no AS VARCHAR))) AS INTEGER), '0') || '-' || coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_replace(lower(heading), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'chapter') AS slug FROM secs")
 def f20_chapter_slug(spark: SparkSession, sf: str) -> DataFrame:
-    s = ck.sections(frame(spark, sf, "notes_md")).filter("sec_no < 100")
+    s = ck.sections(frame(spark, sf, "notes_md"))
     return s.select("source_id", "sec_no", tx.chapter_slug(F.col("sec_no"), F.col("heading")).alias("slug"))
 
 
@@ -171,9 +171,9 @@ def f21_page_chapters(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("book").alias("conv_id"), "chapter", "first_page", F.sha2("text", 256).alias("digest"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(substring(content, 1, 80), '[;,]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS authors FROM @notes")
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(content, '[;,]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS authors FROM @notes")
 def f22_authors(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, sf, "notes").select("doc_id", F.array_join(tx.authors(F.substring("content", 1, 80)), "|").alias("authors"))
+    return frame(spark, sf, "notes").select("doc_id", F.array_join(tx.authors(F.col("content")), "|").alias("authors"))
 
 
 _TEXT = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|head)\\b.*?</(script|style|nav|head)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g'))"

@@ -10,6 +10,8 @@ from semlake.functions import text as tx
 from semlake.operators import logs as lg
 from semlake.operators import quads as qd
 from semlake.plans.registry import query
+from semlake.sources import files as fl
+from semlake.sources.scratch import folder
 
 NEAR = ["tier0", "tier2"]
 _STEPS = """
@@ -34,10 +36,13 @@ def _weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("contains", 1.0), ("placedBy", 0.9), ("inNation", 0.7)], "p string, weight double")
 
 
-@query("SELECT s, p, o, graph FROM @quads WHERE graph = 'tier2'")
+@query("""SELECT graph, p, count(*) AS n FROM (SELECT graph, p FROM @quads UNION ALL SELECT 'tier1', predicate FROM @candidates) GROUP BY 1, 2""")
 def a09_graph_append(spark: SparkSession, sf: str) -> DataFrame:
-    q = _q(spark, sf)
-    return q.filter("graph <> 'tier2'").unionByName(q.filter("graph = 'tier2'")).filter("graph = 'tier2'").select("s", "p", "o", "graph")
+    """The stored quads and a bulk of extracted triples, appended to the table and read back."""
+    path = folder(spark, "quads")
+    fl.append_quads(_q(spark, sf), path)
+    fl.append_quads(frame(spark, sf, "candidates").selectExpr("subject_uri as s", "predicate as p", "object as o", "not startswith(object, 'lit:') as o_is_iri", "'tier1' as graph"), path)
+    return fl.read_quads(spark, path).groupBy("graph", "p").agg(F.count("*").alias("n"))
 
 
 @query("SELECT s, p, o FROM @quads WHERE o_is_iri AND o <> '' AND p NOT IN ('label', 'inRegion') AND graph IN ('tier0', 'tier2')")

@@ -10,6 +10,7 @@ from semlake.operators import extract as ex
 from semlake.operators import links as lk
 from semlake.operators import quads as qd
 from semlake.plans.registry import query
+from semlake.sources.scratch import stored
 
 ALLOWED = ["mentions", "defines", "cites", "authoredBy", "related", "contains"]
 
@@ -49,14 +50,14 @@ def k03_whitelist_gate(spark: SparkSession, sf: str) -> DataFrame:
     return _cand(spark, sf).groupBy("predicate", F.col("predicate").isin(ALLOWED).alias("allowed")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM @embeddings WHERE vec_id % 25 = 0),
-s AS (SELECT query_id, vec_id AS uri, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS similarity FROM q, @embeddings WHERE vec_id % 25 <> 0),
+@query("""WITH q AS (SELECT vec_id AS query_id, list_reverse(embedding) AS qv FROM @embeddings WHERE vec_id % 25 = 0),
+s AS (SELECT query_id, vec_id AS uri, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS similarity FROM q, @embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uri) AS r FROM s)
-SELECT query_id, CASE WHEN similarity >= 0.4 THEN uri END AS uri, similarity FROM r WHERE r = 1""")
+SELECT query_id, CASE WHEN similarity >= 0.35 THEN uri END AS uri, similarity FROM r WHERE r = 1""")
 def k04_nearest_label(spark: SparkSession, sf: str) -> DataFrame:
     e = frame(spark, sf, "embeddings")
-    q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    return ex.nearest_label(q, e.filter("vec_id % 25 <> 0").select(F.col("vec_id").alias("uri"), F.col("embedding").alias("vec")), 0.4)
+    q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.reverse("embedding").alias("vec"))
+    return ex.nearest_label(q, e.select(F.col("vec_id").alias("uri"), F.col("embedding").alias("vec")), 0.35)
 
 
 @query(f"WITH {_GATED} SELECT cand_id, g3, round(final_confidence, 6) AS final_confidence, n_sources FROM ga")
@@ -96,10 +97,10 @@ def c07_c08_duplicates_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return ex.evidence(_known(spark, sf), _cand(spark, sf)).select("cand_id", "duplicate", "conflict")
 
 
-@query("SELECT s, p, o FROM @quads t WHERE graph = 'tier0' AND EXISTS (SELECT 1 FROM @quads f WHERE f.graph IN ('predictions', 'tier1-pending') AND f.s = t.s AND f.p = t.p AND f.o = t.o)")
+@query("SELECT DISTINCT t.s, t.p, t.o FROM (SELECT s, p, o FROM @quads WHERE graph = 'tier0') t JOIN (SELECT DISTINCT s, p, o FROM @quads WHERE graph IN ('predictions', 'tier1-pending')) f ON f.s = t.s AND f.p = t.p AND f.o = t.o")
 def c09_isolation(spark: SparkSession, sf: str) -> DataFrame:
     q = frame(spark, sf, "quads")
-    return q.filter("graph = 'tier0'").join(q.filter("graph in ('predictions', 'tier1-pending')").select("s", "p", "o"), ["s", "p", "o"], "left_semi").select("s", "p", "o")
+    return q.filter("graph = 'tier0'").join(q.filter("graph in ('predictions', 'tier1-pending')").select("s", "p", "o"), ["s", "p", "o"], "left_semi").select("s", "p", "o").distinct()
 
 
 @query("""SELECT cand_id, confidence FROM (SELECT (l_orderkey * 10 + l_linenumber) AS cand_id, '{"triples":[{"subject":"o' || l_orderkey || '","predicate":"p","object":"' || CASE WHEN l_linenumber = 3 THEN ' ' ELSE 'x' END || '","confidence":' || CAST(l_quantity AS INTEGER) / 40.0 || '}]}' AS j,
@@ -129,11 +130,16 @@ def k14_context_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", F.round(ex.context_overlap(F.array("p_name"), F.concat_ws(" ", "p_name", "p_type")), 6).alias("overlap"))
 
 
-@query()
+@query("""WITH h AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE CAST(p_partkey % 50 AS VARCHAR) END AS surface, 'Q' || p_partkey AS qid, p_name, lower(p_type || ' tool') AS descr, p_partkey % 2 = 0 AS same FROM @part),
+t AS (SELECT *, list_distinct(regexp_extract_all(descr, '[\\p{L}\\p{N}_]+')) AS d, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]+')) AS c FROM h),
+sc AS (SELECT surface, qid, round(0.6 * CAST(same AS INTEGER) + 0.25 * 1.0 + 0.15 * least(1.0, len(list_intersect(d, c)) / len(d)), 6) AS score FROM t)
+SELECT surface, qid, score, CASE WHEN score >= 0.7 THEN 'auto' WHEN score >= 0.5 THEN 'grey' ELSE 'skip' END AS zone FROM sc QUALIFY row_number() OVER (PARTITION BY surface ORDER BY score DESC, qid) = 1""")
 def k15_disambiguation(spark: SparkSession, sf: str) -> DataFrame:
+    """Surface forms that equal the label, and numbers, which share no character with one."""
     p = frame(spark, sf, "part")
-    hits = p.select(F.concat_ws(" ", F.split("p_name", " ")[0], "p_brand").alias("surface"), F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("qid"), F.col("p_name").alias("label"), F.lit("Software").alias("type_hint"), F.concat_ws(" ", "p_type", F.lit("tool")).alias("description"), F.array("p_name").alias("chunks"))
-    return ex.disambiguate(hits)
+    surface = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise((F.col("p_partkey") % 50).cast("string"))
+    hits = p.select(surface.alias("surface"), F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("qid"), F.col("p_name").alias("label"), F.lit("Software").alias("type_hint"), F.concat_ws(" ", "p_type", F.lit("tool")).alias("description"), F.array("p_name").alias("chunks"))
+    return ex.disambiguate(hits).withColumn("surface", F.lower("surface"))
 
 
 @query("""SELECT s AS qid, p, array_to_string(list_sort(list(DISTINCT o)), ',') AS os FROM @quads WHERE p IN ('inNation', 'label', 'tagged') GROUP BY 1, 2""")
@@ -202,30 +208,44 @@ def l04_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    t = frame(spark, sf, "quads").filter("o_is_iri and p in ('inNation', 'inRegion')").select("s", "p", "o").distinct()
+    t = _triples(spark, sf)
     ents = lk.dictionary(t.select(F.col("s").alias("v")).unionByName(t.select(F.col("o").alias("v"))), "v")
     rels = lk.dictionary(t, "p")
     ids = t.join(ents.select(F.col("value").alias("s"), F.col("id").alias("h")), "s").join(ents.select(F.col("value").alias("o"), F.col("id").alias("t")), "o").join(rels.select(F.col("value").alias("p"), F.col("id").alias("r")), "p")
-    return ids.select("h", "r", "t"), ents, rels
+    return stored(ids.select("h", "r", "t"), "ids"), ents, rels
 
 
-@query()
+_HEX = "(instr('0123456789abcdef', substring(m, {i}, 1)) - 1)"
+_DRAWN = " + ".join(f"{_HEX.format(i=i)} * {16 ** (8 - i)}" for i in range(1, 9))
+
+
+@query(f"""WITH {_TRAIN}, e AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS id FROM (SELECT s AS value FROM tr UNION SELECT o FROM tr)), rl AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS id FROM (SELECT DISTINCT p AS value FROM tr)),
+i AS (SELECT a.id AS h, rl.id AS r, b.id AS t FROM tr JOIN e a ON a.value = s JOIN e b ON b.value = o JOIN rl ON rl.value = p), n AS (SELECT count(*) AS n FROM e),
+d AS (SELECT h, r, t, unnest(range(0, 8)) AS draw FROM i), k AS (SELECT *, h || '|' || r || '|' || t || '|' || draw AS k FROM d),
+x AS (SELECT h, r, t, ({_DRAWN.replace('(m,', "(md5(k || '|e42'),")}) % n AS other, ({_DRAWN.replace('(m,', "(md5(k || '|s42'),")}) % 2 = 0 AS side FROM k, n),
+m AS (SELECT CASE WHEN side THEN other ELSE h END AS h, r, CASE WHEN side THEN t ELSE other END AS t FROM x)
+SELECT r, count(*) AS n, CAST(sum(h) AS BIGINT) AS heads, CAST(sum(t) AS BIGINT) AS tails FROM m ANTI JOIN i USING (h, r, t) GROUP BY 1""")
 def l05_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight negatives of every training triple, summed by relation."""
     ids, ents, _ = _ids(spark, sf)
-    return lk.negatives(ids, ents, 4)
+    made = lk.negatives(ids, ents, 8)
+    return made.groupBy("r").agg(F.count("*").alias("n"), F.sum("h").alias("heads"), F.sum("t").alias("tails"))
 
 
 @query()
 def l07_rotate_top_tails(spark: SparkSession, sf: str) -> DataFrame:
-    """L06 and L07: train on the geography of customers and suppliers, then the ten best new tails of each pair."""
+    """L06 and L07: train on all training triples, then the ten best new tails for every hundredth head."""
     ids, ents, rels = _ids(spark, sf)
-    ent, phase = lk.train_rotate(ids, ents.count(), rels.count(), dim=8, epochs=2)
-    return lk.score_tails(ids.select("h", "r"), ent, phase, 10, known=ids).select("h", "r", "t", "rank")
+    ent, phase = lk.train_rotate(ids, ents.select("id"), rels.select("id"), dim=8, epochs=2, n_neg=8)
+    return lk.score_tails(ids.filter("h % 100 = 0").select("h", "r"), ent, phase, 10, known=ids).select("h", "r", "t", "rank")
 
 
-@query("""WITH sc AS (SELECT head || rel AS q, tail AS t, max(score) AS score FROM @predictions GROUP BY 1, 2), tru AS (SELECT q, max_by(t, (score, t)) AS t FROM sc GROUP BY 1 UNION SELECT q, min(t) FROM sc GROUP BY 1),
+_RANKED = """WITH sc AS (SELECT head || rel AS q, tail AS t, max(score) AS score FROM @predictions GROUP BY 1, 2), tru AS (SELECT q, max_by(t, (score, t)) AS t FROM sc GROUP BY 1 UNION SELECT q, min(t) FROM sc GROUP BY 1),
 own AS (SELECT q, t, score FROM sc JOIN tru USING (q, t)), oth AS (SELECT * FROM sc ANTI JOIN tru USING (q, t)),
-rk AS (SELECT own.q, own.t, 1 + count(CASE WHEN oth.score > own.score THEN 1 END) + count(CASE WHEN oth.score = own.score THEN 1 END) / 2.0 AS r FROM own LEFT JOIN oth ON own.q = oth.q GROUP BY 1, 2)
+rk AS (SELECT own.q, own.t, 1 + count(CASE WHEN oth.score > own.score THEN 1 END) + count(CASE WHEN oth.score = own.score THEN 1 END) / 2.0 AS r FROM own LEFT JOIN oth ON own.q = oth.q GROUP BY 1, 2)"""
+
+
+@query(_RANKED + """
 SELECT round(avg(CAST(1 AS DOUBLE) / r), 6) AS mrr, round(avg(CAST(r <= 1 AS INTEGER)), 6) AS hits_1, round(avg(CAST(r <= 3 AS INTEGER)), 6) AS hits_3, round(avg(CAST(r <= 10 AS INTEGER)), 6) AS hits_10 FROM rk""")
 def l08_ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
     sc = frame(spark, sf, "predictions").groupBy(F.concat("head", "rel").alias("q"), F.col("tail").alias("t")).agg(F.max("score").alias("score"))
@@ -250,6 +270,6 @@ def l15_quality_gate(spark: SparkSession, sf: str) -> DataFrame:
     return lk.quality_gate(runs).select("run_id", "passed")
 
 
-@query("SELECT avg(value) / 100 > 0.30 AND max(value) / 100 > 0.50 AS accepted FROM @events")
+@query(_RANKED + """, mt AS (SELECT round(avg(CAST(1 AS DOUBLE) / r), 6) AS mrr, round(avg(CAST(r <= 10 AS INTEGER)), 6) AS hits_10 FROM rk) SELECT mrr, hits_10, mrr > 0.30 AND hits_10 > 0.50 AS accepted FROM mt""")
 def l17_acceptance(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, sf, "events").agg(((F.avg("value") / 100 > 0.30) & (F.max("value") / 100 > 0.50)).alias("accepted"))
+    return lk.accepted(l08_ranking_metrics(spark, sf))

@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from semlake.plans import corpus, graph, linking, operations, rendering, retrieval, streams, understanding  # noqa: F401
+    from semlake.plans import corpus, exchange, graph, linking, operations, rendering, retrieval, streams, understanding  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

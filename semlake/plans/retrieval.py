@@ -84,10 +84,10 @@ rr AS (SELECT query_id, chunk_id, round(len(list_intersect(qw, list_transform(re
 r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM rr QUALIFY rank <= 10)"""
 
 
-def _reranked(spark: SparkSession, sf: str) -> DataFrame:
+def _reranked(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
     pairs = _sparse(spark, sf).select("query_id", "chunk_id").join(_chunks(spark, sf).select("chunk_id", "content"), "chunk_id")
     pairs = pairs.join(frame(spark, sf, "queries").withColumnRenamed("text", "query"), "query_id")
-    return rt.rerank_overlap(pairs, 10)
+    return rt.rerank_overlap(pairs, k)
 
 
 _EMBEDDED = """,
@@ -230,12 +230,12 @@ def e19_lexical_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return rt.top_k(typed.select("query_id", "parent", "score"), 8, "parent")
 
 
-@query(f"""WITH {_CHILDREN}, o AS (SELECT 1 AS query_id, source_id, content, row_number() OVER (ORDER BY source_id) AS rank FROM kids WHERE chunk_index = 0),
-b AS (SELECT *, coalesce(sum(length(content)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
-SELECT source_id, CAST(length(substring(content, 1, CAST(24000 - before AS BIGINT))) AS BIGINT) AS n FROM b WHERE before < 24000""")
+@query("WITH " + _BM25 + """, b AS (SELECT query_id, chunk_id, content, coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hits JOIN kid USING (chunk_id))
+SELECT query_id, chunk_id, CAST(length(substring(content, 1, CAST(24000 - before AS BIGINT))) AS BIGINT) AS n FROM b WHERE before < 24000""")
 def w08_pack_context(spark: SparkSession, sf: str) -> DataFrame:
-    first = _chunks(spark, sf).filter("chunk_index = 0").select(F.lit(1).alias("query_id"), "source_id", "content", F.col("source_id").alias("rank"))
-    return rt.pack_context(first).select("source_id", F.length("content").cast("long").alias("n"))
+    """The hits of each question that fit its context, in rank order; a question's hits are at most k."""
+    hits = _sparse(spark, sf).select("query_id", "chunk_id", "rank").join(_chunks(spark, sf).select("chunk_id", "content"), "chunk_id")
+    return rt.pack_context(hits).select("query_id", "chunk_id", F.length("content").cast("long").alias("n"))
 
 
 @query("""WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding[1:16], lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) AS norm FROM @embeddings)
@@ -266,10 +266,20 @@ def d06_mean_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return similar.mean_vectors(child).select("parent_id", F.posexplode("vec").alias("dim", "v")).select("parent_id", (F.col("dim") + 1).cast("long").alias("dim"), F.round("v", 6).alias("v"))
 
 
-@query("WITH " + _BM25 + " SELECT query_id, count(*) AS n, sum(length(kid.content)) < 500 * 6 OR max(score) < 10 AS web FROM hits JOIN kid USING (chunk_id) WHERE rank <= 8 GROUP BY 1")
+@query(_PLACED + """, pa AS (SELECT query_id, count(*) AS n_parents, max(score) AS top FROM par GROUP BY 1),
+wd AS (SELECT query_id, sum(len(regexp_extract_all(content, '[\\p{L}\\p{N}_]+'))) AS words FROM hits JOIN kid USING (chunk_id) WHERE rank <= 8 GROUP BY 1)
+SELECT q.query_id, CASE WHEN q.query_id % 7 = 0 THEN false WHEN q.query_id % 11 = 0 THEN true
+  ELSE q.query_id % 3 = 0 OR (q.query_id % 3 = 1 AND coalesce(n_parents, 0) < 3) OR coalesce(n_parents, 0) = 0 OR coalesce(top, 0) < 0.4 OR coalesce(words, 0) < 3000 OR (q.query_id % 5 > 3 AND q.query_id % 4 = 0) END AS web
+FROM @queries q LEFT JOIN pa USING (query_id) LEFT JOIN wd USING (query_id)""")
 def e14_web_trigger(spark: SparkSession, sf: str) -> DataFrame:
+    """Five signals and two overrides; intent, flags, entities and graph paths of a question come from its id here."""
+    parents = rt.promote_children(_placed(spark, sf)).groupBy("query_id").agg(F.count("*").alias("n_parents"), F.max("score").alias("top"))
     top = _sparse(spark, sf, 8).join(_chunks(spark, sf).select("chunk_id", "content"), "chunk_id")
-    return top.groupBy("query_id").agg(F.count("*").alias("n"), ((F.sum(F.length("content")) < 500 * 6) | (F.max("score") < 10)).alias("web"))
+    words = top.groupBy("query_id").agg(F.sum(F.size(tx.tokens(F.col("content")))).alias("words"))
+    q = frame(spark, sf, "queries").join(parents, "query_id", "left").join(words, "query_id", "left").fillna(0, ["n_parents", "top", "words"])
+    of = lambda n: F.col("query_id") % n
+    intent = F.when(of(3) == 0, "fresh").when(of(3) == 1, "explore").otherwise("lookup")
+    return q.select("query_id", similar.wants_web(intent, of(11) == 0, of(7) == 0, F.col("n_parents"), F.col("top"), F.col("words") / 6, (of(5) > 3).cast("int"), of(4)).alias("web"))
 
 
 @query("WITH tk AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'))) AS term FROM @documents)" + _embedded("doc_id", "term", "tk", "de") + " SELECT doc_id, CAST(d AS INTEGER) AS dim, round(v, 6) AS v FROM de")

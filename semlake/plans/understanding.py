@@ -44,9 +44,10 @@ def _score_sql(k: str) -> str:
 _INTENT = f"""
 b AS (SELECT id, text, trim(lower(text)) AS q FROM @decorated),
 y AS (SELECT *, list_transform(regexp_extract_all(q, '(^|[^\\p{{L}}\\p{{N}}_])((19|20)[0-9]{{2}})($|[^\\p{{L}}\\p{{N}}_])', 2), lambda x: CAST(x AS INTEGER)) AS years FROM b),
-s AS (SELECT id, greatest({_score_sql('lookup')}, CASE WHEN len(years) > 0 THEN 0.5 ELSE 0 END) AS lookup0, greatest({_score_sql('multi_hop')}, CASE WHEN regexp_matches(text, '\\[\\[.+?\\]\\]') THEN 0.85 ELSE 0 END) AS multi_hop,
+s AS (SELECT id, greatest({_score_sql('lookup')}, CASE WHEN len(years) > 0 OR regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{2,4}}($|[^\\p{{L}}\\p{{N}}_])') THEN 0.5 ELSE 0 END) AS lookup0, greatest({_score_sql('multi_hop')}, CASE WHEN regexp_matches(text, '\\[\\[.+?\\]\\]') THEN 0.85 ELSE 0 END) AS multi_hop,
   {_score_sql('personal')} AS personal, {_score_sql('educational')} AS educational, greatest({_score_sql('fresh')}, CASE WHEN len(list_filter(years, lambda x: x >= {YEAR - 1})) > 0 THEN 0.6 ELSE 0 END) AS fresh,
-  {_score_sql('comparison')} AS comparison, {_score_sql('refusal')} AS refusal FROM y),
+  {_score_sql('comparison')} AS comparison,
+  greatest({_score_sql('refusal')}, CASE WHEN len(string_split_regex(q, '\\s+')) <= 1 AND regexp_matches(q, '[^\\p{{L}}\\p{{N}}_\\s?.,\\-!:;()\\[\\]]') THEN 0.6 ELSE 0 END) AS refusal FROM y),
 sc AS (SELECT *, CASE WHEN greatest(lookup0, multi_hop, personal, educational, fresh, comparison, refusal) = 0 THEN 0.4 ELSE lookup0 END AS lookup FROM s)"""
 
 
@@ -120,9 +121,9 @@ def c16_citation_merge(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "turn", F.coalesce(F.nullif("source_path", F.lit("")), "rel_path").alias("path"), F.coalesce(F.nullif("gs", F.lit("")), "source_id").alias("source"))
 
 
-@query("SELECT answer_id, CASE WHEN n >= 2 THEN 'full' WHEN n = 1 THEN 'note' ELSE 'none' END AS verdict FROM (SELECT id AS answer_id, count(DISTINCT source_id) AS n FROM @citations WHERE turn < 2 GROUP BY 1)")
+@query("SELECT answer_id, CASE WHEN n >= 2 THEN 'full' WHEN n = 1 THEN 'note' ELSE 'none' END AS verdict FROM (SELECT id AS answer_id, count(DISTINCT source_id) AS n FROM @citations GROUP BY 1)")
 def q11_cross_source(spark: SparkSession, sf: str) -> DataFrame:
-    n = frame(spark, sf, "citations").filter("turn < 2").groupBy(F.col("id").alias("answer_id")).agg(F.countDistinct("source_id").alias("n"))
+    n = frame(spark, sf, "citations").groupBy(F.col("id").alias("answer_id")).agg(F.countDistinct("source_id").alias("n"))
     return n.select("answer_id", F.when(F.col("n") >= 2, "full").when(F.col("n") == 1, "note").otherwise("none").alias("verdict"))
 
 

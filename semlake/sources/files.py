@@ -16,9 +16,9 @@ GOLD = "id string, category string, query string, gold_sources array<struct<type
 PREDICTIONS = "head string, rel string, tail string, score double, run_id string"
 
 
-def scan_notes(spark: SparkSession, folder: str, vault_id: str) -> DataFrame:
+def scan_notes(spark: SparkSession, folder: str, vault_id: str, pattern: str = "*.md") -> DataFrame:
     """Every ``*.md`` under a vault: ``vault_id, rel_path, content, file_sha, modified_at``."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     root = folder.rstrip("/").removeprefix("file://")
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + __import__("re").escape(root) + "/", "")
     return raw.select(F.lit(vault_id).alias("vault_id"), F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("rel_path"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("file_sha"), F.col("modificationTime").alias("modified_at"))
@@ -59,6 +59,26 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.select(*cols).write.mode("overwrite").parquet(path)
 
 
+def append_quads(quads: DataFrame, path: str) -> None:
+    """Quads added to a table that is partitioned by graph: a batch writes only its own graphs' folders."""
+    quads.select("s", "p", "o", "o_is_iri", "graph").write.mode("append").partitionBy("graph").parquet(path)
+
+
+def read_quads(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("s string, p string, o string, o_is_iri boolean, graph string").parquet(path)
+
+
+SENTINEL = (
+    "id string, name string, description string, query string, retrieval struct<min_chunks:int,required_source_types:array<string>,min_graph_hops:int>, "
+    "answer struct<must_contain_concepts:array<string>,must_cite_sources:boolean,max_latency_ms:long>, runnable_from_phase int, manual_test string"
+)
+
+
+def read_sentinels(spark: SparkSession, folder: str, pattern: str = "S*.yaml") -> DataFrame:
+    """Sentinel definitions, one a file, in name order."""
+    return read_yaml(spark, folder, pattern, SENTINEL)
+
+
 def read_yaml(spark: SparkSession, folder: str, pattern: str, schema: str = GOLD) -> DataFrame:
     """YAML files by name pattern as rows of ``schema`` in name order; files that don't parse to a mapping are skipped."""
     raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), "value")
@@ -80,8 +100,8 @@ def read_yaml(spark: SparkSession, folder: str, pattern: str, schema: str = GOLD
     return raw.mapInPandas(run, "file string, js string").select("file", F.from_json("js", schema).alias("r")).select("file", "r.*").orderBy("file")
 
 
-def read_gold(spark: SparkSession, folder: str, category: str | None = None) -> DataFrame:
-    gold = read_yaml(spark, folder, "q-*.yaml").filter("id is not null")
+def read_gold(spark: SparkSession, folder: str, category: str | None = None, pattern: str = "q-*.yaml") -> DataFrame:
+    gold = read_yaml(spark, folder, pattern).filter("id is not null")
     return gold.filter(F.col("category") == category) if category else gold
 
 

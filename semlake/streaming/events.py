@@ -25,10 +25,14 @@ def work_items(events: DataFrame) -> DataFrame:
     return events.withColumn("ext", ext).filter("ext is not null").withColumn("job", item)
 
 
+def keyed(items: DataFrame) -> DataFrame:
+    """Items with the idempotency key of job, source and target."""
+    return items.withColumn("key", F.sha2(F.concat_ws("|", "job", "src", F.coalesce("dest", F.lit(""))), 256))
+
+
 def enqueue(items: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Work items once for each idempotency key."""
-    keyed = items.withColumn("key", F.sha2(F.concat_ws("|", "job", "src", F.coalesce("dest", F.lit(""))), 256))
-    return keyed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["key"])
+    return keyed(items).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["key"])
 
 
 def index_changes(read: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str):
