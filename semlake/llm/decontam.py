@@ -40,7 +40,9 @@ DRIFT = 3
 #: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 8_000_000
 CACHE = 400_000
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
+#: Characters of the texts that are taken together, so that array operations are few; a NUL parts them.
+GROUP_CHARS = 1 << 16
+TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n\0]")
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ounce ounces ton tons ml l liter liters litre litres gallon gallons square cubic "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents "
@@ -50,11 +52,14 @@ SPELT = frozenset(
     "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 )
 TITLES = frozenset("mr mrs ms dr prof st herr frau".split())
-_WORD, _CAPITAL, _NUMBER, _STOP, _UNIT, _SPELT, _LINE, _TITLE, _PER = range(9)
+_WORD, _CAPITAL, _NUMBER, _STOP, _UNIT, _SPELT, _LINE, _TITLE, _PER, _PART = range(10)
 #: Kinds of slots: none, name, number, unit.
 _NAME, _NUM, _MEASURE = 1, 2, 3
 _SLOT = np.array([0, 0x4E414D45 << 8, 0x4E554D42 << 8, 0x554E4954 << 8], np.int64)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A window's hash is a polynomial in an odd number modulo 2^64, taken from sums over all units.
+_MIX = 0x9E3779B97F4A7C15
+_BACK = pow(_MIX, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(0, np.uint64)] * 2
 #: The readings: lower-case words, openers as words, openers as names.
 PLAIN, WORDS, NAMES = range(3)
 
@@ -76,6 +81,8 @@ class _Codes(dict):
             kind = _STOP
         elif token == "\n":
             kind = _LINE
+        elif token == "\0":
+            kind = _PART
         elif low in UNITS:
             kind = _UNIT
         elif low == "per":
@@ -95,6 +102,16 @@ def _before(flags: np.ndarray) -> np.ndarray:
     return out
 
 
+def _power_table(n: int) -> list[np.ndarray]:
+    """Powers of the number and of its inverse, up to n at least."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_MIX, _BACK)):
+            steps = np.full(max(n, 1 << 15), base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
 def _counts(flags: np.ndarray, size: int) -> np.ndarray:
     """The number of set flags in each window."""
     sums = np.zeros(len(flags) + 1, np.int32)
@@ -119,16 +136,18 @@ class Reading:
 
 
 class Canonical:
-    """A text's words in their three readings, with the places where sentences and lines begin and end."""
+    """The words of some texts in their three readings, with the places where sentences and lines begin and end."""
 
-    def __init__(self, text: str | None, codes: _Codes):
-        tokens = TOKEN.findall(text or "")
+    def __init__(self, texts: list[str | None], codes: _Codes):
+        tokens = TOKEN.findall("\0".join([t.replace("\0", " ") if t else "" for t in texts]))
         raw = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
         kind = raw & 15
         stop = (kind == _STOP) & ~_before(kind == _TITLE)
-        line = kind == _LINE
-        at = np.flatnonzero(~(stop | line | (kind == _STOP)))
-        self.tokens, self.at = tokens, at
+        part = kind == _PART
+        line = (kind == _LINE) | part
+        at = np.flatnonzero(~(line | (kind == _STOP)))
+        self.tokens, self.at, self.text = tokens, at, np.cumsum(part)[at]
+        self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))  # words of text i: bounds[i] to bounds[i + 1]
         breaks = np.cumsum(stop | line)[at]
         kind, literal = kind[at], raw[at] & ~15
         opens, ends = np.ones(len(at), bool), np.ones(len(at), bool)
@@ -140,7 +159,7 @@ class Canonical:
         measure = unit & _before(number) & ~opens
         if measure.any():
             after = unit.copy()
-            after[:-1] |= (kind == _PER)[:-1] & unit[1:]
+            after[:-1] |= (kind == _PER)[:-1] & unit[1:] & ~opens[1:]
             for _ in range(3):
                 measure |= after & _before(measure) & ~opens
         name = capital & ~opens
@@ -164,20 +183,19 @@ class Canonical:
         n = len(r) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        code, start = r.code.view(np.uint64), size * 2 + (reading > PLAIN)
-        if reading == PLAIN:
-            at, parts = np.arange(n), [code[j : j + n] for j in range(size)]
-        else:
+        power, back = _power_table(len(r))
+        sums = np.zeros(len(r) + 1, np.uint64)
+        np.cumsum(r.code.view(np.uint64) * back[: len(r)], out=sums[1:])
+        good = self.text[r.start[:n]] == self.text[r.start[size - 1 :]]
+        if reading > PLAIN:
             slots = _counts(r.slot > 0, size)
-            good = slots < size
+            good &= slots < size
             good &= (slots if reading == WORDS else _counts(self.opener[r.start], size)) > 0
-            at = np.flatnonzero(good)
-            parts = [code[at + j] for j in range(size)]
-        h = np.full(len(at), start, np.uint64)
-        for part in parts:
-            h *= _MIX
-            h += part
-            h ^= h >> np.uint64(29)
+        at = np.flatnonzero(good)
+        h = (sums[at + size] - sums[at]) * power[at]
+        h ^= np.uint64((size * 2 + (reading > PLAIN)) * _BACK & (1 << 64) - 1)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(_MIX)
         return at, h
 
     def slots_alone(self, size: int) -> list[int]:
@@ -191,7 +209,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         codes = _Codes()
-        known = [(i, c) for i, t in items if len((c := Canonical(t, codes)).at)]
+        known = [(i, c) for i, t in items if len((c := Canonical([t], codes)).at)]
         self.ids, self.items = [i for i, _ in known], [c for _, c in known]
         self.words = np.array([len(c.at) for c in self.items], np.int64)
         self.sizes = [[min(WINDOW, len(r)) for r in c.readings] for c in self.items]
@@ -215,7 +233,7 @@ class Index:
         self.filter[self.hashes >> self.shift] = True
 
     def _hits(self, doc: Canonical) -> np.ndarray:
-        """Columns (item, item's reading, unit, first word, end word, document's reading, unit, word)."""
+        """Columns (item, item's reading, unit, first word, end word, document's reading, unit, word, text)."""
         out = []
         for reading, size in self.probes:
             at, h = doc.windows(reading, size)
@@ -228,43 +246,53 @@ class Index:
                 continue
             own = np.repeat(at[some], n)
             place = self.places[:, np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
-            out.append(np.concatenate([place, np.stack([np.full(len(own), reading), own, doc.readings[reading].start[own]])]))
-        return np.concatenate(out, axis=1) if out else np.zeros((8, 0), np.int64)
-
-    def search(self, text: str | None, codes: _Codes) -> list[tuple[int, float, bool, int]]:
-        """(item, coverage, whether slots differ, number of slots that were met as such) of the items found in a text."""
-        doc = Canonical(text, codes)
+            word = doc.readings[reading].start[own]
+            out.append(np.concatenate([place, np.stack([np.full(len(own), reading), own, word, doc.text[word]])]))
+        return np.concatenate(out, axis=1) if out else np.zeros((9, 0), np.int64)
+
+    def search(self, texts: list[str | None], codes: _Codes) -> Iterator[tuple[int, int, float, bool, int]]:
+        """(place of the text, item, coverage, whether slots differ, number of slots that were met as such) of the items
+        found in some texts."""
+        first, size = 0, 0
+        for last, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size > GROUP_CHARS or last == len(texts):
+                for k, *found in self._search(Canonical(texts[first:last], codes)):
+                    yield first + k, *found
+                first, size = last, 0
+
+    def _search(self, doc: Canonical) -> Iterator[tuple[int, int, float, bool, int]]:
         hits = self._hits(doc)
         if not hits.shape[1]:
-            return []
+            return
         # what the windows of an item can cover at best, before anything is looked at in detail
-        windows = np.unique(hits[:5], axis=1)
-        most = np.bincount(windows[0], windows[4] - windows[3], len(self.items)) + self.bare_words
-        found = []
-        for n in np.unique(windows[0]):
-            if most[n] < COVERAGE * self.words[n]:
-                continue
-            mine = hits[1:, hits[0] == n]
-            best = self._whole(doc, n, mine) if self.words[n] < WINDOW else self._best(doc, n, mine)
+        pair = hits[8] * len(self.items) + hits[0]
+        windows = np.unique(np.concatenate([pair[None], hits[1:5]]), axis=1)
+        pairs, at = np.unique(windows[0], return_inverse=True)
+        which, item = np.divmod(pairs, len(self.items))
+        most = np.bincount(at, windows[4] - windows[3], len(pairs)) + self.bare_words[item]
+        for p in np.flatnonzero(most >= COVERAGE * self.words[item]):
+            n = item[p]
+            mine = hits[1:8, pair == pairs[p]]
+            best = self._whole(doc, which[p], n, mine) if self.words[n] < WINDOW else self._best(doc, which[p], n, mine)
             if best and best[0] >= COVERAGE:
-                found.append((self.ids[n], *best))
-        return found
+                yield int(which[p]), self.ids[n], *best
 
-    def _whole(self, doc: Canonical, n: int, hits: np.ndarray) -> tuple[float, bool, int] | None:
+    def _whole(self, doc: Canonical, which: int, n: int, hits: np.ndarray) -> tuple[float, bool, int] | None:
         """A short item that is a whole sentence or line of the document, or all of it."""
         own, best = self.items[n], None
         for reading, _, _, _, dreading, unit, word in hits.T.tolist():
             r = doc.readings[dreading]
             end = int(r.end[unit + self.sizes[n][reading] - 1])
             literal = int((own.readings[WORDS].slot == 0).sum())
-            all_of_it = word == 0 and end == len(doc.at)
+            all_of_it = word == doc.bounds[which] and end == doc.bounds[which + 1]
             if literal < MIN_LITERAL and not (all_of_it and reading == PLAIN) or not (doc.begins[word] and doc.ends[end - 1]):
                 continue
-            got = self._covered(doc, n, [(word, reading, 0, dreading, unit)], [])
+            got = self._covered(doc, which, n, [(word, reading, 0, dreading, unit)], [])
             best = got if best is None or got > best else best
         return best
 
-    def _best(self, doc: Canonical, n: int, hits: np.ndarray) -> tuple[float, bool, int] | None:
+    def _best(self, doc: Canonical, which: int, n: int, hits: np.ndarray) -> tuple[float, bool, int] | None:
         own, best = self.items[n], None
         # the diagonal of a window: its word in the document less its word in the item
         diagonal = hits[6] - hits[2]
@@ -282,11 +310,11 @@ class Index:
             words = [x for x in rows if x[1] == PLAIN or x[1] == WORDS and x[3] == WORDS]
             bare = self.bare[n]
             tries = [(firm, [])] + [(words, bare)] * (bool(bare) or words != firm) + [(rows, bare)] * (rows != words)
-            for got in [self._covered(doc, n, *t) for t in tries]:
+            for got in [self._covered(doc, which, n, *t) for t in tries]:
                 best = got if best is None or got[0] > best[0] else best
         return best
 
-    def _covered(self, doc: Canonical, n: int, rows: list[tuple[int, int, int, int, int]], bare: list[int]) -> tuple[float, bool, int]:
+    def _covered(self, doc: Canonical, which: int, n: int, rows: list[tuple[int, int, int, int, int]], bare: list[int]) -> tuple[float, bool, int]:
         """Coverage by rows (diagonal, item's reading, unit, document's reading, unit), with the pairs of slot values."""
         own, sizes = self.items[n], self.sizes[n]
         span = lambda reading, k: range(own.readings[reading].start[k], own.readings[reading].end[k + sizes[reading] - 1])
@@ -297,7 +325,8 @@ class Index:
             for d in {x[0] for x in rows}:
                 for k in bare:
                     u = int(np.searchsorted(other.start, d + mine.start[k]))
-                    if u < len(other) and other.start[u] == d + mine.start[k] and np.array_equal(mine.slot[k : k + size], other.slot[u : u + size]):
+                    inside = u + size <= len(other) and doc.bounds[which] <= other.start[u] == d + mine.start[k] and other.end[u + size - 1] <= doc.bounds[which + 1]
+                    if inside and np.array_equal(mine.slot[k : k + size], other.slot[u : u + size]):
                         windows.append((NAMES, k, NAMES, u))
         pairs = {}  # window -> its slots: (kind, item's value), document's value, document's word
         for reading, k, dreading, u in windows:
@@ -361,7 +390,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, codes = _index(*shared.value), _Codes()
             for b in batches:
-                found = [(k, *f) for k, t in enumerate(b.column(1).to_pylist()) for f in index.search(t, codes)]
+                found = list(index.search(b.column(1).to_pylist(), codes))
                 if found:
                     at, *made = zip(*found)
                     kinds = (pa.int64(), pa.float64(), pa.bool_(), pa.int32())
@@ -386,7 +415,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, codes = _index(*shared.value), _Codes()
             for b in batches:
-                yield b.filter(pa.array([not index.search(t, codes) for t in b.column(text).to_pylist()], pa.bool_()))
+                kept = np.ones(b.num_rows, bool)
+                kept[[k for k, *_ in index.search(b.column(text).cast(pa.string()).to_pylist(), codes)]] = False
+                yield b.filter(pa.array(kept))
 
         docs = docs.mapInArrow(run, schema)
     return docs

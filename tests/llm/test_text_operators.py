@@ -76,7 +76,10 @@ def test_decontamination_in_blocks(spark, monkeypatch):
 
 def found(items, text):
     index, codes = decontam.Index(items), decontam._Codes()
-    return [(i, again) for i, _, again, _ in index.search(text, codes)]
+    alone = [(i, again) for _, i, _, again, _ in index.search([text], codes)]
+    # among other texts the answer is the same
+    assert alone == [(i, again) for k, i, _, again, _ in index.search(["per hour", None, "Tom", text, "", "hours 5"], codes) if k == 3]
+    return alone
 
 
 def test_decontamination_of_items_asked_anew():
