@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 from pyspark.sql.window import Window
 
 from semlake.functions import text as tx
+from semlake.sources.scratch import stored
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Trust by source type; any other type gets the last.
@@ -90,7 +91,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", t
     """
     spark = chunks.sparkSession
     wanted = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).distinct()
-    sized = chunks.select(key, tx.tokens(F.col(text)).alias("_t"))
+    # stored: both passes read the tokens, and no text is cut twice
+    sized = stored(chunks.select(key, tx.tokens(F.col(text)).alias("_t")), "tokens")
     # every chunk counts once under the term "", which no token is, with its length
     marked = sized.select(F.size("_t").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_t"))).alias("term"))
     counts = marked.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("len"))
