@@ -5,8 +5,8 @@ their differences from the label's mean, and compares every vector with the next
 Verified pairs of all passes are united into components.
 
 The size of the largest label gives the first number of passes; whether they suffice is measured.  Probes, made from
-sampled vectors by turning each by the threshold angle in a random direction, are sorted and compared with the others
-but never link them.  A probe is met when it is linked to its vector's component.  Passes are added until a share of
+sampled vectors by turning each by the threshold angle, at the same distance from the label's mean, are sorted and
+compared with the others but never link them.  A probe is met when it is linked to its vector's component.  Passes are added until a share of
 ``RECALL`` is met, over all probes and over those of every label with ``JUDGED`` or more.
 
 Link counts are then exact within components: vectors within half the threshold angle of the component's pivot are
@@ -96,24 +96,39 @@ def means(classes: DataFrame) -> DataFrame:
 
 
 def _turned(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """``node, vec, mean`` -> vec turned by the threshold angle, as far from the mean as before where that is possible:
+    a wholly random direction would lead out of the label's cone, to places where neighbours are met more easily."""
     cos = min(threshold + 1e-9, 1.0)
+    sin = math.sqrt(1 - cos * cos)
     for pdf in batches:
         out = []
-        for node, v in zip(pdf["node"], pdf["vec"]):
-            x = _row_unit(v)
+        for node, v, mean in zip(pdf["node"], pdf["vec"], pdf["mean"]):
+            x, m = _row_unit(v), np.frombuffer(mean, np.float64)
+            along = float(m @ x)
+            side = m - along * x
+            tilt = math.sqrt(float(side @ side))
             r = np.random.default_rng(int(node) & (2**64 - 1)).standard_normal(len(x))
             r -= (r @ x) * x
+            share = 0.0
+            if tilt > 1e-9:
+                side /= tilt
+                r -= (r @ side) * side
+                # the turned vector's product with the mean stays the same
+                share = max(-1.0, min(1.0, along * (1 - cos) / max(sin * tilt, 1e-12)))
             size = math.sqrt(float(r @ r))
-            out.append((cos * x + math.sqrt(1 - cos * cos) / size * r if size > 1e-9 else x).tobytes())
-        yield pdf.assign(vec=out)
+            r = share * side + (math.sqrt(1 - share * share) / size * r if size > 1e-9 else 0.0)
+            size = math.sqrt(float(r @ r))
+            out.append((cos * x + sin / size * r if size > 1e-9 else x).tobytes())
+        yield pdf.assign(vec=out)[["label", "node", "vec"]]
 
 
-def probes_of(classes: DataFrame, window: int, threshold: float) -> DataFrame:
+def probes_of(classes: DataFrame, about: DataFrame, window: int, threshold: float) -> DataFrame:
     """``label, node, vec``: sampled vectors of the labels too large for one window, turned by the threshold angle."""
     sizes = materialise(classes.groupBy("label").agg(F.count("*").alias("size")).filter(F.col("size") > 2 * window), "sizes")
     each = max(1, min(LABEL_PROBES, PROBES // max(sizes.count(), 1)))
     drawn = F.pmod(F.xxhash64(F.lit("probe"), "node"), F.col("size")) < F.least(F.lit(each), F.ceil(F.col("size") / 32))
-    chosen = classes.join(respread(sizes), "label").filter(drawn).select("label", "node", "vec")
+    chosen = classes.join(respread(sizes), "label").filter(drawn).select("label", "node", "vec", (F.length("vec") / 8).cast("int").alias("dim"))
+    chosen = chosen.join(about.select("label", "dim", "mean"), ["label", "dim"]).select("label", "node", "vec", "mean")
     return chosen.mapInPandas(lambda it: _turned(it, threshold), "label string, node long, vec binary")
 
 
@@ -217,7 +232,7 @@ def _met(probes: DataFrame, hits: DataFrame, comps: DataFrame) -> float:
 def components(classes: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
     """``classes(label, node, vec)`` -> ``(node, component)`` of the linked ones, by as many passes as the probes need."""
     about = materialise(means(classes), "means")
-    probes = materialise(probes_of(classes, window, threshold), "probes")
+    probes = materialise(probes_of(classes, about, window, threshold), "probes")
     every = classes.select("label", "node", "vec", F.lit(False).alias("probe")).unionByName(probes.withColumn("probe", F.lit(True)))
     every = every.withColumn("dim", (F.length("vec") / 8).cast("int")).join(respread(about.drop("n")), ["label", "dim"])
     done, passes = 0, passes_for(about.groupBy("label").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0, threshold, window)
