@@ -68,7 +68,7 @@ def _step(state: str, failures: list[float], since: float, ts: float, ok: bool,
 
 
 def health_function(window: float = 60.0, heal: float = 60.0):
-    """State function over outcomes ``(provider, ts, ok)``: events wait in order until the watermark has passed."""
+    """State function over outcomes ``(provider, ts, ok)``, in order of time within a micro-batch; a late one is taken as it comes."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, failures, since, _ = state.get if state.exists else ("HEALTHY", [], 0.0, 0.0)
