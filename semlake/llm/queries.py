@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semlake.llm import decontam, embeddings, langid, licenses, mixing, pii, simhash, tokens, toxicity, warc
+from semlake.llm import decontam, embeddings, langid, licenses, mixing, neighbours, periodic, pii, repair, simhash, tokens, toxicity, warc
 from semlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,22 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
 
 
+@register
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+@register
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+@register
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audits(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 ORACLES["op8_warc_revisits"] = """
 WITH p AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
