@@ -147,16 +147,11 @@ class _Bits:
 
 
 def _windows(hits: Column, size: int) -> Column:
-    """Windows of ``size`` shingles, half of it apart, that hold a hit: their size, start and distinct shingles."""
+    """Each hit in the two windows of ``size`` shingles, half of it apart, that hold it: size, start and shingle."""
     stride = max(size // 2, 1)
     at = lambda x: F.call_function("div", x["p"], F.lit(stride)).cast("int")
-    ids = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.array(at(x), at(x) - 1))))
-
-    def cut(w: Column) -> Column:
-        inside = F.filter(hits, lambda x: (x["p"] >= w * stride) & (x["p"] < w * stride + size))
-        return F.struct(F.lit(size).alias("size"), (w * stride).alias("start"), F.array_distinct(F.transform(inside, lambda x: x["s"])).alias("s"))
-
-    return F.transform(F.filter(ids, lambda w: w >= 0), cut)
+    one = lambda w, x: F.struct(F.lit(size).alias("size"), (w * stride).alias("start"), x["s"].alias("s"))
+    return F.filter(F.flatten(F.transform(hits, lambda x: F.array(one(at(x), x), one(at(x) - 1, x)))), lambda w: w["start"] >= 0)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -173,22 +168,25 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     rows = rows.select("doc_id", "text", _once(_words(F.col("text"))).alias("w")).select("doc_id", "text", _once(_shingles(F.col("w"))).alias("h"))
     hits = F.array_compact(F.transform("h", lambda x, i: F.when(every.holds(x), F.struct(x.alias("s"), i.alias("p")))))
     rows = rows.select("doc_id", "text", _once(hits).alias("hits")).filter(F.size("hits") > 0)
-    # rows are told apart by id and text; rows that repeat both are counted below
-    rows = rows.select("doc_id", F.md5("text").alias("digest"), "hits")
+    # rows are told apart by id and text; those that repeat both are one, with their number
+    rows = rows.groupBy("doc_id", F.md5("text").alias("digest")).agg(F.count("*").cast("int").alias("copies"), F.first("hits").alias("hits"))
     wins = []
     for size in sorted({size for _, size, _, _ in known}):
         wins.append(_windows(_Bits({s for _, n, shingles, _ in known if n == size for s in shingles}).among("hits"), size))
-    wins = rows.select("doc_id", "digest", F.explode(F.concat(*wins)).alias("win")).select("doc_id", "digest", "win.*")
-    probes = wins.select("doc_id", "digest", "size", "start", "s", F.posexplode(_signature(F.col("s"))).alias("band", "hash"))
+    row = ["doc_id", "digest", "copies"]
+    wins = rows.select(*row, F.explode(F.concat(*wins)).alias("win")).groupBy(*row, "win.size", "win.start").agg(F.array_sort(F.collect_set("win.s")).alias("s"))
+    # windows of a row with the same shingles are probed once
+    sets = wins.groupBy(*row, "size", "s").agg(F.count("*").alias("n_windows"), F.min("start").alias("start"))
+    probes = sets.select(*row, "size", "start", "n_windows", "s", F.posexplode(_signature(F.col("s"))).alias("band", "hash"))
     bands = spark.createDataFrame([(name, size, band, h, shingles) for name, size, shingles, sig in known for band, h in enumerate(sig)], "license string, size int, band int, hash long, own array<bigint>")
     if len(known) * BANDS <= BROADCAST_BANDS:
         bands = F.broadcast(bands)
     share = F.size(F.array_intersect("s", "own")) / F.size("own")
-    met = probes.join(bands, ["band", "hash", "size"]).select("doc_id", "digest", "license", "start", "band", share.alias("containment")).filter(F.col("containment") >= CONTAINMENT)
-    # a window is retrieved by several bands; the same band of the same window again is another row of docs
-    each = met.groupBy("doc_id", "digest", "license", "start", "band").agg(F.max("containment").alias("containment"), F.count("*").alias("copies"))
-    found = each.groupBy("doc_id", "digest", "license").agg(F.max("containment").alias("containment"), F.count_distinct("start").alias("n_windows"), F.min("start").cast("int").alias("first_word"), F.max("copies").alias("copies"))
-    return found.select("doc_id", "license", "containment", "n_windows", "first_word", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    met = probes.join(bands, ["band", "hash", "size"]).select(*row, "license", "start", "n_windows", share.alias("containment")).filter(F.col("containment") >= CONTAINMENT)
+    # several bands retrieve the same template
+    each = met.distinct()
+    found = each.groupBy(*row, "license").agg(F.max("containment").alias("containment"), F.sum("n_windows").alias("n_windows"), F.min("start").cast("int").alias("first_word"))
+    return found.select("doc_id", "license", "containment", "n_windows", "first_word", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def oracle(templates: dict[str, str] = TEMPLATES) -> str:

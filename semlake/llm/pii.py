@@ -7,6 +7,10 @@ script, addresses that parse.  Surrogates that
 meet another surrogate or a real entity of the type are drawn again until none do, over the whole corpus.  The
 surrogate is then put into the format of each mention, and the texts that hold any are rewritten; other texts pass
 through without a shuffle.
+
+Names are found by titles, given names and phrases that introduce a name.  The words of a name that a text holds once are
+then found wherever they stand alone in it, and get the same surrogates; a title gives the gender of the given name that
+follows it, for the whole text.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ PUBLIC_KEY = "public-demonstration-key"
 #: Draws before giving up with an error; each one widens names, and a clash is rare in the other types.
 DRAWS = 40
 #: Given names by gender, Latin and Cyrillic.
-FEMALE = "Mary Anna Maria Elizabeth Sarah Emma Laura Julia Sophie Marie Claire Camille Isabel Carmen Lucia Elena Katharina Ursula Monika Анна Мария Елена Ольга Наталья Татьяна".split()
-MALE = "John James Robert Michael William David Thomas Peter Paul Pierre Jean Luc Carlos Juan Pedro Miguel Hans Klaus Jürgen Stefan Иван Дмитрий Сергей Алексей Николай Михаил".split()
+FEMALE = "Mary Anna Maria Elizabeth Sarah Emma Laura Julia Sophie Marie Claire Camille Isabel Carmen Lucia Elena Katharina Ursula Monika Jane Susan Linda Karen Nancy Lisa Helen Alice Grace Rachel Laure Hélène Nathalie Pilar Rosa Teresa Sabine Petra Анна Мария Елена Ольга Наталья Татьяна".split()
+MALE = "John James Robert Michael William David Thomas Peter Paul Pierre Jean Luc Carlos Juan Pedro Miguel Hans Klaus Jürgen Stefan Richard Charles Joseph George Henry Edward Daniel Andrew Martin Simon François Antoine Javier Antonio Manuel Wolfgang Dieter Uwe Иван Дмитрий Сергей Алексей Николай Михаил".split()
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra")
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr")
+OTHER_TITLES = ("Dr", "Prof", "Doctor", "Professor")
+#: What introduces a name.
+CUES = ("my name is ", "My name is ", "Name: ", "Signed, ")
 SYLLABLES = "ba be bi bo da de di do fa fe ka ke la le li lo ma me mi mo na ne no ra re ri ro sa se ta".split()
 CYRILLIC = "ба бе би бо да де ди до ва ве ка ке ла ле ли ло ма ме ми мо на не но ра ре ри ро са се та".split()
 
@@ -41,19 +48,59 @@ _CARD = r"(?=\d)(?<![\d+.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)"
 _SSN = r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = r"(?=[+(\d])(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
 _CAPITAL = r"(?=[A-ZЀ-Я])(?<!\p{L})"
-_TITLED = rf"{_CAPITAL}(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? {_NAME}(?: {_NAME})?"
+_TITLES = "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
+_TITLED = rf"{_CAPITAL}(?:{_TITLES})\.? (?:(?:{_TITLES})\.? )?{_NAME}(?: {_NAME})?"
 _GIVEN = rf"{_CAPITAL}(?:{'|'.join(FEMALE + MALE)}) {_NAME}(?: {_NAME})?"
-PATTERN = "|".join((_EMAIL, _SECRET, _IBAN, _IP6, _IP, _CARD, _SSN, _PHONE, _TITLED, _GIVEN))
+_CUED = "|".join(rf"(?<={c}){_NAME}(?: {_NAME})?" for c in CUES)
+PATTERN = "|".join((_EMAIL, _SECRET, _IBAN, _IP6, _IP, _CARD, _SSN, _PHONE, _TITLED, _GIVEN, _CUED))
 #: Every text with an entity meets this; it is cheap, so the pattern runs on the few texts that do.
-TRIGGER = rf"[@0-9]|[a-fA-F]{{32}}|[a-fA-F]:[a-fA-F]|sk-|gh[pousr]_|AKIA|{_CAPITAL}(?:{'|'.join([*FEMALE_TITLES, *MALE_TITLES, *FEMALE, *MALE])})[. ]"
-_TITLE = rf"^(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.?$"
+TRIGGER = rf"[@0-9]|[a-fA-F]{{32}}|[a-fA-F]:[a-fA-F]|sk-|gh[pousr]_|AKIA|{_CAPITAL}(?:{'|'.join([_TITLES, *FEMALE, *MALE])})[. ]|{'|'.join(CUES)}"
+_TITLE = rf"^(?:{_TITLES})\.?$"
+#: Begins the mention of a name's word that stands alone, with its role in the text: f, m or n for given names, else s.
+_ALONE = "\u0001"
 
 
 def mentions(text: Column) -> Column:
-    """Every entity of a text, in order, as it is written."""
+    """Every entity of a text that the pattern finds, in order, as it is written."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
+def _titled(words: Column) -> tuple[Column, Column]:
+    """Titles before the words of a name, and the gender that these give: f, m or null."""
+    is_title = lambda w: F.coalesce(w.rlike(_TITLE), F.lit(False))
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    n = F.when(is_title(first) & is_title(second), 2).when(is_title(first), 1).otherwise(0)
+    of = lambda titles: F.exists(F.slice(words, F.lit(1), n), lambda w: w.rlike(rf"^(?:{'|'.join(titles)})\.?$"))
+    return n, F.when(of(FEMALE_TITLES), "f").when(of(MALE_TITLES), "m")
+
+
+def name_words(found: Column) -> Column:
+    """The words of the names among a text's mentions, as structs of word and role."""
+
+    def roles(raw: Column) -> Column:
+        words = F.split(raw, " ")
+        n, gender = _titled(words)
+        role = lambda w, i: (
+            F.when((i == n) & w.isin(FEMALE), "f").when((i == n) & w.isin(MALE), "m").when((i == n) & (F.size(words) > n + 1), F.coalesce(gender, F.lit("n"))).otherwise("s")
+        )
+        return F.filter(F.transform(words, lambda w, i: F.struct(F.when(i >= n, w).alias("word"), role(w, i).alias("role"))), lambda x: F.length(x["word"]) > 1)
+
+    names = F.filter(found, lambda r: r.rlike(r"^\p{Lu}[\p{L}'’. -]*$"))
+    return F.array_distinct(F.flatten(F.transform(names, roles)))
+
+
+def pattern_of(words: Column) -> Column:
+    """The pattern of one text: the general one, then the words of its names wherever they stand alone."""
+    each = F.array_sort(F.array_distinct(F.flatten(F.transform(words, lambda x: F.array(x["word"], F.upper(x["word"]))))), lambda a, b: F.length(b) - F.length(a))
+    return F.when(F.size(words) > 0, F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}'’-])(?:"), F.array_join(each, "|"), F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(PATTERN))
+
+
+def marked(found: Column, words: Column) -> Column:
+    """Mentions with those that are a name's word alone marked with its role in the text (given names first)."""
+    role = lambda r: F.array_min(F.transform(F.filter(words, lambda x: (x["word"] == r) | (F.upper(x["word"]) == r)), lambda x: x["role"]))
+    return F.transform(found, lambda r: F.coalesce(F.concat(F.lit(_ALONE), role(r), r), r))
+
+
 def entity_type(raw: Column) -> Column:
     whole = lambda p: raw.rlike(f"^(?:{p})$")
     return (
@@ -71,14 +118,20 @@ def entity_type(raw: Column) -> Column:
 
 def parts(raws: DataFrame) -> DataFrame:
     """``raws(raw)`` -> ``(raw, at, type, piece, canon)``: names by word, the others whole; titles stay (null canon)."""
-    kind = entity_type(F.col("raw"))
-    cut = F.when(F.col("type") == "name", F.split("raw", " ")).otherwise(F.array("raw"))
-    out = raws.withColumn("type", kind).withColumn("cut", cut).select("raw", "type", "cut", F.posexplode("cut").alias("at", "piece"))
-    first = F.col("cut")[0]
-    title = F.col("piece").rlike(_TITLE) & (F.col("at") == 0)
-    given = (F.col("at") == F.when(first.rlike(_TITLE), 1).otherwise(0)) & F.col("piece").isin(FEMALE + MALE)
-    # a word is one entity wherever it stands: given names by the list's gender, all others as surnames
-    role = F.when(given & F.col("piece").isin(FEMALE), "given-f").when(given, "given-m").otherwise("surname")
+    alone = F.col("raw").startswith(_ALONE)
+    kind = F.when(alone, "name").otherwise(entity_type(F.col("raw")))
+    cut = F.when(alone, F.array(F.substr("raw", F.lit(3)))).when(F.col("type") == "name", F.split("raw", " ")).otherwise(F.array("raw"))
+    out = raws.withColumn("type", kind).withColumn("cut", cut)
+    titles, gender = _titled(F.col("cut"))
+    own = F.when(alone, F.substr("raw", F.lit(2), F.lit(1)))
+    out = out.withColumns({"titles": F.when(alone, 0).otherwise(titles), "gender": gender, "own": own, "words": F.size("cut")})
+    out = out.select("raw", "type", "titles", "gender", "own", "words", F.posexplode("cut").alias("at", "piece"))
+    title = F.col("at") < F.col("titles")
+    given = F.col("at") == F.col("titles")
+    listed = F.when(F.col("piece").isin(FEMALE), "f").when(F.col("piece").isin(MALE), "m")
+    # the first of several words is a given name: gendered by the list, else by the title
+    role = F.coalesce("own", F.when(given, F.coalesce(listed, F.when(F.col("words") > F.col("titles") + 1, F.coalesce("gender", F.lit("n"))))), F.lit("s"))
+    role = F.when(role == "s", "surname").otherwise(F.concat(F.lit("given-"), role))
     script = F.when(F.col("piece").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     full = F.when(F.col("type") == "name", F.concat_ws("/", F.lit("name"), role, script)).otherwise(F.col("type"))
     canon = (
@@ -141,8 +194,8 @@ def _byte(i: int) -> Column:
 def _made_name() -> Column:
     """A pronounceable word, longer with each draw: gendered endings for given names, the entity's script."""
     syllables = lambda table: F.transform(F.sequence(F.lit(0), F.least(F.col("draw") + 2, F.lit(20))), lambda i: F.get(F.array(*map(F.lit, table)), F.pmod(F.conv(F.substr(F.col("hex"), (i * 3 + 1).cast("int"), F.lit(3)), 16, 10).cast("int"), F.lit(len(table)))))
-    latin = F.concat(F.array_join(syllables(SYLLABLES), ""), F.when(F.col("type").contains("given-f"), "a").when(F.col("type").contains("given-m"), "n").otherwise("s"))
-    cyrillic = F.concat(F.array_join(syllables(CYRILLIC), ""), F.when(F.col("type").contains("given-f"), "на").when(F.col("type").contains("given-m"), "н").otherwise("в"))
+    latin = F.concat(F.array_join(syllables(SYLLABLES), ""), F.when(F.col("type").contains("given-f"), "a").when(F.col("type").contains("given-m"), "n").when(F.col("type").contains("given-n"), "l").otherwise("s"))
+    cyrillic = F.concat(F.array_join(syllables(CYRILLIC), ""), F.when(F.col("type").contains("given-f"), "на").when(F.col("type").contains("given-m"), "н").when(F.col("type").contains("given-n"), "л").otherwise("в"))
     return F.when(F.col("type").endswith("cyrillic"), cyrillic).otherwise(latin)
 
 
@@ -233,16 +286,18 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") ->
     cols = base.columns
     full = F.coalesce(F.col(text), F.lit(""))
     has = full.rlike(TRIGGER) & full.rlike(PATTERN)
-    dirty = base.filter(has).withColumns({"_row": F.xxhash64(text), "_found": mentions(F.col(text))})
-    dirty = materialise(dirty, "dirty")
+    dirty = base.filter(has).select(F.struct(*cols).alias("_in"), F.col(text).alias("_text"), mentions(F.col(text)).alias("_known"))
+    dirty = dirty.withColumn("_words", name_words(F.col("_known"))).withColumn("_pattern", pattern_of(F.col("_words")))
+    found = F.when(F.size("_words") > 0, marked(F.regexp_extract_all("_text", F.col("_pattern"), F.lit(0)), F.col("_words"))).otherwise(F.col("_known"))
+    dirty = materialise(dirty.select("_in", "_text", "_pattern", F.xxhash64("_text").alias("_row"), found.alias("_found")), "dirty")
     held = dirty.select(F.col("_row").alias("row"), F.explode(F.array_distinct("_found")).alias("raw")).distinct()
     held = materialise(held, "mentions")
     made = materialise(replacements(held.select("raw").distinct(), key), "replacements")
     # rows equal by hash share their map; a replacement belongs to the mention whatever the text
     maps = held.join(respread(made.select("raw", "replacement")), "raw").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("raw", "replacement"))).alias("_new"))
     maps = materialise(maps, "maps")
-    pieces = F.split(F.col(text), PATTERN, -1)
+    pieces = F.split(F.col("_text"), F.col("_pattern"), -1)
     rebuilt = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.element_at("_new", F.get("_found", i)), F.lit("")))), "")
     hit = dirty.join(maps, F.col("_row") == F.col("row"))
-    changed = hit.select(*[rebuilt.alias(c) if c == text else F.col(c) for c in cols], F.size("_found").alias("n_entities"))
+    changed = hit.select(*[rebuilt.alias(c) if c == text else F.col("_in")[c].alias(c) for c in cols], F.size("_found").alias("n_entities"))
     return base.filter(~has).withColumn("n_entities", F.lit(0)).unionByName(changed)

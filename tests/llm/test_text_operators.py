@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -284,46 +285,87 @@ def test_language_of_copies_is_the_most_frequent(spark):
 # -- mixing
 
 
-def mixing_brute(rows, targets, budget):
-    """Rows (id, text, lang, source) -> probability of each, by plain loops."""
+def cells_of(rows):
+    """Rows (id, text, lang, source) -> tokens of each (source, lang, topic)."""
     topic = lambda t: "none" if not (t or "").strip() else "long" if len(t) > 2000 else "short"
-    key = lambda r: {"source": r[3] or "?", "lang": r[2] or "?", "topic": topic(r[1])}
+    key = lambda r: (r[3] or "?", r[2] or "?", topic(r[1]))
     tokens = {}
     for r in rows:
-        k = tuple(key(r).values())
-        tokens[k] = tokens.get(k, 0) + len((r[1] or "").split())
+        tokens[key(r)] = tokens.get(key(r), 0) + len((r[1] or "").split())
+    return tokens, key
+
+
+def mixing_brute(rows, targets, budget):
+    """Rows -> probability of each: min(1, product of factors), every factor found by bisection, by plain loops."""
+    tokens, key = cells_of(rows)
     total, dims = sum(tokens.values()), ("source", "lang", "topic")
-    weight = {k: n / total for k, n in tokens.items()}
-    for _ in range(500):
-        for i, d in enumerate(dims):
-            sums, plain = {}, {}
-            for k, w in weight.items():
-                sums[k[i]] = sums.get(k[i], 0) + w
-                plain[k[i]] = plain.get(k[i], 0) + tokens[k]
-            want = targets.get(d) or {v: n**0.5 for v, n in plain.items() if n}
-            scale = sum(want.get(v, 0) for v in sums)
-            weight = {k: w * (want.get(k[i], 0) / scale / sums[k[i]] if sums[k[i]] else 0) for k, w in weight.items()}
-    low, high = 0.0, 1e9
-    for _ in range(200):
-        c = (low + high) / 2
-        spent = sum(min(n, c * weight[k]) for k, n in tokens.items())
-        low, high = (c, high) if spent < budget * total else (low, c)
-    return {r[0]: min(1.0, c * weight[k] / tokens[k]) if tokens[k := tuple(key(r).values())] else 0.0 for r in rows}
+    share = {}
+    for i, d in enumerate(dims):
+        plain = {}
+        for k, n in tokens.items():
+            plain[k[i]] = plain.get(k[i], 0) + n
+        want = {v: (targets.get(d) or {v: n**0.5}).get(v, 0.0) if n else 0.0 for v, n in plain.items()}
+        share[i] = {v: w / sum(want.values()) for v, w in want.items()}
+        budget = min([budget, *(plain[v] / total / w for v, w in share[i].items() if w)])
+    f = {i: dict.fromkeys(share[i], 1.0) for i in share}
+    for _ in range(300):
+        for i in share:
+            for v in share[i]:
+                cells = [(n, math.prod(f[j][k[j]] for j in share if j != i)) for k, n in tokens.items() if k[i] == v]
+                low, high = 0.0, 1e9
+                for _ in range(100):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if sum(n * min(1, mid * w) for n, w in cells) < share[i][v] * budget * total else (low, mid)
+                f[i][v] = high if share[i][v] else 0.0
+    return {r[0]: min(1.0, math.prod(f[i][key(r)[i]] for i in share)) if tokens[key(r)] else 0.0 for r in rows}
+
+
+def expected_shares(out, dim):
+    return {r[dim]: r["share"] for r in mixing.marginals(out, dim).collect()}
 
 
 def test_mixing_matches_plain_raking(spark):
     rows = [(i, "w " * (i % 17 + 1), ["en", "de", "fr"][i % 3], f"s{(i * 7) % 11 % 4}", 1) for i in range(400)] + [(900, None, None, None, None), (901, "", "en", "s1", 0), (901, "", "en", "s1", 0)]
-    d = spark.createDataFrame(rows, DOCS).withColumn("weight", F.lit("clash"))
+    d = spark.createDataFrame(rows, DOCS).withColumns({"weight": F.lit("clash"), "_source": F.lit("kept"), "c": F.lit(7)})
     targets = {"lang": {"en": 0.2, "de": 0.5, "fr": 0.3}, "source": {"s0": 0.4, "s1": 0.2, "s2": 0.2, "s3": 0.2}}
-    want = mixing_brute([r[:4] for r in rows], targets, 0.5)
-    for cells in (mixing.BROADCAST_CELLS, 1):
-        out = mixing.mixed(d, targets, broadcast_cells=cells).collect()
-        assert len(out) == len(rows)
-        for r in out:
+    want = mixing_brute([r[:4] for r in rows], targets, 0.6)
+    for cells in (mixing.ARRAY_CELLS, 1):
+        out = mixing.mixed(d, targets, budget=0.6, array_cells=cells)
+        got = out.collect()
+        assert len(got) == len(rows)
+        for r in got:
             assert r["probability"] == pytest.approx(want[r["doc_id"]], abs=2e-4)
+            assert r["targets_met"] and r["_source"] == "kept" and r["c"] == 7
+        assert any(r["probability"] == 1 for r in got)  # the bound is met in places
+        for dim, t in targets.items():
+            shares = expected_shares(out, dim)
+            for v, x in t.items():
+                assert shares[v] == pytest.approx(x, abs=1e-4)
     assert mixing.mixed(d.limit(0)).count() == 0
 
 
+def test_mixing_meets_default_targets_with_small_cells(spark):
+    """Rare values would need probabilities over 1 at half of the tokens: the budget falls, the shares hold."""
+    rows = [(i, "w " * 50, "en" if i % 40 else "xx", "big" if i % 50 else "tiny", 1) for i in range(600)] + [(700 + i, "long " * 500, "de" if i % 2 else "en", "big", 1) for i in range(6)] + [(800 + i, "w " * 40, "de", "big", 1) for i in range(50)]
+    out = mixing.mixed(spark.createDataFrame(rows, DOCS))
+    assert out.filter("not targets_met").count() == 0 and out.filter("probability > 1").count() == 0
+    tokens, _ = cells_of([r[:4] for r in rows])
+    for i, dim in enumerate(("source", "lang", "topic")):
+        plain = {}
+        for k, n in tokens.items():
+            plain[k[i]] = plain.get(k[i], 0) + n
+        all_ = sum(n**0.5 for n in plain.values())
+        shares = expected_shares(out, dim)
+        for v, n in plain.items():
+            assert shares[v] == pytest.approx(n**0.5 / all_, abs=1e-3)
+
+
+def test_mixing_reports_targets_that_contradict_each_other(spark):
+    rows = [(i, "w " * 5, "en" if i % 2 else "de", "a" if i % 2 else "b", 1) for i in range(100)]  # source and language say the same
+    out = mixing.mixed(spark.createDataFrame(rows, DOCS), {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}})
+    assert out.filter("targets_met").count() == 0 and out.filter("probability > 1 or probability < 0").count() == 0
+
+
 # -- personal data
 
 
@@ -354,6 +396,35 @@ def test_surrogates(spark):
     assert pii.pseudonymise(d.limit(0)).count() == 0
 
 
+def test_bare_names_and_genders_of_titles(spark):
+    text = "John Smith met Mrs. Xenia Brown. Smith said that Brown left, and Xenia agreed. Mr. Jones wrote to Jones. Prof. Dr. Keller and SMITH agree; Kellerman and Smithy stay. My name is Ada Quirk, Quirk."
+    rows = [(1, text), (2, "Xenia is a plant. Brown is a colour. Smith is a trade."), (3, "Herr Vogt traf Frau Vogt."), (4, "x " * 150_000 + "Mr. Longman came. " + "x " * 150_000 + "Longman left.")]
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs(spark, rows)).collect()}
+    t = out[1]
+    for name in ("John", "Smith ", "SMITH", "Xenia", "Brown", "Jones", "Keller ", "Ada", "Quirk"):
+        assert name not in t, name
+    import re
+
+    m = re.fullmatch(r"(\S+n) (\S+) met Mrs\. (\S+a) (\S+)\. (\S+) said that (\S+) left, and (\S+) agreed\. Mr\. (\S+) wrote to (\S+)\. Prof\. Dr\. (\S+) and (\S+) agree; Kellerman and Smithy stay\. My name is (\S+) (\S+), (\S+)\.", t)
+    assert m, t
+    john, smith, xenia, brown, smith2, brown2, xenia2, jones, jones2, keller, shouted, ada, quirk, quirk2 = m.groups()
+    assert (smith, brown, xenia, jones, quirk) == (smith2, brown2, xenia2, jones2, quirk2) and shouted == smith.upper()
+    assert len({john, smith, xenia, brown, jones, keller, ada, quirk}) == 8
+    assert out[2] == rows[1][1]  # words that are names elsewhere only
+    assert re.fullmatch(r"Herr (\S+) traf Frau \1\.", out[3]) and "Longman" not in out[4]
+
+
+def test_license_scan_of_repeated_notices_is_linear(spark):
+    """A megabyte of one notice, 32 000 times: windows with the same shingles are probed once."""
+    import time
+
+    rows = [(1, "Released under the MIT License. " * 32_000), (2, "words " * 10 + "Released under the MIT License.")]
+    began = time.time()
+    got = {(r["doc_id"], r["license"]): r["n_windows"] for r in licenses.scan(docs(spark, rows)).collect()}
+    assert time.time() - began < 60
+    assert got[1, "mit"] > 10_000 and got[2, "mit"] >= 1
+
+
 ADVERSARIAL = {
     "dotted": "a@" + "b." * 500_000 + "com",
     "dots": "a." * 500_000,
