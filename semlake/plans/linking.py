@@ -9,6 +9,7 @@ from semlake.fixtures import frame
 from semlake.operators import extract as ex
 from semlake.operators import links as lk
 from semlake.operators import quads as qd
+from semlake.operators import rotate as rt
 from semlake.plans.registry import query
 from semlake.sources.scratch import stored
 
@@ -232,12 +233,28 @@ def l05_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return made.groupBy("r").agg(F.count("*").alias("n"), F.sum("h").alias("heads"), F.sum("t").alias("tails"))
 
 
+def _trained(spark: SparkSession, sf: str) -> tuple[rt.Model, DataFrame, DataFrame]:
+    """A model of the train part, every known triple and the test part."""
+    ids, ents, rels = _ids(spark, sf)
+    names = stored(lk.split(_triples(spark, sf)), "split")
+    coded = names.join(ents.select(F.col("value").alias("s"), F.col("id").alias("h")), "s").join(ents.select(F.col("value").alias("o"), F.col("id").alias("t")), "o").join(rels.select(F.col("value").alias("p"), F.col("id").alias("r")), "p")
+    coded = stored(coded.select("h", "r", "t", "part"), "coded")
+    part = lambda name: coded.filter(F.col("part") == name).select("h", "r", "t")
+    return rt.train(part("train"), ents.count(), rels.count(), part("valid")), ids, part("test")
+
+
+@query()
+def l06_rotate_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """L06, L08 and L17: train, rank the test triples among all entities on both sides, and judge."""
+    model, known, test = _trained(spark, sf)
+    return lk.accepted(lk.summary(rt.ranks(model, test, known)))
+
+
 @query()
 def l07_rotate_top_tails(spark: SparkSession, sf: str) -> DataFrame:
-    """L06 and L07: train on all training triples, then the ten best new tails for every hundredth head."""
-    ids, ents, rels = _ids(spark, sf)
-    ent, phase = lk.train_rotate(ids, ents.select("id"), rels.select("id"), dim=8, epochs=2, n_neg=8)
-    return lk.score_tails(ids.filter("h % 100 = 0").select("h", "r"), ent, phase, 10, known=ids).select("h", "r", "t", "rank")
+    """L07: the ten best new tails for every head and relation of the test part."""
+    model, known, test = _trained(spark, sf)
+    return rt.top_tails(model, test, known, 10).select("h", "r", "t", "rank")
 
 
 _RANKED = """WITH sc AS (SELECT head || rel AS q, tail AS t, max(score) AS score FROM @predictions GROUP BY 1, 2), tru AS (SELECT q, max_by(t, (score, t)) AS t FROM sc GROUP BY 1 UNION SELECT q, min(t) FROM sc GROUP BY 1),

@@ -127,15 +127,6 @@ def test_disambiguation(spark):
     assert (r["qid"], r["zone"]) == ("Q1", "auto")
 
 
-def test_rotate_learns_a_ring(spark):
-    n = 12
-    ids = spark.createDataFrame([(i, 0, (i + 1) % n) for i in range(n)], "h long, r long, t long")
-    ent, phase = lk.train_rotate(ids, spark.range(n), spark.range(1), dim=8, epochs=15, margin=4.0, rate=0.6, n_neg=8)
-    top = lk.score_tails(ids.select("h", "r"), ent, phase, 3).collect()
-    hits = {(r["h"], r["t"]) for r in top}
-    assert sum(((i, (i + 1) % n) in hits) for i in range(n)) >= 9
-
-
 def test_negatives_hold_no_positive(spark):
     ids = spark.createDataFrame([(i, 0, (i + 1) % 9) for i in range(9)], "h long, r long, t long")
     neg = lk.negatives(ids, spark.range(9), 8)
@@ -217,46 +208,6 @@ def test_similar_pairs_exact_and_hashed(spark):
     assert hashed <= exact and len(hashed) >= 0.9 * len(exact)
 
 
-def test_rotate_gradients_match_differences():
-    """Gradients of one positive and its negatives against numeric differences of the loss."""
-    import numpy as np
-    import pandas as pd
-
-    rng = np.random.default_rng(0)
-    d, vec, phase = 3, rng.normal(size=(5, 6)), rng.normal(size=3)
-    ids = [4, 7, 9, 2, 5]
-
-    def terms(vec, phase):
-        c, s = np.cos(phase), np.sin(phase)
-        out = []
-        for h, t in [(0, 1), (2, 1), (0, 3), (4, 1)]:  # the first negative changes the head
-            re = vec[h, :d] * c - vec[h, d:] * s - vec[t, :d]
-            im = vec[h, :d] * s + vec[h, d:] * c - vec[t, d:]
-            out.append(6.0 - np.sqrt(re**2 + im**2).sum())
-        return np.array(out)
-
-    x0 = terms(vec, phase)
-    w = np.exp(x0[1:] - x0[1:].max())
-    w = w / w.sum()
-
-    def loss(vec, phase):
-        x = terms(vec, phase)
-        return np.log1p(np.exp(-x[0])) + (w * np.log1p(np.exp(x[1:]))).sum()
-
-    frame = pd.DataFrame({"r": [0], "members": [[{"id": i, "v": list(v)} for i, v in zip(ids, vec)]], "phase": [list(phase)]})
-    got = {(k, i): g for part in lk._gradients(iter([frame]), 6.0) for k, i, g in zip(part["kind"], part["id"], part["g"])}
-    step = 1e-6
-    for at, i in enumerate(ids):
-        for j in range(6):
-            up, down = vec.copy(), vec.copy()
-            up[at, j] += step
-            down[at, j] -= step
-            assert abs(got[0, i][j] - (loss(up, phase) - loss(down, phase)) / (2 * step)) < 1e-5
-    for j in range(3):
-        e = np.eye(3)[j] * step
-        assert abs(got[1, 0][j] - (loss(vec, phase + e) - loss(vec, phase - e)) / (2 * step)) < 1e-5
-
-
 def test_best_keeps_ties_by_key():
     import numpy as np
 
