@@ -103,16 +103,56 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")
 
 
+def _unquoted(value: Column) -> Column:
+    """A YAML scalar as text: quotes off, comments off, null empty."""
+    v = F.trim(value)
+    plain = F.trim(F.regexp_replace(v, r"(^|\s+)#.*$", ""))
+    bare = F.when(plain.rlike(r"^(~|null|Null|NULL)?$"), "").otherwise(plain)
+    double = F.replace(F.replace(F.regexp_extract(v, r'^"((?:[^"\\]|\\.)*)"', 1), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    single = F.replace(F.regexp_extract(v, r"^'((?:[^']|'')*)'", 1), F.lit("''"), F.lit("'"))
+    return F.when(v.startswith('"'), double).when(v.startswith("'"), single).otherwise(bare)
+
+
+def front_matter(content: Column) -> Column:
+    """The front matter's top-level entries: an array of ``(key, item, kind)`` with kind ``scalar``, or ``list`` for a row
+    of each item of a list, in brackets or in a block of ``- item`` lines.
+
+    A fold over the lines carries the present key, so that ``- item`` lines go to the key above them.
+    """
+    block = F.regexp_extract(content, r"(?s)\A---[ \t]*\r?\n(.*?\n)??---[ \t]*(\r?\n|\z)", 1)
+    entry = "array<struct<key:string,item:string,kind:string>>"
+    one = lambda key, item, kind: F.array(F.struct(key.alias("key"), item.alias("item"), F.lit(kind).alias("kind")))
+
+    def read(acc: Column, line: Column) -> Column:
+        key, value = F.regexp_extract(line, r"^([\p{L}\p{N}_][\p{L}\p{N}_ -]*?)[ \t]*:(?:[ \t]|\r?$)", 1), F.regexp_extract(line, r"^[^:]*:[ \t]*(.*?)\r?$", 1)
+        item = F.regexp_extract(line, r"^[ \t]*-[ \t]+(.*?)\r?$", 1)
+        inner = F.regexp_extract(value, r"^\[(.*)\]", 1)
+        cut = F.regexp_extract_all(inner, F.lit(r"""[ \t]*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,]+)"""), F.lit(1))
+        listed = F.transform(cut, lambda x: F.struct(key.alias("key"), _unquoted(x).alias("item"), F.lit("list").alias("kind")))
+        more = (
+            F.when((key != "") & value.startswith("["), listed)
+            .when((key != "") & (_unquoted(value) != ""), one(key, _unquoted(value), "scalar"))
+            .when((key == "") & (item != "") & (acc["key"] != ""), one(acc["key"], _unquoted(item), "list"))
+            .otherwise(F.array().cast(entry))
+        )
+        now = F.when(key != "", F.when(_unquoted(value) == "", key).otherwise("")).otherwise(acc["key"])
+        return F.struct(now.alias("key"), F.concat(acc["out"], more.cast(entry)).alias("out"))
+
+    lines = F.when(F.coalesce(block, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(block, "\n"))
+    return F.aggregate(lines, F.struct(F.lit("").alias("key"), F.array().cast(entry).alias("out")), read, lambda acc: acc["out"])
+
+
 def flat_front_matter(content: Column, key: str) -> Column:
-    """A flat key of the front matter as text, empty without one."""
-    block = F.regexp_extract(content, r"(?s)\A---\s*\n(.*?)\n---\s*(\n|\z)", 1)
-    return F.trim(F.regexp_extract(block, rf"(?m)^{key}:[ \t]*(.*)$", 1))
+    """A scalar of the front matter as text, empty without one (as for ``project``, ``area`` and ``created``)."""
+    found = F.filter(front_matter(content), lambda e: (e["key"] == key) & (e["kind"] == "scalar"))
+    return F.coalesce(F.get(F.transform(found, lambda e: F.trim(e["item"])), F.lit(0)), F.lit(""))
 
 
 def front_matter_list(content: Column, key: str) -> Column:
-    """A list of the front matter, written in brackets or as a comma string."""
-    value = F.regexp_replace(flat_front_matter(content, key), r"^\[|\]$", "")
-    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(F.regexp_replace(x, "^[ '\"]+|[ '\"]+$", ""))), lambda x: x != "")
+    """A list of the front matter: in brackets, as a block of items, or as a comma string."""
+    found = F.filter(front_matter(content), lambda e: e["key"] == key)
+    each = F.flatten(F.transform(found, lambda e: F.when(e["kind"] == "list", F.array(e["item"])).otherwise(F.split(e["item"], ","))))
+    return F.filter(F.transform(each, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -128,3 +128,10 @@ def book_paths(events: DataFrame) -> DataFrame:
     """Path events ``(sha, path, op, happened_at, id)`` with op add or remove -> ``(sha, paths, removed)`` by the latest of each path."""
     last = last_wins(events, ["sha", "path"], ["happened_at", "id"])
     return last.groupBy("sha").agg(F.array_sort(F.collect_set(F.when(F.col("op") == "add", F.col("path")))).alias("paths")).withColumn("removed", F.size("paths") == 0)
+
+
+def weekly_cap(decisions: DataFrame, by: str = "cand", cap: int = 50) -> DataFrame:
+    """``decisions(by, decided_at, action)`` with ``cap``: what the approvals of the seven days up to each leave of it."""
+    at = F.unix_micros(F.col("decided_at").cast("timestamp"))
+    week = Window.partitionBy(by).orderBy(at).rangeBetween(-7 * 86_400_000_000, Window.currentRow)
+    return decisions.withColumn("cap", F.greatest(F.lit(0), F.lit(cap) - F.count(F.when(F.col("action") == "approve", 1)).over(week)))

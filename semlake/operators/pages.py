@@ -28,14 +28,27 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.col("url").alias("s"), F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("o"))
 
 
-def page_chapters(pages: DataFrame, heading_like: Column, every: int = 30) -> DataFrame:
-    """``pages(book, page, text)`` -> ``(book, chapter, first_page, text)``: a chapter begins where a page looks like a
-    heading, and every ``every`` pages."""
-    boundary = heading_like | (F.col("page") % every == 0)
-    w = Window.partitionBy("book").orderBy("page")
-    cut = pages.withColumn("chapter", F.sum(boundary.cast("int")).over(w))
-    parts = cut.groupBy("book", "chapter").agg(F.min("page").alias("first_page"), F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
-    return parts.select("book", "chapter", "first_page", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+#: Fixed value: a line that begins a chapter.
+HEADING_LINE = r"(?im)^[ \t]*(#{1,3}[ \t]+[^\r\n]+?|Chapter[ \t]+\d+|Part[ \t]+[IVX\d]+)[ \t]*\r?$"
+
+
+def page_chapters(pages: DataFrame, every: int = 30) -> DataFrame:
+    """``pages(book, page, text)``, pages from 0 -> ``(book, chapter, slug, first_page, text, qa_score)``.
+
+    A chapter begins on each page with a line like a heading, the first of which names it; pages before the first are
+    left out.  Only in a book without any, one begins every ``every`` pages.  Pages are joined by blank lines.
+    """
+    title = F.trim(F.regexp_extract(F.coalesce("text", F.lit("")), HEADING_LINE, 1))
+    has = F.bool_or(F.col("title") != "").over(Window.partitionBy("book"))
+    marked = pages.select("book", "page", F.coalesce("text", F.lit("")).alias("text"), title.alias("title")).withColumn("headed", has)
+    begins = F.when(F.col("headed"), F.col("title") != "").otherwise(F.col("page") % every == 0)
+    named = F.when(F.col("headed"), F.col("title")).otherwise(F.concat(F.lit("Chapter "), (F.floor(F.col("page") / every) + 1).cast("string")))
+    w = Window.partitionBy("book").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = marked.withColumns({"begins": begins, "named": named}).withColumn("chapter", F.sum(F.col("begins").cast("int")).over(w)).filter("chapter > 0")
+    parts = cut.groupBy("book", "chapter").agg(F.min("page").alias("first_page"), F.min_by("named", "page").alias("named"), F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")
+    out = parts.select("book", "chapter", tx.chapter_slug(F.col("chapter"), F.col("named")).alias("slug"), "first_page", text.alias("text"))
+    return out.withColumn("qa_score", F.round(tx.qa_score(F.col("text")), 4))
 
 
 def book_chapters(books: DataFrame, text: str = "content") -> DataFrame:

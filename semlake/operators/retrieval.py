@@ -301,16 +301,17 @@ def mean_vector(vec: str = "vec") -> Column:
     return F.transform(total, lambda x: x / F.count("*"))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 30, top: int = 8) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 30, top: int = 8, sparse: DataFrame | None = None) -> DataFrame:
     """The whole retrieval pipeline for many questions in one job: ``(query_id, kind, parent, score, pick)``.
 
     ``chunks(chunk_id, source_id, chapter_id, source_type, content)``, ``queries(query_id, text)``.  Dense and sparse
     lists of ``k`` are fused by reciprocal ranks, reranked, rolled up to parents, weighted by trust, and ``top`` parents
-    are picked for relevance and variety.  Each list is computed once: the plan is one chain.
+    are picked for relevance and variety.  Each list is computed once: the plan is one chain.  ``sparse`` is the sparse
+    list where a stored index gives it.
     """
     embedded = hash_embedding(chunks, "content")
-    fused = rrf([dense_top_k(embedded, hash_embedding(queries), k), bm25(chunks, queries, k)], k)
-    pairs = embedded.join(F.broadcast(fused.select("query_id", "chunk_id")), "chunk_id")  # k rows a question
+    fused = rrf([dense_top_k(embedded, hash_embedding(queries), k), bm25(chunks, queries, k) if sparse is None else sparse], k)
+    pairs = embedded.join(fused.select("query_id", "chunk_id"), "chunk_id")
     pairs = pairs.join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     ranked = rerank_overlap(pairs, k, keep=("source_id", "chapter_id", "source_type", "vec")).withColumn("parent_id", F.col("chunk_id"))
     parents = promote_children(ranked, F.min("source_type").alias("source_type"), mean_vector().alias("vec"))

@@ -162,13 +162,19 @@ def f20_chapter_slug(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("source_id", "sec_no", tx.chapter_slug(F.col("sec_no"), F.col("heading")).alias("slug"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, text, (regexp_matches(substring(text, 1, 20), '^[A-Z][a-z]{2,4}[ .]') OR turn % 30 = 0) AS boundary FROM @conversations),
-c AS (SELECT conv_id, turn, text, sum(CAST(boundary AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn) AS chapter FROM p)
-SELECT conv_id, CAST(chapter AS BIGINT) AS chapter, min(turn) AS first_page, sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM c GROUP BY 1, 2""")
+_PAGES = "SELECT conv_id AS book, turn * 17 AS page, CASE WHEN conv_id % 2 = 0 AND turn % 3 = 1 THEN 'intro' || chr(10) || '  chapter ' || turn || chr(10) ELSE '' END || text AS text FROM @conversations"
+
+
+@query(f"""WITH p AS ({_PAGES}), b AS (SELECT *, book % 2 = 0 AND text LIKE 'intro%' AS head FROM p),
+h AS (SELECT *, bool_or(head) OVER (PARTITION BY book) AS headed FROM b),
+c AS (SELECT *, sum(CASE WHEN CASE WHEN headed THEN head ELSE page % 30 = 0 END THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY page) AS chapter FROM h)
+SELECT book, CAST(chapter AS BIGINT) AS chapter, min(page) AS first_page, lpad(CAST(chapter AS STRING), 2, '0') || '-chapter-' || CASE WHEN bool_and(headed) THEN CAST(min(page) // 17 AS STRING) ELSE CAST(min(page) // 30 + 1 AS STRING) END AS slug,
+  sha256(string_agg(text, chr(10) || chr(10) ORDER BY page)) AS digest FROM c WHERE chapter > 0 GROUP BY 1, 2""")
 def f21_page_chapters(spark: SparkSession, sf: str) -> DataFrame:
-    pages = frame(spark, sf, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("page"), "text")
-    out = pg.page_chapters(pages, F.substring("text", 1, 20).rlike("^[A-Z][a-z]{2,4}[ .]"))
-    return out.select(F.col("book").alias("conv_id"), "chapter", "first_page", F.sha2("text", 256).alias("digest"))
+    """Books with headings on some pages, and books without any."""
+    head = F.when((F.col("conv_id") % 2 == 0) & (F.col("turn") % 3 == 1), F.concat(F.lit("intro\n  chapter "), F.col("turn").cast("string"), F.lit("\n"))).otherwise("")
+    pages = frame(spark, sf, "conversations").select(F.col("conv_id").alias("book"), (F.col("turn") * 17).alias("page"), F.concat(head, "text").alias("text"))
+    return pg.page_chapters(pages).select("book", "chapter", "first_page", "slug", F.sha2("text", 256).alias("digest"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(content, '[;,]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS authors FROM @notes")

@@ -209,10 +209,9 @@ def l09_surface_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return lg.surface(p, old, 50).select("pred_id", "entity_type", "turn")
 
 
-@query(f"SELECT CAST(greatest(0, 50 - count(*)) AS BIGINT) AS cap FROM @review_log WHERE decided_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAYS AND action = 'approve' AND cand % 50 = 0")
+@query("""SELECT event_id, CAST(greatest(0, 50 - count(*) FILTER (action = 'approve') OVER (PARTITION BY cand ORDER BY decided_at RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)) AS BIGINT) AS cap FROM @review_log""")
 def w05_weekly_cap(spark: SparkSession, sf: str) -> DataFrame:
-    since = F.to_timestamp(F.lit(NOW)) - F.expr("INTERVAL 7 DAYS")
-    return _log(spark, sf).filter((F.col("decided_at") >= since) & (F.col("action") == "approve") & (F.col("cand") % 50 == 0)).agg(F.greatest(F.lit(0), 50 - F.count("*")).alias("cap"))
+    return lg.weekly_cap(_log(spark, sf)).select("event_id", "cap")
 
 
 @query(f"""SELECT cand FROM (SELECT cand, max_by(action, (decided_at, event_id)) AS action, max(decided_at) AS last_at FROM @review_log GROUP BY 1)

@@ -202,9 +202,9 @@ def q10_corpus_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "queries").join(n, "query_id", "left").select("query_id", F.when(F.coalesce("n", F.lit(0)) > 0, "full").otherwise("partial").alias("verdict"))
 
 
-@query("SELECT src, p, dst FROM (SELECT DISTINCT src, p, dst FROM (SELECT s AS src, p, o AS dst FROM @quads WHERE graph IN ('tier0', 'tier2') AND o_is_iri AND p = 'inRegion' UNION ALL SELECT o, p, s FROM @quads WHERE graph IN ('tier0', 'tier2') AND o_is_iri AND p = 'inRegion'))")
+@query("SELECT src, p, dst FROM (SELECT DISTINCT src, p, dst FROM (SELECT s AS src, p, o AS dst FROM @quads WHERE graph IN ('tier0', 'tier2') AND o_is_iri UNION ALL SELECT o, p, s FROM @quads WHERE graph IN ('tier0', 'tier2') AND o_is_iri))")
 def u01_four_legs(spark: SparkSession, sf: str) -> DataFrame:
-    return qd.steps(frame(spark, sf, "quads").filter("p = 'inRegion'"), ["tier0", "tier2"])
+    return qd.steps(frame(spark, sf, "quads"), ["tier0", "tier2"])
 
 
 @query("SELECT source_id, content_hash, NULL AS fetched FROM @payload UNION ALL SELECT url, content_hash, strftime(fetched_at, '%Y-%m-%d') FROM @fetch_log")
@@ -283,12 +283,23 @@ def c13_gold_pairing(spark: SparkSession, sf: str) -> DataFrame:
     return r.agg(F.count("*").alias("questions"), F.count_if(F.col("recall") == 1).alias("full"), F.count_if(F.col("recall") == 0).alias("none"))
 
 
-@query("SELECT doc_id, 'a,b' AS tags, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS project, 'x' AS first_alias FROM @documents")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a|' || source WHEN 1 THEN source || '|y, z|' || lang WHEN 2 THEN 'x|' || lang ELSE '' END AS tags,
+  CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'it''s ' || source END AS project, CASE WHEN doc_id % 4 = 1 THEN lang ELSE '' END AS area, '2024-01-0' || (doc_id % 9 + 1) AS created, CASE WHEN doc_id % 4 = 2 THEN 2 ELSE 0 END AS n_aliases FROM @documents""")
 def f07_front_matter(spark: SparkSession, sf: str) -> DataFrame:
-    d = frame(spark, sf, "documents")
-    c = F.concat(F.lit("---\ntags: [a, 'b']\naliases: x, y\n"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("project: "), "source", F.lit("\n"))).otherwise(""), F.lit("---\n"), "text")
+    """Headers in four hands: brackets, blocks, comma strings, and none of the keys."""
+    d, cat = frame(spark, sf, "documents"), lambda *of: F.concat(*[F.lit(x[1:]) if x.startswith("=") else F.coalesce(x, F.lit("")) for x in of])
+    kinds = [
+        cat("=tags: [a, '", "source", "=']\nproject: \"it's ", "source", "=\"\n"),
+        cat("=tags:\n  - ", "source", "=\n  - \"y, z\"\n- '", "lang", "='\nproject: it's ", "source", "= # note\narea:   ", "lang", "=\n"),
+        cat("=tags: x, ", "lang", "=\naliases:\n- one\n- two\nproject: 'it''s ", "source", "='\n"),
+        cat("=other:\n  tags: no\n"),
+    ]
+    by = F.col("doc_id") % 4
+    head = F.when(by == 0, kinds[0]).when(by == 1, kinds[1]).when(by == 2, kinds[2]).otherwise(kinds[3])
+    c = F.concat(F.lit("---\n"), head, F.lit("created: 2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("\n---\n"), F.coalesce("text", F.lit("")))
     d = d.select("doc_id", c.alias("c"))
-    return d.select("doc_id", F.array_join(tx.front_matter_list(F.col("c"), "tags"), ",").alias("tags"), tx.flat_front_matter(F.col("c"), "project").alias("project"), tx.front_matter_list(F.col("c"), "aliases")[0].alias("first_alias"))
+    flat = {k: tx.flat_front_matter(F.col("c"), k).alias(k) for k in ("project", "area", "created")}
+    return d.select("doc_id", F.array_join(tx.front_matter_list(F.col("c"), "tags"), "|").alias("tags"), *flat.values(), F.size(tx.front_matter_list(F.col("c"), "aliases")).alias("n_aliases"))
 
 
 @query("SELECT source_id, regexp_extract(source_id, '([^/:]+)\\.md$', 1) AS stem, lower('n' || CAST(doc_id + 1 AS VARCHAR)) AS linked FROM @notes_md")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semlake.functions import text as tx
+from semlake.sources.keyed import KeyedTable
 
 BOOK = "source_id string, title string, authors array<string>, isbn string, pages int, source_paths array<string>, parser string, parsed_at string, removed boolean"
 GOLD = "id string, category string, query string, gold_sources array<struct<type:string,vault_id:string,rel_path:string,source_id:string>>, expected_facts array<string>, min_hops int, thresholds map<string,double>"
@@ -34,10 +35,14 @@ def scan_books(spark: SparkSession, folder: str) -> DataFrame:
     return live.select("book", "title").join(chapters, "book").orderBy("book", "slug")
 
 
-def write_books(books: DataFrame, path: str) -> None:
-    """Book metadata as JSON rows, the newest row of each ``source_id`` only."""
-    newest = books.groupBy("source_id").agg(F.max_by(F.struct(*[c for c in books.columns if c != "source_id"]), "parsed_at").alias("r")).select("source_id", "r.*")
-    newest.write.mode("overwrite").parquet(path)
+def books_at(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, "source_id", newer="parsed_at")
+
+
+def write_books(books: DataFrame, path: str) -> int:
+    """Book metadata put into the keyed table at ``path``: the newest row of each ``source_id`` stays, and books of
+    earlier writes do."""
+    return books_at(books.sparkSession, path).merge(books)
 
 
 def append_quality(chapters: DataFrame, path: str) -> None:
@@ -46,11 +51,36 @@ def append_quality(chapters: DataFrame, path: str) -> None:
     chapters.select("book", "slug", score.alias("qa_score"), (score < 0.3).alias("needs_review"), F.current_timestamp().alias("checked_at")).write.mode("append").json(path)
 
 
-def save_pages(pages: DataFrame, path: str) -> None:
-    """Saved pages ``(url, title, content, fetched_at)`` with a front-matter header, one for each content hash."""
+def pages_at(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, "content_hash", guard="content_hash")
+
+
+def save_pages(pages: DataFrame, path: str) -> int:
+    """Saved pages ``(url, title, content, fetched_at)`` with a front-matter header, one for each content hash: the
+    first that was saved, and the earliest of one write.  Pages of earlier writes stay."""
     header = F.concat(F.lit("---\nurl: "), "url", F.lit("\ntitle: "), "title", F.lit("\nfetched_at: "), F.col("fetched_at").cast("string"), F.lit("\n---\n\n"))
     keyed = pages.withColumn("content_hash", F.sha2("content", 256)).withColumn("document", F.concat(header, "content"))
-    keyed.groupBy("content_hash").agg(F.min_by(F.struct("url", "title", "document"), F.struct("fetched_at", "url")).alias("r")).select("content_hash", "r.*").write.mode("overwrite").parquet(path)
+    first = keyed.groupBy("content_hash").agg(F.min_by(F.struct("url", "title", "document"), F.struct("fetched_at", "url")).alias("r")).select("content_hash", "r.*")
+    return pages_at(pages.sparkSession, path).merge(first)
+
+
+#: Days that cached entity data are good for, by level.
+TTL_DAYS = {"L1": 30, "L2": 30, "L3": 7}
+
+
+def cache_at(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, ["qid", "level"], newer="fetched_at")
+
+
+def cache_put(rows: DataFrame, path: str) -> int:
+    """``rows(qid, level, payload, fetched_at)`` put into the cache at ``path``, each with the time when it expires."""
+    days = F.coalesce(*[F.when(F.col("level") == k, F.lit(v)) for k, v in TTL_DAYS.items()], F.lit(30))
+    expires = F.timestamp_add("day", days, F.col("fetched_at"))
+    return cache_at(rows.sparkSession, path).merge(rows.select("qid", "level", "payload", "fetched_at", expires.alias("expires_at")))
+
+
+def cache_live(spark: SparkSession, path: str, now: F.Column) -> DataFrame:
+    return cache_at(spark, path).read().filter(F.col("expires_at") > now)
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from semlake.functions import text as tx
 from semlake.operators import chunks as ck
 from semlake.operators import extract as ex
 from semlake.operators import links as lk
+from semlake.operators import pages as pg
 from semlake.operators import quads as qd
 from semlake.operators import retrieval as rt
 from semlake.operators import similar
@@ -52,6 +53,32 @@ def test_front_matter(spark):
     assert one(spark, tx.wikilinks(c)) == ["Target", "Other"]
 
 
+@pytest.mark.parametrize(
+    ("head", "tags", "project"),
+    [
+        ("tags:\n  - alpha\n  - 'it''s'\nproject: p # why", ["alpha", "it's"], "p"),
+        ("tags:\n- a\n-  \"y, z\"\n", ["a", "y, z"], ""),
+        ("tags: one, two ,\nproject: \"q: r\"", ["one", "two"], "q: r"),
+        ("tags: [\"y, z\", x]\r\nproject: ~\r", ["y, z", "x"], ""),
+        ("other:\n  tags: no\n- stray\ntags:\n", [], ""),
+        ("", [], ""),
+    ],
+)
+def test_front_matter_in_many_hands(spark, head, tags, project):
+    c = F.lit(f"---\n{head}\n---\nbody\n- item\ntags: none")
+    assert one(spark, tx.front_matter_list(c, "tags")) == tags
+    assert one(spark, tx.flat_front_matter(c, "project")) == project
+    assert one(spark, tx.front_matter_list(F.lit("no header\ntags: x"), "tags")) == []
+
+
+def test_chapters_of_pages(spark):
+    rows = [("h", i, f"page {i}" if i != 1 else "page\n  # One \nmore\n# Two") for i in range(64)] + [("n", i, f"text {i}") for i in range(64)] + [("c", 0, "x"), ("c", 1, "CHAPTER 2"), ("c", 2, "Chapter two"), ("c", 3, "part IV")]
+    got = {}
+    for r in pg.page_chapters(spark.createDataFrame(rows, "book string, page int, text string")).orderBy("book", "chapter").collect():
+        got.setdefault(r["book"], []).append((r["first_page"], r["slug"], r["text"].count("\n\n") + 1))
+    assert got == {"h": [(1, "01-one", 63)], "n": [(0, "01-chapter-1", 30), (30, "02-chapter-2", 30), (60, "03-chapter-3", 4)], "c": [(1, "01-chapter-2", 2), (3, "02-part-iv", 1)]}
+
+
 def test_quote(spark):
     text = "word " * 60 + "needle in the hay " + "tail " * 60
     got = one(spark, tx.quote(F.lit(text), F.lit("find the needle")))
@@ -190,11 +217,12 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "q")).count() == 2
     pages = spark.createDataFrame([("u1", "t", "same", "2024-01-02"), ("u0", "t", "same", "2024-01-01")], "url string, title string, content string, fetched_at string")
     fl.save_pages(pages, str(tmp_path / "s"))
-    saved = spark.read.parquet(str(tmp_path / "s")).collect()
+    saved = fl.pages_at(spark, str(tmp_path / "s")).read().collect()
     assert len(saved) == 1 and saved[0]["document"].startswith("---\nurl: u0\n")
     books = spark.createDataFrame([("a", "old", "1"), ("a", "new", "2")], "source_id string, title string, parsed_at string")
     fl.write_books(books, str(tmp_path / "b"))
-    assert [r["title"] for r in spark.read.parquet(str(tmp_path / "b")).collect()] == ["new"]
+    fl.write_books(spark.createDataFrame([("b", "other", "1"), ("a", "older", "0")], books.schema), str(tmp_path / "b"))
+    assert sorted((r["source_id"], r["title"]) for r in fl.books_at(spark, str(tmp_path / "b")).read().collect()) == [("a", "new"), ("b", "other")]
 
 
 def test_similar_pairs_exact_and_hashed(spark):
