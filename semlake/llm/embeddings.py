@@ -6,8 +6,9 @@ Verified pairs of all passes are united into components.
 
 The size of the largest label gives the first number of passes; whether they suffice is measured.  Probes, made from
 sampled vectors by turning each by the threshold angle, at the same distance from the label's mean, are sorted and
-compared with the others but never link them.  A probe is met when it is linked to its vector's component.  Passes are added until a share of
-``RECALL`` is met, over all probes and over those of every label with ``JUDGED`` or more.
+compared with the others but never link them.  A probe is met when it is linked to its vector's component.  Passes are
+added until a share of ``RECALL`` is met, over all probes and over those of every label with ``JUDGED`` or more, but at
+most ``ROUNDS`` times.  Labels that still miss their share are then compared in full, block by block.
 
 Link counts are then exact within components: vectors within half the threshold angle of the component's pivot are
 all linked to each other (triangle inequality), so such a core is counted without comparing; only the vectors outside
@@ -39,6 +40,9 @@ PROBES = 4096
 JUDGED = 50
 BITS = 62
 BLOCK = 256
+#: Times that passes are measured before labels that fail are compared in full, in blocks of ``WHOLE`` vectors.
+ROUNDS = 5
+WHOLE = 1024
 
 
 def _unit(pdf_vec: pd.Series) -> np.ndarray:
@@ -220,13 +224,34 @@ def window_links(rows: DataFrame, passes: range, threshold: float = THRESHOLD, w
     return out.filter("border is null").select("a", "b", "hit").unionByName(edges).distinct()
 
 
-def _met(probes: DataFrame, hits: DataFrame, comps: DataFrame) -> float:
-    """The share of probes linked to their vector's component: the least of all probes' and each judged label's."""
+def _met(probes: DataFrame, hits: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(label, n, met)``: how many probes each label has, and how many are linked to their vector's component."""
     of_a, of_b = comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     met = hits.join(of_a, "a", "left").join(of_b, "b", "left").filter("a = b or ca = cb").select(F.col("a").alias("node"), F.lit(1).alias("met")).distinct()
-    by_label = probes.select("label", "node").join(met, "node", "left").groupBy("label").agg(F.count("*").alias("n"), F.count("met").alias("met"))
-    share = F.least(F.sum("met") / F.sum("n"), F.min(F.when(F.col("n") >= JUDGED, F.col("met") / F.col("n"))))
-    return by_label.agg(share.alias("share")).first()["share"]
+    return materialise(probes.select("label", "node").join(met, "node", "left").groupBy("label").agg(F.count("*").alias("n"), F.count("met").alias("met")), "met")
+
+
+def whole_links(classes: DataFrame, threshold: float, block: int = WHOLE) -> DataFrame:
+    """``classes(label, node, vec)`` -> star links ``(a, b)`` from every pair of a label: blocks of it are compared as
+    matrix products, each pair of blocks once and in any task."""
+    dim = (F.length("vec") / 8).cast("int").alias("dim")
+    sized = classes.select("label", "node", "vec", dim)
+    sizes = sized.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).alias("parts"))
+    cut = sized.join(respread(sizes), ["label", "dim"]).withColumn("no", F.pmod(F.xxhash64("node"), F.col("parts")))
+    packed = materialise(cut.groupBy("label", "dim", "no").agg(F.collect_list(F.struct("node", "vec")).alias("rows")), "blocks")
+    pairs = packed.join(packed.select("label", "dim", F.col("no").alias("other_no"), F.col("rows").alias("other")), ["label", "dim"]).filter("no <= other_no")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for own, other, same in zip(pdf["rows"], pdf["other"], pdf["same"]):
+                rows = pd.DataFrame([(r["node"], r["vec"]) for r in own] + ([] if same else [(r["node"], r["vec"]) for r in other]), columns=["node", "vec"]).sort_values("node")
+                unit = _unit(rows["vec"])
+                a, b = _stars(rows["node"].to_numpy(np.int64), unit @ unit.T >= threshold)
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b})
+
+    chosen = pairs.select("rows", "other", (F.col("no") == F.col("other_no")).alias("same")).repartition(shuffle_width(classes.sparkSession))
+    return chosen.mapInPandas(run, "a long, b long").distinct()
 
 
 def components(classes: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
@@ -237,18 +262,24 @@ def components(classes: DataFrame, threshold: float = THRESHOLD, window: int = W
     every = every.withColumn("dim", (F.length("vec") / 8).cast("int")).join(respread(about.drop("n")), ["label", "dim"])
     done, passes = 0, passes_for(about.groupBy("label").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0, threshold, window)
     edges = hits = None
-    while True:
+    for turn in range(1, ROUNDS + 1):
         links = materialise(window_links(every, range(done, passes), threshold, window), "links")
         new = links.filter("not hit").select("a", "b")
         comps = materialise(connected_components(new if edges is None else edges.unionByName(new)), "components")
         edges = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
         new = links.filter("hit").select("a", "b")
         hits = new if hits is None else hits.unionByName(new)
-        share = _met(probes, hits, comps)
+        met = _met(probes, hits, comps)
+        low = F.least(F.sum("met") / F.sum("n"), F.min(F.when(F.col("n") >= JUDGED, F.col("met") / F.col("n"))))
+        share = met.agg(low.alias("share")).first()["share"]
         if share is None or share >= RECALL:
             return comps
+        if turn == ROUNDS:
+            break
         wanted = math.log(1 - RECALL) / math.log(1 - share) if share > 0 else 4
         done, passes = passes, math.ceil(passes * min(max(wanted, 1.25), 4))
+    missed = classes.join(met.filter(F.col("met") < RECALL * F.col("n")).select("label"), "label", "left_semi")
+    return materialise(connected_components(edges.unionByName(whole_links(missed, threshold))), "components")
 
 
 def _against_pivot(batches: Iterator[pd.DataFrame], half: float) -> Iterator[pd.DataFrame]:
@@ -301,7 +332,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     has null or non-finite components, or whose id is null, link with nothing: no links, own component (null without an
     id), kept (not kept without an id).  Repeated rows count as copies.  Other columns are not read.
     """
-    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark, setting = vectors.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "2000")
+    try:
+        return _near_duplicates(vectors, threshold, window)
+    finally:  # what is still to run has no Python in it
+        spark.conf.set(setting, before)
+
+
+def _near_duplicates(vectors: DataFrame, threshold: float, window: int) -> DataFrame:
     rows = materialise(prepared(vectors), "vectors")
     classes = rows.filter("key is not null and vec_id is not null").groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     # a vec_id on two different vectors stands for one node; its copies are counted for each

@@ -132,3 +132,24 @@ def test_embeddings_sharing_a_direction(spark):
     pairs = [(a, b) for a, b in np.argwhere(m @ m.T >= 0.93) if a < b]
     assert len(pairs) >= 300
     assert np.mean([got[a] == got[b] for a, b in pairs]) >= 0.98
+
+
+def test_labels_that_windows_do_not_serve_are_compared_in_full(spark, monkeypatch):
+    """Windows of two vectors and one measurement: the exact way finds every link."""
+    monkeypatch.setattr(embeddings, "ROUNDS", 1)
+    monkeypatch.setattr(embeddings, "WHOLE", 64)
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(12, 16))
+    x = np.concatenate([base[rng.integers(0, 12, 500)] + 0.25 * rng.normal(size=(500, 16)), rng.normal(size=(100, 16))])
+    label = np.r_[np.ones(500, int), np.full(100, 2)]
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df, window=2).collect()}
+    assert spark.conf.get(setting) == before
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= embeddings.THRESHOLD) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    comp = components_brute(list(zip(*np.nonzero(near))), range(600))
+    assert near.sum() > 500
+    assert got == {i: (int(near[i].sum()), int(comp[i])) for i in range(600)}
