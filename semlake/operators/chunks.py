@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,38 @@ def windows(text: Column, size: int = CHILD_CHARS, step: int = CHILD_STEP) -> Co
     return F.transform(starts, lambda s: F.substr(text, s + 1, F.lit(size)))
 
 
+#: A token of the default tokenizer: white space before it, then a word or one other character; tokens make up the text.
+PIECE = r"[ \t\r\n]*(?:[\p{L}\p{N}_]+|[^ \t\r\n\p{L}\p{N}_])|[ \t\r\n]+"
+TOKENS, TOKEN_OVERLAP = 512, 64
+
+
+def pieces(text: Column) -> Column:
+    """The default tokenizer port: an array of tokens whose concatenation is the text."""
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+
+def token_windows(docs: DataFrame, size: int = TOKENS, overlap: int = TOKEN_OVERLAP, text: str = "content", tokenizer: Callable[[Column], Column] = pieces) -> DataFrame:
+    """All other columns with ``no, first_token, n_tokens, start_at, window``: windows of ``size`` tokens, each beginning
+    ``overlap`` tokens before the last one ends; ``start_at`` is the character where it begins.
+
+    ``tokenizer`` gives an array of strings that make up the text.  Windows are cut from the text by running lengths, so
+    a token array is computed once for each text.
+    """
+    kept = [c for c in docs.columns if c != text]
+    # an empty text has one empty window
+    cut = docs.select(*kept, F.col(text).alias("_text"), F.explode(F.array(F.transform(tokenizer(F.col(text)), F.length))).alias("_len"))
+    n = F.size("_len")
+    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+    step = size - overlap
+    # characters of each step's tokens, summed once along the starts
+    gaps = F.transform(starts, lambda s: F.when(s == 0, F.lit(0)).otherwise(total(F.slice("_len", s - step + 1, F.lit(step)))))
+    begins = F.aggregate(gaps, F.array().cast("array<int>"), lambda acc, g: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + g)))
+    out = cut.select(*kept, "_text", "_len", F.posexplode(F.arrays_zip(starts.alias("s"), begins.alias("b"))).alias("no", "w"))
+    chars = total(F.slice("_len", F.col("w.s") + 1, F.lit(size)))
+    return out.select(*kept, "no", F.col("w.s").alias("first_token"), F.least(F.lit(size), n - F.col("w.s")).alias("n_tokens"), F.col("w.b").alias("start_at"), F.substr("_text", F.col("w.b") + 1, chars).alias("window"))
+
+
 def children(docs: DataFrame, key: str = "source_id", text: str = "content") -> DataFrame:
     """``docs(key, text, ...)`` -> one row for each window: ``key, chunk_index, chunk_id, content, content_hash``."""
     out = docs.select(key, F.posexplode(windows(F.col(text))).alias("chunk_index", "content")).filter(F.trim("content") != "")

@@ -47,16 +47,27 @@ def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
 
 
-def version_chain(fetches: DataFrame) -> DataFrame:
-    """``(url, content_hash, fetched_at, event_id)`` -> fetches that changed the page, with the hashes before them.
+def version_chain(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(url, content_hash, fetched_at, event_id)`` -> fetches that changed the page, and the hashes of each url.
 
-    Re-fetches with the hash of the fetch before are dropped; ``is_duplicate`` marks a hash the url had earlier.
+    Re-fetches with the hash of the fetch before are dropped; ``is_duplicate`` marks a hash the url had earlier.  The
+    second table has ``(url, content_hash, place)``, hashes numbered by their first sighting: those before a fetch are
+    places 1 to its ``n_previous``, so no row carries a list.
     """
     w = Window.partitionBy("url").orderBy("fetched_at", "event_id")
     kept = fetches.withColumn("_last", F.lag("content_hash").over(w)).filter(F.col("_last").isNull() | (F.col("_last") != F.col("content_hash"))).drop("_last")
-    before = F.array_distinct(F.collect_list("content_hash").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    out = kept.withColumn("previous", before)
-    return out.withColumns({"is_update": F.size("previous") > 0, "is_duplicate": F.array_contains("previous", F.col("content_hash"))})
+    first = F.row_number().over(Window.partitionBy("url", "content_hash").orderBy("fetched_at", "event_id")) == 1
+    kept = kept.withColumn("_first", first)
+    before = F.coalesce(F.sum(F.col("_first").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = kept.withColumn("n_previous", before)
+    hashes = out.filter("_first").select("url", "content_hash", (F.col("n_previous") + 1).alias("place"))
+    return out.withColumns({"is_update": F.col("n_previous") > 0, "is_duplicate": ~F.col("_first")}).drop("_first"), hashes
+
+
+def with_previous(chain: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Fetches of :func:`version_chain` with the array ``previous``, a cut of their url's one array."""
+    held = hashes.groupBy("url").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "content_hash"))), lambda x: x["content_hash"]).alias("_all"))
+    return chain.join(held, "url").withColumn("previous", F.slice("_all", F.lit(1), F.col("n_previous").cast("int"))).drop("_all")
 
 
 def quota(requests: DataFrame, limit: int) -> DataFrame:

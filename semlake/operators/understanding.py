@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semlake.sources.scratch import bounded_batches
+
 #: The commands, the intents in tie order, their words and scores.
 COMMANDS = ["scope", "web", "no-web", "strict", "explain", "no-check", "deep", "explore", "save-web", "sources"]
 INTENTS = ["lookup", "multi_hop", "personal", "educational", "fresh", "comparison", "refusal"]
@@ -104,18 +110,75 @@ def channel_weights(intent: Column) -> Column:
     return out
 
 
-def sanitise(text: Column, entities: list[str] = ()) -> Column:
-    """``struct<clean, n_blocked>``: links and tags go, sensitive entities and first-person pronouns become ``[ANON]``."""
-    edge = lambda words: rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])"
-    rules = [(r"\[\[[^\]]+\]\]", ""), (r"(?<![\p{L}\p{N}_])#[a-zA-Zа-яА-ЯёЁ][a-zA-Zа-яА-ЯёЁ0-9_-]+", "")]
-    rules += [(rf"(?iu)\Q{e.strip()}\E", "[ANON]") for e in entities if e.strip()]
-    rules += [(edge(RU_PRONOUNS), "[ANON]"), (edge(EN_PRONOUNS), "[ANON]")]
-    clean, n = text, F.lit(0)
+_LINKS = [(r"\[\[[^\]]+\]\]", ""), (r"(?<![\p{L}\p{N}_])#[a-zA-Zа-яА-ЯёЁ][a-zA-Zа-яА-ЯёЁ0-9_-]+", "")]
+_PRONOUNS = [(rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])", "[ANON]") for words in (RU_PRONOUNS, EN_PRONOUNS)]
+#: Characters of a sensitive-entity list that is sent to every task, at most.
+ENTITY_CHARS = 64 << 20
+
+
+def _struck(clean: Column, n: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     for pattern, put in rules:
-        found = F.regexp_count(clean, F.lit(pattern))
-        n = n + (F.when(found > 0, 1).otherwise(0) if "\\Q" in pattern else found)
+        n = n + F.regexp_count(clean, F.lit(pattern))
         clean = F.regexp_replace(clean, pattern, put.replace("[", "\\[") if put else put)
-    return F.struct(F.trim(F.regexp_replace(clean, r"\s{2,}", " ")).alias("clean"), n.alias("n_blocked"))
+    return clean, n
+
+
+def _squeezed(clean: Column) -> Column:
+    return F.trim(F.regexp_replace(clean, r"\s{2,}", " "))
+
+
+def sanitise(text: Column) -> Column:
+    """``struct<clean, n_blocked>`` of a text without an entity list: links and tags go, first-person pronouns become
+    ``[ANON]``."""
+    clean, n = _struck(*_struck(text, F.lit(0), _LINKS), _PRONOUNS)
+    return F.struct(_squeezed(clean).alias("clean"), n.alias("n_blocked"))
+
+
+def sanitise_with(texts: DataFrame, entities: DataFrame, text: str = "text", strict: bool = True) -> DataFrame:
+    """All columns of ``texts`` with ``clean, n_blocked, is_safe``: as :func:`sanitise`, and each sensitive entity of
+    ``entities(entity)`` becomes ``[ANON]`` wherever it stands, in any case; one that occurs counts once.
+
+    Entities act one after another in their order by ``no``, or by text.  An automaton over the whole list finds the few
+    that occur in a text, and only these are replaced, so the work does not grow with the list, which is sent to every
+    task (an error beyond ``ENTITY_CHARS`` characters).  Strict texts with anything blocked aren't safe, permissive ones are.
+    """
+    order = ["no", "entity"] if "no" in entities.columns else ["entity"]
+    listed = entities.select(*[c for c in ("no",) if c in entities.columns], F.trim("entity").alias("entity")).filter("entity <> ''").distinct()
+    if (listed.agg(F.sum(F.length("entity"))).first()[0] or 0) > ENTITY_CHARS:
+        raise ValueError(f"entities of over {ENTITY_CHARS} characters")
+    shared = texts.sparkSession.sparkContext.broadcast([r["entity"] for r in listed.orderBy(*order).collect()])
+    bounded_batches(texts.sparkSession)
+    clean, n = _struck(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(0), _LINKS)
+    staged = texts.select(*texts.columns, clean.alias("_clean"), n.alias("_n"))
+    kept = len(texts.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found, names = ahocorasick.Automaton(), shared.value
+        always = [i for i, e in enumerate(names) if "[" in e or "]" in e or e.lower() in "[anon]"]
+        by_lower: dict[str, list[int]] = {}
+        for i, e in enumerate(names):
+            by_lower.setdefault(e.lower(), []).append(i)
+        for low, at in by_lower.items():
+            found.add_word(low, at)
+        if names:
+            found.make_automaton()
+        for b in batches:
+            texts_, counts = [], []
+            for t, blocked in zip(b.column(kept).to_pylist(), b.column(kept + 1).to_pylist()):
+                # what a replacement brings in can be met by entities that hold brackets or are part of "[anon]" only
+                for i in sorted({i for _, at in found.iter(t.lower()) for i in at} | set(always)) if names else ():
+                    t, hits = re.subn(re.escape(names[i]), "[ANON]", t, flags=re.IGNORECASE)
+                    blocked += hits > 0
+                texts_.append(t)
+                counts.append(blocked)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(texts_, pa.string()), pa.array(counts, pa.int32())], names=b.schema.names)
+
+    out = staged.mapInArrow(run, staged.schema)
+    clean, n = _struck(F.col("_clean"), F.col("_n"), _PRONOUNS)
+    safe = n == 0 if strict else F.lit(True)
+    return out.select(*texts.columns, _squeezed(clean).alias("clean"), n.alias("n_blocked"), safe.alias("is_safe"))
 
 
 def router_decision(raw: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from semlake.fixtures import frame
 from semlake.functions import text as tx
 from semlake.operators import chunks as ck
+from semlake.operators import lemmas as lm
 from semlake.operators import pages as pg
 from semlake.operators import retrieval as rt
 from semlake.plans.registry import query
@@ -108,6 +109,14 @@ def f04_child_windows(spark: SparkSession, sf: str) -> DataFrame:
     return ck.children(frame(spark, sf, "notes")).select("source_id", "chunk_index", "chunk_id", "content_hash", F.length("content").cast("long").alias("n"))
 
 
+@query("""WITH p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[ \\t\\r\\n]*(?:[\\p{L}\\p{N}_]+|[^ \\t\\r\\n\\p{L}\\p{N}_])|[ \\t\\r\\n]+') AS t FROM @documents),
+w AS (SELECT doc_id, t, unnest(range(0, greatest(len(t) - 64, 1), 448)) AS s FROM p)
+SELECT doc_id, CAST(s // 448 AS INTEGER) AS no, CAST(s AS INTEGER) AS first_token, CAST(least(512, len(t) - s) AS INTEGER) AS n_tokens, CAST(length(array_to_string(t[1:s], '')) AS BIGINT) AS start_at, sha256(array_to_string(t[s + 1:s + 512], '')) AS digest FROM w""")
+def f04_token_windows(spark: SparkSession, sf: str) -> DataFrame:
+    out = ck.token_windows(frame(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content")))
+    return out.select("doc_id", "no", "first_token", "n_tokens", F.col("start_at").cast("long").alias("start_at"), F.sha2("window", 256).alias("digest"))
+
+
 @query("SELECT source_id, CAST(greatest(1, floor(length(content) / 4)) AS INTEGER) AS est FROM @notes")
 def f06_token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "notes").select("source_id", tx.token_estimate(F.col("content")).alias("est"))
@@ -168,8 +177,8 @@ _PAGES = "SELECT conv_id AS book, turn * 17 AS page, CASE WHEN conv_id % 2 = 0 A
 @query(f"""WITH p AS ({_PAGES}), b AS (SELECT *, book % 2 = 0 AND text LIKE 'intro%' AS head FROM p),
 h AS (SELECT *, bool_or(head) OVER (PARTITION BY book) AS headed FROM b),
 c AS (SELECT *, sum(CASE WHEN CASE WHEN headed THEN head ELSE page % 30 = 0 END THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY page) AS chapter FROM h)
-SELECT book, CAST(chapter AS BIGINT) AS chapter, min(page) AS first_page, lpad(CAST(chapter AS STRING), 2, '0') || '-chapter-' || CASE WHEN bool_and(headed) THEN CAST(min(page) // 17 AS STRING) ELSE CAST(min(page) // 30 + 1 AS STRING) END AS slug,
-  sha256(string_agg(text, chr(10) || chr(10) ORDER BY page)) AS digest FROM c WHERE chapter > 0 GROUP BY 1, 2""")
+SELECT book, CAST(c.chapter AS BIGINT) AS chapter, min(page) AS first_page, lpad(CAST(c.chapter AS STRING), 2, '0') || '-chapter-' || CASE WHEN bool_and(headed) THEN CAST(min(page) // 17 AS STRING) ELSE CAST(min(page) // 30 + 1 AS STRING) END AS slug,
+  sha256(string_agg(text, chr(10) || chr(10) ORDER BY page)) AS digest FROM c WHERE chapter > 0 GROUP BY book, c.chapter""")
 def f21_page_chapters(spark: SparkSession, sf: str) -> DataFrame:
     """Books with headings on some pages, and books without any."""
     head = F.when((F.col("conv_id") % 2 == 0) & (F.col("turn") % 3 == 1), F.concat(F.lit("intro\n  chapter "), F.col("turn").cast("string"), F.lit("\n"))).otherwise("")
@@ -207,6 +216,21 @@ def f25_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return rt.term_stats(rt.postings(docs)).select("term", F.col("cf"), F.col("df"))
 
 
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM @documents), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM @benchmark),
+k AS (SELECT word, substring(word, 1, length(word) - 1) AS lemma FROM d WHERE length(word) % 2 = 0),
+l AS (SELECT doc_id, term, CASE WHEN lemma IS NOT NULL THEN lemma WHEN length(term) > 4 AND term LIKE '%ings' THEN substring(term, 1, length(term) - 4) WHEN length(term) > 3 AND term LIKE '%ing' THEN substring(term, 1, length(term) - 3)
+  WHEN length(term) > 2 AND term LIKE '%es' THEN substring(term, 1, length(term) - 1) WHEN length(term) > 1 AND term LIKE '%s' THEN substring(term, 1, length(term) - 1) ELSE term END AS lemma FROM t LEFT JOIN k ON k.word = t.term)
+SELECT lemma, count(*) AS cf, count(DISTINCT doc_id) AS df FROM l GROUP BY 1""")
+def f25_lemmas(spark: SparkSession, sf: str) -> DataFrame:
+    """Frequencies of lemmas: a dictionary of words, and endings for words that it lacks."""
+    word = F.explode(tx.tokens(F.lower("text")))
+    known = frame(spark, sf, "benchmark").select(word.alias("word")).distinct().filter(F.length("word") % 2 == 0)
+    known = known.withColumn("lemma", F.expr("substring(word, 1, length(word) - 1)"))
+    endings = spark.createDataFrame([("ings", ""), ("ing", ""), ("es", "e"), ("s", "")], "ending string, put string")
+    post = rt.postings(frame(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lower("text").alias("content")))
+    return lm.lemmatised(post, known, endings).groupBy(F.col("term").alias("lemma")).agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+
+
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.QUOTE_STOP_WORDS) + "]"
 
 

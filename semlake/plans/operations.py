@@ -152,7 +152,7 @@ def w02_quota(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT url, content_hash, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS at, array_to_string(list_sort(previous), ',') AS previous, len(previous) > 0 AS is_update, list_contains(previous, content_hash) AS is_duplicate FROM (SELECT *, coalesce(list_distinct(list(content_hash) OVER (PARTITION BY url ORDER BY fetched_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []) AS previous FROM (SELECT *, lag(content_hash) OVER (PARTITION BY url ORDER BY fetched_at, event_id) AS last FROM @fetch_log) WHERE last IS NULL OR last <> content_hash)")
 def w09_version_chain(spark: SparkSession, sf: str) -> DataFrame:
-    out = lg.version_chain(_fetches(spark, sf))
+    out = lg.with_previous(*lg.version_chain(_fetches(spark, sf)))
     return out.select("url", "content_hash", _stamp("fetched_at").alias("at"), F.array_join(F.array_sort("previous"), ",").alias("previous"), "is_update", "is_duplicate")
 
 

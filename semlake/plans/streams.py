@@ -43,3 +43,28 @@ def s05_added_last_day(spark: SparkSession, sf: str) -> DataFrame:
 def s06_daily_requests(spark: SparkSession, sf: str) -> DataFrame:
     r = frame(spark, sf, "fetch_log").select(F.col("fetched_at").cast("timestamp").alias("ts"))
     return ev.daily_requests(r).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", F.col("left").alias("remaining"))
+
+
+_WINDOW, _HEAL, _TTL = 2 * 86_400, 86_400, 3 * 86_400
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT 'p' || user_id AS provider, ts, epoch(ts) AS t, value >= 150 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, value >= 150) AS n FROM @events),
+r AS (SELECT provider, n, ts, CASE WHEN ok THEN 'HEALTHY' ELSE 'DEGRADED' END AS state, CASE WHEN ok THEN CAST([] AS DOUBLE[]) ELSE [CAST(t AS DOUBLE)] END AS fails, CASE WHEN ok THEN CAST(0 AS DOUBLE) ELSE CAST(t AS DOUBLE) END AS since, 'HEALTHY' AS was FROM e WHERE n = 1
+UNION ALL SELECT e.provider, e.n, e.ts,
+  CASE WHEN NOT e.ok THEN CASE WHEN len(list_filter(r.fails, lambda f: e.t - f <= {_WINDOW})) >= 2 THEN 'OUTAGE' ELSE 'DEGRADED' END WHEN r.state = 'OUTAGE' THEN 'DEGRADED' WHEN r.state = 'DEGRADED' AND e.t - r.since >= {_HEAL} THEN 'HEALTHY' ELSE r.state END,
+  list_concat(list_filter(r.fails, lambda f: e.t - f <= {_WINDOW}), CASE WHEN e.ok THEN CAST([] AS DOUBLE[]) ELSE [CAST(e.t AS DOUBLE)] END),
+  CASE WHEN NOT e.ok OR r.state = 'OUTAGE' OR (r.state = 'DEGRADED' AND e.t - r.since >= {_HEAL}) THEN CAST(e.t AS DOUBLE) ELSE r.since END, r.state
+FROM r JOIN e ON e.provider = r.provider AND e.n = r.n + 1)
+SELECT provider, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, state FROM r WHERE state <> was""")
+def s07_health_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    outcomes = frame(spark, sf, "events").select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("provider"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") >= 150).alias("ok"))
+    return ev.health_timeline(outcomes, _WINDOW, _HEAL).select("provider", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "state")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT 'k' || user_id AS key, epoch(ts) AS t, event_id, CAST(event_id AS STRING) AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS STRING)) AS n FROM @events),
+r AS (SELECT key, n, event_id, payload, t + {_TTL} AS expires, false AS hit FROM e WHERE n = 1
+UNION ALL SELECT e.key, e.n, e.event_id, CASE WHEN e.t < r.expires THEN r.payload ELSE e.payload END, CASE WHEN e.t < r.expires THEN r.expires ELSE e.t + {_TTL} END, e.t < r.expires FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+SELECT key, payload, count(*) AS n, count(*) FILTER (hit) AS hits FROM r GROUP BY 1, 2""")
+def s08_cache_answers(spark: SparkSession, sf: str) -> DataFrame:
+    requests = frame(spark, sf, "events").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("payload"))
+    return ev.cache_answers(requests, _TTL).groupBy("key", "payload").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))

@@ -90,6 +90,16 @@ def q07_sanitise(spark: SparkSession, sf: str) -> DataFrame:
     return _d(spark, sf).select("id", un.sanitise(F.col("text"))["n_blocked"].alias("n_blocked"))
 
 
+@query("""WITH k AS (SELECT c_custkey AS c FROM @customer WHERE c_custkey % 3 <> 0), o AS (SELECT *, o_custkey IN (SELECT c FROM k) AS a, o_custkey + 1 IN (SELECT c FROM k) AS b FROM @orders)
+SELECT o_orderkey AS id, 'order of ' || CASE WHEN a THEN '[ANON]' ELSE 'CUSTOMER#' || lpad(CAST(o_custkey AS STRING), 9, '0') END || ' and ' || CASE WHEN b THEN '[ANON]' ELSE 'customer#' || lpad(CAST(o_custkey + 1 AS STRING), 9, '0') END || ' for [ANON] ' || o_orderpriority AS clean,
+  CAST(2 + CAST(a AS INTEGER) + CAST(b AS INTEGER) AS INTEGER) AS n_blocked, false AS is_safe FROM o""")
+def q07_sanitise_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The clean text of every order's note, with two thirds of all customers on the list."""
+    listed = frame(spark, sf, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_name").alias("entity"))
+    note = "'order [[' || o_orderkey || ']] of CUSTOMER#' || lpad(o_custkey, 9, '0') || ' and  customer#' || lpad(o_custkey + 1, 9, '0') || ' for my ' || o_orderpriority AS text"
+    return un.sanitise_with(frame(spark, sf, "orders").selectExpr("o_orderkey AS id", note), listed).select("id", "clean", "n_blocked", "is_safe")
+
+
 @query("SELECT conv_id AS answer_id, CAST(turn AS INTEGER) AS idx, CASE WHEN turn % 2 = 0 THEN 'negation' ELSE 'factual' END AS claim_type, CASE WHEN turn % 3 = 0 THEN '1' ELSE '1,2' END AS refs FROM @conversations")
 def q08_claims(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("turn")

@@ -10,6 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch, about, for all operators of the engine: texts can be long.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def folder(spark: SparkSession, label: str) -> str:
     """A new path under ``spark.checkpoint.dir``; on a local master without that setting, in a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
