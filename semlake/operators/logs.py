@@ -146,3 +146,12 @@ def weekly_cap(decisions: DataFrame, by: str = "cand", cap: int = 50) -> DataFra
     at = F.unix_micros(F.col("decided_at").cast("timestamp"))
     week = Window.partitionBy(by).orderBy(at).rangeBetween(-7 * 86_400_000_000, Window.currentRow)
     return decisions.withColumn("cap", F.greatest(F.lit(0), F.lit(cap) - F.count(F.when(F.col("action") == "approve", 1)).over(week)))
+
+
+def insert_pairs(stored: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """Insert-or-ignore of unordered pairs: ``pairs(a, b, ...)`` whose two ends differ go to ``stored`` unless the pair is
+    there in either order; of equal new pairs the row with the least other columns counts."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    ends = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *rest)
+    new = ends.groupBy("a", "b").agg(F.min(F.struct(*rest)).alias("_r")).select("a", "b", "_r.*") if rest else ends.distinct()
+    return new if stored is None else stored.unionByName(new.join(stored.select("a", "b"), ["a", "b"], "left_anti"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from semlake.sources.scratch import bounded_batches
 
@@ -217,18 +218,59 @@ def gold_recall(gold: DataFrame, citations: DataFrame) -> DataFrame:
     return g.groupBy("id").agg(F.avg(hit.cast("int")).alias("recall"))
 
 
+def overridden(weights: Column, force_web: Column, sources: Column) -> Column:
+    """``map<channel, weight>`` after a question's commands: a forced web counts 1 at least, a web that neither intent nor
+    command wants goes; with an allow-list (array, null or empty: none) its channels count 1 at least and the others 0."""
+    web = F.coalesce(weights["web"], F.lit(0.0))
+    forced = F.coalesce(force_web, F.lit(False))
+    plain = F.map_filter(weights, lambda k, v: k != "web")
+    kept = F.when(forced, F.map_concat(plain, F.create_map(F.lit("web"), F.greatest(web, F.lit(1.0))))).when(web == 0, plain).otherwise(weights)
+    listed = F.transform_values(kept, lambda k, v: F.when(F.array_contains(sources, k), F.greatest(v, F.lit(1.0))).otherwise(F.lit(0.0)))
+    return F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, listed).otherwise(kept)
+
+
+def cross_checked(verdicts: DataFrame, found: DataFrame) -> DataFrame:
+    """``verdicts(claim_id, claim_type, verdict, warning, reasoning)`` and ``found(claim_id, source_id)``, what a search for
+    the claim gave -> the same, with negations that were not or partly supported looked at again: two sources make
+    them full and take the warning off, one puts a note to the reasoning."""
+    n = found.groupBy("claim_id").agg(F.countDistinct("source_id").alias("_n"))
+    doubted = (F.col("claim_type") == "negation") & F.col("verdict").isin("none", "partial")
+    n_found = F.when(doubted, F.coalesce("_n", F.lit(0))).otherwise(0)
+    out = verdicts.join(n, "claim_id", "left").withColumn("_n", n_found)
+    sure = F.col("_n") >= 2
+    reason = F.when(F.col("_n") == 1, F.concat(F.coalesce("reasoning", F.lit("")), F.lit(" [cross-source: contradiction possible]"))).otherwise(F.col("reasoning"))
+    return out.withColumns({"verdict": F.when(sure, "full").otherwise(F.col("verdict")), "warning": F.col("warning") & ~sure, "reasoning": reason}).drop("_n")
+
+
+def sentinel_report(sentinels: DataFrame, results: DataFrame) -> DataFrame:
+    """``sentinels(id, name)`` and ``results(id, status, latency_ms, answer, error)`` -> a row and a section of Markdown
+    for each sentinel that was run: ``id, status, line, section``."""
+    ok = F.col("status") == "ok"
+    j = sentinels.join(results, "id").withColumn("name", F.coalesce("name", F.col("id")))
+    line = F.when(ok, F.concat(F.lit("[OK]  "), "id", F.lit(" — "), "name")).otherwise(F.concat(F.lit("[ERR] "), "id", F.lit(" — "), F.coalesce("error", F.lit("unknown"))))
+    status = F.when(ok, "OK").otherwise("ERROR")
+    section = F.concat(F.lit("## "), "id", F.lit(" — "), "name", F.lit("\n- Status: "), status, F.lit("\n- Latency: "), F.coalesce(F.col("latency_ms").cast("string"), F.lit("N/A")), F.lit(" ms\n- Answer (first 200 chars): "), F.substring(F.coalesce("answer", F.lit("")), 1, 200), F.lit("\n"))
+    return j.select("id", status.alias("status"), line.alias("line"), section.alias("section"))
+
+
 def run_summary(results: DataFrame, recall: DataFrame) -> DataFrame:
     """One row of run metrics; questions without gold sources count as recall 1."""
+    # the latency at place floor(0.95 n): equal ones are counted first, so the running sum goes over distinct values
+    timed = results.filter("latency_ms > 0").groupBy("latency_ms").agg(F.count("*").alias("n"))
+    total = timed.agg(F.sum("n")).first()[0] or 0
+    upto = timed.withColumn("upto", F.sum("n").over(Window.orderBy("latency_ms"))).filter(F.col("upto") > int(0.95 * total)).agg(F.min("latency_ms")).first()[0]
     joined = results.join(recall, "id", "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))
     refuse, cat = is_refusal(F.col("answer")), F.col("category")
     share = lambda cond, kind: F.avg(F.when(cat == kind, cond.cast("int")))
     return joined.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("status") == "ok").alias("ok"),
+        F.count_if(F.coalesce(F.col("status") != "ok", F.lit(True))).alias("error"),
         F.round(F.avg("recall"), 4).alias("must_include_recall"),
         F.round(F.coalesce(F.avg((~F.col("unverified")).cast("int")), F.lit(1.0)), 4).alias("faithfulness"),
         F.round(F.coalesce(share(refuse, "refusal"), F.lit(1.0)), 4).alias("refusal_correctness"),
         F.round(F.coalesce(share(~refuse, "privacy"), F.lit(0.0)), 4).alias("leak_rate"),
+        F.lit(upto or 0).cast("long").alias("latency_p95_ms"),
     )
 
 

@@ -188,7 +188,7 @@ def g08_move(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH gone AS (SELECT 'urn:order:' || CAST(o_orderkey AS STRING) AS node FROM @orders WHERE o_orderkey % 10 = 0),
 heads AS (SELECT DISTINCT o AS node FROM @quads WHERE p = 'placedBy' AND s IN (SELECT node FROM gone))
-SELECT s, p, o FROM @quads WHERE s NOT IN (SELECT node FROM gone) AND s NOT IN (SELECT node FROM heads) UNION ALL SELECT node, 'source', 'tier0' FROM gone""")
+SELECT s, p, o FROM @quads q ANTI JOIN gone ON gone.node = q.s ANTI JOIN heads ON heads.node = q.s UNION ALL SELECT node, 'source', 'tier0' FROM gone""")
 def g09_replace(spark: SparkSession, sf: str) -> DataFrame:
     gone = frame(spark, sf, "orders").filter("o_orderkey % 10 = 0").select(F.concat(F.lit("urn:order:"), F.col("o_orderkey").cast("string")).alias("node"))
     new = gone.select(F.col("node").alias("s"), F.lit("source").alias("p"), F.lit("tier0").alias("o"), F.lit(False).alias("o_is_iri"), F.lit("tier0").alias("graph"))

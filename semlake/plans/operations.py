@@ -324,10 +324,14 @@ def c12_saved_url(spark: SparkSession, sf: str) -> DataFrame:
     return _jobs(spark, sf).filter("type = 'save_web'").select("id", F.get_json_object("payload_json", "$.k").alias("k")).join(urls, "k", "left").select("id", "url")
 
 
-@query("SELECT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT user_id AS a, user_id * 7 % 150 AS b FROM @events) WHERE a <> b GROUP BY 1, 2")
+@query("""WITH p AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(event_id) AS event_id FROM (SELECT user_id AS a, user_id * 7 % 150 AS b, event_id FROM @events) WHERE a <> b GROUP BY 1, 2, event_id % 2 = 0),
+old AS (SELECT a, b, min(event_id) AS event_id FROM p WHERE event_id % 2 = 0 GROUP BY 1, 2), new AS (SELECT a, b, min(event_id) AS event_id FROM p WHERE event_id % 2 = 1 GROUP BY 1, 2)
+SELECT a, b, event_id FROM old UNION ALL SELECT a, b, event_id FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.a = new.a AND old.b = new.b)""")
 def u06_unordered_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    p = frame(spark, sf, "events").select(F.col("user_id").alias("a"), (F.col("user_id") * 7 % 150).alias("b")).filter("a <> b")
-    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Pairs of even events are stored; those of odd ones are put in unless they are there in either order."""
+    p = frame(spark, sf, "events").select(F.col("user_id").alias("a"), (F.col("user_id") * 7 % 150).alias("b"), "event_id")
+    stored_pairs = lg.insert_pairs(None, p.filter("event_id % 2 = 0"))
+    return lg.insert_pairs(stored_pairs, p.filter("event_id % 2 = 1"))
 
 
 @query("SELECT pred_id, score FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST(pred_id AS VARCHAR) || 'seed')) AS r FROM @predictions) WHERE r <= 50")

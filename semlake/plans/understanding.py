@@ -73,6 +73,31 @@ def c19_q06_channel_weights(spark: SparkSession, sf: str) -> DataFrame:
     return i.withColumn("notes", un.channel_weights(F.col("intent"))["notes"])
 
 
+_WEIGHT = "CASE item_id % 7 " + " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(7)) + " END"
+_WEB, _LISTED = "item_id % 3 = 0", "CASE item_id % 4 WHEN 0 THEN ['notes', 'books'] WHEN 1 THEN ['web'] ELSE NULL END"
+
+
+def _weight_sql(channel: str) -> str:
+    at = un.CHANNELS.index(channel)
+    return _WEIGHT.format(*[f"CAST({un.CHANNEL_WEIGHTS[k][at]} AS DOUBLE)" for k in un.INTENTS])
+
+
+def _override_sql(channel: str) -> str:
+    w = f"({_weight_sql(channel)})"
+    kept = f"CASE WHEN {_WEB} THEN greatest({w}, 1) WHEN {w} = 0 THEN NULL ELSE {w} END" if channel == "web" else w
+    return f"CASE WHEN ({kept}) IS NULL THEN NULL WHEN ({_LISTED}) IS NULL THEN {kept} WHEN list_contains({_LISTED}, '{channel}') THEN greatest({kept}, 1) ELSE 0 END AS {channel}"
+
+
+@query(f"SELECT item_id AS id, {', '.join(_override_sql(c) for c in un.CHANNELS)} FROM @benchmark")
+def q06_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of every intent under every mix of a forced web and an allow-list."""
+    i = F.col("item_id")
+    intent = F.get(F.array(*map(F.lit, un.INTENTS)), (i % 7).cast("int"))
+    listed = F.when(i % 4 == 0, F.array(F.lit("notes"), F.lit("books"))).when(i % 4 == 1, F.array(F.lit("web")))
+    d = frame(spark, sf, "benchmark").select(i.alias("id"), un.overridden(un.channel_weights(intent), i % 3 == 0, listed).alias("w"))
+    return d.select("id", *[F.col("w")[c].alias(c) for c in un.CHANNELS])
+
+
 @query("SELECT id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 3 THEN NULL ELSE 'fresh' END AS intent FROM @decorated")
 def q05_router_json(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("id")
@@ -131,10 +156,16 @@ def c16_citation_merge(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "turn", F.coalesce(F.nullif("source_path", F.lit("")), "rel_path").alias("path"), F.coalesce(F.nullif("gs", F.lit("")), "source_id").alias("source"))
 
 
-@query("SELECT answer_id, CASE WHEN n >= 2 THEN 'full' WHEN n = 1 THEN 'note' ELSE 'none' END AS verdict FROM (SELECT id AS answer_id, count(DISTINCT source_id) AS n FROM @citations GROUP BY 1)")
+_CHECKED = "CASE WHEN conv_id % 3 = 0 THEN 'factual' ELSE 'negation' END AS claim_type, CASE turn % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'partial' WHEN 2 THEN 'full' ELSE 'none' END AS verdict"
+
+
+@query(f"""WITH v AS (SELECT conv_id * 1000 + turn AS claim_id, conv_id, {_CHECKED} FROM @conversations), f AS (SELECT id * 1000 + turn // 2 AS claim_id, count(DISTINCT source_id) AS n FROM @citations WHERE id % 4 <> 0 GROUP BY 1)
+SELECT v.claim_id, CASE WHEN d AND n >= 2 THEN 'full' ELSE verdict END AS verdict, verdict <> 'full' AND NOT (d AND coalesce(n, 0) >= 2) AS warning, CASE WHEN d AND n = 1 THEN 'r [cross-source: contradiction possible]' ELSE 'r' END AS reasoning
+FROM (SELECT *, claim_type = 'negation' AND verdict IN ('none', 'partial') AS d FROM v) v LEFT JOIN f ON f.claim_id = v.claim_id""")
 def q11_cross_source(spark: SparkSession, sf: str) -> DataFrame:
-    n = frame(spark, sf, "citations").groupBy(F.col("id").alias("answer_id")).agg(F.countDistinct("source_id").alias("n"))
-    return n.select("answer_id", F.when(F.col("n") >= 2, "full").when(F.col("n") == 1, "note").otherwise("none").alias("verdict"))
+    v = frame(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS claim_id", *_CHECKED.replace("END AS claim_type, ", "END AS claim_type|").split("|"), "'r' AS reasoning").withColumn("warning", F.col("verdict") != "full")
+    found = frame(spark, sf, "citations").filter("id % 4 <> 0").select((F.col("id") * 1000 + F.floor(F.col("turn") / 2)).alias("claim_id"), "source_id")
+    return un.cross_checked(v, found).select("claim_id", "verdict", "warning", "reasoning")
 
 
 @query("SELECT id, CASE WHEN category = 'privacy' THEN 'personal' WHEN contains(lower(answer), 'i cannot') OR contains(lower(answer), 'cannot answer') OR contains(lower(answer), 'no information') THEN 'refusal' WHEN trim(answer) = '' THEN 'empty' ELSE 'check' END AS rule FROM @results")
@@ -164,7 +195,7 @@ _REF = "(" + " OR ".join(f"contains(lower(answer), '{m}')" for m in un.REFUSALS)
 
 
 @query(f"""WITH {_RECALL}, j AS (SELECT r.*, coalesce(recall, 1.0) AS rec, {_REF} AS refused FROM @results r LEFT JOIN rc ON rc.id = r.id)
-SELECT count(*) AS total, CAST(count_if(status = 'ok') AS BIGINT) AS ok, round(avg(rec), 4) AS must_include_recall, round(avg(CAST(NOT unverified AS INTEGER)), 4) AS faithfulness,
+SELECT count(*) AS total, CAST(count_if(status = 'ok') AS BIGINT) AS ok, CAST(count_if(status <> 'ok') AS BIGINT) AS error, (SELECT list_sort(list(latency_ms))[CAST(floor(0.95 * count(*)) AS BIGINT) + 1] FROM @results WHERE latency_ms > 0) AS latency_p95_ms, round(avg(rec), 4) AS must_include_recall, round(avg(CAST(NOT unverified AS INTEGER)), 4) AS faithfulness,
 round(coalesce(avg(CASE WHEN category = 'refusal' THEN CAST(refused AS INTEGER) END), 1.0), 4) AS refusal_correctness, round(coalesce(avg(CASE WHEN category = 'privacy' THEN CAST(NOT refused AS INTEGER) END), 0.0), 4) AS leak_rate FROM j""")
 def m05_run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return un.run_summary(frame(spark, sf, "results"), un.gold_recall(frame(spark, sf, "gold"), frame(spark, sf, "citations")))
@@ -197,6 +228,15 @@ def m08_m09_category_report(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "results").groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errors"))
 
 
+@query("""WITH j AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'S' || id ELSE 'name ' || id END AS name, status, latency_ms, answer FROM @results)
+SELECT 'S' || id AS id, CASE WHEN status = 'ok' THEN 'OK' ELSE 'ERROR' END AS status, CASE WHEN status = 'ok' THEN '[OK]  S' || id || ' — ' || name ELSE '[ERR] S' || id || ' — unknown' END AS line,
+  sha256('## S' || id || ' — ' || name || chr(10) || '- Status: ' || CASE WHEN status = 'ok' THEN 'OK' ELSE 'ERROR' END || chr(10) || '- Latency: ' || latency_ms || ' ms' || chr(10) || '- Answer (first 200 chars): ' || substring(answer, 1, 200) || chr(10)) AS digest FROM j""")
+def m08_sentinel_report(spark: SparkSession, sf: str) -> DataFrame:
+    r = frame(spark, sf, "results").withColumns({"id": F.concat(F.lit("S"), F.col("id").cast("string")), "no": F.col("id"), "error": F.lit(None).cast("string")})
+    sentinels = r.select("id", F.when(F.col("no") % 3 != 0, F.concat(F.lit("name "), F.col("no").cast("string"))).alias("name"))
+    return un.sentinel_report(sentinels, r).select("id", "status", "line", F.sha2("section", 256).alias("digest"))
+
+
 @query("SELECT category, avg(CASE WHEN id % 4 <> 3 THEN id % 5 + 1 END) AS relevance, avg(CASE WHEN id % 4 <> 3 THEN CAST(id % 2 AS INTEGER) END) AS hallucination FROM @results GROUP BY 1")
 def m10_judge_fields(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("id")
