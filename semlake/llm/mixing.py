@@ -30,6 +30,8 @@ ROUNDS = 300
 TOLERANCE = 1e-5
 #: Budgets tried before targets are reported as not met, and the step between them.
 BUDGETS, LOWER = 12, 0.75
+#: Factors stay below this, so that products of contradicting ones stay finite.
+LARGEST = 1e60
 #: Cells up to which they are raked in arrays of the driver and their probabilities broadcast; the result is the same.
 ARRAY_CELLS = 100_000
 #: Share of all tokens to keep.
@@ -82,7 +84,7 @@ def _in_arrays(cells: pd.DataFrame, shares: dict[str, pd.DataFrame], goal: float
             capped = factors[d][code[d]] * rest >= 1
             full, open_, every = (np.bincount(code[d], v, len(goals[d])) for v in (tokens * capped, tokens * rest * ~capped, tokens * rest))
             off = max(off, float(np.abs(full + factors[d] * open_ - goals[d]).max(initial=0)) / goal)
-            factors[d] = _factor(goals[d], full, open_, every, factors[d], np.where)
+            factors[d] = np.minimum(_factor(goals[d], full, open_, every, factors[d], np.where), LARGEST)
         if off < TOLERANCE:
             break
     p = np.minimum(1.0, math.prod([factors[d][code[d]] for d in shares], start=np.ones(len(tokens))))
@@ -108,7 +110,7 @@ def _by_joins(cells: DataFrame, shares: dict[str, DataFrame], goal: float) -> tu
             sums = joined().groupBy(d).agg(F.sum(F.when(capped, F.col("tokens")).otherwise(0)).cast("double").alias("full"), F.sum(F.when(capped, 0.0).otherwise(mass)).alias("open"), F.sum(mass).alias("every"))
             step = factors[d].join(sums, d)
             new = _factor(aim, F.col("full"), F.col("open"), F.col("every"), F.col(f"f_{d}"), lambda c, x, y: F.when(c, x).otherwise(y))
-            step = materialise(step.select(d, "share", new.alias("new"), F.abs(F.col("full") + F.col(f"f_{d}") * F.col("open") - aim).alias("gap")), "factors")
+            step = materialise(step.select(d, "share", F.least(new, F.lit(LARGEST)).alias("new"), F.abs(F.col("full") + F.col(f"f_{d}") * F.col("open") - aim).alias("gap")), "factors")
             factors[d] = step.select(d, "share", F.col("new").alias(f"f_{d}"))
             gaps.append(step.agg(F.max("gap")).first()[0] or 0.0)
         off = max(gaps) / goal
