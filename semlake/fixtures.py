@@ -89,6 +89,19 @@ DERIVED: dict[str, str] = {
         SELECT conv_id AS id, CASE WHEN conv_id % 2 = 0 THEN 'src' || CAST(conv_id % 7 AS STRING) ELSE '' END AS source_id, 'n' || CAST((conv_id * 3 + turn) % 13 AS STRING) || '.md' AS rel_path, turn
         FROM @conversations WHERE conv_id % 6 <> 0""",
     "ratings": "SELECT doc_id AS item, quality AS a, toxic AS b FROM @labels",
+    # properties of external entities: customers of the orders, their nations, and links among them
+    "bindings": """
+        SELECT 'Q' || CAST(c_custkey AS STRING) AS qid, 'P31' AS p, 'http://www.wikidata.org/entity/Q' || CAST(100000 + c_nationkey AS STRING) AS o, '' AS lang FROM @customer
+        UNION ALL SELECT 'Q' || CAST(c_custkey AS STRING), 'P279', 'http://www.wikidata.org/entity/Q' || CAST(c_custkey % 97 AS STRING), '' FROM @customer WHERE c_custkey % 5 = 0
+        UNION ALL SELECT 'Q' || CAST(c_custkey AS STRING), 'label', c_name, CASE c_custkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE '' END FROM @customer
+        UNION ALL SELECT 'Q' || CAST(c_custkey AS STRING), 'label', c_name || ' GmbH', 'de' FROM @customer WHERE c_custkey % 2 = 0
+        UNION ALL SELECT 'Q' || CAST(c_custkey AS STRING), 'description', c_mktsegment, 'en' FROM @customer
+        UNION ALL SELECT 'Q' || CAST(o_custkey AS STRING), 'altLabel', o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN 'fr' ELSE 'en' END FROM @orders
+        UNION ALL SELECT 'Q' || CAST(100000 + n_nationkey AS STRING), 'label', n_name, 'en' FROM @nation""",
+    "bindings_more": """
+        SELECT 'Q' || CAST(c_custkey AS STRING) AS qid, 'P17' AS p, 'http://www.wikidata.org/entity/Q' || CAST(100000 + c_nationkey AS STRING) AS o FROM @customer WHERE c_custkey % 4 = 0
+        UNION ALL SELECT 'Q' || CAST(c_custkey AS STRING), 'P1448', c_name || chr(64) || 'en' FROM @customer WHERE c_custkey % 4 = 0
+        UNION ALL SELECT 'Q' || CAST(o_custkey AS STRING), 'P577', CAST(CAST(o_orderdate AS DATE) AS STRING) FROM @orders WHERE o_orderkey % 7 = 0""",
     "page_links": "SELECT page_id, url, html FROM @pages",
 }
 _REF = re.compile(r"@(\w+)")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from semlake.functions import text as tx
+from semlake.operators.quads import LABEL, PKM
+from semlake.sources.keyed import KeyedTable
 
 #: Confidence floors by predicate and claim type; others get 0.85.
 PREDICATE_FLOORS = {"mentions": 0.80, "defines": 0.85, "explains": 0.85, "cites": 0.85, "exemplifies": 0.85, "contradicts": 0.85, "precedes": 0.85, "causes": 0.85, "dependsOn": 0.85, "authoredBy": 0.90, "related": 0.85, "broader": 0.90, "narrower": 0.90}
@@ -17,6 +19,11 @@ CLAIM_FLOORS = {"factual_specific": 0.85, "factual_general": 0.80, "framing": 0.
 OTHER_FLOOR, NEW_BUMP, HARD_REJECT = 0.85, 0.05, 0.60
 GREY_LOW, REUSE = 0.75, 0.92
 BOOST = 0.10
+#: Who routed a triple, what extracted it, and names of properties of external entities.
+PROVENANCE, EXTRACTOR = "auto", "openie:v3"
+ENTITY, PROPERTY = "http://www.wikidata.org/entity/", "http://www.wikidata.org/prop/direct/"
+DESCRIPTION, ALT_LABEL = "http://schema.org/description", "http://www.w3.org/2004/02/skos/core#altLabel"
+#: Labels too vague to be an entity.
 STOP_LABELS = ["thing", "something", "someone", "anything", "anyone", "entity", "object", "concept", "item", "instance", "example", "one of", "some of"]
 #: Words of a description that speak for a type.
 TYPE_WORDS = {
@@ -161,6 +168,103 @@ def property_maps(bindings: DataFrame, profile: DataFrame) -> DataFrame:
     return lists.groupBy("qid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("p", "os")))).alias("properties"))
 
 
+def evidence_rows(routed: DataFrame, doc: str = "doc_uri") -> DataFrame:
+    """Routed triples that aren't rejected -> ``(s, p, o, o_is_iri, graph, evidence)``, a row for each distinct evidence.
+
+    ``routed`` has the columns of ``route`` and ``doc``; ``o_is_iri`` is taken as true where it has no such column.
+    """
+    iri = F.col("o_is_iri") if "o_is_iri" in routed.columns else F.lit(True)
+    evidence = F.struct(
+        F.lit(PROVENANCE).alias("provenance"),
+        F.format_string("%.4f", F.col("final_confidence").cast("double")).alias("confidence"),
+        F.lit(EXTRACTOR).alias("source"),
+        F.col("chunk_id").alias("chunk"),
+        F.col(doc).alias("doc"),
+        F.col("conflict"),
+    )
+    kept = routed.filter(F.col("destination") != "tier1-rejected")
+    return kept.select(F.col("subject_uri").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"), iri.alias("o_is_iri"), F.col("destination").alias("graph"), evidence.alias("evidence")).distinct()
+
+
+def triples_at(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, "statement", guard="statement")
+
+
+def write_routed(routed: DataFrame, path: str, doc: str = "doc_uri", epoch: int | None = None) -> int:
+    """Evidence rows appended to the table at ``path`` -> how many it lacked.
+
+    A statement with one evidence is one row however often it is written, so a batch that is played again adds nothing.
+    """
+    rows = evidence_rows(routed, doc)
+    key = F.sha2(F.to_json(F.struct("s", "p", "o", "graph", "evidence")), 256)
+    return triples_at(routed.sparkSession, path).merge(rows.withColumn("statement", key), epoch)
+
+
+def annotations(rows: DataFrame) -> DataFrame:
+    """Evidence rows as statements about statements: ``(s, p, o, graph, about, value)``; a flag that is false says nothing."""
+    e = F.col("evidence")
+    said = F.array(
+        *[F.struct(F.lit(PKM + name).alias("about"), e[field].alias("value")) for name, field in (("provenance", "provenance"), ("confidence", "confidence"), ("source", "source"), ("evidenceChunk", "chunk"), ("evidenceDoc", "doc"))],
+        F.struct(F.lit(PKM + "conflictFlag").alias("about"), F.when(e["conflict"], "true").alias("value")),
+    )
+    return rows.select("s", "p", "o", "graph", F.explode(said).alias("a")).select("s", "p", "o", "graph", "a.*").filter("value is not null").distinct()
+
+
+def entity_records(bindings: DataFrame) -> DataFrame:
+    """``bindings(qid, p, o, lang)`` of external entities -> ``(qid, labels, descriptions, aliases, instance_of,
+    subclass_of)``: maps by language (aliases to arrays) and sorted distinct arrays.
+
+    ``p`` is a property's id or URI.  Texts without a language and empty values are left out; of several labels or
+    descriptions in one language the largest stays.  An entity without known properties has no row.
+    """
+    p = F.substring_index(F.substring_index("p", "/", -1), "#", -1)
+    kind = F.when(p.isin("P31", "P279", "description", "altLabel"), p).when(F.lower(p) == "label", "label")
+    lang = F.when(kind.isin("P31", "P279"), "").otherwise(F.nullif("lang", F.lit("")))
+    value = F.when(kind.isin("P31", "P279"), F.nullif(F.regexp_extract("o", r"(Q\d+)$", 1), F.lit(""))).otherwise(F.nullif("o", F.lit("")))
+    known = bindings.select("qid", kind.alias("kind"), lang.alias("lang"), value.alias("o")).dropna(subset=["qid", "kind", "lang", "o"])
+    lists = known.groupBy("qid", "kind", "lang").agg(F.max("o").alias("one"), F.array_sort(F.collect_set("o")).alias("all"))
+    of = lambda k, held: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("lang", held)))))
+    ids = lambda k: F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("all"))))
+    return lists.groupBy("qid").agg(of("label", "one").alias("labels"), of("description", "one").alias("descriptions"), of("altLabel", "all").alias("aliases"), ids("P31").alias("instance_of"), ids("P279").alias("subclass_of"))
+
+
+def enrichment(records: DataFrame, maps: DataFrame) -> DataFrame:
+    """Entity records and the property maps of some of them -> tier-2 triples with each entity's level and id.
+
+    Entities that are values stay bare IRIs: ``to_enrich`` never finds them here.
+    """
+    held = records.join(maps, "qid", "left")
+    text = lambda field, p: F.transform(F.map_entries(field), lambda e: _fact(p, e["value"], False, e["key"]))
+    alts = F.flatten(F.transform(F.map_entries("aliases"), lambda e: F.transform(e["value"], lambda a: _fact(ALT_LABEL, a, False, e["key"]))))
+    ids = lambda field, p: F.transform(field, lambda q: _fact(PROPERTY + p, F.concat(F.lit(ENTITY), q), True))
+    level = F.when(F.size(F.coalesce("properties", F.create_map().cast("map<string,array<string>>"))) > 0, "L1+L2").otherwise("L1")
+    tags = F.array(_fact(PKM + "enrichmentLevel", level, False), _fact(PKM + "wikidataQID", F.col("qid"), False))
+    facts = F.concat(text("labels", LABEL), text("descriptions", DESCRIPTION), alts, ids("instance_of", "P31"), ids("subclass_of", "P279"), tags)
+    first = held.select(F.concat(F.lit(ENTITY), "qid").alias("s"), F.explode(facts).alias("f")).select("s", "f.*").withColumn("graph", F.lit("tier2"))
+    second = maps.join(records.select("qid"), "qid", "left_semi").select("qid", F.explode("properties").alias("p", "os")).select("qid", "p", F.explode("os").alias("v"))
+    qid = F.regexp_extract("v", r"^http.*/(Q\d+)$", 1)
+    lang = F.when(qid == "", F.nullif(F.regexp_extract("v", r"@([a-z]{2,3})$", 1), F.lit("")))
+    plain = F.when(qid != "", F.concat(F.lit(ENTITY), qid)).when(lang.isNotNull(), F.regexp_replace("v", r"@[a-z]{2,3}$", "")).otherwise(F.col("v"))
+    second = second.select(F.concat(F.lit(ENTITY), "qid").alias("s"), F.concat(F.lit(PROPERTY), "p").alias("p"), plain.alias("o"), (qid != "").alias("o_is_iri"), lang.alias("o_lang"), F.lit("tier2").alias("graph"))
+    return first.unionByName(second).distinct()
+
+
+def _fact(p: str, o: Column, iri: bool, lang: Column | None = None) -> Column:
+    return F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(iri).alias("o_is_iri"), (lang if lang is not None else F.lit(None).cast("string")).alias("o_lang"))
+
+
+def to_enrich(quads: DataFrame) -> DataFrame:
+    """``(qid)`` of external entities named in tiers 0 and 1 that tier 2 doesn't hold yet.
+
+    One hop only: entities that are values in tier 2 and nowhere else aren't found.
+    """
+    named = quads.filter(F.col("graph").isin("tier0", "tier1"))
+    ends = named.select(F.col("s").alias("e")).unionByName(named.filter("o_is_iri").select(F.col("o").alias("e")))
+    qid = F.regexp_extract("e", "^" + ENTITY.replace(".", r"\.") + r"(Q\d+)$", 1)
+    done = quads.filter((F.col("graph") == "tier2") & (F.col("p") == PKM + "wikidataQID")).select(F.col("o").alias("qid"))
+    return ends.select(qid.alias("qid")).filter("qid <> ''").distinct().join(done, "qid", "left_anti")
+
+
 def enrichment_quads(maps: DataFrame) -> DataFrame:
     """Property maps -> tier-2 triples; ``value@lang`` becomes a literal with a language, entity values stay IRIs."""
     t = maps.select("qid", F.explode("properties").alias("p", "os")).select("qid", "p", F.explode("os").alias("v"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -136,8 +136,18 @@ def apply_decisions(candidates: DataFrame, log: DataFrame, key: str = "cand") ->
 
 
 def book_paths(events: DataFrame) -> DataFrame:
-    """Path events ``(sha, path, op, happened_at, id)`` with op add or remove -> ``(sha, paths, removed)`` by the latest of each path."""
-    last = last_wins(events, ["sha", "path"], ["happened_at", "id"])
+    """Path events ``(sha, path, op, happened_at, id)`` with op add, remove or rename -> ``(sha, paths, removed)`` by the
+    latest of each path.
+
+    A rename has the new path in ``new_path``: the old one goes and the new one comes, also where the old one wasn't
+    there; a path renamed to itself is there afterwards.
+    """
+    new = F.col("new_path") if "new_path" in events.columns else F.lit(None).cast("string")
+    step = lambda path, op, no: F.struct(path.alias("path"), F.lit(op).alias("op"), F.lit(no).alias("no"))
+    path = F.col("path")
+    steps = F.when(F.col("op") == "rename", F.array(step(path, "remove", 0), step(new, "add", 1))).when(F.col("op") == "add", F.array(step(path, "add", 0))).otherwise(F.array(step(path, "remove", 0)))
+    single = events.select("sha", "happened_at", "id", F.explode(steps).alias("e")).select("sha", "happened_at", "id", "e.*").filter("path is not null")
+    last = last_wins(single, ["sha", "path"], ["happened_at", "id", "no"])
     return last.groupBy("sha").agg(F.array_sort(F.collect_set(F.when(F.col("op") == "add", F.col("path")))).alias("paths")).withColumn("removed", F.size("paths") == 0)
 
 
@@ -155,3 +165,23 @@ def insert_pairs(stored: DataFrame | None, pairs: DataFrame) -> DataFrame:
     ends = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *rest)
     new = ends.groupBy("a", "b").agg(F.min(F.struct(*rest)).alias("_r")).select("a", "b", "_r.*") if rest else ends.distinct()
     return new if stored is None else stored.unionByName(new.join(stored.select("a", "b"), ["a", "b"], "left_anti"))
+
+
+def page(rows: DataFrame, newest: str = "created_at", key: str = "id", offset: int = 0, limit: int = 20) -> DataFrame:
+    """A page of ``rows``, newest first and ties by larger key, with ``total``, the count of all rows."""
+    total = rows.agg(F.count("*")).scalar()
+    return rows.orderBy(F.desc(newest), F.desc(key)).offset(offset).limit(limit).withColumn("total", total)
+
+
+def record_delta(changes: DataFrame, path: str) -> None:
+    """Changed triples ``(ts, tier, op, s)`` appended to the delta log at ``path``: a row for each time, tier and op with
+    ``triple_count`` and ``entity_diff``, the number of distinct subjects, negative for removals."""
+    n = F.countDistinct("s")
+    rows = changes.groupBy("ts", "tier", "op").agg(F.count("*").alias("triple_count"), n.alias("n"))
+    rows.select("ts", "tier", "op", "triple_count", F.when(F.col("op") == "remove", -F.col("n")).otherwise(F.col("n")).alias("entity_diff")).write.mode("append").parquet(path)
+
+
+def deltas_since(spark: SparkSession, path: str, since: str) -> DataFrame:
+    """Rows of the delta log from ``since`` on, by time."""
+    log = spark.read.parquet(path)
+    return log.filter(F.col("ts") >= F.lit(since).cast("timestamp")).orderBy("ts", "tier", "op")

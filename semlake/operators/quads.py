@@ -29,6 +29,28 @@ def match(quads: DataFrame, s: str | None = None, p: str | None = None, o: str |
     return quads.filter(F.col("graph").isin(graphs)) if graphs is not None else quads
 
 
+def optional(rows: DataFrame, facts: DataFrame, on: list[str], wanted: dict[str, str], p: str = "p", value: str = "o") -> DataFrame:
+    """Optional patterns: ``rows`` with a column for each name of ``wanted``, the value that ``facts`` hold for its
+    predicate on the same ``on``, or null.  Several values give several rows, as in a graph query.
+
+    All joins have the same keys, so ``rows`` are shuffled once.
+    """
+    for name, predicate in wanted.items():
+        found = facts.filter(F.col(p) == predicate).select(*on, F.col(value).alias(name)).distinct()
+        rows = rows.join(found, on, "left")
+    return rows
+
+
+def pending(quads: DataFrame, facts: DataFrame) -> DataFrame:
+    """Statements of ``tier1-pending`` whose subject has no type, with ``conf, chunk, doc, conflict`` where
+    ``facts(s, p, o, graph, about, value)`` say so."""
+    on = ["s", "p", "o", "graph"]
+    typed = quads.filter(F.col("p") == RDF_TYPE).select("s")
+    rows = quads.filter(F.col("graph") == "tier1-pending").select(*on).distinct().join(typed, "s", "left_anti")
+    wanted = {"conf": "confidence", "chunk": "evidenceChunk", "doc": "evidenceDoc", "conflict": "conflictFlag"}
+    return optional(rows.select(*on), facts, on, {k: PKM + v for k, v in wanted.items()}, "about", "value").drop("graph")
+
+
 def degrees(quads: DataFrame) -> DataFrame:
     """``(node, degree)`` over subjects and IRI objects."""
     ends = quads.select(F.col("s").alias("node")).unionByName(quads.filter("o_is_iri").select(F.col("o").alias("node")))
@@ -106,6 +128,14 @@ def replace_note(quads: DataFrame, notes: DataFrame, new: DataFrame, part: str =
     return kept.select(*COLUMNS).unionByName(new.select(*COLUMNS))
 
 
+def closure_labels(quads: DataFrame, p: str, limit: int = 20, label: str = LABEL) -> DataFrame:
+    """The closure of ``closure_two`` with labels, ``(s, o, label)``: at most ``limit`` rows of each ``s``, first by
+    ``o`` and label; an ancestor without one has a null label, with several a row for each."""
+    up = optional(closure_two(quads, p), quads.withColumnRenamed("s", "_s").select(F.col("_s").alias("o"), "p", F.col("o").alias("label")), ["o"], {"label": label}, value="label")
+    w = Window.partitionBy("s").orderBy("o", F.col("label").asc_nulls_last())
+    return up.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit).select("s", "o", "label")
+
+
 def closure_two(quads: DataFrame, p: str) -> DataFrame:
     """Objects one and two steps away along a predicate, ``(s, o)``, distinct."""
     e = quads.filter(F.col("p") == p).select("s", "o").distinct()
@@ -175,9 +205,11 @@ def note_quads(notes: DataFrame) -> DataFrame:
 
 
 def book_quads(books: DataFrame) -> DataFrame:
-    """``books(sha, title, authors array, slugs array)`` -> tier-0 quads: type, label, authors, chapters, source."""
+    """``books(sha, title, authors array, slugs array)`` -> tier-0 quads: type, label, authors, chapters, source, and the
+    time of ``modified_at`` where there is such a column."""
     b = F.concat(F.lit("urn:book:"), "sha")
-    fixed = F.array_compact(F.array(_row(b, RDF_TYPE, F.lit(PKM + "Book"), True), F.when(F.col("title") != "", _row(b, LABEL, F.col("title"), False)), _row(b, PKM + "source", F.lit("tier0"), False)))
+    modified = F.col("modified_at") if "modified_at" in books.columns else F.lit(None).cast("string")
+    fixed = F.array_compact(F.array(F.when(modified != "", _row(b, MODIFIED, F.concat(modified, F.lit("^^" + XSD + "dateTime")), False)), _row(b, RDF_TYPE, F.lit(PKM + "Book"), True), F.when(F.col("title") != "", _row(b, LABEL, F.col("title"), False)), _row(b, PKM + "source", F.lit("tier0"), False)))
     person = tx.person_uri(F.col("a"))
     people = books.select("sha", F.explode("authors").alias("a")).select(F.explode(F.array(_row(b, PKM + "authoredBy", person, True), _row(person, LABEL, F.col("a"), False))).alias("q"))
     ch = F.concat(F.lit("urn:chapter:"), "sha", F.lit(":"), F.col("i").cast("string"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,6 +22,8 @@ K1, B, RRF_K = 1.2, 0.75, 60
 #: Trust by source type; any other type gets the last.
 TRUST = {"note": 1.0, "book_chapter": 0.95, "wikidata": 0.9, "web_saved": 0.85, "web": 0.7}
 DEFAULT_TRUST = 0.7
+#: The channels that have a prompt, in the order in which their prompts are hashed.
+PROMPT_CHANNELS = ("notes", "books", "web_saved", "web")
 #: Queries whose vectors one broadcast block holds.
 QUERY_BLOCK = 4096
 
@@ -244,6 +246,23 @@ def pack_context(parents: DataFrame, budget: int = 24_000) -> DataFrame:
     return parents.withColumn("_before", before).filter(F.col("_before") < budget).withColumn("content", F.substr("content", F.lit(1), (budget - F.col("_before")).cast("int"))).drop("_before")
 
 
+def embed_queries(queries: DataFrame, prompts: DataFrame, channel: str = "channel", text: str = "text", embedder: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """``queries(channel, text, ...)`` embedded behind the prompt of their channel (``prompts(channel, prompt)``, some few
+    rows); a channel without a prompt has none.  Passages have no prompt: they go to the embedder as they are."""
+    asked = queries.join(F.broadcast(prompts.select(F.col("channel").alias("_channel"), F.col("prompt").alias("_prompt"))), F.col(channel) == F.col("_channel"), "left")
+    made = (embedder or hash_embedding)(asked.withColumn("_asked", F.concat(F.coalesce("_prompt", F.lit("")), F.col(text))).drop("_channel", "_prompt"), "_asked")
+    return made.drop("_asked")
+
+
+def template_hash(prompts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``prompts(*by, channel, prompt)`` -> ``(*by, template_hash)``: the SHA-256 of the prompts in the channels' fixed
+    order; other channels don't count, a missing one is empty.  A channel has one prompt; of several the smallest."""
+    turn = F.array_position(F.array(*[F.lit(c) for c in PROMPT_CHANNELS]), F.col("channel"))
+    one = prompts.filter(turn > 0).groupBy(*(by or []), turn.alias("_turn")).agg(F.min("prompt").alias("_prompt"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_turn", "_prompt"))), lambda x: F.coalesce(x["_prompt"], F.lit(""))), "")
+    return one.groupBy(*(by or [])).agg(F.sha2(joined, 256).alias("template_hash"))
+
+
 def hash_embedding(docs: DataFrame, text: str = "text", dims: int = 64) -> DataFrame:
     """The default embedder: signed feature hashing of words to a unit vector ``vec array<double>``.
 
@@ -266,7 +285,7 @@ def hash_embedding(docs: DataFrame, text: str = "text", dims: int = 64) -> DataF
             made = np.array([known.get(w) or (0, 0.0) for w in coded.dictionary.to_pylist()]).reshape(-1, 2)
             at = coded.indices.to_numpy(zero_copy_only=False)
             cell = np.repeat(np.arange(len(lens)), lens) * dims + made[at, 0].astype(np.int64)
-            unit = _unit_rows(np.bincount(cell, made[at, 1], len(lens) * dims).reshape(len(lens), dims))
+            unit = _unit_rows(np.bincount(cell, made[at, 1], len(lens) * dims).astype(np.float64).reshape(len(lens), dims))  # without any word, counts are integers
             vec = pa.ListArray.from_arrays(pa.array(np.arange(len(lens) + 1) * dims, pa.int32()), pa.array(unit.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], vec], names=[*kept, "vec"])
 

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 512
+#: Phrases of the reasons that are shown for a confidence level.
+COUNTED = {"note": "%d заметок", "book_chapter": "%d глав книг", "source": "%d источников"}
+WEB_USED, TOP_SCORE = ", веб использован", ", score=%.2f"
+WEB_ONLY = "Только веб-источники (%d), score=%.2f"
+GENERAL_ONLY = "Доминирует общее знание (Z3), источников мало (%d)"
+WEAK = "Слабое совпадение (score=%.2f, источников: %d)"
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
@@ -69,13 +75,40 @@ def mean_vectors(child: DataFrame, key: str = "parent_id") -> DataFrame:
     return parts.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("vec"))
 
 
-def confidence(parents: DataFrame) -> DataFrame:
-    """``(query_id, parent, score, source_type)`` -> ``(query_id, level)``: high from three sources and a top score
-    above 0.7, medium from 0.5 on, low otherwise and where all is from the web."""
-    a = parents.groupBy("query_id").agg(F.max("score").alias("top"), F.countDistinct("parent").alias("n"), F.bool_and(F.col("source_type").isin("web", "web_saved")).alias("web_only"))
-    level = F.when(F.col("web_only"), "low").when((F.col("n") >= 3) & (F.col("top") > 0.7), "high").when(F.col("top") >= 0.5, "medium").otherwise("low")
-    return a.select("query_id", level.alias("level"))
+def confidence(parents: DataFrame, general: DataFrame | None = None) -> DataFrame:
+    """``(query_id, parent, score, source_type)`` -> ``(query_id, level, reason)``.
 
+    The first that holds: low where all is from the web; low where ``general(query_id)`` lists the question as answered
+    from general knowledge and there is one source; high from three sources and a top score above 0.7; medium from 0.5
+    on; low.  The reason counts notes and book chapters, else sources.
+    """
+    kind, web = F.col("source_type"), F.col("source_type").isin("web", "web_saved")
+    a = parents.groupBy("query_id").agg(
+        F.max("score").alias("top"), F.countDistinct("parent").alias("n"), F.bool_and(web).alias("web_only"), F.bool_or(web).alias("web"),
+        F.count_if(kind == "note").alias("notes"), F.count_if(kind == "book_chapter").alias("books"),
+    )
+    if general is not None:
+        a = a.join(general.select("query_id", F.lit(True).alias("general")).distinct(), "query_id", "left")
+    else:
+        a = a.withColumn("general", F.lit(False))
+    rules = [
+        ("web", F.col("web_only")),
+        ("general", F.coalesce("general", F.lit(False)) & (F.col("n") < 2)),
+        ("high", (F.col("n") >= 3) & (F.col("top") > 0.7)),
+        ("medium", F.col("top") >= 0.5),
+    ]
+    rule = F.coalesce(*[F.when(holds, name) for name, holds in rules], F.lit("weak"))
+    said = lambda n, text: F.when(F.col(n) > 0, F.format_string(text, n))
+    found = F.coalesce(F.nullif(F.concat_ws(", ", said("notes", COUNTED["note"]), said("books", COUNTED["book_chapter"])), F.lit("")), F.format_string(COUNTED["source"], "n"))
+    reason = (
+        F.when(F.col("rule") == "high", F.concat(found, F.when(F.col("web"), WEB_USED).otherwise("")))
+        .when(F.col("rule") == "medium", F.concat(found, F.format_string(TOP_SCORE, "top")))
+        .when(F.col("rule") == "web", F.format_string(WEB_ONLY, "n", "top"))
+        .when(F.col("rule") == "general", F.format_string(GENERAL_ONLY, "n"))
+        .otherwise(F.format_string(WEAK, "top", "n"))
+    )
+    level = F.when(F.col("rule").isin("high", "medium"), F.col("rule")).otherwise("low")
+    return a.withColumn("rule", rule).select("query_id", level.alias("level"), reason.alias("reason"))
 
 def wants_web(intent: Column, force: Column, no_web: Column, n_parents: Column, top: Column, words: Column, n_entities: Column, n_paths: Column) -> Column:
     """Whether a question goes to the web: overrides first, then any of five signals."""

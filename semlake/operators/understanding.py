@@ -67,6 +67,7 @@ def flags(found: Column) -> Column:
         has("explore").alias("explore"),
         has("strict").alias("strict"),
         has("sources").alias("sources_only"),
+        has("no-check").alias("no_check"),
         args("scope").alias("vault_scope"),
         args("sources").alias("sources_filter"),
         F.get(args("save-web"), F.lit(0)).alias("save_web_url"),
@@ -297,3 +298,58 @@ def metric_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     long = lambda df, name: df.unpivot([], [F.col(c).cast("double").alias(c) for c in df.columns], "metric", name)
     out = long(a, "a").join(long(b, "b"), "metric", "full")
     return out.withColumn("delta", F.round(F.col("b") - F.col("a"), 6))
+
+
+#: Characters of a snippet that a claim check shows, and of one in a check's cache key.
+QUOTE_CHARS, KEY_CHARS = 300, 100
+
+
+def claim_quotes(claims_: DataFrame, snippets: DataFrame) -> DataFrame:
+    """``claims_(answer_id, idx, refs)``, ``snippets(answer_id, ref, snippet)`` -> claims with ``quotes``, an array of
+    ``struct<ref, quote>`` in the order of their refs: what each ref's snippet begins with, refs without one left out.
+
+    A claim without quotes has an empty array.  Of several snippets of one ref the smallest counts.
+    """
+    refs = claims_.select("answer_id", "idx", F.posexplode("refs").alias("no", "ref"))
+    one = snippets.groupBy("answer_id", "ref").agg(F.min(F.nullif("snippet", F.lit(""))).alias("snippet")).filter("snippet is not null")
+    # the snippet is cut before the join, so that whole texts aren't shuffled
+    cut = one.select("answer_id", "ref", F.substring("snippet", 1, QUOTE_CHARS).alias("quote"))
+    found = refs.join(cut, ["answer_id", "ref"]).groupBy("answer_id", "idx").agg(F.array_sort(F.collect_list(F.struct("no", "ref", "quote"))).alias("q"))
+    quotes = F.transform(F.coalesce("q", F.array().cast("array<struct<no:int,ref:int,quote:string>>")), lambda x: F.struct(x["ref"].alias("ref"), x["quote"].alias("quote")))
+    return claims_.join(found, ["answer_id", "idx"], "left").withColumn("quotes", quotes).drop("q")
+
+
+def check_key(answers: DataFrame, snippets: DataFrame) -> DataFrame:
+    """``answers(answer_id, z1)`` -> ``(answer_id, check_key)``: the hash of the cited zone's text and of how each of its
+    ``snippets(answer_id, ref, snippet)`` begins, by ref."""
+    lines = snippets.select("answer_id", F.struct("ref", F.concat(F.col("ref").cast("string"), F.lit(":"), F.substring(F.coalesce("snippet", F.lit("")), 1, KEY_CHARS)).alias("line")).alias("s"))
+    held = lines.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]), "|").alias("lines"))
+    return answers.join(held, "answer_id", "left").select("answer_id", F.sha2(F.concat(F.coalesce("z1", F.lit("")), F.lit("\n---\n"), F.coalesce("lines", F.lit(""))), 256).alias("check_key"))
+
+
+def skip_reason(no_check: Column, intent: Column, answer: Column, z1: Column) -> Column:
+    """Why an answer isn't checked, or null: the first of a command, a personal question, a refusal, an empty cited zone."""
+    blank = F.trim(F.coalesce(z1, F.lit("")), F.lit(" \n\r\t")) == ""
+    return F.when(no_check, "no-check").when(intent == "personal", "intent=personal").when(is_refusal(answer), "refusal").when(blank, "empty_z1")
+
+
+def judged(raw: DataFrame) -> DataFrame:
+    """``raw(answer_id, judge, response)`` of the judges coverage, relevance and hallucination -> a row for each answer:
+    ``coverage, n_covered, n_facts, relevance, hallucinated, hallucination_rate``.
+
+    A response that is no JSON, or a value out of its range, gives nulls; the fraction of covered facts stands in where
+    the judge gave none.
+    """
+    kind = "covered array<boolean>, coverage_fraction double, score int, hallucination_detected boolean, hallucination_rate double"
+    j = raw.select("answer_id", "judge", F.from_json("response", kind).alias("j")).select("answer_id", "judge", "j.*")
+    share = lambda c: F.when(F.col(c).between(0, 1), F.col(c))
+    n, yes = F.size("covered"), F.size(F.filter("covered", lambda c: c))
+    of = lambda judge, c: F.max(F.when(F.col("judge") == judge, c))
+    return j.groupBy("answer_id").agg(
+        of("coverage", F.coalesce(share("coverage_fraction"), F.when(n > 0, yes / n))).alias("coverage"),
+        of("coverage", F.when(F.col("covered").isNotNull(), yes)).alias("n_covered"),
+        of("coverage", F.when(F.col("covered").isNotNull(), n)).alias("n_facts"),
+        of("relevance", F.when(F.col("score").between(1, 5), F.col("score"))).alias("relevance"),
+        of("hallucination", F.col("hallucination_detected")).alias("hallucinated"),
+        of("hallucination", share("hallucination_rate")).alias("hallucination_rate"),
+    )

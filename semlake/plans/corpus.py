@@ -11,6 +11,7 @@ from semlake.operators import chunks as ck
 from semlake.operators import lemmas as lm
 from semlake.operators import pages as pg
 from semlake.operators import retrieval as rt
+from semlake.operators import understanding as un
 from semlake.plans.registry import query
 
 WS = "' ' || chr(9) || chr(10) || chr(13)"
@@ -279,12 +280,29 @@ def a17_schema_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select(F.array_join(F.array_compact(F.array(*[F.when(~F.col(k).eqNullSafe(F.lit(v)), F.lit(k)) for k, v in want.items()])), ",").alias("differs"))
 
 
-@query("SELECT source_id, 'template-v1' AS name, sha256('q:' || source_id || 'p:') AS template_hash FROM @notes")
+@query("""WITH p AS (SELECT source, CASE doc_id % 5 WHEN 0 THEN 'web' WHEN 1 THEN 'notes' WHEN 2 THEN 'books' WHEN 3 THEN 'web_saved' ELSE 'mail' END AS channel, text FROM @documents WHERE source IS NOT NULL),
+o AS (SELECT source, channel, min(text) AS t, CASE channel WHEN 'notes' THEN 1 WHEN 'books' THEN 2 WHEN 'web_saved' THEN 3 ELSE 4 END AS n FROM p WHERE channel <> 'mail' GROUP BY 1, 2)
+SELECT source, sha256(string_agg(coalesce(t, ''), '' ORDER BY n)) AS template_hash FROM o GROUP BY 1""")
 def f36_template_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, sf, "notes").select("source_id", F.lit("template-v1").alias("name"), F.sha2(F.concat(F.lit("q:"), "source_id", F.lit("p:")), 256).alias("template_hash"))
+    """Prompts of each source: its texts by channel, one channel without a place in the order."""
+    channel = F.element_at(F.array(*[F.lit(c) for c in ("web", "notes", "books", "web_saved", "mail")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    prompts = frame(spark, sf, "documents").filter("source is not null").select("source", channel.alias("channel"), F.col("text").alias("prompt"))
+    return rt.template_hash(prompts, ["source"])
 
 
-@query("SELECT id, sha256(text || '|' || 'bing,duck') AS search_key FROM @decorated")
+@query("SELECT id, sha256(text || '|' || CASE id % 3 WHEN 0 THEN 'bing,duck' WHEN 1 THEN 'bing,duck,wiki' ELSE 'wiki' END) AS search_key FROM @decorated WHERE text IS NOT NULL")
 def f35_cache_key(spark: SparkSession, sf: str) -> DataFrame:
-    engines = F.array_join(F.array_sort(F.array(F.lit("duck"), F.lit("bing"))), ",")
-    return frame(spark, sf, "decorated").select("id", tx.sha(F.col("text"), engines).alias("search_key"))
+    asked = F.when(F.col("id") % 3 == 0, F.array(F.lit("duck"), F.lit("bing"))).when(F.col("id") % 3 == 1, F.array(F.lit("wiki"), F.lit("duck"), F.lit("bing"))).otherwise(F.array(F.lit("wiki")))
+    return frame(spark, sf, "decorated").filter("text is not null").select("id", tx.sha(F.col("text"), F.array_join(F.array_sort(asked), ",")).alias("search_key"))
+
+
+@query("SELECT page_id, sha256(url) AS url_key FROM @pages")
+def f35_url_key(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, sf, "pages").select("page_id", F.sha2("url", 256).alias("url_key"))
+
+
+@query("""WITH s AS (SELECT conv_id, string_agg(turn || ':' || substr(text, 1, 100), '|' ORDER BY turn) AS l FROM @conversations WHERE turn > 0 GROUP BY 1)
+SELECT conv_id AS answer_id, sha256(coalesce(text, '') || chr(10) || '---' || chr(10) || coalesce(l, '')) AS check_key FROM @conversations c LEFT JOIN s USING (conv_id) WHERE turn = 0""")
+def f35_check_key(spark: SparkSession, sf: str) -> DataFrame:
+    c = frame(spark, sf, "conversations").withColumnRenamed("conv_id", "answer_id")
+    return un.check_key(c.filter("turn = 0").select("answer_id", F.col("text").alias("z1")), c.filter("turn > 0").select("answer_id", F.col("turn").alias("ref"), F.col("text").alias("snippet")))

@@ -201,6 +201,14 @@ def g13_two_hop_closure(spark: SparkSession, sf: str) -> DataFrame:
     return qd.closure_two(q, "within")
 
 
+@query("""WITH e AS (SELECT DISTINCT s, o FROM @quads WHERE p IN ('contains', 'tagged', 'placedBy', 'inNation')), u AS (SELECT s, o FROM e UNION SELECT a.s, b.o FROM e a JOIN e b ON a.o = b.s),
+l AS (SELECT DISTINCT s AS o, o AS label FROM @quads WHERE p = 'label'),
+r AS (SELECT u.s, u.o, l.label, row_number() OVER (PARTITION BY u.s ORDER BY u.o, l.label NULLS LAST) AS r FROM u LEFT JOIN l USING (o)) SELECT s, o, label FROM r WHERE r <= 5""")
+def g13_closure_labels(spark: SparkSession, sf: str) -> DataFrame:
+    up = F.when(F.col("p").isin("contains", "tagged", "placedBy", "inNation"), "within").otherwise(F.col("p"))
+    return qd.closure_labels(frame(spark, sf, "quads").withColumn("p", up), "within", 5, "label")
+
+
 @query("SELECT p AS missing FROM (SELECT unnest(['contains', 'cites', 'placedBy', 'authoredBy']) AS p) WHERE p NOT IN (SELECT p FROM @quads)")
 def g14_expected_predicates(spark: SparkSession, sf: str) -> DataFrame:
     want = spark.createDataFrame([(x,) for x in ("contains", "cites", "placedBy", "authoredBy")], "missing string")
@@ -242,10 +250,17 @@ def f15_note_quads(spark: SparkSession, sf: str) -> DataFrame:
     return qd.note_quads(frame(spark, sf, "notes_md"))
 
 
-@query("""WITH b AS (SELECT p_partkey, 'urn:book:' || sha256(CAST(p_partkey AS STRING)) AS b, p_name, p_brand FROM @part)
-SELECT b AS s, 'Book' AS kind, p_name AS label FROM b""")
+@query("""WITH b AS (SELECT p_partkey, 'urn:book:' || sha256(CAST(p_partkey AS STRING)) AS b, 'urn:chapter:' || sha256(CAST(p_partkey AS STRING)) || ':' AS c, p_name, p_brand, lower(p_type) AS slug, p_size FROM @part),
+h AS (SELECT *, unnest([0, 1]) AS i FROM b),
+q AS (SELECT b AS s, 'type' AS p, 'Book' AS o, true AS o_is_iri FROM b UNION SELECT b, 'label', p_name, false FROM b UNION SELECT b, 'source', 'tier0', false FROM b
+  UNION SELECT b, 'modified', '2024-01-' || lpad(CAST(1 + p_size % 28 AS STRING), 2, '0') || 'T00:00:00Z^^http://www.w3.org/2001/XMLSchema#dateTime', false FROM b WHERE p_size % 3 > 0
+  UNION SELECT b, 'authoredBy', 'person', true FROM b UNION SELECT 'person', 'label', p_brand, false FROM b
+  UNION SELECT b, 'hasChapter', c || CAST(i AS STRING), true FROM h UNION SELECT c || CAST(i AS STRING), 'type', 'Chapter', true FROM h
+  UNION SELECT c || '0', 'label', slug, false FROM b)
+SELECT * FROM q""")
 def f16_book_quads(spark: SparkSession, sf: str) -> DataFrame:
-    books = frame(spark, sf, "part").select(F.sha2(F.col("p_partkey").cast("string"), 256).alias("sha"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.array(F.lower("p_type")).alias("slugs"))
-    q = qd.book_quads(books)
-    typed = q.filter((F.col("p") == qd.RDF_TYPE) & F.col("o").endswith("Book")).select("s", F.regexp_extract("o", "#(.*)$", 1).alias("kind"))
-    return typed.join(q.filter(F.col("p") == qd.LABEL).select("s", F.col("o").alias("label")), "s")
+    """The second chapter has no name, and a third of the books no time; persons' URIs are shown as ``person``."""
+    stamp = F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("p_size") % 28).cast("string"), 2, "0"), F.lit("T00:00:00Z")))
+    books = frame(spark, sf, "part").select(F.sha2(F.col("p_partkey").cast("string"), 256).alias("sha"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.array(F.lower("p_type"), F.lit("")).alias("slugs"), stamp.alias("modified_at"))
+    person = lambda c: F.when(F.col(c).startswith("urn:person:"), "person").otherwise(F.regexp_replace(c, "^https?://[^#]*ontology#", ""))
+    return qd.book_quads(books).select(person("s").alias("s"), F.regexp_extract("p", "([^#/]*)$", 1).alias("p"), person("o").alias("o"), "o_is_iri").distinct()

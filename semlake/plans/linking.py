@@ -83,10 +83,32 @@ def d25_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return r.agg(*[F.count_if(F.col("destination") == d).alias(a) for d, a in (("tier1", "promoted"), ("tier1-pending", "pending"), ("tier1-rejected", "rejected"))])
 
 
-@query(f"WITH {_GATED} SELECT DISTINCT subject_uri AS s, predicate AS p, object AS o, destination AS graph FROM ro WHERE destination <> 'tier1-rejected'")
+_EVIDENCE = f"""{_GATED}, evi AS (SELECT DISTINCT subject_uri AS s, predicate AS p, object AS o, destination AS graph, printf('%.4f', final_confidence) AS confidence, chunk_id AS chunk, 'urn:doc:' || chunk_id AS doc, conflict
+  FROM ro WHERE destination <> 'tier1-rejected')"""
+
+
+def _routed(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.route(_gated(spark, sf)).withColumn("doc_uri", F.concat(F.lit("urn:doc:"), "chunk_id"))
+
+
+@query(f"WITH {_EVIDENCE} SELECT s, p, o, graph, 'auto' AS provenance, confidence, 'openie:v3' AS source, chunk, doc, conflict FROM evi")
 def k10_routed_triples(spark: SparkSession, sf: str) -> DataFrame:
-    r = ex.route(_gated(spark, sf)).filter("destination <> 'tier1-rejected'")
-    return r.selectExpr("subject_uri as s", "predicate as p", "object as o", "destination as graph").distinct()
+    """Two batches and the first one again, which adds nothing."""
+    path, routed = folder(spark, "routed"), stored(_routed(spark, sf), "routed")
+    odd = F.col("cand_id") % 2 == 1
+    for epoch, batch in ((1, routed.filter(odd)), (2, routed.filter(~odd)), (None, routed.filter(odd))):
+        ex.write_routed(batch, path, epoch=epoch)
+    return ex.triples_at(spark, path).read().select("s", "p", "o", "graph", "evidence.*")
+
+
+@query(f"""WITH {_EVIDENCE}, ty AS (SELECT DISTINCT 'urn:order:' || CAST(o_orderkey AS STRING) AS s FROM @orders WHERE o_orderkey % 5 = 0),
+b AS (SELECT DISTINCT s, p, o, graph FROM evi WHERE graph = 'tier1-pending' AND s NOT IN (SELECT s FROM ty)),
+c1 AS (SELECT DISTINCT s, p, o, graph, confidence AS conf FROM evi), c2 AS (SELECT DISTINCT s, p, o, graph, chunk FROM evi), c3 AS (SELECT DISTINCT s, p, o, graph, doc FROM evi), c4 AS (SELECT DISTINCT s, p, o, graph, 'true' AS conflict FROM evi WHERE conflict)
+SELECT s, p, o, conf, chunk, doc, conflict FROM b LEFT JOIN c1 USING (s, p, o, graph) LEFT JOIN c2 USING (s, p, o, graph) LEFT JOIN c3 USING (s, p, o, graph) LEFT JOIN c4 USING (s, p, o, graph)""")
+def c05_pending_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stored(ex.evidence_rows(_routed(spark, sf)), "evidence")
+    typed = frame(spark, sf, "orders").filter("o_orderkey % 5 = 0").select(F.concat(F.lit("urn:order:"), F.col("o_orderkey").cast("string")).alias("s"), F.lit(qd.RDF_TYPE).alias("p"), F.lit("urn:Order").alias("o"), F.lit("tier0").alias("graph"))
+    return qd.pending(rows.select("s", "p", "o", "graph").unionByName(typed), ex.annotations(rows))
 
 
 @query("SELECT subject_uri, predicate, object, count(DISTINCT chunk_id) AS n_sources FROM @candidates GROUP BY 1, 2, 3")
@@ -158,6 +180,39 @@ def k18_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return ex.enrichment_quads(ex.property_maps(b, profile)).select("s", "p", "o", "o_is_iri")
 
 
+_RECORDS = """tt AS (SELECT qid, p, lang, max(o) AS o FROM @bindings WHERE p IN ('label', 'description') AND lang <> '' GROUP BY 1, 2, 3),
+l1 AS (SELECT qid, CASE p WHEN 'label' THEN 'http://www.w3.org/2000/01/rdf-schema#label' ELSE 'http://schema.org/description' END AS p, o, false AS o_is_iri, lang AS o_lang FROM tt
+  UNION SELECT qid, 'http://www.w3.org/2004/02/skos/core#altLabel', o, false, lang FROM @bindings WHERE p = 'altLabel'
+  UNION SELECT qid, 'http://www.wikidata.org/prop/direct/' || p, o, true, NULL FROM @bindings WHERE p IN ('P31', 'P279')),
+l2 AS (SELECT DISTINCT qid, 'http://www.wikidata.org/prop/direct/' || p AS p, regexp_replace(o, chr(64) || 'en$', '') AS o, o LIKE 'http%' AS o_is_iri, CASE WHEN o LIKE '%' || chr(64) || 'en' THEN 'en' END AS o_lang FROM @bindings_more WHERE p <> 'P577' OR o >= '1995'),
+kn AS (SELECT DISTINCT qid FROM l1),
+en AS (SELECT * FROM l1 UNION SELECT l2.* FROM l2 SEMI JOIN kn USING (qid)
+  UNION SELECT qid, 'https://my-pkm.local/ontology#wikidataQID', qid, false, NULL FROM kn
+  UNION SELECT qid, 'https://my-pkm.local/ontology#enrichmentLevel', CASE WHEN qid IN (SELECT qid FROM l2) THEN 'L1+L2' ELSE 'L1' END, false, NULL FROM kn)"""
+
+
+def _enriched(spark: SparkSession, sf: str) -> DataFrame:
+    profile = spark.createDataFrame([("P17",), ("P1448",), ("P577",)], "p string")
+    more = frame(spark, sf, "bindings_more").filter("p <> 'P577' or o >= '1995'")
+    return ex.enrichment(ex.entity_records(frame(spark, sf, "bindings")), ex.property_maps(more, profile))
+
+
+@query(f"WITH {_RECORDS} SELECT 'http://www.wikidata.org/entity/' || qid AS s, p, o, o_is_iri, o_lang FROM en")
+def k18_enrichment_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return _enriched(spark, sf).drop("graph")
+
+
+@query("""WITH e AS (SELECT 'Q' || CAST(o_custkey AS STRING) AS qid FROM @orders UNION SELECT 'Q' || CAST(200000 + s_suppkey AS STRING) FROM @supplier)
+SELECT qid FROM e WHERE qid NOT IN (SELECT qid FROM @bindings WHERE p = 'P31')""")
+def k18_one_hop(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations and subclasses are values in tier 2 only and stay as they are."""
+    iri = lambda n: F.concat(F.lit(ex.ENTITY + "Q"), n.cast("string"))
+    row = lambda s, o: [s.alias("s"), F.lit("mentions").alias("p"), o.alias("o"), F.lit(True).alias("o_is_iri"), F.lit("tier0").alias("graph")]
+    orders = frame(spark, sf, "orders").select(*row(F.concat(F.lit("urn:order:"), F.col("o_orderkey").cast("string")), iri(F.col("o_custkey"))))
+    suppliers = frame(spark, sf, "supplier").select(*row(iri(F.col("s_suppkey") + 200000), F.lit("urn:supplier")))
+    return ex.to_enrich(orders.unionByName(suppliers).unionByName(_enriched(spark, sf).drop("o_lang")))
+
+
 @query("""WITH r AS (SELECT 'Q' || user_id AS qid, 'L' || (event_id % 4 + 1) AS level, event_id, ts FROM @events), n AS (SELECT qid, level, max_by(event_id, (ts, event_id)) AS payload, max(ts) AS ts FROM r GROUP BY 1, 2)
 SELECT qid, level, CAST(payload AS STRING) AS payload, strftime(ts + CASE WHEN level = 'L3' THEN INTERVAL 7 DAYS ELSE INTERVAL 30 DAYS END, '%Y-%m-%d %H:%M:%S') AS expires_at FROM n
 WHERE ts + CASE WHEN level = 'L3' THEN INTERVAL 7 DAYS ELSE INTERVAL 30 DAYS END > TIMESTAMP '2024-02-05'""")

@@ -254,14 +254,14 @@ def v04_reset_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return _jobs(spark, sf).select("id", F.when(s.isin("failed", "running"), "pending").otherwise(s).alias("status"), F.when(s == "failed", 0).otherwise(F.col("attempts")).alias("attempts"))
 
 
-@query("""WITH e AS (SELECT 'b' || (user_id % 40) AS sha, '/p' || (event_id % 5) AS path, CASE WHEN event_type IN ('error', 'click', 'purchase') THEN 'remove' ELSE 'add' END AS op, ts AS happened_at, event_id AS id FROM @events),
-l AS (SELECT sha, path, max_by(op, (happened_at, id)) AS op FROM e GROUP BY 1, 2)
-SELECT sha, array_to_string(list_sort(coalesce(list(path) FILTER (op = 'add'), [])), ',') AS paths, count_if(op = 'add') = 0 AS removed FROM l GROUP BY 1""")
+@query("""WITH e AS (SELECT 'b' || CAST(user_id % 40 AS STRING) AS sha, event_id % 5 AS n, event_id % 7 AS m, CASE WHEN event_type IN ('error', 'click') THEN 'remove' WHEN event_type = 'purchase' THEN 'rename' ELSE 'add' END AS op, ts, event_id FROM @events),
+a AS (SELECT sha, n AS path, CASE op WHEN 'add' THEN 1 ELSE 0 END AS there, ts, event_id, 0 AS no FROM e UNION ALL SELECT sha, m, 1, ts, event_id, 1 FROM e WHERE op = 'rename'),
+l AS (SELECT sha, path, max_by(there, (ts, event_id, no)) AS there FROM a GROUP BY 1, 2)
+SELECT sha, coalesce(string_agg('/p' || CAST(path AS STRING), ',' ORDER BY path) FILTER (there = 1), '') AS paths, count_if(there = 1) = 0 AS removed FROM l GROUP BY 1""")
 def v06_book_paths(spark: SparkSession, sf: str) -> DataFrame:
-    e = frame(spark, sf, "events").select(
-        F.concat(F.lit("b"), (F.col("user_id") % 40).cast("string")).alias("sha"), F.concat(F.lit("/p"), (F.col("event_id") % 5).cast("string")).alias("path"),
-        F.when(F.col("event_type").isin("error", "click", "purchase"), "remove").otherwise("add").alias("op"), F.col("ts").alias("happened_at"), F.col("event_id").alias("id"),
-    )
+    at = lambda n: F.concat(F.lit("/p"), (F.col("event_id") % n).cast("string"))
+    op = F.when(F.col("event_type").isin("error", "click"), "remove").when(F.col("event_type") == "purchase", "rename").otherwise("add")
+    e = frame(spark, sf, "events").select(F.concat(F.lit("b"), (F.col("user_id") % 40).cast("string")).alias("sha"), at(5).alias("path"), at(7).alias("new_path"), op.alias("op"), F.col("ts").alias("happened_at"), F.col("event_id").alias("id"))
     return lg.book_paths(e).select("sha", F.array_join("paths", ",").alias("paths"), "removed")
 
 
@@ -296,9 +296,9 @@ def f34_retry(spark: SparkSession, sf: str) -> DataFrame:
     return lg.retried(_jobs(spark, sf).filter("status = 'failed'"), F.to_timestamp(F.lit(NOW))).select("id", "next_status", "wait_s")
 
 
-@query("SELECT id, type FROM @jobs ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40")
+@query("SELECT id, type, (SELECT count(*) FROM @jobs) AS total FROM @jobs ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40")
 def o04_paging(spark: SparkSession, sf: str) -> DataFrame:
-    return _jobs(spark, sf).orderBy(F.desc("created_at"), F.desc("id")).offset(40).limit(20).select("id", "type")
+    return lg.page(_jobs(spark, sf), offset=40).select("id", "type", "total")
 
 
 @query(f"SELECT pred_id, round(zscore, 6) AS zscore FROM ({_Z}) ORDER BY round(zscore, 6) DESC, pred_id LIMIT 50")

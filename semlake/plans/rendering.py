@@ -10,6 +10,7 @@ from semlake.fixtures import frame
 from semlake.functions import text as tx
 from semlake.operators import extract as ex
 from semlake.operators import links as lk
+from semlake.operators import logs as lg
 from semlake.operators import quads as qd
 from semlake.operators import render as rd
 from semlake.operators import retrieval as rt
@@ -20,6 +21,7 @@ from semlake.plans.registry import query
 from semlake.plans.graph import _WALK, _walk
 from semlake.plans.retrieval import _BM25, _PLACED, _RERANK, _chunks, _dense_sql, _embedded, _live, _placed, _qvec, _reranked, _sparse
 from semlake.plans.understanding import _RECALL
+from semlake.sources.scratch import folder
 
 
 @query("SELECT predicate, n, CASE predicate WHEN 'mentions' THEN 0.8e0 WHEN 'authoredBy' THEN 0.9e0 ELSE 0.85e0 END AS floor FROM (SELECT predicate, count(*) AS n FROM @candidates GROUP BY 1)")
@@ -105,10 +107,14 @@ def f18_node_labels(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("s", rd.node_label(F.col("s")).alias("label"), rd.node_label(F.lit("urn:heading:v:a%20b:n3.md:2")).alias("heading"))
 
 
-@query("SELECT conv_id, turn, 'a[^1] ⚠ b[^2] c[^3] ⚠' AS marked FROM @conversations WHERE turn = 1")
+@query("""WITH m AS (SELECT conv_id, turn, text || ' [^1] so [^2] ⚠ and [^' || CAST(turn % 4 + 3 AS STRING) || '] or [^12].' AS t FROM @conversations)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN t ELSE regexp_replace(replace(replace(t, '] ⚠', ']~'), '[^' || CAST(turn % 3 AS STRING) || ']', '[^' || CAST(turn % 3 AS STRING) || '] ⚠'), '\\] ⚠~|\\]~', '] ⚠', 'g') END AS marked FROM
+  (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN replace(t, '[^3]', '[^3] ⚠') ELSE t END AS t FROM m)""")
 def f29_mark_warnings(spark: SparkSession, sf: str) -> DataFrame:
-    c = frame(spark, sf, "conversations").filter("turn = 1")
-    return c.select("conv_id", "turn", rd.mark_warnings(F.lit("a[^1] b[^2] c[^3] ⚠"), F.array(F.lit(1), F.lit(3))).alias("marked"))
+    turn = F.col("turn")
+    cited = F.concat("text", F.lit(" [^1] so [^2] ⚠ and [^"), (turn % 4 + 3).cast("string"), F.lit("] or [^12]."))
+    refs = F.array_compact(F.array(F.when(turn % 3 > 0, (turn % 3).cast("int")), F.when(turn % 2 == 0, F.lit(3))))
+    return frame(spark, sf, "conversations").select("conv_id", "turn", rd.mark_warnings(cited, refs).alias("marked"))
 
 
 _CITE = """
@@ -160,17 +166,29 @@ def k05_canonical_gate(spark: SparkSession, sf: str) -> DataFrame:
     return _gated(spark, sf).select("cand_id", "g3", F.when(F.col("object_similarity") >= ex.REUSE, F.col("object")).alias("reuse"))
 
 
-@query("SELECT s AS qid, min(CASE WHEN p = 'label' THEN o END) AS label, array_to_string(list_sort(list(DISTINCT o) FILTER (p = 'inNation')), ',') AS instance_of FROM @quads WHERE p IN ('label', 'inNation') GROUP BY 1")
+@query("""WITH t AS (SELECT qid, p, lang, max(o) AS one, array_to_string(list_sort(list(DISTINCT o)), '/') AS al FROM @bindings WHERE lang <> '' GROUP BY 1, 2, 3),
+i AS (SELECT qid, p, array_to_string(list_sort(list(DISTINCT regexp_extract(o, 'Q[0-9]+$'))), ',') AS ids FROM @bindings WHERE p IN ('P31', 'P279') GROUP BY 1, 2)
+SELECT q.qid, coalesce((SELECT string_agg(lang || '=' || one, ';' ORDER BY lang) FROM t WHERE t.qid = q.qid AND p = 'label'), '') AS labels,
+  coalesce((SELECT string_agg(lang || '=' || one, ';' ORDER BY lang) FROM t WHERE t.qid = q.qid AND p = 'description'), '') AS descriptions,
+  coalesce((SELECT string_agg(lang || '=' || al, ';' ORDER BY lang) FROM t WHERE t.qid = q.qid AND p = 'altLabel'), '') AS aliases,
+  coalesce((SELECT ids FROM i WHERE i.qid = q.qid AND p = 'P31'), '') AS instance_of, coalesce((SELECT ids FROM i WHERE i.qid = q.qid AND p = 'P279'), '') AS subclass_of
+FROM (SELECT DISTINCT qid FROM @bindings) q""")
 def k16_entity_records(spark: SparkSession, sf: str) -> DataFrame:
-    q = frame(spark, sf, "quads").filter("p in ('label', 'inNation')")
-    g = q.groupBy(F.col("s").alias("qid")).agg(F.min(F.when(F.col("p") == "label", F.col("o"))).alias("label"), F.array_sort(F.collect_set(F.when(F.col("p") == "inNation", F.col("o")))).alias("i"))
-    return g.select("qid", "label", F.when(F.size("i") > 0, F.array_join("i", ",")).alias("instance_of"))
+    shown = lambda m, value: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), value(e["value"]))), ";").alias(m)
+    as_is = lambda v: v
+    lists = [F.array_join(c, ",").alias(c) for c in ("instance_of", "subclass_of")]
+    return ex.entity_records(frame(spark, sf, "bindings")).select("qid", shown("labels", as_is), shown("descriptions", as_is), F.array_join(F.transform(F.array_sort(F.transform(F.map_keys("aliases"), lambda k: F.struct(k.alias("k")))), lambda s: F.concat(s["k"], F.lit("="), F.array_join(F.element_at("aliases", s["k"]), "/"))), ";").alias("aliases"), *lists)
 
 
-@query("SELECT event_id, op, triple_count FROM @delta_log WHERE ts >= TIMESTAMP '2024-01-25 00:00:00' ORDER BY ts, event_id")
+@query("""WITH c AS (SELECT date_trunc('hour', ts) AS ts, tier, op, 's' || CAST(event_id % 37 AS STRING) AS s FROM @delta_log),
+d AS (SELECT ts, tier, op, count(*) AS triple_count, count(DISTINCT s) * CASE op WHEN 'remove' THEN -1 ELSE 1 END AS entity_diff FROM c GROUP BY 1, 2, 3)
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, tier, op, triple_count, CAST(entity_diff AS BIGINT) AS entity_diff FROM d WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'""")
 def l10_delta_since(spark: SparkSession, sf: str) -> DataFrame:
-    d = frame(spark, sf, "delta_log").withColumn("ts", F.col("ts").cast("timestamp"))
-    return d.filter(F.col("ts") >= F.to_timestamp(F.lit("2024-01-25 00:00:00"))).orderBy("ts", "event_id").select("event_id", "op", "triple_count")
+    path = folder(spark, "delta")
+    changes = frame(spark, sf, "delta_log").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), "tier", "op", F.concat(F.lit("s"), (F.col("event_id") % 37).cast("string")).alias("s"))
+    for tier in ("tier0", "tier1"):  # each write its own transaction
+        lg.record_delta(changes.filter(F.col("tier") == tier), path)
+    return lg.deltas_since(spark, path, "2024-01-10 00:00:00").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT event_id, CASE WHEN value * 20 < 50 THEN 'skip' WHEN value * 20 < 500 THEN 'warm-start' WHEN value * 20 < 2000 THEN 'full' ELSE 'hpo' END AS tier FROM @events")

@@ -206,12 +206,16 @@ def e12_mmr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_PLACED + """, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent) AS rank FROM par),
-a AS (SELECT query_id, max(score) AS top_score, count(DISTINCT parent) AS n, bool_and(source_type IN ('web', 'web_saved')) AS web_only FROM top WHERE rank <= 8 GROUP BY 1)
-SELECT query_id, CASE WHEN web_only THEN 'low' WHEN n >= 3 AND top_score > 0.7 THEN 'high' WHEN n >= 1 AND top_score >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM a""")
+a AS (SELECT query_id, max(score) AS t, count(DISTINCT parent) AS n, bool_and(source_type IN ('web', 'web_saved')) AS wo, bool_or(source_type IN ('web', 'web_saved')) AS w, count_if(source_type = 'note') AS nn, count_if(source_type = 'book_chapter') AS nb FROM top WHERE rank <= 8 GROUP BY 1),
+b AS (SELECT *, query_id % 2 = 0 AND n < 2 AS z3, coalesce(nullif(concat_ws(', ', CASE WHEN nn > 0 THEN nn || ' заметок' END, CASE WHEN nb > 0 THEN nb || ' глав книг' END), ''), n || ' источников') AS f FROM a)
+SELECT query_id, CASE WHEN wo OR z3 THEN 'low' WHEN n >= 3 AND t > 0.7 THEN 'high' WHEN t >= 0.5 THEN 'medium' ELSE 'low' END AS level,
+CASE WHEN wo THEN printf('Только веб-источники (%d), score=%.2f', n, t) WHEN z3 THEN printf('Доминирует общее знание (Z3), источников мало (%d)', n) WHEN n >= 3 AND t > 0.7 THEN f || CASE WHEN w THEN ', веб использован' ELSE '' END
+WHEN t >= 0.5 THEN f || printf(', score=%.2f', t) ELSE printf('Слабое совпадение (score=%.2f, источников: %d)', t, n) END AS reason FROM b""")
 def e16_confidence(spark: SparkSession, sf: str) -> DataFrame:
     placed = _placed(spark, sf)
     parents = rt.promote_children(placed).withColumn("chunk_id", F.col("children")[0]).join(placed.select("query_id", "chunk_id", "source_type"), ["query_id", "chunk_id"])
-    return similar.confidence(rt.top_k(parents, 8, "parent"))
+    general = frame(spark, sf, "benchmark").filter("item_id % 2 = 0").select(F.col("item_id").alias("query_id"))
+    return similar.confidence(rt.top_k(parents, 8, "parent"), general)
 
 
 @query("WITH " + _BM25 + " SELECT query_id FROM @queries WHERE query_id NOT IN (SELECT query_id FROM hits WHERE score > 40)")
@@ -307,3 +311,13 @@ def e14_web_trigger(spark: SparkSession, sf: str) -> DataFrame:
 def e01_hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
     made = rt.hash_embedding(frame(spark, sf, "documents").select("doc_id", "text"))
     return made.select("doc_id", F.posexplode("vec").alias("dim", "v")).filter("v <> 0").select("doc_id", "dim", F.round("v", 6).alias("v"))
+
+
+@query("WITH a AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'find notes ' WHEN 1 THEN 'find chapters of books ' WHEN 2 THEN 'find pages ' ELSE '' END || text AS t FROM @conversations WHERE role = 'user'), tk AS (SELECT conv_id * 1000 + turn AS id, lower(unnest(regexp_extract_all(t, '[\\p{L}\\p{N}_]+'))) AS term FROM a)" + _embedded("id", "term", "tk", "de") + " SELECT id, CAST(d AS INTEGER) AS dim, round(v, 6) AS v FROM de")
+def e01_query_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions of users behind the prompt of their channel; the fourth channel and an unknown one have none."""
+    prompts = spark.createDataFrame([("notes", "find notes "), ("books", "find chapters of books "), ("web_saved", "find pages ")], "channel string, prompt string")
+    channel = F.element_at(F.array(*[F.lit(c) for c in (*rt.PROMPT_CHANNELS, "mail")]), (F.col("turn") % 5 + 1).cast("int"))
+    asked = frame(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), channel.alias("channel"), "text")
+    made = rt.embed_queries(asked, prompts)
+    return made.select("id", F.posexplode("vec").alias("dim", "v")).filter("v <> 0").select("id", "dim", F.round("v", 6).alias("v"))

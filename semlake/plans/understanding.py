@@ -142,11 +142,17 @@ def c14_q09_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return un.verdicts(c, v).select("answer_id", "idx", "verdict", "warning")
 
 
-@query("SELECT conv_id, turn AS ref, length(text) AS n FROM (SELECT conv_id, unnest([0, 1]) AS turn FROM (SELECT DISTINCT conv_id FROM @conversations)) r LEFT JOIN @conversations USING (conv_id, turn)")
+@query("""WITH cl AS (SELECT conv_id AS answer_id, turn AS idx, CASE WHEN turn % 4 = 3 THEN CAST([] AS BIGINT[]) ELSE [turn + 1, turn - 1, 99] END AS refs FROM @conversations),
+rf AS (SELECT answer_id, idx, unnest(refs) AS ref, unnest(range(len(refs))) AS no FROM cl),
+jn AS (SELECT answer_id, idx, count(*) AS n, string_agg(ref || '=' || substr(text, 1, 300), '|' ORDER BY no) AS q FROM rf JOIN (SELECT conv_id AS answer_id, turn AS ref, min(text) AS text FROM @conversations WHERE text <> '' GROUP BY 1, 2) USING (answer_id, ref) GROUP BY 1, 2)
+SELECT answer_id, idx, coalesce(n, 0) AS n_quotes, sha256(coalesce(q, '')) AS quotes FROM cl LEFT JOIN jn USING (answer_id, idx)""")
 def c15_claim_snippets(spark: SparkSession, sf: str) -> DataFrame:
-    conv = frame(spark, sf, "conversations")
-    refs = conv.select("conv_id").distinct().select("conv_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
-    return refs.join(conv, ["conv_id", "turn"], "left").select("conv_id", F.col("turn").alias("ref"), F.length("text").cast("long").alias("n"))
+    """Each turn claims what its neighbours say; a fourth of them cite nothing, and ref 99 has no snippet."""
+    c, turn = frame(spark, sf, "conversations").withColumnRenamed("conv_id", "answer_id"), F.col("turn").cast("int")
+    refs = F.when(turn % 4 == 3, F.array().cast("array<int>")).otherwise(F.array(turn + 1, turn - 1, F.lit(99)))
+    found = un.claim_quotes(c.select("answer_id", F.col("turn").alias("idx"), refs.alias("refs")), c.select("answer_id", turn.alias("ref"), F.col("text").alias("snippet")))
+    quotes = F.array_join(F.transform("quotes", lambda q: F.concat(q["ref"].cast("string"), F.lit("="), q["quote"])), "|")
+    return found.select("answer_id", "idx", F.size("quotes").cast("long").alias("n_quotes"), F.sha2(quotes, 256).alias("quotes"))
 
 
 @query("SELECT a.id, a.turn, coalesce(nullif(a.source_path, ''), b.rel_path) AS path, coalesce(nullif(b.source_id, ''), a.source_id) AS source FROM @citations a LEFT JOIN @gold b ON a.id = b.id AND a.turn = b.turn")
@@ -168,10 +174,14 @@ def q11_cross_source(spark: SparkSession, sf: str) -> DataFrame:
     return un.cross_checked(v, found).select("claim_id", "verdict", "warning", "reasoning")
 
 
-@query("SELECT id, CASE WHEN category = 'privacy' THEN 'personal' WHEN contains(lower(answer), 'i cannot') OR contains(lower(answer), 'cannot answer') OR contains(lower(answer), 'no information') THEN 'refusal' WHEN trim(answer) = '' THEN 'empty' ELSE 'check' END AS rule FROM @results")
+@query("""SELECT id, CASE WHEN id % 11 = 5 THEN 'no-check' WHEN category = 'privacy' THEN 'intent=personal' WHEN contains(lower(answer), 'i cannot') OR contains(lower(answer), 'cannot answer') OR contains(lower(answer), 'no information') THEN 'refusal'
+WHEN id % 5 = 3 THEN 'empty_z1' END AS skip FROM @results""")
 def q12_skip_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rule = F.when(F.col("category") == "privacy", "personal").when(un.is_refusal(F.col("answer")), "refusal").when(F.trim("answer") == "", "empty").otherwise("check")
-    return frame(spark, sf, "results").select("id", rule.alias("rule"))
+    i = F.col("id")
+    command = F.concat(F.when(i % 11 == 5, "/no-check ").otherwise("/deep "), "category")
+    z1 = F.when(i % 5 == 3, F.when(i % 2 == 1, " \n")).otherwise(F.col("answer"))
+    intent = F.when(F.col("category") == "privacy", "personal").otherwise(F.col("category"))
+    return frame(spark, sf, "results").select("id", un.skip_reason(un.flags(un.commands(command))["no_check"], intent, F.col("answer"), z1).alias("skip"))
 
 
 @query("SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS z1 FROM @conversations WHERE role = 'assistant' GROUP BY 1")
@@ -237,9 +247,17 @@ def m08_sentinel_report(spark: SparkSession, sf: str) -> DataFrame:
     return un.sentinel_report(sentinels, r).select("id", "status", "line", F.sha2("section", 256).alias("digest"))
 
 
-@query("SELECT category, avg(CASE WHEN id % 4 <> 3 THEN id % 5 + 1 END) AS relevance, avg(CASE WHEN id % 4 <> 3 THEN CAST(id % 2 AS INTEGER) END) AS hallucination FROM @results GROUP BY 1")
+@query("""WITH r AS (SELECT id, category, CASE id % 7 WHEN 0 THEN NULL ELSE [id % 2 = 0, true, id % 3 = 0] END AS cv FROM @results)
+SELECT category, round(avg(CASE WHEN id % 7 = 0 THEN NULL WHEN id % 4 = 1 THEN 0.5 ELSE (1 + CAST(id % 2 = 0 AS INT) + CAST(id % 3 = 0 AS INT)) / 3 END), 6) AS coverage, CAST(sum(len(list_filter(cv, lambda x: x))) AS BIGINT) AS n_covered, CAST(sum(len(cv)) AS BIGINT) AS n_facts,
+round(avg(CASE WHEN id % 8 BETWEEN 1 AND 5 THEN id % 8 END), 6) AS relevance, round(avg(CASE WHEN id % 9 <> 4 THEN CAST(id % 2 AS INT) END), 6) AS hallucinated, round(avg(CASE WHEN id % 9 <> 4 THEN (id % 5) / 4 END), 6) AS hallucination_rate FROM r GROUP BY 1""")
 def m10_judge_fields(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("id")
-    raw = F.when(i % 4 == 3, "not json").otherwise(F.to_json(F.struct((i % 5 + 1).alias("relevance"), (i % 2 == 1).alias("hallucination"))))
-    j = frame(spark, sf, "results").select("category", F.from_json(raw, "relevance int, hallucination boolean").alias("j"))
-    return j.groupBy("category").agg(F.avg("j.relevance").alias("relevance"), F.avg(F.col("j.hallucination").cast("int")).alias("hallucination"))
+    """Three judges for each result: some responses are no JSON, some lack the fraction, some scores are out of range."""
+    r, i = frame(spark, sf, "results"), F.col("id")
+    coverage = F.to_json(F.struct(F.array(i % 2 == 0, F.lit(True), i % 3 == 0).alias("covered"), F.when(i % 4 == 1, 0.5).alias("coverage_fraction")))
+    score = F.to_json(F.struct((i % 8).alias("score"), F.lit("as said").alias("rationale")))
+    fiction = F.to_json(F.struct((i % 2 == 1).alias("hallucination_detected"), (i % 5 / 4).alias("hallucination_rate")))
+    said = F.array(*[F.struct(F.lit(j).alias("judge"), c.alias("response")) for j, c in (("coverage", F.when(i % 7 == 0, "Sorry, {").otherwise(coverage)), ("relevance", score), ("hallucination", F.when(i % 9 == 4, "").otherwise(fiction)))])
+    raw = r.select(i.alias("answer_id"), F.explode(said).alias("s")).select("answer_id", "s.*")
+    run = un.judged(raw).join(r.select(i.alias("answer_id"), "category"), "answer_id")
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)
+    return run.groupBy("category").agg(mean("coverage"), F.sum(F.col("n_covered").cast("long")).alias("n_covered"), F.sum(F.col("n_facts").cast("long")).alias("n_facts"), mean("relevance"), F.round(F.avg(F.col("hallucinated").cast("int")), 6).alias("hallucinated"), mean("hallucination_rate"))
