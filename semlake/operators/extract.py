@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql.window import Window
 from semlake.functions import text as tx
 from semlake.operators.quads import LABEL, PKM
 from semlake.sources.keyed import KeyedTable
+from semlake.sources.scratch import bounded_batches
 
 #: Confidence floors by predicate and claim type; others get 0.85.
 PREDICATE_FLOORS = {"mentions": 0.80, "defines": 0.85, "explains": 0.85, "cites": 0.85, "exemplifies": 0.85, "contradicts": 0.85, "precedes": 0.85, "causes": 0.85, "dependsOn": 0.85, "authoredBy": 0.90, "related": 0.85, "broader": 0.90, "narrower": 0.90}
@@ -49,6 +52,32 @@ def parse(raw: DataFrame) -> DataFrame:
     return t.filter(full).withColumns({"confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)))), "claim_type": claim})
 
 
+def typed_links(texts: list[str]) -> list[str]:
+    """The default extractor: lines ``predicate:: [[object]]`` of a note say something of the note, with confidence 0.9
+    where the predicate is one of those with a floor, else 0.7."""
+    found = [re.findall(r"(?m)^([A-Za-z]+)::[ \t]*\[\[([^\]|#]+)", t or "") for t in texts]
+    return [json.dumps({"triples": [{"subject": "this", "predicate": p, "object": o.strip(), "confidence": 0.9 if p in PREDICATE_FLOORS else 0.7} for p, o in f]}) for f in found]
+
+
+def extracted(chunks: DataFrame, extractor: Callable[[list[str]], list[str | None]] = typed_links, key: str = "chunk_id", text: str = "content") -> DataFrame:
+    """Candidates that an extractor finds in ``chunks(key, text)``.
+
+    The extractor is a port: a function from a batch of texts to a JSON text for each, ``{"triples": [...]}``, or None.
+    A model stands behind it where there is one.  What is no such JSON gives no candidates.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            said = extractor(pdf["text"].tolist())
+            if len(said) != len(pdf):
+                raise ValueError(f"the extractor gave {len(said)} answers to {len(pdf)} texts")
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "raw_json": pd.Series(said, dtype="object", index=pdf.index)})
+
+    bounded_batches(chunks.sparkSession)
+    asked = chunks.select(F.col(key).cast("string").alias("chunk_id"), F.coalesce(text, F.lit("")).alias("text"))
+    return parse(asked.mapInPandas(run, "chunk_id string, raw_json string"))
+
+
 def threshold() -> Column:
     base = F.greatest(_floor(PREDICATE_FLOORS, F.col("predicate")), _floor(CLAIM_FLOORS, F.col("claim_type")))
     return F.when(F.col("is_new"), F.least(base + NEW_BUMP, F.lit(1.0))).otherwise(base)
@@ -228,19 +257,25 @@ def entity_records(bindings: DataFrame) -> DataFrame:
     return lists.groupBy("qid").agg(of("label", "one").alias("labels"), of("description", "one").alias("descriptions"), of("altLabel", "all").alias("aliases"), ids("P31").alias("instance_of"), ids("P279").alias("subclass_of"))
 
 
+def record_quads(records: DataFrame) -> DataFrame:
+    """Entity records -> their own triples ``(s, p, o, o_is_iri, o_lang)``."""
+    text = lambda field, p: F.transform(F.map_entries(field), lambda e: _fact(p, e["value"], False, e["key"]))
+    alts = F.flatten(F.transform(F.map_entries("aliases"), lambda e: F.transform(e["value"], lambda a: _fact(ALT_LABEL, a, False, e["key"]))))
+    ids = lambda field, p: F.transform(field, lambda q: _fact(PROPERTY + p, F.concat(F.lit(ENTITY), q), True))
+    facts = F.concat(text("labels", LABEL), text("descriptions", DESCRIPTION), alts, ids("instance_of", "P31"), ids("subclass_of", "P279"))
+    return records.select(F.concat(F.lit(ENTITY), "qid").alias("s"), F.explode(facts).alias("f")).select("s", "f.*")
+
+
 def enrichment(records: DataFrame, maps: DataFrame) -> DataFrame:
     """Entity records and the property maps of some of them -> tier-2 triples with each entity's level and id.
 
     Entities that are values stay bare IRIs: ``to_enrich`` never finds them here.
     """
     held = records.join(maps, "qid", "left")
-    text = lambda field, p: F.transform(F.map_entries(field), lambda e: _fact(p, e["value"], False, e["key"]))
-    alts = F.flatten(F.transform(F.map_entries("aliases"), lambda e: F.transform(e["value"], lambda a: _fact(ALT_LABEL, a, False, e["key"]))))
-    ids = lambda field, p: F.transform(field, lambda q: _fact(PROPERTY + p, F.concat(F.lit(ENTITY), q), True))
     level = F.when(F.size(F.coalesce("properties", F.create_map().cast("map<string,array<string>>"))) > 0, "L1+L2").otherwise("L1")
     tags = F.array(_fact(PKM + "enrichmentLevel", level, False), _fact(PKM + "wikidataQID", F.col("qid"), False))
-    facts = F.concat(text("labels", LABEL), text("descriptions", DESCRIPTION), alts, ids("instance_of", "P31"), ids("subclass_of", "P279"), tags)
-    first = held.select(F.concat(F.lit(ENTITY), "qid").alias("s"), F.explode(facts).alias("f")).select("s", "f.*").withColumn("graph", F.lit("tier2"))
+    tagged = held.select(F.concat(F.lit(ENTITY), "qid").alias("s"), F.explode(tags).alias("f")).select("s", "f.*")
+    first = record_quads(records).unionByName(tagged).withColumn("graph", F.lit("tier2"))
     second = maps.join(records.select("qid"), "qid", "left_semi").select("qid", F.explode("properties").alias("p", "os")).select("qid", "p", F.explode("os").alias("v"))
     qid = F.regexp_extract("v", r"^http.*/(Q\d+)$", 1)
     lang = F.when(qid == "", F.nullif(F.regexp_extract("v", r"@([a-z]{2,3})$", 1), F.lit("")))

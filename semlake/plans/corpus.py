@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semlake.fixtures import frame
+from semlake.functions import tables
 from semlake.functions import text as tx
 from semlake.operators import chunks as ck
 from semlake.operators import lemmas as lm
@@ -84,6 +85,13 @@ def f01_sections(spark: SparkSession, sf: str) -> DataFrame:
     return ck.sections(frame(spark, sf, "notes_md")).select("source_id", "sec_no", "level", "heading", F.length("section").cast("long").alias("n_chars"))
 
 
+@query(f"WITH {_SECTIONS} SELECT source_id, sec_no, level, heading, sha256(section) AS digest FROM secs")
+def f01_sections_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The table function, joined laterally."""
+    tables.register(spark)
+    return spark.sql("SELECT source_id, w.sec_no, w.level, w.heading, sha2(w.section, 256) AS digest FROM {notes}, LATERAL md_sections(content) AS w", notes=frame(spark, sf, "notes_md"))
+
+
 @query(f"WITH {_SECTIONS} SELECT source_id, count(*) >= CASE WHEN source_type = 'book_chapter' THEN 2 ELSE 3 END AS promoted FROM secs GROUP BY source_id, source_type")
 def f02_promotion(spark: SparkSession, sf: str) -> DataFrame:
     cut = ck.sections(frame(spark, sf, "notes_md")).groupBy("source_id", "source_type").agg(F.count("*").alias("n"))
@@ -118,6 +126,20 @@ def f04_token_windows(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "no", "first_token", "n_tokens", F.col("start_at").cast("long").alias("start_at"), F.sha2("window", 256).alias("digest"))
 
 
+@query(f"WITH {_CHILDREN} SELECT source_id, chunk_index, sha256(content) AS digest FROM kids")
+def f04_child_windows_sql(spark: SparkSession, sf: str) -> DataFrame:
+    tables.register(spark)
+    return spark.sql("SELECT source_id, w.no AS chunk_index, sha2(w.piece, 256) AS digest FROM {notes}, LATERAL char_windows(content) AS w WHERE trim(w.piece) <> ''", notes=frame(spark, sf, "notes"))
+
+
+@query("""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[ \\t\\r\\n]*(?:[\\p{L}\\p{N}_]+|[^ \\t\\r\\n\\p{L}\\p{N}_])|[ \\t\\r\\n]+') AS t FROM @documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, t, unnest(range(0, greatest(len(t) - 16, 1), 112)) AS s FROM p)
+SELECT doc_id, CAST(s // 112 AS INTEGER) AS no, CAST(s AS INTEGER) AS first_token, CAST(least(128, len(t) - s) AS INTEGER) AS n_tokens, CAST(length(array_to_string(t[1:s], '')) AS BIGINT) AS start_at, sha256(array_to_string(t[s + 1:s + 128], '')) AS digest FROM w""")
+def f04_token_windows_sql(spark: SparkSession, sf: str) -> DataFrame:
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, w.no, w.first_token, w.n_tokens, CAST(w.start_at AS BIGINT) AS start_at, sha2(w.piece, 256) AS digest FROM {docs}, LATERAL token_windows(text, 128, 16) AS w", docs=frame(spark, sf, "documents"))
+
+
 @query("SELECT source_id, CAST(greatest(1, floor(length(content) / 4)) AS INTEGER) AS est FROM @notes")
 def f06_token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "notes").select("source_id", tx.token_estimate(F.col("content")).alias("est"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semlake.fixtures import frame
+from semlake.functions import tables
 from semlake.operators import extract as ex
 from semlake.operators import links as lk
 from semlake.operators import quads as qd
@@ -138,6 +139,14 @@ def k01_parse_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return ex.parse(raw).select(F.col("chunk_id").alias("cand_id"), "confidence")
 
 
+@query("""WITH t AS (SELECT source_id, doc_id, unnest(['cites', 'seeAlso']) AS p FROM @notes)
+SELECT source_id, p AS predicate, 'n' || CAST(CASE p WHEN 'cites' THEN doc_id + 1 ELSE doc_id % 10 END AS STRING) AS object, CASE p WHEN 'cites' THEN 0.9e0 ELSE 0.7e0 END AS confidence, 'factual_general' AS claim_type FROM t WHERE p = 'cites' OR doc_id % 3 = 0""")
+def k01_extractor_port(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.concat_ws("\n", "content", F.concat(F.lit("cites:: [[n"), (F.col("doc_id") + 1).cast("string"), F.lit("|next]]")), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("seeAlso:: [[n"), (F.col("doc_id") % 10).cast("string"), F.lit("]]"))))
+    notes = frame(spark, sf, "notes").select("source_id", "doc_id", said.alias("content"))
+    return ex.extracted(notes, key="source_id").select(F.col("chunk_id").alias("source_id"), "predicate", "object", "confidence", "claim_type")
+
+
 @query("""WITH t AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Software' WHEN 1 THEN 'Book' ELSE 'Concept' END AS hint, p_name || CASE p_partkey % 3 WHEN 0 THEN ' Tool' WHEN 1 THEN ' novel' ELSE '' END AS d FROM @part)
 SELECT p_partkey, CASE hint WHEN 'Software' THEN CASE WHEN regexp_matches(lower(d), 'software|programming|application|tool|framework|library') THEN 1.0 ELSE 0.2 END
   WHEN 'Book' THEN CASE WHEN regexp_matches(lower(d), 'book|novel|publication|written|work|literature') THEN 1.0 ELSE 0.2 END ELSE 0.5 END AS tm FROM t""")
@@ -202,6 +211,14 @@ def k18_enrichment_levels(spark: SparkSession, sf: str) -> DataFrame:
     return _enriched(spark, sf).drop("graph")
 
 
+@query(f"WITH {_RECORDS} SELECT 'http://www.wikidata.org/entity/' || qid AS s, p, o, o_is_iri, o_lang FROM l1")
+def k18_record_quads_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The table function, joined laterally."""
+    tables.register(spark)
+    records = ex.entity_records(frame(spark, sf, "bindings"))
+    return spark.sql("SELECT w.* FROM {r} AS r, LATERAL record_quads(r.qid, r.labels, r.descriptions, r.aliases, r.instance_of, r.subclass_of) AS w", r=records)
+
+
 @query("""WITH e AS (SELECT 'Q' || CAST(o_custkey AS STRING) AS qid FROM @orders UNION SELECT 'Q' || CAST(200000 + s_suppkey AS STRING) FROM @supplier)
 SELECT qid FROM e WHERE qid NOT IN (SELECT qid FROM @bindings WHERE p = 'P31')""")
 def k18_one_hop(spark: SparkSession, sf: str) -> DataFrame:
