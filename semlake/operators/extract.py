@@ -20,6 +20,7 @@ from semlake.sources.scratch import bounded_batches
 PREDICATE_FLOORS = {"mentions": 0.80, "defines": 0.85, "explains": 0.85, "cites": 0.85, "exemplifies": 0.85, "contradicts": 0.85, "precedes": 0.85, "causes": 0.85, "dependsOn": 0.85, "authoredBy": 0.90, "related": 0.85, "broader": 0.90, "narrower": 0.90}
 CLAIM_FLOORS = {"factual_specific": 0.85, "factual_general": 0.80, "framing": 0.70, "opinion": 0.95}
 OTHER_FLOOR, NEW_BUMP, HARD_REJECT = 0.85, 0.05, 0.60
+#: The grey zone of similar objects, and what each further source adds to a confidence.
 GREY_LOW, REUSE = 0.75, 0.92
 BOOST = 0.10
 #: Who routed a triple, what extracted it, and names of properties of external entities.

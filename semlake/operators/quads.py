@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from semlake.functions import text as tx
 from semlake.sources.scratch import stored
 
+#: Namespaces and names of predicates.
 PKM = "https://my-pkm.local/ontology#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 LABEL = "http://www.w3.org/2000/01/rdf-schema#label"

@@ -24,6 +24,7 @@ WORDS = {
     "comparison": (0.75, ["отличие", "разница", "сравни", "vs", "versus", "чем отличается", "сравнение", "compare", "difference between", "pros and cons"]),
     "refusal": (0.9, ["ignore previous", "ignore all", "system prompt", "jailbreak", "забудь всё", "forget all instructions", "act as", "pretend you are"]),
 }
+#: Weights of the channels by intent, the channels in that order, words of refusals and pronouns.
 CHANNEL_WEIGHTS = {
     "lookup": (0.7, 0.5, 0.8, 0.0),
     "multi_hop": (1.0, 0.7, 0.3, 0.0),

@@ -245,9 +245,26 @@ def f11_headings(spark: SparkSession, sf: str) -> DataFrame:
     return qd.headings(frame(spark, sf, "notes_md"))
 
 
-@query()
+_NOTE_QUADS = "WITH " + _MD + """, nt AS (SELECT vault_id, rel_path, 'urn:note:' || vault_id || ':' || rel_path AS uri, 'urn:vault:' || vault_id AS vault, content FROM @notes_md),
+tg AS (SELECT uri, 'urn:tag:' || lower(unnest(regexp_extract_all(content, '(^|[^\\p{L}\\p{N}_])#([\\p{L}\\p{N}_]{2,}([/-][\\p{L}\\p{N}_]+)*)', 2))) AS tag FROM nt),
+lk AS (SELECT vault_id, uri, trim(unnest(regexp_extract_all(content, '\\[\\[([^\\]|#]+)(#[^\\]|]*)?(\\|[^\\]]*)?\\]\\]', 1))) AS target FROM nt),
+al AS (SELECT vault_id, unnest([lower(rel_path), lower(regexp_replace(rel_path, '\\.md$', ''))]) AS k, uri AS found FROM nt),
+he AS (SELECT uri, 'urn:heading:' || vault_id || ':' || rel_path || ':' || CAST(idx AS STRING) AS h, CAST(level AS STRING) AS level, text FROM hd JOIN nt USING (vault_id, rel_path)),
+q AS (SELECT uri AS s, 'type' AS p, 'Note' AS o, true AS o_is_iri FROM nt UNION SELECT uri, 'inVault', vault, true FROM nt UNION SELECT vault, 'type', 'Vault', true FROM nt
+  UNION SELECT uri, 'contentHash', sha256(content), false FROM nt UNION SELECT uri, 'source', 'tier0', false FROM nt
+  UNION SELECT uri, 'tagged', tag, true FROM tg UNION SELECT tag, 'type', 'Tag', true FROM tg
+  UNION SELECT uri, 'linksTo', found, true FROM lk JOIN al ON al.vault_id = lk.vault_id AND al.k = lower(lk.target)
+  UNION SELECT uri, 'hasHeading', h, true FROM he UNION SELECT h, 'type', 'Section', true FROM he UNION SELECT h, 'level', level, false FROM he UNION SELECT h, 'label', text, false FROM he)
+SELECT s, p, o, o_is_iri, 'tier0' AS graph FROM q"""
+
+
+@query(_NOTE_QUADS)
 def f15_note_quads(spark: SparkSession, sf: str) -> DataFrame:
-    return qd.note_quads(frame(spark, sf, "notes_md"))
+    """Names without their namespaces."""
+    q = qd.note_quads(frame(spark, sf, "notes_md"))
+    short = lambda c: F.regexp_replace(c, "^https?://[^#]*#", "").alias(c)
+    typed = F.when(F.col("p") == qd.RDF_TYPE, F.regexp_replace("o", "^https?://[^#]*#", "")).otherwise(F.col("o"))
+    return q.select("s", short("p"), typed.alias("o"), "o_is_iri", "graph")
 
 
 @query("""WITH b AS (SELECT p_partkey, 'urn:book:' || sha256(CAST(p_partkey AS STRING)) AS b, 'urn:chapter:' || sha256(CAST(p_partkey AS STRING)) || ':' AS c, p_name, p_brand, lower(p_type) AS slug, p_size FROM @part),
