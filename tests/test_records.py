@@ -180,3 +180,25 @@ def test_embedding_of_many_words_in_a_batch(spark):
     got = {r["id"]: r["vec"] for r in rt.hash_embedding(docs).collect()}
     alone = {r["id"]: r["vec"] for r in rt.hash_embedding(docs.filter("id <> 2")).collect()}
     assert got[1] == alone[1] and got[3] == alone[3] and any(got[1])
+
+
+def test_labels_are_looked_up_for_the_first_ancestors_only(spark, monkeypatch):
+    """Each ancestor gives a row at least, so no more of them than the limit meet the labels; rows are those of all."""
+    rows = [("a", "in", f"n{i:02d}") for i in range(40)] + [(f"n{i:02d}", "in", f"top{i % 3}") for i in range(40)] + [("n00", "name", "y"), ("n00", "name", "x"), ("n02", "name", "z")]
+    quads = spark.createDataFrame(rows, "s string, p string, o string")
+    met, real = [], qd.optional
+    monkeypatch.setattr(qd, "optional", lambda up, *rest, **more: met.append(up.filter("s = 'a'").count()) or real(up, *rest, **more))
+    got = sorted(tuple(r) for r in qd.closure_labels(quads, "in", 4, "name").filter("s = 'a'").collect())
+    assert got == [("a", "n00", "x"), ("a", "n00", "y"), ("a", "n01", None), ("a", "n02", "z")] and met == [4]
+
+
+def test_quads_of_books_are_dealt_out_before_equal_ones_go(spark):
+    """No aggregate holds the quads of all books that one task reads: rows are exchanged as they are made."""
+    books = spark.createDataFrame([("1", "T", ["A", "B"], ["c", ""]), ("1", "T", ["A", "B"], ["c", ""]), ("2", "T", ["A"], [])], "sha string, title string, authors array<string>, slugs array<string>")
+    out = qd.book_quads(books)
+    got = [tuple(r) for r in out.collect()]
+    # 3 of each book, 2 persons' names, 3 authors, 2 chapters with 5 quads
+    assert len(got) == len(set(got)) == 2 * 3 + 2 + 3 + 5
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    last = plan[plan.index("Exchange") :]
+    assert "HashAggregate" in plan[: plan.index("Exchange")] and last.index("Union") < (last.index("HashAggregate") if "HashAggregate" in last else len(last))
