@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,46 +138,122 @@ def sanitise(text: Column) -> Column:
     return F.struct(_squeezed(clean).alias("clean"), n.alias("n_blocked"))
 
 
+#: Sums of characters times powers of an odd number, modulo 2**64, give any stretch's hash from two of them.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+#: Characters whose stretches are hashed together; hits are looked up only where a table of ``MARKS`` flags has one.
+GROUP, MARKS = 1 << 18, 1 << 22
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, each with a mark after it that no text has -> their starts, and running sums and factors for ``_stretch``."""
+    codes = [np.append(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), 0x110000) for t in texts]
+    starts = np.cumsum([0, *map(len, codes)])
+    flat = np.concatenate([np.zeros(0, np.uint32), *codes]).astype(np.uint64)
+    return starts, np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat * _powers(_BASE, len(flat)))]), _powers(_BACK, len(flat) + 1)
+
+
+def _stretch(sums: np.ndarray, back: np.ndarray, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    return (sums[at + length] - sums[at]) * back[at]
+
+
+def _mark(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(_BASE) >> np.uint64(42)).astype(np.int64)
+
+
+class _Listed:
+    """Names as an Arrow array with sorted hashes of their lower-case forms and of the first 1, 2, 4 ... 64 characters of
+    these: some tens of bytes for each name, where an automaton takes hundreds for each."""
+
+    def __init__(self, names: pa.StringArray) -> None:
+        self.names, self.heads = names, {}
+        full, heads, lens = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        always: list[int] = []
+        for s in range(0, len(names), 1 << 15):
+            some = names.slice(s, 1 << 15).to_pylist()
+            low = [e.lower() for e in some]
+            always += [s + i for i, (e, x) in enumerate(zip(some, low)) if "[" in e or "]" in e or x in "[anon]"]
+            starts, sums, back = _hashed(low)
+            n = np.diff(starts) - 1
+            full.append(_stretch(sums, back, starts[:-1], n))
+            heads.append(_stretch(sums, back, starts[:-1], self._head(n)))
+            lens.append(n)
+        self.always, n, head = always, np.concatenate(lens), np.concatenate(heads)
+        for k in np.unique(self._head(n)).tolist():
+            own = self._head(n) == k
+            hashes, marks = np.unique(head[own]), np.zeros(MARKS, bool)
+            marks[_mark(hashes)] = True
+            self.heads[k] = hashes, np.packbits(marks), np.unique(n[own])
+        every = np.concatenate(full)
+        self.order = np.argsort(every, kind="stable").astype(np.int32)
+        self.full = every[self.order]
+
+    @staticmethod
+    def _head(n: np.ndarray) -> np.ndarray:
+        return 1 << np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 6)
+
+    def found(self, texts: list[str]) -> list[set[int]]:
+        """The names that occur in each text, in any case."""
+        low, out = [t.lower() for t in texts], [set() for _ in texts]
+        starts, sums, back = _hashed(low)
+        for k, (hashes, marks, lens) in self.heads.items():
+            h = _stretch(sums, back, np.arange(max(len(sums) - k, 0)), k)
+            m = _mark(h)
+            at = np.flatnonzero(marks[m >> 3] & (128 >> (m & 7)))
+            place = np.searchsorted(hashes, h[at])
+            at = at[hashes[np.minimum(place, len(hashes) - 1)] == h[at]]
+            for n in lens.tolist():
+                here = at[at + n < len(sums)]
+                h_ = _stretch(sums, back, here, n)
+                first, last = np.searchsorted(self.full, h_), np.searchsorted(self.full, h_, "right")
+                for i in np.flatnonzero(first < last).tolist():
+                    row = int(np.searchsorted(starts, here[i], "right")) - 1
+                    start = int(here[i] - starts[row])
+                    for no in self.order[first[i] : last[i]].tolist():
+                        if no not in out[row] and self.names[no].as_py().lower() == low[row][start : start + n]:
+                            out[row].add(no)
+        return out
+
+
 def sanitise_with(texts: DataFrame, entities: DataFrame, text: str = "text", strict: bool = True) -> DataFrame:
     """All columns of ``texts`` with ``clean, n_blocked, is_safe``: as :func:`sanitise`, and each sensitive entity of
     ``entities(entity)`` becomes ``[ANON]`` wherever it stands, in any case; one that occurs counts once.
 
-    Entities act one after another in their order by ``no``, or by text.  An automaton over the whole list finds the few
-    that occur in a text, and only these are replaced, so the work does not grow with the list, which is sent to every
-    task (an error beyond ``ENTITY_CHARS`` characters).  Strict texts with anything blocked aren't safe, permissive ones are.
+    Entities act one after another in their order by ``no``, or by text.  Hashes of the whole list find the few that occur
+    in a text, and only these are replaced, so the work does not grow with the list, which is sent to every task (an error
+    beyond ``ENTITY_CHARS`` characters).  Strict texts with anything blocked aren't safe, permissive ones are.
     """
     order = ["no", "entity"] if "no" in entities.columns else ["entity"]
     listed = entities.select(*[c for c in ("no",) if c in entities.columns], F.trim("entity").alias("entity")).filter("entity <> ''").distinct()
     if (listed.agg(F.sum(F.length("entity"))).first()[0] or 0) > ENTITY_CHARS:
         raise ValueError(f"entities of over {ENTITY_CHARS} characters")
-    shared = texts.sparkSession.sparkContext.broadcast([r["entity"] for r in listed.orderBy(*order).collect()])
+    names = listed.orderBy(*order).select("entity").toArrow()["entity"].combine_chunks()
+    shared = texts.sparkSession.sparkContext.broadcast(_Listed(names))
     bounded_batches(texts.sparkSession)
     clean, n = _struck(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(0), _LINKS)
     staged = texts.select(*texts.columns, clean.alias("_clean"), n.alias("_n"))
     kept = len(texts.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        found, names = ahocorasick.Automaton(), shared.value
-        always = [i for i, e in enumerate(names) if "[" in e or "]" in e or e.lower() in "[anon]"]
-        by_lower: dict[str, list[int]] = {}
-        for i, e in enumerate(names):
-            by_lower.setdefault(e.lower(), []).append(i)
-        for low, at in by_lower.items():
-            found.add_word(low, at)
-        if names:
-            found.make_automaton()
+        listed = shared.value
         for b in batches:
-            texts_, counts = [], []
-            for t, blocked in zip(b.column(kept).to_pylist(), b.column(kept + 1).to_pylist()):
-                # what a replacement brings in can be met by entities that hold brackets or are part of "[anon]" only
-                for i in sorted({i for _, at in found.iter(t.lower()) for i in at} | set(always)) if names else ():
-                    t, hits = re.subn(re.escape(names[i]), "[ANON]", t, flags=re.IGNORECASE)
-                    blocked += hits > 0
-                texts_.append(t)
-                counts.append(blocked)
-            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(texts_, pa.string()), pa.array(counts, pa.int32())], names=b.schema.names)
+            given, counts, done = b.column(kept).to_pylist(), b.column(kept + 1).to_pylist(), []
+            group = np.cumsum([0, *map(len, given)])[:-1] // GROUP
+            for g in np.unique(group):
+                some = given[np.searchsorted(group, g) : np.searchsorted(group, g, "right")]
+                for t, hits in zip(some, listed.found(some)):
+                    # what a replacement brings in can be met by entities that hold brackets or are part of "[anon]" only
+                    for i in sorted(hits | set(listed.always)):
+                        t, n = re.subn(re.escape(listed.names[i].as_py()), "[ANON]", t, flags=re.IGNORECASE)
+                        counts[len(done)] += n > 0
+                    done.append(t)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(done, pa.string()), pa.array(counts, pa.int32())], names=b.schema.names)
 
     out = staged.mapInArrow(run, staged.schema)
     clean, n = _struck(F.col("_clean"), F.col("_n"), _PRONOUNS)

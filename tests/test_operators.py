@@ -330,3 +330,23 @@ def test_web_trigger_signals_and_overrides(spark):
     d = spark.createDataFrame(rows, "i int, intent string, force boolean, no_web boolean, n_parents int, top double, words int, n_entities int, n_paths int")
     got = {r["i"]: r["web"] for r in d.select("i", similar.wants_web(*map(F.col, base)).alias("web")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_listed_names_are_found_as_by_plain_search():
+    """Short and long names, such that hold others, letters whose lower case is longer, and astral ones; hashes of the
+    whole list take few bytes for a name."""
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("abAB İß𝔸[]") for _ in range(n))
+    names = sorted({word(draw.choice((1, 2, 3, 4, 5, 8, 9, 17, 40, 70))) for _ in range(300)} | {"Ab", "aB"})
+    listed = un._Listed(pa.array(names))
+    texts = ["", "a", "x" + max(names, key=len), *(word(draw.randrange(30)) + draw.choice(names).swapcase() + word(draw.randrange(30)) for _ in range(200))]
+    want = [{i for i, e in enumerate(names) if e.lower() in t.lower()} for t in texts]
+    assert listed.found(texts) == want and any(len(names[i]) > 64 for x in want for i in x)
+    assert un._Listed(pa.array([], pa.string())).found(["a"]) == [set()]
+    many = un._Listed(pa.array([f"Customer#{i:09d}" for i in range(100_000)]))
+    held = many.names.nbytes + many.full.nbytes + many.order.nbytes + sum(x.nbytes for h in many.heads.values() for x in h)
+    assert many.found(["of CUSTOMER#000012345 x"]) == [{12345}] and held < 60 * 100_000
