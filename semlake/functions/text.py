@@ -99,6 +99,11 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
 
 
+def token_text(text: Column) -> Column:
+    """The tokens of :func:`tokens` with a space between them, made without an array: no token holds a space."""
+    return F.lower(F.trim(F.regexp_replace(text, WORD.replace("[", "[^", 1), " ")))
+
+
 def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")
 
