@@ -203,6 +203,10 @@ def evidence_rows(routed: DataFrame, doc: str = "doc_uri") -> DataFrame:
 
     ``routed`` has the columns of ``route`` and ``doc``; ``o_is_iri`` is taken as true where it has no such column.
     """
+    return _evidence_rows(routed, doc).distinct()
+
+
+def _evidence_rows(routed: DataFrame, doc: str) -> DataFrame:
     iri = F.col("o_is_iri") if "o_is_iri" in routed.columns else F.lit(True)
     evidence = F.struct(
         F.lit(PROVENANCE).alias("provenance"),
@@ -213,7 +217,7 @@ def evidence_rows(routed: DataFrame, doc: str = "doc_uri") -> DataFrame:
         F.col("conflict"),
     )
     kept = routed.filter(F.col("destination") != "tier1-rejected")
-    return kept.select(F.col("subject_uri").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"), iri.alias("o_is_iri"), F.col("destination").alias("graph"), evidence.alias("evidence")).distinct()
+    return kept.select(F.col("subject_uri").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"), iri.alias("o_is_iri"), F.col("destination").alias("graph"), evidence.alias("evidence"))
 
 
 def triples_at(spark: SparkSession, path: str) -> KeyedTable:
@@ -225,7 +229,7 @@ def write_routed(routed: DataFrame, path: str, doc: str = "doc_uri", epoch: int
 
     A statement with one evidence is one row however often it is written, so a batch that is played again adds nothing.
     """
-    rows = evidence_rows(routed, doc)
+    rows = _evidence_rows(routed, doc)  # the merge leaves one row of a statement
     key = F.sha2(F.to_json(F.struct("s", "p", "o", "graph", "evidence")), 256)
     return triples_at(routed.sparkSession, path).merge(rows.withColumn("statement", key), epoch)
 

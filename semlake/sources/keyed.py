@@ -113,7 +113,11 @@ class KeyedTable:
         clash = F.coalesce(F.assert_true(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in self.keys)), F.lit("a row without a key")).cast("int"), self._bucket())
         incoming = stored(one.withColumn("_bucket", clash), "incoming")
         old = self._rows(commit, [r[0] for r in incoming.select("_bucket").distinct().collect()] if commit.schema else None)
-        if old is not None:
+        # where the guard is the key, a key that is there is never changed: only keys are compared, and no row is replaced
+        fixed = self.guard is not None and self.keys == [self.guard]
+        if old is not None and fixed:
+            incoming = stored(incoming.join(old.select(*self.keys), self.keys, "left_anti").select(*rows.columns, "_bucket"), "changed")
+        elif old is not None:
             there = old.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], F.lit(1).alias("_there"), (F.col(self.guard) if self.guard else F.lit(None)).alias("_guard"), (F.col(self.newer) if self.newer else F.lit(None)).alias("_newer"))
             joined = incoming.join(there, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(self.keys)], "left")
             same = F.col("_there").isNotNull() & (F.col("_guard").eqNullSafe(F.col(self.guard)) if self.guard else F.lit(False))
@@ -124,7 +128,8 @@ class KeyedTable:
             return 0
         merged = incoming
         if old is not None and touched:
-            kept = self._rows(commit, list(touched)).join(incoming.select(*self.keys), self.keys, "left_anti")
+            kept = self._rows(commit, list(touched))
+            kept = kept if fixed else kept.join(incoming.select(*self.keys), self.keys, "left_anti")
             merged = kept.withColumn("_bucket", self._bucket()).unionByName(incoming, allowMissingColumns=True)
         data = f"{commit.version + 1:012d}-{uuid.uuid4().hex}"
         if touched:

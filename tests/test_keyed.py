@@ -84,3 +84,13 @@ def test_ledger_against_a_set(spark, tmp_path):
     asked = spark.range(3000).select(F.concat(F.lit("key"), F.col("id").cast("string")).alias("key"))
     maybe = {r["key"] for r in ledger.maybe_seen(asked).collect()}
     assert seen <= maybe and len(maybe - seen) < 10
+
+
+def test_a_table_whose_key_is_its_guard_only_adds(spark, tmp_path):
+    """Keys that are there are left out by key alone, whatever else a row holds; no stored row is replaced."""
+    table = KeyedTable(spark, str(tmp_path), "k", guard="k", buckets=2)
+    rows = lambda *r: spark.createDataFrame(r, "k string, v long")
+    assert table.merge(rows(("a", 1), ("b", 2), ("b", 3))) == 2
+    assert table.merge(rows(("a", 9), ("c", 4)), epoch=1) == 1
+    assert table.merge(rows(("a", 7), ("c", 8))) == 0
+    assert sorted((r["k"], r["v"]) for r in table.read().collect()) == [("a", 1), ("b", 3), ("c", 4)]
