@@ -1,7 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from semlake.functions import md5
 from semlake.functions import text as tx
 from semlake.operators import chunks as ck
 from semlake.operators import extract as ex
@@ -228,6 +231,35 @@ def test_negatives_hold_no_positive(spark):
     assert neg.join(ids, ["h", "r", "t"], "left_semi").count() == 0 and neg.count() > 40
 
 
+def test_negatives_are_looked_up_without_sorting_and_summed_where_they_are_sure(spark):
+    """The draws of MD5 in any engine; two relations whose heads and tails leave some draws outside."""
+    triples = [(i, i % 2, 40 + i % 7 + 30 * (i % 2)) for i in range(40)]
+    ids = spark.createDataFrame(triples, "h long, r long, t long")
+    hexed = lambda *k: int(hashlib.md5("|".join(map(str, k)).encode()).hexdigest()[:8], 16)
+    want = []
+    for h, r, t in triples:
+        for draw in range(12):
+            other = hexed(h, r, t, draw, "e42") % 80
+            made = (other, r, t) if hexed(h, r, t, draw, "s42") % 2 == 0 else (h, r, other)
+            want += [(*made, h, t, draw)] * (made not in set(triples))
+    neg = lk.negatives(ids, spark.range(80), 12)
+    assert sorted(tuple(r) for r in neg.select("h", "r", "t", "pos_h", "pos_t", "draw").collect()) == sorted(want)
+    sums = lk.negative_sums(ids, spark.range(80), 12)
+    assert sorted(map(tuple, sums.collect())) == [(r, *(sum(f(w) for w in want if w[1] == r) for f in (lambda w: 1, lambda w: w[0], lambda w: w[2]))) for r in (0, 1)]
+    for df in (neg, sums):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort [" not in plan
+    assert lk.negative_sums(ids.limit(0), spark.range(80), 12).count() == 0
+
+
+def test_many_digests_at_once():
+    texts = [b"", b"a", "Ж|1".encode(), b"x" * 40, *(f"{i}|{i * i}".encode() for i in range(0, 10**9, 10**7))]
+    for more in ([], [b"x" * 100]):
+        rows, n = md5.prefixes(np.frombuffer(b"".join(texts + more), np.uint8), np.cumsum([0, *map(len, texts + more)]))
+        for suffix in (b"", b"|3|e42", b"|11|s42"):
+            assert md5.first_words(rows, n, suffix).tolist() == [int(hashlib.md5(x + suffix).hexdigest()[:8], 16) for x in texts + more]
+
+
 @pytest.mark.parametrize(("text", "n", "clean"), [("my [[Secret]] plan #tag", 3, "[ANON] plan"), ("мои заметки", 1, "[ANON] заметки"), ("army mineral", 0, "army mineral")])
 def test_sanitise(spark, text, n, clean):
     r = one(spark, un.sanitise(F.lit(text)))
