@@ -55,7 +55,7 @@ def para_segment(path: Column) -> Column:
 
 def label_of(uri: Column) -> Column:
     """Last fragment, path part or URN part of a URI, in lower case with ``-`` and ``_`` as spaces."""
-    part = F.regexp_replace(uri, r"/+$", "")
+    part = F.rtrim(uri, F.lit("/"))
     last = F.when(part.contains("#"), F.substring_index(part, "#", -1)).when(part.contains("/"), F.substring_index(part, "/", -1)).otherwise(F.substring_index(part, ":", -1))
     return F.translate(F.lower(last), "-_", "  ")
 

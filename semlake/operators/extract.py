@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,13 +89,14 @@ def evidence(quads: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates with ``n_sources`` (distinct chunks of the triple), ``duplicate`` and ``conflict`` against known quads."""
     spo = ["subject_uri", "predicate", "object"]
     n = candidates.groupBy(*spo).agg(F.countDistinct("chunk_id").alias("n_sources"))
-    facts = quads.select(F.col("s").alias("subject_uri"), F.col("p").alias("predicate"), F.col("o").alias("object")).distinct()
+    facts = quads.select(F.col("s").alias("subject_uri"), F.col("p").alias("predicate"), F.col("o").alias("object")).filter(" and ".join(f"{c} is not null" for c in spo)).distinct()
     same = facts.withColumn("duplicate", F.lit(True))
-    # the smallest and largest object tell whether some object differs from a candidate's
-    known = facts.groupBy("subject_uri", "predicate").agg(F.min("object").alias("lo"), F.max("object").alias("hi"))
-    out = candidates.join(n, spo).join(same, spo, "left").join(known, spo[:2], "left")
-    conflict = F.coalesce((F.col("lo") != F.col("object")) | (F.col("hi") != F.col("object")), F.lit(False))
-    return out.withColumns({"duplicate": F.coalesce("duplicate", F.lit(False)), "conflict": conflict}).drop("lo", "hi")
+    # how many objects are known tells whether one differs from a candidate's; all are looked up in hash tables of
+    # partitions, and both lookups share the exchange of the facts
+    known = facts.groupBy("subject_uri", "predicate").agg(F.count("object").alias("objects"))
+    out = candidates.join(n.hint("shuffle_hash"), spo).join(same.hint("shuffle_hash"), spo, "left").join(known.hint("shuffle_hash"), spo[:2], "left")
+    duplicate = F.coalesce("duplicate", F.lit(False))
+    return out.withColumns({"duplicate": duplicate, "conflict": F.coalesce(F.col("objects") > duplicate.cast("int"), F.lit(False))}).drop("objects")
 
 
 def gates(candidates: DataFrame, allowed: list[str]) -> DataFrame:
@@ -237,11 +239,10 @@ def write_routed(routed: DataFrame, path: str, doc: str = "doc_uri", epoch: int
 def annotations(rows: DataFrame) -> DataFrame:
     """Evidence rows as statements about statements: ``(s, p, o, graph, about, value)``; a flag that is false says nothing."""
     e = F.col("evidence")
-    said = F.array(
-        *[F.struct(F.lit(PKM + name).alias("about"), e[field].alias("value")) for name, field in (("provenance", "provenance"), ("confidence", "confidence"), ("source", "source"), ("evidenceChunk", "chunk"), ("evidenceDoc", "doc"))],
-        F.struct(F.lit(PKM + "conflictFlag").alias("about"), F.when(e["conflict"], "true").alias("value")),
-    )
-    return rows.select("s", "p", "o", "graph", F.explode(said).alias("a")).select("s", "p", "o", "graph", "a.*").filter("value is not null").distinct()
+    said = {"provenance": e["provenance"], "confidence": e["confidence"], "source": e["source"], "evidenceChunk": e["chunk"], "evidenceDoc": e["doc"], "conflictFlag": F.when(e["conflict"], "true")}
+    # a part for each name: who asks for one name reads that part only
+    parts = [rows.select("s", "p", "o", "graph", F.lit(PKM + name).alias("about"), value.alias("value")) for name, value in said.items()]
+    return reduce(DataFrame.unionByName, parts).filter("value is not null").distinct()
 
 
 def entity_records(bindings: DataFrame) -> DataFrame:

@@ -48,6 +48,28 @@ def test_optional_patterns_multiply_and_stay_null(spark):
     assert [r["kind"] for r in none.collect()] == [None, None]
 
 
+def test_evidence_and_annotations_are_looked_up_without_sorting(spark):
+    """Facts are exchanged once for both lookups, and one name of an annotation reads only its part."""
+    quads = spark.createDataFrame([("a", "p", "x"), ("a", "p", "x"), ("b", "p", "x"), ("b", "p", "y"), ("c", "p", "y"), (None, "p", "x"), ("d", "p", None), ("e", "p", "x"), ("e", "p", None)], "s string, p string, o string")
+    said = [(s, "p", "x", k) for s in "abcdefg" for k in ("c1", "c1", "c2")]
+    cand = spark.createDataFrame([*said, (None, "p", "x", "c1")], "subject_uri string, predicate string, object string, chunk_id string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ex.evidence(quads, cand)
+        got = {(r["subject_uri"], r["n_sources"], r["duplicate"], r["conflict"]) for r in out.collect()}
+        flags = {"a": (True, False), "b": (True, True), "c": (False, True), "e": (True, False)}
+        assert got == {(s, 2, *flags.get(s, (False, False))) for s in "abcdefg"}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ShuffledHashJoin") >= 3 and "SortMergeJoin" not in plan and "ReusedExchange" in plan
+        rows = ex.evidence_rows(routed(spark))
+        pend = qd.pending(rows.select("s", "p", "o", "graph"), ex.annotations(rows))
+        plan = pend._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Generate" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def bindings(spark):
     wd = "http://www.wikidata.org/"
     return spark.createDataFrame(
