@@ -99,6 +99,23 @@ def evidence(quads: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.withColumns({"duplicate": duplicate, "conflict": F.coalesce(F.col("objects") > duplicate.cast("int"), F.lit(False))}).drop("objects")
 
 
+def evidence_in_one(quads: DataFrame, candidates: DataFrame) -> DataFrame:
+    """As ``evidence``, by one exchange: candidates and facts of a subject and predicate meet in one task, which sorts
+    them.  ``evidence`` moves each candidate four times, but AQE can split a hot pair there."""
+    spo = ["subject_uri", "predicate", "object"]
+    facts = quads.select(F.col("s").alias("subject_uri"), F.col("p").alias("predicate"), F.col("o").alias("object"), F.lit(True).alias("_fact"))
+    rows = candidates.withColumn("_fact", F.lit(False)).unionByName(facts, allowMissingColumns=True)
+    rows = rows.filter(" and ".join(f"{c} is not null" for c in spo)).repartition(*spo[:2])
+    triple, pair = Window.partitionBy(*spo), Window.partitionBy(*spo[:2])
+    known = F.when(F.col("_fact"), F.col("object"))
+    rows = rows.withColumn("_no", F.dense_rank().over(triple.orderBy("chunk_id")))  # nulls, which count as no source, are first
+    rows = rows.withColumns({"_chunks": F.max("_no").over(triple), "_none": F.max(F.col("chunk_id").isNull().cast("int")).over(triple), "duplicate": F.max("_fact").over(triple)})
+    rows = rows.withColumns({"_low": F.min(known).over(pair), "_high": F.max(known).over(pair)}).filter(~F.col("_fact"))
+    # another object is known if the smallest or the largest known one is another
+    conflict = F.coalesce((F.col("_low") != F.col("object")) | (F.col("_high") != F.col("object")), F.lit(False))
+    return rows.select(*candidates.columns, (F.col("_chunks") - F.col("_none")).cast("long").alias("n_sources"), "duplicate", conflict.alias("conflict"))
+
+
 def gates(candidates: DataFrame, allowed: list[str]) -> DataFrame:
     """Flags ``g1, g2, g3, g5`` (passed), ``g5_reason`` and the boosted ``final_confidence`` of candidates that have
     ``is_new, object_similarity, n_sources, duplicate, conflict``."""
@@ -232,8 +249,8 @@ def write_routed(routed: DataFrame, path: str, doc: str = "doc_uri", epoch: int
     A statement with one evidence is one row however often it is written, so a batch that is played again adds nothing.
     """
     rows = _evidence_rows(routed, doc)  # the merge leaves one row of a statement
-    key = F.sha2(F.to_json(F.struct("s", "p", "o", "graph", "evidence")), 256)
-    return triples_at(routed.sparkSession, path).merge(rows.withColumn("statement", key), epoch)
+    key = F.unhex(F.sha2(F.to_json(F.struct("s", "p", "o", "graph", "evidence")), 256))
+    return triples_at(routed.sparkSession, path).merge(rows.withColumn("statement", key), epoch, scattered=True)
 
 
 def annotations(rows: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """A keyed table with commits: hash buckets, copy on write, and a ledger of the epochs that are in it.
 
 ``path/data`` holds Parquet folders that are never changed, ``path/commits`` one small file for each version: for every
-bucket the folder that holds it, the last epoch of each writer, and the schema.  A merge writes the buckets that it
-changes anew and then creates the next commit file, which fails if another writer has created it.  So a reader sees whole
+bucket the folder that holds it (or several, with commas between), the last epoch of each writer, and the schema.  A merge writes the buckets that it
+changes anew (a table whose rows are never replaced gets a further folder for their new rows instead, up to ``FOLDERS`` a
+bucket) and then creates the next commit file, which fails if another writer has created it.  So a reader sees whole
 versions only, a merge that dies before its commit leaves the table as it was, and an epoch that is played again changes
 nothing.
 """
@@ -13,13 +14,15 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from semlake.sources.scratch import stored
+from semlake.sources.scratch import dropped, freed_shuffles, stored
 
 BUCKETS = 64
+#: Folders of a bucket, at most, before one takes their place.
+FOLDERS = 16
 
 
 class Conflict(RuntimeError):
@@ -83,7 +86,7 @@ class KeyedTable:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def _rows(self, commit: Commit, buckets: list[int] | None = None) -> DataFrame | None:
-        paths = [f"{self.path}/data/{folder}/_bucket={b}" for b, folder in commit.buckets.items() if buckets is None or int(b) in buckets]
+        paths = [f"{self.path}/data/{folder}/_bucket={b}" for b, folders in commit.buckets.items() if buckets is None or int(b) in buckets for folder in folders.split(",")]
         if commit.schema is None:
             return None
         schema = StructType.fromJson(json.loads(commit.schema))
@@ -96,12 +99,15 @@ class KeyedTable:
             raise FileNotFoundError(f"no version of {self.path}")
         return rows
 
-    def merge(self, rows: DataFrame, epoch: int | None = None, writer: str = "batch") -> int:
+    def merge(self, rows: DataFrame, epoch: int | None = None, writer: str = "batch", scattered: bool = False) -> int:
         """Put rows in by key -> how many were new or changed.
 
         Of rows with one key the newest counts (of equal ones the largest).  Rows equal to the stored one by ``guard`` and
         rows older than it by ``newer`` are left out.  A row with a null key is an error.  With an ``epoch``, one that is
         not after the writer's last is left out whole.
+
+        Where the guard is the key, rows are only added.  There ``scattered`` says that rows belong to nearly all buckets:
+        keys of all of them are then compared in the one exchange that brings the rows to their buckets.
         """
         commit = self.commits.latest()
         if epoch is not None and epoch <= commit.epochs.get(writer, -1):
@@ -111,10 +117,14 @@ class KeyedTable:
         one = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")) if rest else rows.distinct()
         one = one.select(*self.keys, "r.*").select(*rows.columns) if rest else one
         clash = F.coalesce(F.assert_true(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in self.keys)), F.lit("a row without a key")).cast("int"), self._bucket())
+        fixed = self.guard is not None and self.keys == [self.guard]
+        mixed = fixed and commit.schema is not None and not self._fits(commit, rows)
+        if fixed and scattered and rest and not mixed and all(x.count(",") < FOLDERS - 1 for x in commit.buckets.values()):
+            return self._added(commit, rows.withColumn("_bucket", clash), rest, order, epoch, writer)
         incoming = stored(one.withColumn("_bucket", clash), "incoming")
+        mine = [incoming]
         old = self._rows(commit, [r[0] for r in incoming.select("_bucket").distinct().collect()] if commit.schema else None)
         # where the guard is the key, a key that is there is never changed: only keys are compared, and no row is replaced
-        fixed = self.guard is not None and self.keys == [self.guard]
         if old is not None and fixed:
             incoming = stored(incoming.join(old.select(*self.keys), self.keys, "left_anti").select(*rows.columns, "_bucket"), "changed")
         elif old is not None:
@@ -124,19 +134,53 @@ class KeyedTable:
             stale = F.coalesce(F.col("_newer") > F.col(self.newer), F.lit(False)) if self.newer else F.lit(False)
             incoming = stored(joined.filter(~same & ~stale).select(*rows.columns, "_bucket"), "changed")
         touched = {r["_bucket"]: r["n"] for r in incoming.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
+        mine += [incoming] if old is not None else []
         if not touched and epoch is None and commit.schema:
+            dropped(*mine)
             return 0
-        merged = incoming
-        if old is not None and touched:
-            kept = self._rows(commit, list(touched))
+        merged, whole = incoming, list(touched)
+        if fixed and not mixed:  # new rows go beside the old ones
+            whole = [b for b in touched if commit.buckets.get(str(b), "").count(",") >= FOLDERS - 1]
+        if old is not None and whole:
+            kept = self._rows(commit, whole)
             kept = kept if fixed else kept.join(incoming.select(*self.keys), self.keys, "left_anti")
             merged = kept.withColumn("_bucket", self._bucket()).unionByName(incoming, allowMissingColumns=True)
         data = f"{commit.version + 1:012d}-{uuid.uuid4().hex}"
         if touched:
-            merged.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{data}")
-        schema = StructType([f for f in merged.schema if f.name != "_bucket"]).json()
-        after = Commit(commit.version + 1, commit.buckets | {str(b): data for b in touched}, commit.epochs | ({writer: epoch} if epoch is not None else {}), schema if touched or commit.schema is None else commit.schema, commit.more)
+            with freed_shuffles(self.spark):
+                merged.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{data}")
+        dropped(*mine)
+        self._commit(commit, data, touched, whole, merged.drop("_bucket").schema, epoch, writer)
+        return sum(touched.values())
+
+    def _fits(self, commit: Commit, rows: DataFrame) -> bool:
+        """The stored columns that ``rows`` have too are of the same types, so files of both read as one table."""
+        new = {f.name: f.dataType for f in rows.schema}
+        return all(new.get(f.name, f.dataType) == f.dataType for f in StructType.fromJson(json.loads(commit.schema)))
+
+    def _commit(self, commit: Commit, data: str, touched: dict[int, int], whole: list[int], schema: StructType, epoch: int | None, writer: str) -> None:
+        """``data`` holds the touched buckets: those of ``whole`` entirely, of others what comes to their folders."""
+        old = StructType.fromJson(json.loads(commit.schema)).fields if commit.schema else []
+        schema = StructType(old + [f for f in schema if f.name not in {x.name for x in old}]) if len(whole) < len(touched) else schema
+        places = {str(b): data if b in whole or str(b) not in commit.buckets else f"{commit.buckets[str(b)]},{data}" for b in touched}
+        after = Commit(commit.version + 1, commit.buckets | places, commit.epochs | ({writer: epoch} if epoch is not None else {}), schema.json() if touched or commit.schema is None else commit.schema, commit.more)
         self.commits.add(after)
+
+    def _added(self, commit: Commit, rows: DataFrame, rest: list[str], order: list[Column], epoch: int | None, writer: str) -> int:
+        """New keys of ``rows(_bucket, ...)`` are written to a further folder, with one exchange of rows and stored keys."""
+        met = rows.withColumn("_old", F.lit(False))
+        old = self._rows(commit) if commit.buckets else None
+        if old is not None:
+            met = met.unionByName(old.select(self._bucket().alias("_bucket"), *self.keys, F.lit(True).alias("_old")), allowMissingColumns=True)
+        new = met.repartition("_bucket").groupBy("_bucket", *self.keys).agg(F.max("_old").alias("_old"), F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+        new = new.filter(~F.col("_old")).select("_bucket", *self.keys, "_r.*").select(*rows.columns)
+        data = f"{commit.version + 1:012d}-{uuid.uuid4().hex}"
+        with freed_shuffles(self.spark):
+            new.write.partitionBy("_bucket").parquet(f"{self.path}/data/{data}")
+        written = self.spark.read.schema(new.select(*self.keys, "_bucket").schema).parquet(f"{self.path}/data/{data}")
+        touched = {r["_bucket"]: r["n"] for r in written.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
+        if touched or epoch is not None or commit.schema is None:
+            self._commit(commit, data, touched, [], new.drop("_bucket").schema, epoch, writer)
         return sum(touched.values())
 
 
