@@ -253,6 +253,22 @@ def write_routed(routed: DataFrame, path: str, doc: str = "doc_uri", epoch: int
     return triples_at(routed.sparkSession, path).merge(rows.withColumn("statement", key), epoch, scattered=True)
 
 
+def pending_evidence(routed: DataFrame, typed: DataFrame, doc: str = "doc_uri") -> DataFrame:
+    """Routed triples of ``tier1-pending`` whose subject is none of ``typed(s)``, with ``conf, chunk, doc, conflict``: what
+    ``quads.pending`` finds in their ``annotations``, a row for each combination, from the evidence as it comes.
+
+    One exchange by subject does for the lookup of types and for the statements.
+    """
+    rows = _evidence_rows(routed, doc).filter(F.col("graph") == "tier1-pending")
+    here = rows.join(typed.select("s").distinct().withColumn("_typed", F.lit(True)).hint("shuffle_hash"), "s", "left").filter("_typed is null")
+    e = F.col("evidence")
+    sets = [F.collect_set(e[name]).alias(column) for column, name in (("conf", "confidence"), ("chunk", "chunk"), ("doc", "doc"))]
+    out = here.groupBy("s", "p", "o").agg(*sets, F.max(F.when(e["conflict"], "true")).alias("conflict"))
+    for column in ("conf", "chunk", "doc"):
+        out = out.withColumn(column, F.explode_outer(column))
+    return out
+
+
 def annotations(rows: DataFrame) -> DataFrame:
     """Evidence rows as statements about statements: ``(s, p, o, graph, about, value)``; a flag that is false says nothing."""
     e = F.col("evidence")
